@@ -47,7 +47,7 @@ TEMPLATES = (
     ("All rights reserved", "reserved"),
 )
 
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 
 
 def words(text: Column) -> Column:
