@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm import bpe, decontaminate, license_scan, line_dedup, simhash
+from veridoc.llm import bpe, decontaminate, license_scan, line_dedup, quality, simhash
 from veridoc.llm.common import table
 
 
@@ -29,12 +29,17 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id", "n_links")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_license_scan, op2_bpe, op4_line_dedup, op6_simhash, op10_decontaminate)
+    own = (op1_license_scan, op2_bpe, op4_line_dedup, op6_simhash, op8_quality, op10_decontaminate)
     return {f.__name__: f for f in own}
 
 

@@ -161,3 +161,10 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """`docs` with the smallest id of each group of near duplicates. Rows without an id stay; rows with one id are one document."""
+    groups = simhash_groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, budget=budget)
+    gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
