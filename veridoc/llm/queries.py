@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm import bpe, chat, decontaminate, license_scan, line_dedup, quality, simhash, topk
+from veridoc.llm import bpe, chat, decontaminate, license_scan, line_dedup, pii, quality, simhash, topk
 from veridoc.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id", "n_links")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -55,7 +59,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_license_scan, op2_bpe, op4_line_dedup, op5_chat, op6_simhash, op8_quality, op9_topk, op10_decontaminate)
+    own = (op1_license_scan, op2_bpe, op4_line_dedup, op5_chat, op6_simhash, op7_pii, op8_quality, op9_topk, op10_decontaminate)
     return {f.__name__: f for f in own}
 
 
