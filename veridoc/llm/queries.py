@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm import bpe, chat, decontaminate, license_scan, line_dedup, pii, quality, simhash, topk
-from veridoc.llm.common import table
+from veridoc.llm import bpe, chat, decontaminate, license_scan, line_dedup, pii, quality, sharding, simhash, topk
+from veridoc.llm.common import shared_dir, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as arrivals, compacted; each row with the shard that holds it."""
+    data = sharding.ShardedDataset(spark, f"{shared_dir(spark)}/sharded-{uuid.uuid4().hex}")
+    data.append(table(spark, sf_dir, "documents"))
+    data.compact()
+    data.vacuum()
+    return sharding.placed(data).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang", "source", "n_chars", F.col("_shard").alias("shard"), "bytes", "tier", F.col("_version").alias("version"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "text", F.length("text").cast("long").alias("n_chars_kept"))
@@ -59,7 +69,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_license_scan, op2_bpe, op4_line_dedup, op5_chat, op6_simhash, op7_pii, op8_quality, op9_topk, op10_decontaminate)
+    own = (op1_license_scan, op2_bpe, op3_sharding, op4_line_dedup, op5_chat, op6_simhash, op7_pii, op8_quality, op9_topk, op10_decontaminate)
     return {f.__name__: f for f in own}
 
 
