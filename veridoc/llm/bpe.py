@@ -3,13 +3,11 @@
 Texts are cut into chunks where a rolling hash of the last eight bytes says so, so equal passages give
 equal chunks wherever they stand. Chunks that occur in more than one text are encoded once, by the text
 that sorts first, and handed to the others; all other chunks are encoded where they are. Chunk borders
-fall anywhere, also inside words, so each join is repaired: the word that touches the border is encoded
-anew together with a whole word on either side. The outer words' tokens must agree with those that the
-chunks have for them; where they don't, the window grows to the whole text.
-
-What is encoded inside a chunk are its whole words: the tokenizer drops white space and never joins
-tokens over it (`check_tokenizer`), so a word gives the same tokens in every text, and a worker keeps
-those of words that it has met.
+fall anywhere, also inside words, so each join is repaired: a window around it grows both ways, over
+further chunks if need be, until it ends in white space, and is encoded anew. There both sides agree
+exactly with the encoding of the whole text: the tokenizer drops white space and never joins tokens over
+it (`check_tokenizer`), so a word gives the same tokens in every text. A worker keeps those of words
+that it has met.
 """
 
 from __future__ import annotations
@@ -31,10 +29,10 @@ from tokenizers import Tokenizer
 from veridoc.llm.common import small_batches, whole
 
 TOKENIZER = "word_bpe_49k.json"
-#: Chunk sizes in bytes: no cut before LEAST, one of AVERAGE places after it is a cut, always one at MOST.
-LEAST, AVERAGE, MOST = 128, 512, 4096
-#: Words whose tokens one worker keeps; it begins anew beyond.
-KEPT_WORDS = 400_000
+#: Chunk sizes in bytes: no cut before LEAST, one of 2 ** AVERAGE_BITS places after it is a cut, always one at MOST.
+LEAST, AVERAGE_BITS, MOST = 128, 9, 4096
+#: Words whose tokens one worker keeps: as many new ones, and those of the generation before.
+KEPT_WORDS = 250_000
 GEAR = np.uint64(0x9E3779B97F4A7C15)
 SPACE = b" \t\n\r\x0b\x0c"
 
@@ -50,10 +48,16 @@ def load(name: str) -> Tokenizer:
 def check_tokenizer(name: str) -> None:
     """Raises unless white space is dropped and parts tokens, which is what encoding word by word needs."""
     t = load(name)
+
+    def ids(x: str) -> list[int]:
+        return t.encode(x, add_special_tokens=False).ids
+
     for a, b in (("ab", "cd"), ("don't", "'s"), ("é", "́e"), ("x9", "..."), ("<|startoftext|>", "a")):
         for gap in (" ", "\n", "\t\r ", "  \x0b\x0c"):
-            if t.encode(a + gap + b, add_special_tokens=False).ids != t.encode(a, add_special_tokens=False).ids + t.encode(b, add_special_tokens=False).ids:
+            if ids(a + gap + b) != ids(a) + ids(b):
                 raise ValueError(f"{name} joins tokens over white space; it can't be encoded by words")
+    if any(ids(w) != [i for x in simplest(w.encode()) for i in ids(x.decode())] for w in ("Ab.", "x's,", "9,", "DON'T", "É.")):
+        raise ValueError(f"{name} tells cases or full stops apart as this module doesn't expect")
 
 
 def cuts(text: bytes) -> list[int]:
@@ -61,10 +65,13 @@ def cuts(text: bytes) -> list[int]:
     n = len(text)
     if n <= LEAST:
         return [n] if n else []
-    data = np.frombuffer(text, np.uint8)
-    grams = np.lib.stride_tricks.as_strided(data, (n - 7, 8), (1, 1)).copy().view("<u8").ravel()
-    hashed = (grams * GEAR) >> np.uint64(40)
-    places = np.flatnonzero(hashed % np.uint64(AVERAGE) == 0) + 8
+    grams = np.empty(n - 7, np.uint64)
+    for k in range(8):
+        part = np.frombuffer(text, "<u8", (n - k) // 8, k)
+        grams[k::8] = part[: len(grams[k::8])]
+    grams *= GEAR
+    grams >>= np.uint64(64 - AVERAGE_BITS)
+    places = np.flatnonzero(grams == 0) + 8
     ends, last, k = [], 0, 0
     while n - last > LEAST:
         k = max(k, int(np.searchsorted(places, last + LEAST)))
@@ -90,6 +97,20 @@ def chunk_id(chunk: bytes) -> bytes:
     return xxhash.xxh3_128_digest(chunk)
 
 
+def simplest(word: bytes) -> tuple[bytes, ...]:
+    """Words with the same tokens as `word` that other words share: lower case, and a last full stop or comma by itself.
+
+    Both hold for this family of tokenizers: it lowers case, and parts letters and digits from other characters.
+    """
+    if b"<|" in word:  # special tokens keep their case
+        return (word,)
+    last = word[-1:]
+    if last in (b".", b",") and word[-2:-1].isalnum():
+        word = word[:-1]
+        return (word.lower() if word.isascii() else word), last
+    return (word.lower() if word.isascii() else word,)
+
+
 class Encoder:
     """One worker's encoder: tokens of words, kept within a bound."""
 
@@ -98,6 +119,7 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.kept: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.tokens = [self.tokenizer.id_to_token(i) for i in range(size)]
         self.numbers = list(map(str, range(size)))
 
@@ -105,20 +127,24 @@ class Encoder:
         got = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in got]
 
+    def learn(self, words: set[bytes]) -> None:
+        """Sees to it that the tokens of these words are kept."""
+        if len(self.kept) > KEPT_WORDS:
+            self.older, self.kept = self.kept, {}
+        kept, older, new = self.kept, self.older, {}
+        for w in words.difference(kept):
+            if (ids := older.get(w)) is not None:
+                kept[w] = ids
+            else:
+                new[w] = simplest(w)
+        wanted = [*{x for parts in new.values() for x in parts if x not in kept and x not in older}]
+        kept.update(zip(wanted, self.raw(wanted), strict=True))
+        for w, parts in new.items():
+            kept[w] = b"".join([ids if (ids := kept.get(x)) is not None else older[x] for x in parts])
+
     def words(self, words: list[bytes]) -> bytes:
-        kept = self.kept
-        if missing := [w for w in set(words) if w not in kept]:
-            if len(kept) + len(missing) > KEPT_WORDS:
-                kept.clear()
-                missing = list(set(words))
-            for at in range(0, len(missing), 20_000):
-                part = missing[at : at + 20_000]
-                kept.update(zip(part, self.raw(part), strict=True))
-        return b"".join(map(kept.__getitem__, words))
-
-    def body(self, chunk: bytes) -> bytes:
-        """Tokens of a chunk's whole words: those that touch neither border."""
-        return self.words(split_chunk(chunk)[1])
+        """The tokens of words that were learnt."""
+        return b"".join(map(self.kept.__getitem__, words))
 
     def decode(self, ids: list[int]) -> str:
         if self.tokenizer.decoder is not None:
@@ -141,40 +167,32 @@ def split_chunk(chunk: bytes) -> tuple[bytes, list[bytes], bytes | None]:
 _SPACES = tuple(SPACE[i : i + 1] for i in range(len(SPACE)))
 
 
-def encode_text(text: bytes, enc: Encoder, ready: dict[bytes, bytes]) -> np.ndarray:
-    """The ids of a whole text. `ready` has the bodies of chunks that were encoded elsewhere."""
-    out: list[bytes] = []
-    bodies: list[list[bytes]] = []  # the whole words of the chunks, for the joins
-    joins: list[tuple[int, int, bytes]] = []  # places in `out` and `bodies` of each word that touches a border
-    word = b""  # what the chunks so far leave before the next white space
+def pieces_of(text: bytes, ready: dict[bytes, bytes]) -> list[bytes | list[bytes]]:
+    """A text as the tokens of chunks that were encoded elsewhere, and the lists of words between them to encode here.
+
+    The windows over the joins are among those words.
+    """
+    out: list[bytes | list[bytes]] = []
+    window = b""  # what the chunks so far leave after their last white space
     for chunk in chunks(text):
         head, inner, tail = split_chunk(chunk)
-        word += head
-        if tail is None:
+        window += head
+        if tail is None:  # no white space: the window grows over the whole chunk
             continue
-        if word:
-            joins.append((len(out), len(bodies), word))
-            out.append(b"")
-        ids = ready.get(chunk_id(chunk)) if ready else None
-        out.append(enc.words(inner) if ids is None else ids)
-        bodies.append(inner)
-        word = tail
-    if word:
-        joins.append((len(out), len(bodies), word))
-        out.append(b"")
-
-    if not joins:
-        return np.frombuffer(b"".join(out), enc.kind)
-    flanks = [(bodies[k - 1][-1:] if k else [], bodies[k][:1] if k < len(bodies) else []) for _, k, _ in joins]
-    windows = enc.raw([b" ".join([*left, word, *right]) for (left, right), (_, _, word) in zip(flanks, joins, strict=True)])
-    for (at, k, _), (left, right), ids in zip(joins, flanks, windows, strict=True):
-        a, b = enc.words(left), enc.words(right)
-        before, after = out[at - 1] if left else b"", out[at + 1] if right else b""
-        agree = len(ids) >= len(a) + len(b) and ids.startswith(a) and before.endswith(a) and ids.endswith(b) and after.startswith(b)
-        if not agree:  # tokens reach further than a word: the window is the whole text
-            return np.frombuffer(enc.raw([text])[0], enc.kind)
-        out[at] = ids[len(a) : len(ids) - len(b)]
-    return np.frombuffer(b"".join(out), enc.kind)
+        if window:
+            out.append([window])
+        out.append(ready.get(chunk_id(chunk), inner) if ready else inner)
+        window = tail
+    if window:
+        out.append([window])
+    return out
+
+
+def encode_texts(texts: list[bytes], ready: list[dict[bytes, bytes]], enc: Encoder) -> list[np.ndarray]:
+    """The ids of whole texts. `ready` has, for each, the bodies of chunks that were encoded elsewhere."""
+    split = [pieces_of(t, r) for t, r in zip(texts, ready, strict=True)]
+    enc.learn(set().union(*(x for parts in split for x in parts if isinstance(x, list))))
+    return [np.frombuffer(b"".join([enc.words(x) if isinstance(x, list) else x for x in parts]), enc.kind) for parts in split]
 
 
 @cache
@@ -208,16 +226,19 @@ def encode_distinct(texts: DataFrame, *, text_col: str = "text", tokenizer: str
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer)
         for b in batches:
-            found = []
+            inner = {}
             for _, t, own in unpacked(b):
                 wanted = set(own)
-                found += [(c, enc.body(x)) for c, x in {chunk_id(x): x for x in chunks(t)}.items() if c in wanted]
+                inner |= {c: split_chunk(x)[1] for x in chunks(t) if (c := chunk_id(x)) in wanted}
+            enc.learn(set().union(*inner.values()))
+            found = [(c, enc.words(x)) for c, x in inner.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["chunk", "body"])
 
     def whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer)
         for b in batches:
-            ids = [encode_text(t, enc, {r["chunk"]: r["body"] for r in ready or ()}) for _, t, ready in unpacked(b)]
+            rows = [(t, {r["chunk"]: r["body"] for r in ready or ()}) for _, t, ready in unpacked(b)]
+            ids = encode_texts([t for t, _ in rows], [r for _, r in rows], enc)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["text_md5", "ids"])
@@ -248,7 +269,7 @@ def decode(tokens: DataFrame, *, ids_col: str = "ids", out_col: str = "decoded",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer)
         for b in batches:
-            got = [None if ids is None else enc.decode(ids) for ids in b.column(b.schema.get_field_index(ids_col)).to_pylist()]
+            got = [None if ids is None else enc.decode(ids) for ids in _lists(b.column(b.schema.get_field_index(ids_col)))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=[*b.schema.names, out_col])
 
     return tokens.mapInArrow(run, schema)
@@ -262,7 +283,7 @@ def digests(tokens: DataFrame, *, key_col: str, ids_col: str = "ids", tokenizer:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer)
         for b in batches:
-            ids = b.column(1).to_pylist()
+            ids = list(_lists(b.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([_sha(" ".join(map(enc.numbers.__getitem__, x))) for x in ids]), pa.array([_sha(enc.decode(x)) for x in ids])],
                 names=[key_col, "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -277,6 +298,12 @@ def encoded_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).alias("doc_id"), _md5(F.col(text_col)).alias("text_md5")).join(told, "text_md5").drop("text_md5")
 
 
+def _lists(column: pa.ListArray) -> Iterator[list[int] | None]:
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    for a, b, null in zip(ends[:-1], ends[1:], column.is_null().to_pylist(), strict=True):
+        yield None if null else values[a:b].tolist()
+
+
 def _schema(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.BinaryType(), False) for n in names])
 
