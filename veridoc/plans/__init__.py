@@ -1,3 +1,3 @@
 """Registered queries. Importing this package registers them all."""
 
-from veridoc.plans import corpus, history, verdicts  # noqa: F401
+from veridoc.plans import corpus, history, links, verdicts  # noqa: F401
