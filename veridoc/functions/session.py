@@ -13,3 +13,11 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint(eager=True)
+
+
+def shared_dir(spark) -> str:
+    """The folder every executor can reach."""
+    if where := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return where
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+    return spark.sparkContext.getCheckpointDir()
