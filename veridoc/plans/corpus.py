@@ -57,9 +57,9 @@ def duplicate_sequences(spark, sf_dir):
     return C.duplicate_sequences(labelled(spark, sf_dir), "h", "verdict", ["doc_id"])
 
 
-@query(f"SELECT user_id, min(verdict) AS verdict FROM {SUBMISSIONS} GROUP BY 1 HAVING count(DISTINCT verdict) = 1")
+@query(f"SELECT h, min(verdict) AS verdict FROM {LABELLED} GROUP BY 1 HAVING count(DISTINCT verdict) = 1")
 def one_label_per_doc(spark, sf_dir):
-    return C.one_label_per_doc(submissions(spark, sf_dir), "user_id", "verdict")
+    return C.one_label_per_doc(labelled(spark, sf_dir), "h", "verdict")
 
 
 @query(
@@ -186,9 +186,9 @@ def enroll_original(spark, sf_dir):
     return C.enroll_original(rows.filter("doc_id % 2 = 0"), rows.filter("quality = 1").select("lang", "h").distinct(), ["lang", "h"])
 
 
-@query("SELECT l_partkey, min(l_suppkey) AS l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
+@query("SELECT l_orderkey, min(l_returnflag) AS l_returnflag, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1")
 def learn_dependencies(spark, sf_dir):
-    return C.learn_dependencies(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
+    return C.learn_dependencies(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag")
 
 
 KNOWN = "(SELECT l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 10 = 0 AND l_partkey % 3 = 0)"

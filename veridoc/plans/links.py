@@ -90,17 +90,17 @@ def stem_reuse(spark, sf_dir):
     return L.stem_reuse(o.filter("o_orderkey % 4 != 0"), "o_orderkey", "stem", "tail", "id", "d", o.filter("o_orderkey % 40 = 0"))
 
 
-ALLOWED = "(SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_orderkey % 500 = 0)"
+ALLOWED = "(SELECT DISTINCT l_returnflag, l_suppkey, l_linenumber FROM lineitem WHERE l_orderkey % 50 = 0)"
 
 
 @query(
-    f"""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN lo = hi THEN lo END AS owner FROM lineitem l LEFT JOIN (SELECT l_linestatus, l_linenumber, min(l_returnflag) AS lo, max(l_returnflag) AS hi FROM {ALLOWED} GROUP BY 1, 2) USING (l_linestatus, l_linenumber)
-    WHERE (l_returnflag, l_linestatus, l_linenumber) NOT IN (SELECT (l_returnflag, l_linestatus, l_linenumber) FROM {ALLOWED})"""
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN lo = hi THEN lo END AS owner FROM lineitem l LEFT JOIN (SELECT l_suppkey, l_linenumber, min(l_returnflag) AS lo, max(l_returnflag) AS hi FROM {ALLOWED} GROUP BY 1, 2) USING (l_suppkey, l_linenumber)
+    WHERE (l_returnflag, l_suppkey, l_linenumber) NOT IN (SELECT (l_returnflag, l_suppkey, l_linenumber) FROM {ALLOWED})"""
 )
 def linked_tuple(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")
-    allowed = rows.filter("l_orderkey % 500 = 0").select("l_returnflag", "l_linestatus", "l_linenumber").distinct()
-    return L.linked_tuple(rows, "l_returnflag", ["l_linestatus", "l_linenumber"], allowed).select("l_orderkey", "l_linenumber", "l_partkey", "owner")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_suppkey")
+    allowed = rows.filter("l_orderkey % 50 = 0").select("l_returnflag", "l_suppkey", "l_linenumber").distinct()
+    return L.linked_tuple(rows, "l_returnflag", ["l_suppkey", "l_linenumber"], allowed).select("l_orderkey", "l_linenumber", "l_partkey", "owner")
 
 
 PARTS = "(SELECT DISTINCT l_orderkey, l_linenumber AS part, l_suppkey % 3 AS h FROM lineitem WHERE {w})"

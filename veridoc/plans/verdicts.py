@@ -122,7 +122,7 @@ def pipeline_verdict(spark, sf_dir):
     return V.pipeline_verdict(d, tiered(spark, sf_dir).withColumn("ignored", F.col("code") == "A-TABLE"), policy, doc="doc_id", bank="lang")
 
 
-COMBOS = {"loud mail": ("B-SHOUT", "C-MAIL"), "long notice": ("B-LONG", "B-NOTICE"), "table lines": ("A-TABLE", "STAT-LINES")}
+COMBOS = {"loud start": ("B-SHOUT", "ODD"), "long mail": ("B-LONG", "C-MAIL"), "long notice": ("B-LONG", "B-NOTICE"), "long lines": ("B-LONG", "STAT-LINES")}
 
 
 @query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS combo FROM {FLAGS} WHERE code IN {v} GROUP BY doc_id HAVING count(DISTINCT code) = {len(v)}" for k, v in COMBOS.items()))
