@@ -26,7 +26,7 @@ BLOCK = 32
 TILE = BLOCK * 1024
 #: Labelled documents of each class that the fit reads at most.
 SAMPLE = 1500
-EPOCHS, BATCH, RATE = 8, 24, 0.004
+STEPS, BATCH, RATE = 1000, 24, 0.004
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -126,7 +126,7 @@ def gradients(texts: list[bytes], labels: np.ndarray, w: Weights) -> Weights:
     return g
 
 
-def fit(texts: list[bytes], labels: list[int], *, epochs: int = EPOCHS, seed: int = 7) -> Weights:
+def fit(texts: list[bytes], labels: list[int], *, steps: int = STEPS, seed: int = 7) -> Weights:
     """Weights fitted with Adam. Without rows of both labels, those that score every text the same."""
     w, y = start(seed), np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
@@ -136,16 +136,14 @@ def fit(texts: list[bytes], labels: list[int], *, epochs: int = EPOCHS, seed: in
     r = np.random.default_rng(seed)
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    step, total = 0, epochs * -(-len(y) // BATCH)
-    for _ in range(epochs):
+    for step in range(1, steps + 1):
         # classes are drawn alike, so a rare one counts as much
-        for rows in np.array_split(r.choice(len(y), len(y), p=weight / weight.sum()), -(-len(y) // BATCH)):
-            step += 1
-            rate = RATE * min(1, step / 20) * (1 - 0.9 * step / total)
-            for k, d in gradients([texts[i] for i in rows], y[rows], w).items():
-                m[k] = 0.9 * m[k] + 0.1 * d
-                v[k] = 0.99 * v[k] + 0.01 * d * d
-                w[k] = (w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+        rows = r.choice(len(y), min(BATCH, len(y)), replace=len(y) < BATCH, p=weight / weight.sum())
+        rate = RATE * min(1, step / 20) * (1 - 0.9 * step / steps)
+        for k, d in gradients([texts[i] for i in rows], y[rows], w).items():
+            m[k] = 0.9 * m[k] + 0.1 * d
+            v[k] = 0.99 * v[k] + 0.01 * d * d
+            w[k] = (w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     return w
 
 
@@ -183,7 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         w = fit([t for _, t, _ in got], [y for *_, y in got])
         yield pa.RecordBatch.from_arrays([pa.array([dump(w)], pa.binary())], names=["weights"])
 
-    return rows.select(F.xxhash64("_id").alias("h"), "_text", "_y").repartition(1).mapInArrow(run, "weights binary").head()["weights"]
+    made = rows.select(F.xxhash64("_id").alias("h"), "_text", "_y").repartition(1).mapInArrow(run, "weights binary").head()
+    return made["weights"] if made else dump(fit([], []))
 
 
 def score(docs: DataFrame, weights: bytes, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
