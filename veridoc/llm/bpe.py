@@ -264,7 +264,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
 def decode(tokens: DataFrame, *, ids_col: str = "ids", out_col: str = "decoded", tokenizer: str = TOKENIZER) -> DataFrame:
     """`tokens` with the text of its ids, special tokens included; null ids give null."""
     small_batches(tokens.sparkSession)
-    schema = tokens.schema.add(out_col, "string")
+    schema = T.StructType([*tokens.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer)
