@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veridoc.llm import bpe, chat, decontaminate, license_scan, line_dedup, pii, quality, sharding, simhash, topk
 from veridoc.llm.common import shared_dir, table
+from veridoc.llm.sql import oracle_sql  # noqa: F401
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,3 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_license_scan, op2_bpe, op3_sharding, op4_line_dedup, op5_chat, op6_simhash, op7_pii, op8_quality, op9_topk, op10_decontaminate)
     return {f.__name__: f for f in own}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
