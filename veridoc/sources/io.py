@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def scan_raw_corpus(spark: SparkSession, path: str, *, glob: str = "*") -> DataFrame:
@@ -16,16 +15,16 @@ def scan_raw_corpus(spark: SparkSession, path: str, *, glob: str = "*") -> DataF
     return files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content", F.sha2("content", 256).alias("sha256"))
 
 
-LOG_SCHEMA = T.StructType.fromDDL("message_id bigint, sent_at string, verdict string, pdf struct<sha256: string, size: bigint>, messages array<struct<text: string>>, _corrupt string")
+LOG_SCHEMA = "message_id bigint, sent_at string, verdict string, pdf struct<sha256: string, size: bigint>, messages array<struct<text: string>>, _corrupt string"
 
 
-def scan_submission_logs(spark: SparkSession, path: str, *, schema: T.StructType = LOG_SCHEMA) -> DataFrame:
+def scan_submission_logs(spark: SparkSession, path: str, *, schema: str = LOG_SCHEMA) -> DataFrame:
     """Submissions of JSON log files, one document a file. Malformed files, and rows without messages, without a file or with an unknown verdict, are left out."""
     rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     return rows.filter(F.col("_corrupt").isNull() & (F.size("messages") > 0) & F.col("pdf").isNotNull() & (F.coalesce("verdict", F.lit("UNKNOWN")) != "UNKNOWN")).drop("_corrupt")
 
 
-CHAT_SCHEMA = T.StructType.fromDDL("messages array<struct<id: bigint, date: string, from: string, file: string, reply_to_message_id: bigint, text: string>>")
+CHAT_SCHEMA = "messages array<struct<id: bigint, date: string, from: string, file: string, reply_to_message_id: bigint, text: string>>"
 
 
 def scan_chat_export(spark: SparkSession, path: str) -> DataFrame:
@@ -34,7 +33,7 @@ def scan_chat_export(spark: SparkSession, path: str) -> DataFrame:
     return messages.withColumnRenamed("reply_to_message_id", "reply_to").withColumn("is_upload", F.col("file").isNotNull())
 
 
-SPEC_SCHEMA = T.StructType.fromDDL("bank string, channels map<string, map<string, array<double>>>, pools map<string, map<string, array<string>>>")
+SPEC_SCHEMA = "bank string, channels map<string, map<string, array<double>>>, pools map<string, map<string, array<string>>>"
 
 
 def scan_reference_specs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
