@@ -117,11 +117,13 @@ def drained(stream, name: str, mode: str = "append"):
     return spark.read.schema(stream.schema).parquet(where)
 
 
-def event_stream(spark, sf_dir):
+def event_stream(spark, sf_dir, *, files: int = 1):
+    """The event log as files, so many in each batch. Files written at once have no order of their own: operators that drop late rows
+    get them all in one batch."""
     where = place(spark, "events")
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     e.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(where)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(where)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(where)
 
 
 @query("SELECT DISTINCT CAST(ts AS DATE) AS day, user_id FROM events")
@@ -140,7 +142,7 @@ def stream_dedup(spark, sf_dir):
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS checks, count(*) FILTER (WHERE value > 50) AS fakes FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) AS DATE) - 1 FROM events) GROUP BY 1, 2")
 def stream_verdict_counts(spark, sf_dir):
     """Days that the watermark of a day has passed."""
-    out = drained(S.stream_verdict_counts(event_stream(spark, sf_dir), "ts", "event_type", F.col("value") > 50), "counts")
+    out = drained(S.stream_verdict_counts(event_stream(spark, sf_dir, files=4), "ts", "event_type", F.col("value") > 50), "counts")
     last = table(spark, sf_dir, "events").agg((F.to_date(F.max("ts")) - F.expr("interval 1 day")).cast("date").alias("last"))
     return out.crossJoin(F.broadcast(last)).filter("day < last").drop("last")  # one row
 
@@ -194,4 +196,4 @@ def stream_log_tail(spark, sf_dir):
 
 @query()
 def stream_bursts(spark, sf_dir):
-    return drained(S.stream_bursts(event_stream(spark, sf_dir), "ts", F.col("event_type") == "purchase"), "bursts")
+    return drained(S.stream_bursts(event_stream(spark, sf_dir, files=4), "ts", F.col("event_type") == "purchase"), "bursts")
