@@ -130,7 +130,7 @@ def id_decode(df: DataFrame, id_col: str, layout: Sequence[tuple[str, int, int]]
 
 def id_structure_check(df: DataFrame, doc: str, id_col: str, issuer: str, grammar: DataFrame) -> DataFrame:
     """(doc, code): rules of the issuer's grammar (issuer, slot, at, len, regex, code) that an id breaks; slot "length" holds for the whole."""
-    x = df.select(doc, id_col, issuer).join(F.broadcast(grammar), issuer)  # a rule table
+    x = df.select(doc, id_col, issuer).join(grammar, issuer)
     part = F.expr(f"substring({id_col}, at, len)")
     bad = F.when(F.col("slot") == "length", F.length(id_col) != F.col("len")).otherwise(~F.regexp_like(part, F.col("regex")))
     return x.filter(bad).select(doc, "code")
@@ -192,7 +192,7 @@ def distinct_mentions(df: DataFrame, text: str, pattern: str, *, out: str = "men
 def regime_check(df: DataFrame, doc: str, token: str, date: str, regimes: DataFrame) -> DataFrame:
     """(doc, token): tokens used on a date outside their regime (token, valid_from, valid_to); open ends are null, unknown tokens pass."""
     r = regimes.withColumnRenamed("token", "_t")
-    x = df.join(F.broadcast(r), df[token] == r["_t"])  # a table of rules
+    x = df.join(r, df[token] == r["_t"])
     inside = F.coalesce(F.col(date) >= F.col("valid_from"), F.lit(True)) & F.coalesce(F.col(date) < F.col("valid_to"), F.lit(True))
     return x.groupBy(doc, token).agg(F.bool_or(inside).alias("_ok")).filter("not _ok").select(doc, token)
 
@@ -359,7 +359,7 @@ def producer_lists(df: DataFrame, producer: str, allow: Sequence[str], deny: Seq
 def field_contract(df: DataFrame, doc: str, method: str, fields: Sequence[str], contracts: DataFrame) -> DataFrame:
     """(doc, missing, unexpected): fields that the method's contract (method, required, forbidden) asks for or forbids."""
     present = F.array_compact(F.array(*[F.when(F.coalesce(F.col(f).cast("string"), F.lit("")) != "", F.lit(f)) for f in fields]))
-    x = df.select(doc, F.col(method).alias("method"), present.alias("_p")).join(F.broadcast(contracts), "method")  # a table of rules
+    x = df.select(doc, F.col(method).alias("method"), present.alias("_p")).join(contracts, "method")
     return x.select(doc, F.array_join(F.array_sort(F.array_except("required", "_p")), ",").alias("missing"), F.array_join(F.array_sort(F.array_intersect("forbidden", "_p")), ",").alias("unexpected"))
 
 
