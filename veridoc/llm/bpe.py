@@ -13,7 +13,7 @@ that it has met.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -32,7 +32,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Chunk sizes in bytes: no cut before LEAST, one of 2 ** AVERAGE_BITS places after it is a cut, always one at MOST.
 LEAST, AVERAGE_BITS, MOST = 128, 9, 4096
 #: Words whose tokens one worker keeps: as many new ones, and those of the generation before.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 150_000
 GEAR = np.uint64(0x9E3779B97F4A7C15)
 SPACE = b" \t\n\r\x0b\x0c"
 
@@ -112,9 +112,10 @@ def simplest(word: bytes) -> tuple[bytes, ...]:
 
 
 class Encoder:
-    """One worker's encoder: tokens of words, kept within a bound."""
+    """One worker's encoder: tokens of words, kept within a bound. The driver loads none."""
 
     def __init__(self, name: str):
+        check_tokenizer(name)
         self.tokenizer = load(name)
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -200,13 +201,17 @@ def _encoder(name: str) -> Encoder:
     return Encoder(name)
 
 
-def encode_distinct(texts: DataFrame, *, text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
+Batches = Iterator[pa.RecordBatch]
+
+
+def encode_distinct(texts: DataFrame, *, text_col: str = "text", tokenizer: str = TOKENIZER, then: tuple[Callable[[Batches], Batches], str] | None = None) -> DataFrame:
     """(text_md5 binary, ids array<int>): the tokens of each distinct text; null counts as empty.
 
+    `then` is a function of those batches that the same worker applies, with the schema that it gives: ids
+    that are only needed there leave no worker, and there is one worker instead of two.
     Texts travel compressed. Only chunk ids, and the tokens of shared chunks, are moved besides.
     """
     small_batches(texts.sparkSession)
-    check_tokenizer(tokenizer)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
@@ -252,7 +257,11 @@ def encode_distinct(texts: DataFrame, *, text_col: str = "text", tokenizer: str
     encoded = packed.join(owned, "text_md5").mapInArrow(bodies, _schema("chunk", "body"))
     used = refs.join(shared, "chunk").select("chunk", "text_md5").join(encoded, "chunk")
     ready = used.groupBy("text_md5").agg(F.collect_list(F.struct("chunk", "body")).alias("ready"))
-    return packed.join(ready, "text_md5", "left").mapInArrow(whole_texts, "text_md5 binary, ids array<int>")
+    every = packed.join(ready, "text_md5", "left")
+    if then is None:
+        return every.mapInArrow(whole_texts, "text_md5 binary, ids array<int>")
+    after, schema = then
+    return every.mapInArrow(lambda batches: after(whole_texts(batches)), schema)
 
 
 def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -275,26 +284,29 @@ def decode(tokens: DataFrame, *, ids_col: str = "ids", out_col: str = "decoded",
     return tokens.mapInArrow(run, schema)
 
 
+def digest_batches(batches: Batches, key: str, tokenizer: str) -> Batches:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of batches of (key, ids)."""
+    enc = _encoder(tokenizer)
+    for b in batches:
+        ids = list(_lists(b.column(1)))
+        cols = [pa.array(list(map(len, ids)), pa.int64()), pa.array([_sha(" ".join(map(enc.numbers.__getitem__, x))) for x in ids], pa.string()), pa.array([_sha(enc.decode(x)) for x in ids], pa.string())]
+        yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
 def digests(tokens: DataFrame, *, key_col: str, ids_col: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of rows with ids: their number, their decimal form and their decoded text."""
     small_batches(tokens.sparkSession)
     kind = tokens.schema[key_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(tokenizer)
-        for b in batches:
-            ids = list(_lists(b.column(1)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([_sha(" ".join(map(enc.numbers.__getitem__, x))) for x in ids]), pa.array([_sha(enc.decode(x)) for x in ids])],
-                names=[key_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return tokens.select(key_col, ids_col).mapInArrow(run, f"{key_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return tokens.select(key_col, ids_col).mapInArrow(lambda batches: digest_batches(batches, key_col, tokenizer), f"{key_col} {kind}, {DIGESTS}")
 
 
 def encoded_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): a row for each row of `docs`; ids stay where they were made."""
-    told = digests(encode_distinct(docs, text_col=text_col, tokenizer=tokenizer), key_col="text_md5", tokenizer=tokenizer)
+    then = (lambda batches: digest_batches(batches, "text_md5", tokenizer)), f"text_md5 binary, {DIGESTS}"
+    told = encode_distinct(docs, text_col=text_col, tokenizer=tokenizer, then=then)
     return docs.select(F.col(id_col).alias("doc_id"), _md5(F.col(text_col)).alias("text_md5")).join(told, "text_md5").drop("text_md5")
 
 

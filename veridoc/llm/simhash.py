@@ -109,6 +109,7 @@ def near_pairs(fps: DataFrame, *, budget: int = BUDGET) -> DataFrame:
         # bits above the last step are in d already, and equal ones cost nothing: the whole prefixes are compared
         near = (apart <= budget) & ((walk["a"] != right["b"]) | (F.col("ca") <= F.col("cb"))) & ((F.col("ca") != F.col("cb")) | (F.col("na") > 1))
         walk = walk.join(right, [walk["pair"] == right["pair"], walk["key"] == right["key"], walk["b"] == right["b"], near]).select(walk["pair"], walk["key"], F.col("ca").alias("a"), F.col("cb").alias("b"), apart.alias("d"))
+        walk = cut(walk)  # a level is a small plan; all at once would be a large one for the driver
     pair, key = F.col("pair"), F.col("key")
     found = walk.filter("a < b").select("pair", _whole_fp(pair, key, F.col("a")).alias("fa"), _whole_fp(pair, key, F.col("b")).alias("fb"))
     # of the tries that find a link, the first one tells it
@@ -155,7 +156,7 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     linked = tree.join(own, tree["node"] == own["fp"]).select("fp", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("reach"))
     linked = linked.join(least, "root").join(degree, "fp").select("fp", "reach", "n_links")
-    every = own.join(linked, "fp", "left").select("fp", F.coalesce("reach", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    every = cut(own.join(linked, "fp", "left").select("fp", F.coalesce("reach", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
     return marked.join(every, "fp").select("doc_id", "fp", "component_id", "n_links")
 
 
