@@ -1,0 +1,70 @@
+"""Near copies against all pairs, done plainly."""
+
+import random
+
+import corpus_pipeline
+from veridoc.llm import jaccard, simhash
+
+
+def shingled(text):
+    ws = text.encode().lower().split()
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def plain(rows):
+    """The smallest id of each row's group, over all pairs with a similarity of 0.8 or more."""
+    sets, root = [shingled(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if 5 * len(x & y) >= 4 * len(x | y):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (d, _) in enumerate(rows):
+        least[find(k)] = min(d, least.get(find(k), d))
+    return {d: least[find(k)] for k, (d, _) in enumerate(rows)}
+
+
+def planted():
+    """Texts of 100 words; of each, copies at similarities on both sides of 0.8, chains of copies, and a passage in all."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    passage, texts = [word() for _ in range(40)], ["", " \n", "one two", "One  two", "two one"]
+    for _ in range(12):
+        base = [word() for _ in range(100)]
+        texts.append(" ".join(passage + base))
+        for cut in (10, 17, 18, 19, 20, 21, 25):
+            texts.append(" ".join(passage + base[:-cut] + [word() for _ in range(r.choice((0, cut)))]))
+        for at in range(20, 90, 20):
+            texts.append(" ".join(passage + base[:at] + [word()] + base[at + 1 :]))
+    r.shuffle(texts)
+    return [(n, t) for n, t in enumerate(texts)]
+
+
+def test_near_groups_equal_all_pairs(spark, monkeypatch):
+    rows = planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain(rows)
+    for sample in (jaccard.SAMPLE, 0):  # with and without common shingles put last
+        monkeypatch.setattr(jaccard, "SAMPLE", sample)
+        assert {r["doc_id"]: r["component_id"] for r in jaccard.near_groups(docs).collect()} == want
+
+
+def test_pipeline_stage_drops_planted_copies(spark):
+    rows = planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = set(plain(rows).values())
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()} == want
+    assert simhash.keep_one(docs).count() > len(want)
+
+
+def test_odd_rows(spark):
+    docs = spark.createDataFrame([(3, "a b c d e f"), (None, "a b c d e f"), (1, "A b c d e  f"), (2, None), (4, "")], "doc_id long, text string")
+    assert sorted(str(r["doc_id"]) for r in jaccard.keep_one(docs).collect()) == ["1", "2", "None"]
+    assert jaccard.keep_one(docs.limit(0)).count() == 0

@@ -1,0 +1,189 @@
+"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+The join is exact over sets of 64-bit shingle hashes. All shingles have one order, those that a sample of
+the documents holds often last; two sets that are similar enough share a shingle among the first few of
+each in that order (prefix filter), at places and with sizes that leave room for the overlap (positional
+and length filters). Any order gives the same links: the sample only decides how much work it is.
+
+One document of each component is wanted, so not all links are. Each shingle's documents are first
+compared with one of them, and components are formed; those of different components with a few more; then
+only documents of components that are still apart are compared. A crowd of copies of one text costs as many comparisons as it has members, not their square.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from veridoc.llm.common import cut, small_batches, whole
+from veridoc.llm.simhash import components
+
+#: Words of a shingle, and the least similarity as a fraction.
+WORDS, SIMILAR = 5, (4, 5)
+#: Documents sampled to find common shingles, places in the sample from which one is common, and how many are told to the workers.
+SAMPLE, COMMON, MOST = 20_000, 3, 200_000
+#: How many of a shingle's documents all others of it are compared with, in each round.
+PIVOTS = (1, 4)
+#: Bits of the bitmap of sets to be compared.
+SLOTS = 1 << 23
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: bytes, size: int = WORDS) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order. Words are those of `simhash.fingerprint`; fewer than a shingle are one."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    size = min(size, len(words))
+    out = np.full(len(words) - size + 1, size, np.uint64)
+    for i in range(size):
+        out = (out ^ h[i : i + len(out)]) * _PRIME
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def first_few(found: np.ndarray, common: np.ndarray, rank: np.ndarray, similar: tuple[int, int] = SIMILAR) -> np.ndarray:
+    """The prefix of a set in the order of all shingles: hashes that aren't in `common` (sorted), then those by `rank`."""
+    n = len(found) - -(-similar[0] * len(found) // similar[1]) + 1
+    if not len(common):
+        return found[:n]
+    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+    often = common[at] == found
+    last = found[often][np.argsort(rank[at[often]], kind="stable")]
+    return np.concatenate([found[~often], last])[:n] if len(found) else found
+
+
+def _common(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles met most in a sample of bounded size, sorted, and their ranks."""
+    part = min(1.0, SAMPLE / max(1, rows.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t, size).view(np.int64))], names=["h"])
+
+    drawn = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(part * 1_000_000))
+    often = drawn.select("text").distinct().mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    got = often.orderBy(F.desc("n"), "h").limit(MOST).toArrow()
+    h, n = got["h"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    by = np.argsort(h)
+    rank = np.empty(len(h), np.int64)
+    rank[np.lexsort((h, n))] = np.arange(len(h))
+    return h[by], rank[by]
+
+
+def _marked(rows: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
+    """(doc_id, node, n, first): for each row the name and size of its set, and the set's prefix."""
+    common, rank = _common(rows, size)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, sizes, firsts = [], [], []
+            for t in b.column(1).to_pylist():
+                s = shingles(t, size)
+                names.append(xxhash.xxh64_intdigest(s.tobytes()))
+                sizes.append(len(s))
+                firsts.append(first_few(s, common, rank, similar).view(np.int64))
+            names = np.array(names, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "first"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, node long, n int, first array<long>")
+
+
+def _sets(rows: DataFrame, met: DataFrame, size: int) -> DataFrame:
+    """(node, hashes): the sets named in `met(node)`. A bitmap of their names spares most other texts' way to the join."""
+    slot = F.col("node").bitwiseAND(F.lit(SLOTS - 1))
+    parts = met.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 as int))")).alias("bits")).toArrow()
+    seen = np.zeros(SLOTS // 64, np.uint64)
+    seen[parts["at"].to_numpy()] = parts["bits"].to_numpy().view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, found = [], []
+            for t in b.column(1).to_pylist():
+                s = shingles(t, size)
+                name = xxhash.xxh64_intdigest(s.tobytes())
+                if int(seen[name % SLOTS >> 6]) >> (name & 63) & 1:
+                    names.append(name)
+                    found.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(found, pa.binary())], names=["node", "hashes"])
+
+    return cut(rows.mapInArrow(run, "node long, hashes binary").join(met, "node", "left_semi").dropDuplicates(["node"]))
+
+
+def _room(n: Column, i: Column, m: Column, j: Column, similar: tuple[int, int]) -> Column:
+    """Whether sets of n and m shingles that share the i-th and j-th, from 0, may share enough: both lie in the prefixes for that need."""
+    need = F.ceil(F.lit(similar[0]) * (n + m) / F.lit(similar[0] + similar[1]) - 1e-9)
+    return (F.least(n, m) >= need) & (F.least(n - i, m - j) >= need)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(fa, fb): the `pairs(fa, fb)` whose `sets(node, hashes)` are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared * sum(similar) >= similar[0] * (len(x) + len(y)))
+            yield b.select(["fa", "fb"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(sets.toDF("fa", "x"), "fa").join(sets.toDF("fb", "y"), "fb").select("fa", "fb", "x", "y")
+    return both.mapInArrow(run, "fa long, fb long")
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("fa"), F.greatest(a, b).alias("fb")]
+
+
+def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """(doc_id, component_id): for each row the smallest id reachable over similar documents.
+
+    Texts without words are copies of each other. Null ids never win as smallest; rows that repeat stay.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).cast("binary").alias("text"))
+    marked = cut(_marked(rows, size, similar))
+    own = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("first").alias("first"))
+    places = own.select("node", "n", F.posexplode("first").alias("i", "h"))
+    places = cut(places.withColumn("met", F.count("*").over(Window.partitionBy("h"))).filter("met > 1").select("h", "node", "n", "i"))
+    sets = _sets(rows, places.select("node").distinct(), size)
+
+    n, i, m, j = map(F.col, "nimj")
+    links = tree = None
+    for pivots in PIVOTS:
+        placed = places.withColumn("root", F.col("node")) if tree is None else places.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        drawn = [F.min(F.struct(F.xxhash64("node", "h", F.lit(f"{pivots}-{k}")).alias("at"), F.col("node").alias("to"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"))) for k in range(pivots)]
+        picked = placed.groupBy("h").agg(F.array_distinct(F.array(*drawn)).alias("p")).select("h", F.explode("p").alias("p")).select("h", "p.to", "p.other", "p.m", "p.j")
+        stars = placed.join(picked, "h").filter((F.col("root") != F.col("other")) & _room(n, i, m, j, similar)).select(*_pair("node", "to")).distinct()
+        found = _verified(cut(stars), sets, similar)
+        links = cut(found if links is None else links.union(found))
+        tree = components(links)
+
+    placed = cut(places.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    roots = placed.select("h", "root").distinct()
+    apart = roots.join(roots.toDF("h", "other"), "h").filter("root < other")
+    others = placed.select("h", F.col("root").alias("other"), F.col("node").alias("to"), F.col("n").alias("m"), F.col("i").alias("j"))
+    cross = apart.join(placed, ["h", "root"]).join(others, ["h", "other"]).filter(_room(n, i, m, j, similar)).select(*_pair("node", "to")).distinct()
+    links = cut(links.union(_verified(cut(cross), sets, similar)))
+
+    tree = components(links)
+    own = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least")).join(tree, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    reach = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    every = own.join(reach, "root").select("node", "component_id")
+    return marked.select("doc_id", "node").join(every, "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """`docs` with the smallest id of each group of near copies. Rows without an id stay; rows with one id are one document."""
+    groups = near_groups(docs, id_col=id_col, text_col=text_col, size=size, similar=similar)
+    gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
