@@ -190,10 +190,22 @@ def test_trie_join_finds_every_near_pair(spark):
         base = r.getrandbits(64)
         fps |= {base} | {base ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(12)} | {base ^ (1 << r.randrange(64)) for _ in range(3)}
     fps = sorted(fps)
-    want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if bin(a ^ b).count("1") <= 2}
     df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp long")
-    got = [tuple(sorted((a % 2**64, b % 2**64))) for a, b in simhash.near_pairs(df).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    for budget in (0, 1, 2, 4):
+        want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if bin(a ^ b).count("1") <= budget}
+        got = [tuple(sorted((a % 2**64, b % 2**64))) for a, b in simhash.near_pairs(df, budget=budget).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_walk_of_words_that_repeat():
+    r = np.random.default_rng(6)
+    a = simhash.Trie(np.sort(np.concatenate([np.full(300, 7), r.integers(0, 1 << 16, 500)]).astype(np.uint64)), 16)
+    b = simhash.Trie(np.sort(r.integers(0, 1 << 16, 400).astype(np.uint64)), 16)
+    for x, y in ((a, a), (a, b)):
+        apart = np.bitwise_count(x.fps[:, None] ^ y.fps[None, :])
+        want = {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(apart <= 2)), strict=True) if x is not y or i < j}
+        got = [(int(i), int(j)) for part in simhash.walk(x, y, 2) for i, j in zip(*part[:2], strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_components_of_long_paths(spark):

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Python workers hold one batch, so this bounds their memory.
-BATCH_ROWS = 256
+#: Rows and bytes in one Arrow batch, the bytes but for a single longer row. Python workers hold one batch, so this bounds their memory.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -19,31 +18,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach. Only where the session names none (tests) is one made."""
-    if set_dir := spark.conf.get("spark.checkpoint.dir", None):
-        return set_dir
-    own = spark.sparkContext.getCheckpointDir()
-    if own is None:
-        own = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the shared folder; its plan starts there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The folder every executor can reach. Only a local session may go without: its executors are this machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where is None and spark.sparkContext.master.split("[")[0] == "local":
+        where = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    if where is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return where.rstrip("/")
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written as a compressed table to the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """`df`, written as a compressed table to the shared folder and read again; the table goes when the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df`, computed once and kept in the shared folder; its plan starts there, with the table's true size.
+
+    A checkpoint would keep the estimate of the plan before it, and in a loop of joins each estimate is a product of the last.
+    """
+    return scratch(df, "cut")
 
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def whole(text: Column) -> Column:
