@@ -2,17 +2,19 @@
 
 Texts are cut into chunks where a rolling hash of the last eight bytes says so, so equal passages give
 equal chunks wherever they stand. Chunks that occur in more than one text are encoded once, by the text
-that sorts first, and handed to the others; all other chunks are encoded where they are. Chunk borders
-fall anywhere, also inside words, so each join is repaired: a window around it grows both ways, over
-further chunks if need be, until it ends in white space, and is encoded anew. There both sides agree
-exactly with the encoding of the whole text: the tokenizer drops white space and never joins tokens over
-it (`check_tokenizer`), so a word gives the same tokens in every text. A worker keeps those of words
-that it has met.
+that sorts first, and handed to the others: from their first to their last white space, for chunk borders
+fall anywhere, also inside words. What stands between the bodies handed on, the cut words at both ends
+included, is a window that is encoded anew. At each join the words on both sides are then encoded together;
+where their tokens aren't those of the window and of the body, the window grows to the whole text. A
+worker keeps the tokens of words that it has met: the tokenizer drops white space and never joins tokens
+over it (`check_tokenizer`).
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -26,15 +28,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from veridoc.llm.common import small_batches, whole
+from veridoc.llm.common import scratch, small_batches, whole
 
 TOKENIZER = "word_bpe_49k.json"
 #: Chunk sizes in bytes: no cut before LEAST, one of 2 ** AVERAGE_BITS places after it is a cut, always one at MOST.
 LEAST, AVERAGE_BITS, MOST = 128, 9, 4096
-#: Words whose tokens one worker keeps: as many new ones, and those of the generation before.
-KEPT_WORDS = 150_000
+#: Bytes of words and their tokens that one worker keeps, about: as many new ones, and those of the generation before. What an entry takes besides.
+KEPT_BYTES, ENTRY = 32 << 20, 200
 GEAR = np.uint64(0x9E3779B97F4A7C15)
-SPACE = b" \t\n\r\x0b\x0c"
+#: White space of ASCII, and a full stop or comma that ends a word.
+GAP, LAST_GAP, STOP = re.compile(rb"[ \t\n\r\x0b\x0c]"), re.compile(rb".*[ \t\n\r\x0b\x0c]", re.DOTALL), re.compile(rb"(?<=[a-z0-9])([.,])(?![^ \t\n\r\x0b\x0c])")
+
+#: Capitals that no other character than one of ASCII follows.
+CAPITALS = re.compile(rb"[A-Z]+(?![\x80-\xff])")
 
 
 @cache
@@ -56,7 +62,7 @@ def check_tokenizer(name: str) -> None:
         for gap in (" ", "\n", "\t\r ", "  \x0b\x0c"):
             if ids(a + gap + b) != ids(a) + ids(b):
                 raise ValueError(f"{name} joins tokens over white space; it can't be encoded by words")
-    if any(ids(w) != [i for x in simplest(w.encode()) for i in ids(x.decode())] for w in ("Ab.", "x's,", "9,", "DON'T", "É.")):
+    if any(ids(w) != [i for x in simple_words(w.encode()) for i in ids(x.decode())] for w in ("Ab.", "x's,", "9,", "DON'T", "É.", "aB́,")):
         raise ValueError(f"{name} tells cases or full stops apart as this module doesn't expect")
 
 
@@ -97,18 +103,16 @@ def chunk_id(chunk: bytes) -> bytes:
     return xxhash.xxh3_128_digest(chunk)
 
 
-def simplest(word: bytes) -> tuple[bytes, ...]:
-    """Words with the same tokens as `word` that other words share: lower case, and a last full stop or comma by itself.
+def simple_words(text: bytes) -> list[bytes]:
+    """Words with the tokens of `text` that other texts share: lower case, and a last full stop or comma by itself.
 
     Both hold for this family of tokenizers: it lowers case, and parts letters and digits from other characters.
+    A capital before a mark that may join it keeps its case, for characters are composed first.
     """
-    if b"<|" in word:  # special tokens keep their case
-        return (word,)
-    last = word[-1:]
-    if last in (b".", b",") and word[-2:-1].isalnum():
-        word = word[:-1]
-        return (word.lower() if word.isascii() else word), last
-    return (word.lower() if word.isascii() else word,)
+    if b"<|" in text:  # special tokens keep their case
+        return text.split()
+    lower = text.lower() if text.isascii() else CAPITALS.sub(lambda m: m[0].lower(), text)
+    return STOP.sub(rb" \1", lower).split()
 
 
 class Encoder:
@@ -119,29 +123,27 @@ class Encoder:
         self.tokenizer = load(name)
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.kept: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.size = 0
         self.tokens = [self.tokenizer.id_to_token(i) for i in range(size)]
         self.numbers = list(map(str, range(size)))
 
     def raw(self, texts: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in got]
+        return [array(self.code, e.ids).tobytes() for e in got]
 
     def learn(self, words: set[bytes]) -> None:
         """Sees to it that the tokens of these words are kept."""
-        if len(self.kept) > KEPT_WORDS:
-            self.older, self.kept = self.kept, {}
-        kept, older, new = self.kept, self.older, {}
-        for w in words.difference(kept):
-            if (ids := older.get(w)) is not None:
-                kept[w] = ids
-            else:
-                new[w] = simplest(w)
-        wanted = [*{x for parts in new.values() for x in parts if x not in kept and x not in older}]
-        kept.update(zip(wanted, self.raw(wanted), strict=True))
-        for w, parts in new.items():
-            kept[w] = b"".join([ids if (ids := kept.get(x)) is not None else older[x] for x in parts])
+        if self.size > KEPT_BYTES:
+            self.older, self.kept, self.size = self.kept, {}, 0
+        new = words.difference(self.kept)
+        again = new.intersection(self.older)
+        first, again = [*new.difference(again)], [*again]
+        for words, ids in ((first, self.raw(first)), (again, [*map(self.older.__getitem__, again)])):
+            self.kept.update(zip(words, ids, strict=True))
+            self.size += sum(map(len, words)) + sum(map(len, ids)) + ENTRY * len(words)
 
     def words(self, words: list[bytes]) -> bytes:
         """The tokens of words that were learnt."""
@@ -153,47 +155,60 @@ class Encoder:
         return " ".join(map(self.tokens.__getitem__, ids))  # what the library does without a decoder
 
 
-def split_chunk(chunk: bytes) -> tuple[bytes, list[bytes], bytes | None]:
-    """What stands before the first white space, the whole words, what stands after the last; no white space: all, [], None."""
-    words = chunk.split()
-    if not words:
-        return b"", [], b"" if chunk else None
-    head = b"" if chunk[:1] in _SPACES else words[0]
-    tail = b"" if chunk[-1:] in _SPACES else words[-1]
-    if len(words) == 1 and head and tail:
-        return chunk, [], None
-    return head, words[bool(head) : len(words) - bool(tail)], tail
-
-
-_SPACES = tuple(SPACE[i : i + 1] for i in range(len(SPACE)))
+def body_of(chunk: bytes) -> tuple[int, int] | None:
+    """From the first to the last white space of a chunk; None where it has none."""
+    first = GAP.search(chunk)
+    return (first.start(), LAST_GAP.match(chunk).end()) if first else None
 
 
-def pieces_of(text: bytes, ready: dict[bytes, bytes]) -> list[bytes | list[bytes]]:
-    """A text as the tokens of chunks that were encoded elsewhere, and the lists of words between them to encode here.
+def pieces_of(text: bytes, ready: dict[bytes, bytes]) -> tuple[list[tuple[bytes, bytes | None]], list[tuple[bytes, bytes]]]:
+    """The windows and bodies of a text in order, and the words on both sides of each join.
 
-    The windows over the joins are among those words.
+    A piece is (text, None) for a window to encode here, or (text, tokens) for a body that was encoded
+    elsewhere. Between two pieces there is white space, or nothing else to join.
     """
-    out: list[bytes | list[bytes]] = []
-    window = b""  # what the chunks so far leave after their last white space
+    if not ready:
+        return [(text, None)], []
+    pieces: list[tuple[bytes, bytes | None]] = []
+    window = b""
     for chunk in chunks(text):
-        head, inner, tail = split_chunk(chunk)
-        window += head
-        if tail is None:  # no white space: the window grows over the whole chunk
+        body, at = ready.get(chunk_id(chunk)), body_of(chunk)
+        if body is None or at is None:
+            window += chunk
             continue
-        if window:
-            out.append([window])
-        out.append(ready.get(chunk_id(chunk), inner) if ready else inner)
-        window = tail
-    if window:
-        out.append([window])
-    return out
+        pieces += [(window + chunk[: at[0]], None), (chunk[at[0] : at[1]], body)]
+        window = chunk[at[1] :]
+    pieces.append((window, None))
+    pieces = [p for p in pieces if p[0]]
+    joins = [(_last_word(a), _first_word(b)) for (a, _), (b, _) in zip(pieces, pieces[1:], strict=False)]
+    return pieces, [x for x in joins if x[0] and x[1]]
+
+
+def _last_word(piece: bytes) -> bytes:
+    words = piece.rsplit(None, 1)
+    return words[-1] if words else b""
+
+
+def _first_word(piece: bytes) -> bytes:
+    words = piece.split(None, 1)
+    return words[0] if words else b""
 
 
 def encode_texts(texts: list[bytes], ready: list[dict[bytes, bytes]], enc: Encoder) -> list[np.ndarray]:
     """The ids of whole texts. `ready` has, for each, the bodies of chunks that were encoded elsewhere."""
     split = [pieces_of(t, r) for t, r in zip(texts, ready, strict=True)]
-    enc.learn(set().union(*(x for parts in split for x in parts if isinstance(x, list))))
-    return [np.frombuffer(b"".join([enc.words(x) if isinstance(x, list) else x for x in parts]), enc.kind) for parts in split]
+    words = [[simple_words(p) if body is None else body for p, body in pieces] for pieces, _ in split]
+    joins = {x for _, found in split for x in found}
+    sides = {w: simple_words(w) for x in joins for w in x}
+    enc.learn(set().union(*(x for parts in words for x in parts if isinstance(x, list)), *sides.values()))
+    both = [*joins]
+    together = enc.raw([a + b" " + b for a, b in both])
+    apart = {x for x, ids in zip(both, together, strict=True) if ids != enc.words(sides[x[0]]) + enc.words(sides[x[1]])}
+    out = []
+    for text, parts, (_, found) in zip(texts, words, split, strict=True):
+        ids = enc.raw([text])[0] if apart.intersection(found) else b"".join([enc.words(x) if isinstance(x, list) else x for x in parts])
+        out.append(np.frombuffer(ids, enc.kind))
+    return out
 
 
 @cache
@@ -234,7 +249,7 @@ def encode_distinct(texts: DataFrame, *, text_col: str = "text", tokenizer: str
             inner = {}
             for _, t, own in unpacked(b):
                 wanted = set(own)
-                inner |= {c: split_chunk(x)[1] for x in chunks(t) if (c := chunk_id(x)) in wanted}
+                inner |= {c: simple_words(x[at[0] : at[1]]) if (at := body_of(x)) else [] for x in chunks(t) if (c := chunk_id(x)) in wanted}
             enc.learn(set().union(*inner.values()))
             found = [(c, enc.words(x)) for c, x in inner.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["chunk", "body"])
@@ -251,11 +266,11 @@ def encode_distinct(texts: DataFrame, *, text_col: str = "text", tokenizer: str
     keyed = texts.select(_md5(F.col(text_col)).alias("text_md5"), whole(F.col(text_col)).cast("binary").alias("text"))
     # Texts are dealt out once; every use below takes that exchange again. Keys are never null, so no use adds a filter of its own.
     packed = keyed.mapInArrow(pack, _schema("text_md5", "packed")).dropDuplicates(["text_md5"])
-    refs = packed.mapInArrow(pieces, _schema("chunk", "text_md5"))
+    refs = scratch(packed.mapInArrow(pieces, _schema("chunk", "text_md5")), "refs")  # read by two joins; texts are cut once
     shared = refs.groupBy("chunk").agg(F.min("text_md5").alias("owner"), F.max("text_md5").alias("other")).filter("owner != other")
     owned = shared.groupBy(F.col("owner").alias("text_md5")).agg(F.collect_list("chunk").alias("own"))
     encoded = packed.join(owned, "text_md5").mapInArrow(bodies, _schema("chunk", "body"))
-    used = refs.join(shared, "chunk").select("chunk", "text_md5").join(encoded, "chunk")
+    used = refs.join(encoded, "chunk")  # by itself in its stage, so that Spark can split a chunk that a third of the texts hold
     ready = used.groupBy("text_md5").agg(F.collect_list(F.struct("chunk", "body")).alias("ready"))
     every = packed.join(ready, "text_md5", "left")
     if then is None:

@@ -50,6 +50,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that `df` doesn't have in any case, one for each of `names`."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"_{name}" in taken:
+            name = f"{name}_"
+        out.append(f"_{name}")
+    return out
+
+
 def whole(text: Column) -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(text.cast("string"), F.lit(""))

@@ -4,7 +4,8 @@ An item of m characters within `e` edits of a region shares at least m - q + 1 -
 it, and their diagonals (place in the text less place in the item) lie within e of each other. So each
 text's q-grams that some item has are counted by item in diagonal bands of width 2e that overlap by half;
 bands with fewer than the bound are dropped, and what is left is verified by banded alignment: the edit
-distance of the whole item to its best substring of the region.
+distance of the whole item to its best substring of the region. q is 8, and less for items so short that
+the bound would be nothing: the largest that asks for one shared q-gram at least.
 
 Texts and items are compared in lower case with every run of other characters than letters and digits as
 one space. The items are cut into blocks of at most BLOCK_CHARS characters, and each block is sent to the
@@ -17,7 +18,6 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache, reduce
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from veridoc.llm.common import small_batches, whole
 
 Q = 8
-#: Edits allowed for each character of an item. Below 1 / q, so that the lemma asks for some shared q-grams.
+#: Edits allowed for each character of an item.
 EDIT_RATE = 0.1
+#: Places of shared q-grams in a text and an item held at once while they are counted, but for those of one place in the text.
+STEP_PLACES = 1 << 19
 #: Characters of items sent to the executors at once.
 BLOCK_CHARS = 4_000_000
 TABLE_BITS = 20
@@ -59,51 +61,67 @@ def as_text(chars: np.ndarray) -> str:
     return chars.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def grams(chars: np.ndarray) -> np.ndarray:
+def grams(chars: np.ndarray, q: int = Q) -> np.ndarray:
     """The hash of each q-gram of a text of code points."""
-    n = len(chars) - Q + 1
+    n = len(chars) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    for i in range(Q):
+    for i in range(q):
         out *= np.uint64(0x100000001B3)
         out += chars[i : i + n]
     return out * MIX
 
 
-def budget(m: int, rate: float) -> int:
-    """Edits allowed for an item of m characters: the rate, less where the lemma would ask for no shared q-gram."""
-    return max(0, min(int(rate * m), (m - Q) // Q))
+def allowed(m: int, rate: float) -> int:
+    """Edits allowed for an item of m characters."""
+    return int(rate * m + 1e-9)
 
 
 @dataclass
 class Items:
-    """A block of items with an index of their q-grams."""
+    """A block of items of one q with an index of their q-grams."""
 
+    q: int
     ids: list
     chars: list[np.ndarray]
-    edits: list[int]
+    edits: np.ndarray
     keys: np.ndarray  # sorted hashes
     item: np.ndarray
     place: np.ndarray
-    short: list[tuple[object, re.Pattern]]  # items without a q-gram
     need: np.ndarray  # shared q-grams that the lemma asks for, by item
     table: np.ndarray  # whether some key has these leading bits
 
 
-def index(items: list[tuple[object, np.ndarray]], rate: float) -> Items:
-    chars = [c for _, c in items]
-    keys = [grams(c) for c in chars]
-    flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    item = np.repeat(np.arange(len(items)), [len(k) for k in keys])
-    place = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.zeros(0, np.int64)
+@dataclass
+class Block:
+    """A block of items: those without edits and shorter than a q-gram as words, the others by their q."""
+
+    words: list[tuple[object, re.Pattern]]
+    by_q: list[Items]
+
+
+def index(items: list[tuple[object, np.ndarray]], rate: float) -> Block:
+    words, by_q = [], {}
+    for i, c in items:
+        e = allowed(len(c), rate)
+        if 0 < len(c) < Q and not e:
+            words.append((i, re.compile(rf"(?<!\S){re.escape(as_text(c))}(?!\S)")))
+        elif len(c):
+            by_q.setdefault(max(1, min(Q, len(c) // (e + 1))), []).append((i, c, e))
+    return Block(words, [_items(q, rows) for q, rows in by_q.items()])
+
+
+def _items(q: int, rows: list[tuple[object, np.ndarray, int]]) -> Items:
+    chars, edits = [c for _, c, _ in rows], np.array([e for *_, e in rows], np.int64)
+    keys = [grams(c, q) for c in chars]
+    flat = np.concatenate(keys)
+    item, place = np.repeat(np.arange(len(rows)), [len(k) for k in keys]), np.concatenate([np.arange(len(k)) for k in keys])
     order = np.argsort(flat, kind="stable")
     table = np.zeros(1 << TABLE_BITS, bool)
     table[flat >> np.uint64(64 - TABLE_BITS)] = True
-    edits = [budget(len(c), rate) for c in chars]
-    short = [(i, re.compile(rf"(?<!\S){re.escape(as_text(c))}(?!\S)")) for i, c in items if 0 < len(c) < Q]
-    need = np.array([max(1, len(c) - Q + 1 - Q * e) for c, e in zip(chars, edits, strict=True)], np.int64)
-    return Items([i for i, _ in items], chars, edits, flat[order], item[order], place[order], short, need, table)
+    need = np.maximum(1, np.array([len(c) for c in chars]) - q + 1 - q * edits)
+    return Items(q, [i for i, *_ in rows], chars, edits, flat[order], item[order], place[order], need, table)
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int] | None:
@@ -131,59 +149,76 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
     return int(row[at]), int(d[at]) + m
 
 
-def find(chars: np.ndarray, items: Items) -> list[tuple[object, int, int, int]]:
+def find(chars: np.ndarray, block: Block) -> list[tuple[object, int, int, int]]:
     """(item id, start, end, edits) of the regions of a normalized text that match an item.
 
     Every item that matches somewhere is found. `start` and `end` are places in the normalized text; a
     region is told as long as its item is.
     """
-    # items shorter than a q-gram have none to count: they are looked up
-    text = as_text(chars) if items.short else ""
-    out = [(i, x.start(), x.end(), 0) for i, word in items.short for x in word.finditer(text)]
-    hashed = grams(chars)
-    at = np.flatnonzero(items.table[hashed >> np.uint64(64 - TABLE_BITS)]) if len(items.keys) else np.zeros(0, np.int64)
-    if not len(at):
-        return out
+    text = as_text(chars) if block.words else ""
+    out = [(i, x.start(), x.end(), 0) for i, word in block.words for x in word.finditer(text)]
+    return out + [hit for items in block.by_q for hit in _found(chars, items)]
+
+
+def _found(chars: np.ndarray, items: Items) -> list[tuple[object, int, int, int]]:
+    hashed = grams(chars, items.q)
+    at = np.flatnonzero(items.table[hashed >> np.uint64(64 - TABLE_BITS)])
     lo, hi = np.searchsorted(items.keys, hashed[at], "left"), np.searchsorted(items.keys, hashed[at], "right")
-    times = hi - lo
-    at, lo, times = at[times > 0], lo[times > 0], times[times > 0]
+    at, lo, times = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
     if not len(at):
-        return out
-    # a row for each place of a shared q-gram in the text and in an item
-    entry = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-    item, place = items.item[entry], items.place[entry]
-    enough = np.bincount(item, minlength=len(items.need)) >= items.need
-    some = enough[item]
-    item, place, diagonal = item[some], place[some], (np.repeat(at, times) - place)[some]
-    order = np.lexsort((diagonal, item))
-    item, place, diagonal = item[order], place[order], diagonal[order]
-    edges = np.flatnonzero(np.diff(item, prepend=-1, append=-1)) if len(item) else []
-    for a, b in pairwise(edges):
-        k = int(item[a])
-        m, e, need = len(items.chars[k]), items.edits[k], int(items.need[k])
-        d = diagonal[a:b]
-        width, taken = max(1, e), -len(chars) - m
-        # bands [j * width, (j + 2) * width]: any two diagonals within e of each other share one
-        bands = np.unique(np.concatenate([d // width, d // width - 1]))
-        left, right = np.searchsorted(d, bands * width, "left"), np.searchsorted(d, (bands + 2) * width, "right")
-        full = right - left >= need
-        for band, x, y in zip(bands[full].tolist(), left[full].tolist(), right[full].tolist(), strict=True):
-            if len(np.unique(place[a + x : a + y])) < need:  # a q-gram of the item counts once
-                continue
-            # an item is longer than the band is wide, so a band holds one place of it
-            got = align(items.chars[k], chars, band * width - e, (band + 2) * width + e, e)
-            if got and got[1] - m > taken:
-                edits, end = got
-                out.append((items.ids[k], max(0, end - m), end, edits))
-                taken = end - m + width * 2
+        return []
+    # each place of an item whose q-gram stands in the text counts once; items with too few go
+    first = np.unique(lo, return_index=True)[1]
+    shared = np.zeros(len(items.need), np.int64)
+    for entry, _ in _entries(lo[first], times[first]):
+        shared += np.bincount(items.item[entry], minlength=len(shared))
+    enough = shared >= items.need
+    if not enough.any():
+        return []
+    # bands [j * width, (j + 2) * width]: any two diagonals within e of each other share one
+    widths = np.maximum(1, items.edits)
+    span = int(len(chars) + max(map(len, items.chars)) + 4)
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for entry, of in _entries(lo, times):
+        some = enough[items.item[entry]]
+        entry, of = entry[some], of[some]
+        item = items.item[entry]
+        band = (at[of] - items.place[entry]) // widths[item] + item * (2 * span) + span
+        new, n = np.unique(np.concatenate([band, band - 1]), return_counts=True)
+        keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+    item = keys // (2 * span)
+    full = counts >= items.need[item]
+    out, last, taken = [], -1, 0
+    for k, band in zip(item[full].tolist(), (keys - item * (2 * span) - span)[full].tolist(), strict=True):
+        m, e, width = len(items.chars[k]), int(items.edits[k]), int(widths[k])
+        if k != last:
+            last, taken = k, -len(chars) - m
+        # an item is longer than the band is wide, so a band holds one place of it
+        got = align(items.chars[k], chars, band * width - e, (band + 2) * width + e, e)
+        if got and got[1] - m > taken:
+            edits, end = got
+            out.append((items.ids[k], max(0, end - m), end, edits))
+            taken = end - m + width * 2
     return out
 
 
+def _entries(lo: np.ndarray, times: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place in the index, row) for each of `times` places from `lo` on of each row; a bounded number at a time."""
+    sums, begin = np.cumsum(times), 0
+    while begin < len(lo):
+        end = max(begin + 1, int(np.searchsorted(sums, STEP_PLACES + (sums[begin - 1] if begin else 0), "right")))
+        n = times[begin:end]
+        of = np.repeat(np.arange(begin, end), n)
+        yield np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + lo[of], of
+        begin = end
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edit_rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, start, end, edits): the regions of the documents' normalized texts that match an item.
 
     An item matches within `edit_rate` edits for each of its characters; items shorter than q characters
-    match as whole words. Null or empty texts and items match nothing, rows repeated in `docs` are
+    that are allowed no edit match as whole words. Null or empty texts and items match nothing, rows repeated in `docs` are
     told again, ids may be null, and other columns are ignored whatever their names. The items are read by
     the driver block by block.
     """

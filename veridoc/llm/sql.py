@@ -34,7 +34,7 @@ FROM p LEFT JOIN m USING (doc_id)"""
 OP4 = f"""
 WITH l AS (SELECT doc_id, source, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents)),
 k AS (SELECT *, CASE WHEN length(trim(line, ' ')) >= {line_dedup.MIN_CHARS} THEN trim(line, ' ') END AS k FROM l),
-c AS (SELECT k, min((doc_id, pos)) AS first FROM k WHERE k IS NOT NULL GROUP BY k HAVING count(DISTINCT coalesce(source, '')) >= {line_dedup.MIN_SITES}),
+c AS (SELECT k, min((doc_id, pos)) AS first FROM k WHERE k IS NOT NULL GROUP BY k HAVING count(DISTINCT coalesce(source, '')) >= CASE WHEN len(string_split_regex(k, '[ \\t\\r]+')) >= {line_dedup.LONG_WORDS} THEN {line_dedup.LONG_SITES} ELSE {line_dedup.MIN_SITES} END),
 t AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE first IS NULL OR (doc_id, pos) = first), '') AS text FROM k LEFT JOIN c USING (k) GROUP BY doc_id)
 SELECT doc_id, text, length(text) AS n_chars_kept FROM t"""
 
