@@ -1,5 +1,6 @@
 """Ties, nulls, empty values and repeated runs, on rows made for them."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -99,6 +100,70 @@ def test_conflict_needs_another_file_and_another_signature(spark):
     assert by_id(links.identity_conflict(df, "id", "f", "s", ["n"]), "conflict", "n") == {1: False, 2: False, 3: False, 4: True, 5: False, 6: False, 7: False}
 
 
+def test_conflict_equals_all_pairs(spark):
+    r = random.Random(1)
+    rows = [(n, r.choice(["a", "b", "", None]), r.choice(["f0", "f1", "f2", "", None]), r.choice(["A", "B", "C", "", None])) for n in range(400)]
+    want = {n: bool(i and f and s) and any(j == i and g and t and g != f and t != s for m, j, g, t in rows[:n]) for n, i, f, s in rows}
+    assert by_id(links.identity_conflict(spark.createDataFrame(rows, "n long, id string, f string, s string"), "id", "f", "s", ["n"]), "conflict", "n") == want
+
+
+def test_rows_without_a_hash_duplicate_nothing(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, ""), (4, "x"), (5, "x")], "n long, h string")
+    assert by_id(history.unique_in_batch(df, "h", ["n"]), "is_unique", "n") == {1: True, 2: True, 3: True, 4: True, 5: False}
+    yes, no = F.lit(True), F.lit(False)
+    got = ledger.intake_decision(df, order=["n"], file_hash="h", supported=yes, score=F.lit(0), unknown=no, failed=no, in_time=yes, pending=no)
+    assert by_id(got, "decision", "n") == {1: "accept", 2: "accept", 3: "accept", 4: "accept", 5: "duplicate"}
+    assert by_id(links.dedup_two_keys(df.withColumn("i", F.lit(None).cast("string")), "h", "i", ["n"], "n"), "duplicate_of", "n") == {1: None, 2: None, 3: None, 4: None, 5: 4}
+
+
+def test_dependency_check_tells_repeated_rows_again(spark):
+    known = spark.createDataFrame([("k", "a"), ("k", "b")], "k string, v string")
+    df = spark.createDataFrame([("k", "c", {"m": 1}), ("k", "c", {"m": 1}), ("k", "a", None), ("x", "c", None), ("k", None, None)], "k string, v string, extra map<string, int>")
+    assert [(r["k"], r["v"]) for r in corpus.dependency_check(df, "k", "v", known).collect()] == [("k", "c")] * 2
+
+
+def test_artifact_hash_tells_repeats(spark, tmp_path):
+    from veridoc.sources.io import sink_versioned_artifacts
+
+    twice = {n: spark.createDataFrame([(v,), (v,)], "v string") for n, v in (("a", "a"), ("b", "b"))}
+    hashes = [r["content_hash"] for r in sink_versioned_artifacts(twice, str(tmp_path), "v1").collect()]
+    assert len(set(hashes)) == 2
+
+
+def test_running_sums_equal_one_window(spark):
+    df = spark.range(500).select((F.col("id") * 37 % 500 / 7).alias("s"), (F.col("id") % 5).alias("p"))
+    rows, total, want = sorted(map(tuple, df.collect()), reverse=True), 0, []
+    for s, p in rows:
+        total += p
+        want.append((s, p, total))
+    assert sorted((r["s"], r["p"], r["up"]) for r in corpus.running_sums(df, F.desc("s"), {"p": "up"}).collect()) == sorted(want)
+
+
+def test_shell_overlap_equals_all_pairs(spark):
+    r = random.Random(3)
+    parts = [(d, p, r.randrange(2), d % 3) for d in range(60) for p in range(r.randint(1, 6))]
+    refs = [(100 + d, p, r.randrange(2), d % 3) for d in range(12) for p in range(r.randint(1, 6))]
+    a, b = spark.createDataFrame(parts, "doc long, part long, h long, who long"), spark.createDataFrame(refs, "ref long, part long, h long, who long")
+    for static, identity in ((None, None), (F.col("part") == 0, "who")):
+        want = set()
+        for ref in {x[0] for x in refs}:
+            mine = {(p, h): w for x, p, h, w in refs if x == ref}
+            for d in range(60):
+                own = {(p, h): w for x, p, h, w in parts if x == d}
+                n = len(mine.keys() & own.keys())
+                ok = len(mine) >= 2 and n >= len(mine) - 1 and (n < len(mine) or n < len(own))
+                if static is not None:
+                    ok = ok and all(k in own for k in mine if k[0] == 0) and d % 3 != (ref - 100) % 3
+                if ok:
+                    want.add((d, ref, n, len(mine)))
+        assert {tuple(x) for x in links.shell_overlap(a, b, "doc", "ref", "part", "h", static=static, identity=identity).collect()} == want and want
+
+
+def test_nearest_template_without_a_tolerance(spark):
+    df, t = spark.createDataFrame([(1, 5.0), (2, 5.5)], "doc long, x double"), spark.createDataFrame([("a", 5.0), ("b", 9.0)], "template string, at double")
+    assert [tuple(r) for r in links.nearest_template(df, "doc", "x", t, tol=0).collect()] == [(1, "a", 0.0)]
+
+
 def test_upsert_run_again_changes_nothing(spark):
     from veridoc.sources.io import sink_upsert
 
@@ -125,8 +190,10 @@ def test_tree_with_a_cycle_and_a_shared_node(spark):
 
 
 def test_dates_amounts_and_ids(spark):
-    df = spark.createDataFrame([("1 234,50 at 01.02.2024 10:20",), ("31.02.2024",), (None,)], "t string")
-    assert [None if r["amount"] is None else float(r["amount"]) for r in text.parse_amount(df, "t").collect()][0] == 1234.5
+    df = spark.createDataFrame([("1 234,50 at 01.02.2024 10:20",), ("31.02.2024",), (None,)], "t string")
+    money = {"1,234.50": 1234.5, "1.234,50": 1234.5, "1 234,5 ₽": 1234.5, "sum 12\u00a0345 RUB": 12345.0, "-7.05": -7.05, "1,234,567": 1234567.0, "0.5": 0.5, "12": 12.0, "+7 123": None, "**12": None, "01.02.2024 5": None, "none": None, "": None}
+    got = text.parse_amount(spark.createDataFrame([(t,) for t in [*money, None]], "t string"), "t").collect()
+    assert {r["t"]: None if r["amount"] is None else float(r["amount"]) for r in got} == money | {None: None}
     assert [r["printed_at"] for r in text.parse_datetimes(df, "t").collect()] == [datetime(2024, 2, 1, 10, 20), None, None]
     clock = spark.createDataFrame([(366, 23, 59, datetime(2025, 1, 1, 2, 58))], "d int, h int, m int, ts timestamp")
     got = text.id_time_check(clock, "d", "h", "m", "ts").head()

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridoc.functions.session import cut
+
 
 def corpus_summary(df: DataFrame, *, verdict: str, hash_col: str, reliable: Column) -> DataFrame:
     """One row: rows, passes, fails, rows without a hash, reliable rows, distinct hashes."""
@@ -67,15 +69,28 @@ def rule_ranking(docs: DataFrame, flags: DataFrame, *, doc: str, failed: Column,
     )
 
 
+def running_sums(df: DataFrame, order: Column, sums: Mapping[str, str]) -> DataFrame:
+    """Sums of columns up to each row: ranges are summed alone, and start from the totals of those before. No task sees all rows."""
+    ranged = cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])  # a row for each partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_part", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in sums])
+    local = Window.partitionBy("_part").orderBy(order)
+    out = ranged.join(starts, "_part")
+    for c, name in sums.items():
+        out = out.withColumn(name, F.col(f"_s_{c}") + F.sum(c).over(local))
+    return out.drop("_part", *[f"_s_{c}" for c in sums])
+
+
 def binary_metrics(df: DataFrame, label: str, score: str, *, threshold: float = 0.5) -> DataFrame:
     """One row: confusion counts, accuracy, balanced accuracy, precision, recall, F1, ROC AUC, average precision, majority baseline.
 
-    Scores are counted by distinct value first, so the curves need a row for each value, not for each document.
+    Scores are counted by distinct value first, so the curves need a row for each value, not for each document;
+    what runs over them is summed in two levels.
     """
     y, s = F.col(label) == 1, F.col(score)
     by = df.filter(s.isNotNull() & F.col(label).isNotNull()).groupBy(s.alias("_s")).agg(F.count_if(y).alias("p"), F.count_if(~y).alias("n"))
-    down = Window.orderBy(F.desc("_s"))
-    cum = by.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down))
+    cum = running_sums(by, F.desc("_s"), {"p": "tp", "n": "fp"})
     out = cum.agg(
         F.sum("p").alias("_P"), F.sum("n").alias("_N"),
         F.sum(F.when(F.col("_s") >= threshold, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("_s") >= threshold, F.col("n")).otherwise(0)).alias("fp"),
@@ -173,9 +188,9 @@ def learn_dependencies(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def dependency_check(df: DataFrame, key: str, payload: str, known: DataFrame) -> DataFrame:
-    """Rows whose key is known with another payload; unknown keys are silent."""
-    k = known.select(key, F.col(payload).alias("_p"))
-    return df.join(k, key).groupBy(*df.columns).agg(F.bool_or(F.col(payload) == F.col("_p")).alias("_ok")).filter("not _ok").drop("_ok")
+    """Rows whose key is known with other payloads only; unknown keys and null payloads are silent. Rows that repeat are told again."""
+    pairs = known.select(key, payload).dropna()
+    return df.filter(F.col(payload).isNotNull()).join(pairs.select(key), key, "left_semi").join(pairs, [key, payload], "left_anti").select(*df.columns)
 
 
 def build_slot_canon(items: DataFrame, owner: str, slot: str, content: str) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from veridoc.functions.session import cut
+from veridoc.functions.session import by_known, cut, known
 
 
 def _micros(ts: Column) -> Column:
@@ -67,10 +67,9 @@ def prior_same_key(df: DataFrame, keys: Sequence[str], passed: Column, order: Se
     """For each key: earlier rows with the same value, passes and fails among them. An empty key counts nothing."""
     out = df.withColumn("_pass", passed)
     for k in keys:
-        w = _before(_over([k], order))
-        known = F.col(k).isNotNull() & (F.col(k).cast("string") != "")
+        w = _before(Window.partitionBy(*by_known(k, order)).orderBy(*order))
         for name, what in (("rows", F.count("*")), ("passes", F.count_if("_pass")), ("fails", F.count_if(~F.col("_pass")))):
-            out = out.withColumn(f"prior_{k}_{name}", F.when(known, what.over(w)).otherwise(F.lit(0)))
+            out = out.withColumn(f"prior_{k}_{name}", F.when(known(k), what.over(w)).otherwise(F.lit(0)))
     return out.drop("_pass")
 
 
@@ -80,12 +79,14 @@ def first_seen(df: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def unique_in_batch(df: DataFrame, hash_col: str, order: Sequence[str]) -> DataFrame:
-    """Whether a row is the first of its hash."""
-    return df.withColumn("is_unique", F.row_number().over(_over([hash_col], order)) == 1)
+    """Whether a row is the first of its hash; rows without a hash are like no other."""
+    first = F.row_number().over(Window.partitionBy(*by_known(hash_col, order)).orderBy(*order)) == 1
+    return df.withColumn("is_unique", ~known(hash_col) | first)
 
 
 def seen_recently(df: DataFrame, hash_col: str, order: Sequence[str], *, partition: Sequence[str], n: int = 10) -> DataFrame:
-    """Whether the hash is among the last n rows before. The exact first-in-first-out list is the streaming operator's."""
+    """Whether the hash is among the last n rows before. A first-in-first-out list of n distinct hashes, in which a hash seen again keeps
+    its place, is sequential and isn't built."""
     w = _over(partition, order).rowsBetween(-n, -1)
     return df.withColumn("seen_recently", F.array_contains(F.collect_list(F.coalesce(F.col(hash_col).cast("string"), F.lit(""))).over(w), F.coalesce(F.col(hash_col).cast("string"), F.lit(""))))
 

@@ -7,10 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridoc.functions.session import by_known, known
+
 
 def intake_decision(uploads: DataFrame, *, order: Sequence[str], file_hash: str, supported: Column, score: Column, unknown: Column, failed: Column, in_time: Column, pending: Column) -> DataFrame:
-    """`decision`: the first gate that holds - duplicate, unsupported, fake (score from 60), unknown, failed, date, pending - else accept."""
-    number = F.row_number().over(Window.partitionBy(file_hash).orderBy(*order))
+    """`decision`: the first gate that holds - duplicate, unsupported, fake (score from 60), unknown, failed, date, pending - else accept.
+
+    Uploads without a file hash duplicate nothing.
+    """
+    number = F.when(known(file_hash), F.row_number().over(Window.partitionBy(*by_known(file_hash, order)).orderBy(*order))).otherwise(1)
     gates = [(number > 1, "duplicate"), (~supported, "unsupported"), (score >= 60, "fake"), (unknown, "unknown"), (failed, "failed"), (~in_time, "date"), (pending, "pending")]
     out = uploads.withColumn("_n", number)
     decision = F.lit("accept")

@@ -10,9 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def known(col: str) -> Column:
-    return F.col(col).isNotNull() & (F.col(col).cast("string") != "")
+from veridoc.functions.session import by_known, known
 
 
 def log_chat_merge(logs: DataFrame, chat: DataFrame, key: str) -> DataFrame:
@@ -53,31 +51,30 @@ def requisite_blacklist(df: DataFrame, doc: str, keys: str, blacklist: DataFrame
 
 
 def identity_conflict(df: DataFrame, id_col: str, file_hash: str, signature: str, order: Sequence[str]) -> DataFrame:
-    """`conflict`: an earlier row of the same id has another file and another signature.
+    """`conflict`: an earlier row of the same id has another file and another signature, id, file and signature being known in both.
 
-    Two signatures that differ from this row's need not be paired: the smallest and largest (file, signature)
-    seen before tell whether one with another signature was there; equal files of equal ids carry equal
-    signatures, so the file test follows from it, and is made on the two rows kept.
+    Counted, not paired: of the earlier known rows of the id, those with this signature or this file are
+    taken off, those with both added again.
     """
-    w = Window.partitionBy(id_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    pair = F.struct(signature, file_hash)
-    differs = lambda x: (x[signature] != F.col(signature)) & (x[file_hash] != F.col(file_hash))
-    out = df.withColumn("_lo", F.min(pair).over(w)).withColumn("_hi", F.max(pair).over(w))
-    return out.withColumn("conflict", known(id_col) & (F.coalesce(differs(F.col("_lo")), F.lit(False)) | F.coalesce(differs(F.col("_hi")), F.lit(False)))).drop("_lo", "_hi")
+    whole = known(id_col) & known(file_hash) & known(signature)
+    before = lambda *more: F.count_if(whole).over(Window.partitionBy(*by_known(id_col, order), *more).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    others = before() - before(signature) - before(file_hash) + before(signature, file_hash)
+    return df.withColumn("conflict", whole & (others > 0))
 
 
-def field_conflicts(df: DataFrame, id_col: str, file_hash: str, fields: Sequence[str]) -> DataFrame:
-    """(id, fields): the fields in which files of one id differ, both sides being known."""
-    x = df.filter(known(id_col)).groupBy(id_col).agg(F.countDistinct(file_hash).alias("_files"), *[F.countDistinct(F.when(known(f), F.col(f))).alias(f"_n_{f}") for f in fields])
+def field_conflicts(df: DataFrame, id_col: str, file_hash: str, fields: Sequence[str], *, dates: Sequence[str] = ()) -> DataFrame:
+    """(id, fields): the fields in which files of one id differ, both sides being known; `dates` are compared by day."""
+    value = lambda f: F.to_date(f) if f in dates else F.col(f)
+    x = df.filter(known(id_col)).groupBy(id_col).agg(F.countDistinct(file_hash).alias("_files"), *[F.countDistinct(F.when(known(f), value(f))).alias(f"_n_{f}") for f in fields])
     named = F.array_compact(F.array(*[F.when(F.col(f"_n_{f}") > 1, F.lit(f)) for f in fields]))
     return x.filter("_files > 1").select(id_col, F.array_join(named, ",").alias("fields")).filter("fields != ''")
 
 
 def weak_match_once(df: DataFrame, id_col: str, file_hash: str, signature: str, order: Sequence[str]) -> DataFrame:
     """(file, id): files whose id was seen before with the same signature in another file; once for each file."""
-    w = Window.partitionBy(id_col, signature).orderBy(*order)
-    first = df.filter(known(id_col)).withColumn("_first", F.first(file_hash).over(w)).filter(F.col("_first") != F.col(file_hash))
-    return first.withColumn("_r", F.row_number().over(Window.partitionBy(file_hash).orderBy(*order))).filter("_r = 1").select(file_hash, id_col)
+    before = lambda *by: F.count("*").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    met = df.filter(known(id_col)).withColumn("_others", before(id_col, signature) - before(id_col, signature, file_hash)).filter("_others > 0")
+    return met.withColumn("_r", F.row_number().over(Window.partitionBy(file_hash).orderBy(*order))).filter("_r = 1").select(file_hash, id_col)
 
 
 def email_reuse(df: DataFrame, key: str, user: str, order: Sequence[str], ts: str) -> DataFrame:
@@ -102,12 +99,30 @@ def linked_tuple(df: DataFrame, key: str, pair: Sequence[str], allowed: DataFram
     return bad.withColumn("owner", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))).drop("_lo", "_hi")
 
 
-def shell_overlap(parts: DataFrame, registry: DataFrame, doc: str, ref: str, part: str, hash_col: str, *, missing: int = 1) -> DataFrame:
-    """(doc, ref, shared, total): documents that share all but `missing` at most of a registered document's parts, but not all of their own."""
-    sizes = registry.groupBy(ref).agg(F.count("*").alias("total"))
-    shared = parts.join(registry.select(ref, part, hash_col), [part, hash_col]).groupBy(doc, ref).agg(F.count("*").alias("shared"))
-    own = parts.groupBy(doc).agg(F.count("*").alias("_own"))
-    return shared.join(sizes, ref).join(own, doc).filter((F.col("shared") >= F.col("total") - missing) & (F.col("total") > missing) & ((F.col("shared") < F.col("total")) | (F.col("shared") < F.col("_own")))).select(doc, ref, "shared", "total")
+def shell_overlap(parts: DataFrame, registry: DataFrame, doc: str, ref: str, part: str, hash_col: str, *, missing: int = 1, least: int = 2, static: Column | None = None, identity: str | None = None) -> DataFrame:
+    """(doc, ref, shared, total): documents that share all but `missing` at most of a registered document's parts, but not all of their own.
+
+    Registered documents have `least` parts or more. `static` tells the registered parts that must all be
+    shared; `identity` is a column of both tables in which the two must differ, both being known.
+
+    A document that lacks `missing` parts at most has one of any `missing` + 1 of them, so it is looked up by
+    the rarest ones only, and what is met is counted whole.
+    """
+    piece = F.struct(F.col(part).alias("p"), F.col(hash_col).alias("h"))
+    fixed = F.lit(False) if static is None else F.coalesce(static, F.lit(False))
+    who = F.max(identity) if identity else F.lit(None)
+    own = parts.groupBy(doc).agg(F.collect_set(piece).alias("_own"), who.alias("_who"))
+    refs = registry.groupBy(ref).agg(F.collect_set(piece).alias("_all"), F.collect_set(F.when(fixed, piece)).alias("_static"), who.alias("_ref_who"))
+    refs = refs.filter((F.size("_all") > missing) & (F.size("_all") >= least))
+    often = own.select(F.explode("_own").alias("_piece")).groupBy("_piece").agg(F.count("*").alias("_often"))
+    by_rarity = Window.partitionBy(ref).orderBy(F.coalesce("_often", F.lit(0)), "_piece")
+    rare = refs.select(ref, F.explode("_all").alias("_piece")).join(often, "_piece", "left").withColumn("_r", F.row_number().over(by_rarity)).filter(F.col("_r") <= missing + 1)
+    met = own.select(doc, F.explode("_own").alias("_piece")).join(rare.select(ref, "_piece"), "_piece").select(doc, ref).distinct()
+    shared, total = F.size(F.array_intersect("_own", "_all")), F.size("_all")
+    out = met.join(refs, ref).join(own, doc).withColumn("shared", shared.cast("long")).withColumn("total", total.cast("long"))
+    out = out.filter((F.col("shared") >= F.col("total") - missing) & ((F.col("shared") < F.col("total")) | (F.col("shared") < F.size("_own"))))
+    out = out.filter(F.size(F.array_except("_static", "_own")) == 0)
+    return (out.filter("_who != _ref_who") if identity else out).select(doc, ref, "shared", "total")
 
 
 def latent_revision(versions: DataFrame, container: str, version: str, stable: Sequence[str], dynamic: Sequence[str]) -> DataFrame:
@@ -144,16 +159,16 @@ def partial_replacement(parts: DataFrame, expected: DataFrame, doc: str, part: s
 def nearest_template(df: DataFrame, doc: str, x: str, templates: DataFrame, *, tol: float) -> DataFrame:
     """(doc, template, distance): the template (template, at) nearest to x within the tolerance; ties go to the smaller name.
 
-    Two windows over both tables by value find the neighbours below and above, so nothing is paired with every template.
+    Values are met in buckets as wide as the tolerance, a template standing in its own and both neighbours;
+    with a tolerance of 0 they are met by value.
     """
-    t = templates.select(F.col("at").cast("double").alias("_x"), F.col("template"), F.lit(None).cast(dict(df.dtypes)[doc]).alias("_doc"))
-    d = df.select(F.col(x).cast("double").alias("_x"), F.lit(None).cast("string").alias("template"), F.col(doc).alias("_doc"))
-    # buckets as wide as the tolerance; a template stands in its own and both neighbours
-    b = F.floor(F.col("_x") / tol)
-    near = d.withColumn("_b", b).drop("template").join(t.drop("_doc").withColumn("_b", F.explode(F.array(b - 1, b, b + 1))).withColumnRenamed("_x", "_t"), "_b")
+    t = templates.select(F.col("at").cast("double").alias("_t"), "template")
+    d = df.select(F.col(doc), F.col(x).cast("double").alias("_x"))
+    b = lambda c: F.floor(F.col(c) / tol) if tol > 0 else F.col(c)
+    near = d.withColumn("_b", b("_x")).join(t.withColumn("_b", F.explode(F.array(*([b("_t") - 1, b("_t"), b("_t") + 1] if tol > 0 else [b("_t")])))), "_b")
     dist = F.abs(F.col("_x") - F.col("_t"))
-    best = near.filter(dist <= tol).groupBy("_doc").agg(F.min(F.struct(dist.alias("distance"), "template")).alias("_m"))
-    return best.select(F.col("_doc").alias(doc), "_m.template", "_m.distance")
+    best = near.filter(dist <= tol).groupBy(doc).agg(F.min(F.struct(dist.alias("distance"), "template")).alias("_m"))
+    return best.select(doc, "_m.template", "_m.distance")
 
 
 def overlap_pairs(boxes: DataFrame, doc: str, item: Sequence[str], x0: str, x1: str, y0: str, y1: str) -> DataFrame:
@@ -165,7 +180,7 @@ def overlap_pairs(boxes: DataFrame, doc: str, item: Sequence[str], x0: str, x1:
 
 def dedup_two_keys(df: DataFrame, file_key: str, identity_key: str, order: Sequence[str], id_col: str) -> DataFrame:
     """`duplicate_of`: the first earlier row with the same file, else with the same identity. Two windows, never an OR-join."""
-    first = lambda key: F.first(id_col).over(Window.partitionBy(key).orderBy(*order))
+    first = lambda key: F.first(id_col).over(Window.partitionBy(*by_known(key, order)).orderBy(*order))
     a = F.when(known(file_key) & (first(file_key) != F.col(id_col)), first(file_key))
     b = F.when(known(identity_key) & (first(identity_key) != F.col(id_col)), first(identity_key))
     return df.withColumn("duplicate_of", F.coalesce(a, b))

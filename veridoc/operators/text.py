@@ -95,11 +95,22 @@ def label_field_extract(df: DataFrame, text: str, labels: Mapping[str, Sequence[
     return df
 
 
+#: Money at the end of a text: a sign, a whole part with groups parted by spaces, full stops or commas, and one or two decimals.
+AMOUNT = r"(?:^|[^0-9.,-])(-?)([0-9]{1,3}(?:[.,][0-9]{3})+|[0-9][0-9 ]*)(?:[.,]([0-9]{1,2}))?$"
+#: What money isn't written with: marks of phones, masks, addresses and numbers of documents, and dates.
+NO_AMOUNT = r"[+()*@№]|[0-9]{2}\.[0-9]{2}\.[0-9]{4}"
+
+
 def parse_amount(df: DataFrame, col: str, *, out: str = "amount") -> DataFrame:
-    """Money written with spaces between thousands and a comma or full stop before two digits; null where it isn't one."""
-    t = F.translate(F.col(col), SPACES + " ", "")
-    t = F.regexp_extract(t, r"(-?[0-9]+(?:[.,][0-9]{1,2})?)(?![0-9])", 1)
-    return df.withColumn(out, F.nullif(F.replace(t, F.lit(","), F.lit(".")), F.lit("")).try_cast("decimal(18,2)"))
+    """The money at the end of a text, before a currency sign or a word of up to three letters; null where there is none.
+
+    Of two kinds of separators the last is the decimal one; three digits after a separator are a group.
+    Texts that hold a date, a mask, or a sign of a phone number or an address are no money.
+    """
+    t = F.btrim(F.regexp_replace(F.btrim(F.translate(F.col(col), SPACES, " " * len(SPACES))), r" *(?:[₽$€£]|[A-Za-zА-Яа-я]{1,3}\.?)$", ""))
+    sign, whole, part = (F.regexp_extract(t, AMOUNT, i) for i in (1, 2, 3))
+    written = F.concat(sign, F.regexp_replace(whole, "[ .,]", ""), F.lit("."), F.rpad(part, 2, "0"))
+    return df.withColumn(out, F.when(~F.col(col).rlike(NO_AMOUNT) & (whole != ""), written.try_cast("decimal(18,2)")))
 
 
 def format_amount(df: DataFrame, col: str, *, out: str = "formatted") -> DataFrame:

@@ -194,7 +194,7 @@ def learn_dependencies(spark, sf_dir):
 KNOWN = "(SELECT l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 10 = 0 AND l_partkey % 3 = 0)"
 
 
-@query(f"SELECT l_partkey, l_suppkey FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM {KNOWN}) AND (l_partkey, l_suppkey) NOT IN (SELECT (l_partkey, l_suppkey) FROM {KNOWN}) GROUP BY 1, 2")
+@query(f"SELECT l_partkey, l_suppkey FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM {KNOWN}) AND (l_partkey, l_suppkey) NOT IN (SELECT (l_partkey, l_suppkey) FROM {KNOWN})")
 def dependency_check(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey")
     return C.dependency_check(rows.select("l_partkey", "l_suppkey"), "l_partkey", "l_suppkey", rows.filter("l_orderkey % 10 = 0 and l_partkey % 3 = 0").select("l_partkey", "l_suppkey"))

@@ -52,11 +52,17 @@ def requisite_blacklist(spark, sf_dir):
     return L.requisite_blacklist(keyed, "doc_id", "keys", spark.createDataFrame([("src3",), ("es",), ("7",), ("8",)], "key string"))
 
 
+SIGHTINGS = "(SELECT o_orderkey, CASE WHEN o_custkey % 7 > 0 THEN o_custkey END AS id, CASE WHEN o_orderkey % 11 > 0 THEN CAST(o_orderkey % 3 AS VARCHAR) ELSE '' END AS f, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderstatus END AS s FROM orders)"
+
+
 @query(
-    """SELECT a.o_orderkey, EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderkey < a.o_orderkey AND b.o_orderstatus <> a.o_orderstatus) AS conflict FROM orders a"""
+    f"""SELECT a.o_orderkey, a.id IS NOT NULL AND a.s IS NOT NULL AND a.f <> '' AND EXISTS (SELECT 1 FROM {SIGHTINGS} b WHERE b.id = a.id AND b.o_orderkey < a.o_orderkey AND b.s <> a.s AND b.f <> a.f AND b.f <> '') AS conflict FROM {SIGHTINGS} a"""
 )
 def identity_conflict(spark, sf_dir):
-    return L.identity_conflict(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_orderstatus", ["o_orderkey"]).select("o_orderkey", "conflict")
+    """Orders as sightings: ids that are null, files that repeat under several signatures or are empty, signatures that are null."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    rows = o.select("o_orderkey", F.when(F.col("o_custkey") % 7 > 0, F.col("o_custkey")).alias("id"), F.when(key % 11 > 0, (key % 3).cast("string")).otherwise("").alias("f"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderstatus")).alias("s"))
+    return L.identity_conflict(rows, "id", "f", "s", ["o_orderkey"]).select("o_orderkey", "conflict")
 
 
 @query(
@@ -66,9 +72,12 @@ def field_conflicts(spark, sf_dir):
     return L.field_conflicts(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", ["o_orderstatus", "o_orderpriority"])
 
 
-@query("SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, o_custkey, first_value(o_orderkey) OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS f FROM orders) WHERE f <> o_orderkey")
+@query(
+    """SELECT f, arg_min(o_custkey, o_orderkey) AS o_custkey FROM (SELECT o_custkey, o_orderstatus, o_orderkey, o_orderkey % 5000 AS f FROM orders) a
+    WHERE EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus = a.o_orderstatus AND b.o_orderkey < a.o_orderkey AND b.o_orderkey % 5000 <> a.f) GROUP BY 1"""
+)
 def weak_match_once(spark, sf_dir):
-    return L.weak_match_once(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_orderstatus", ["o_orderkey"])
+    return L.weak_match_once(table(spark, sf_dir, "orders").withColumn("f", F.col("o_orderkey") % 5000), "o_custkey", "f", "o_orderstatus", ["o_orderkey"])
 
 
 @query(
@@ -103,7 +112,7 @@ def linked_tuple(spark, sf_dir):
     return L.linked_tuple(rows, "l_returnflag", ["l_suppkey", "l_linenumber"], allowed).select("l_orderkey", "l_linenumber", "l_partkey", "owner")
 
 
-PARTS = "(SELECT DISTINCT l_orderkey, l_linenumber AS part, l_suppkey % 3 AS h FROM lineitem WHERE {w})"
+PARTS = "(SELECT DISTINCT l_orderkey, l_linenumber AS part, l_suppkey % 10 AS h FROM lineitem WHERE {w})"
 
 
 @query(
@@ -111,9 +120,9 @@ PARTS = "(SELECT DISTINCT l_orderkey, l_linenumber AS part, l_suppkey % 3 AS h F
     JOIN (SELECT l_orderkey AS ref, count(*) AS total FROM {PARTS.format(w="l_orderkey % 100 = 0")} GROUP BY 1) USING (ref) JOIN (SELECT l_orderkey, count(*) AS own FROM {PARTS.format(w="l_orderkey % 100 <> 0")} GROUP BY 1) USING (l_orderkey) WHERE shared >= total - 1 AND total > 5 AND (shared < total OR shared < own)"""
 )
 def shell_overlap(spark, sf_dir):
-    parts = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("part"), (F.col("l_suppkey") % 3).alias("h")).distinct()
+    parts = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("part"), (F.col("l_suppkey") % 10).alias("h")).distinct()
     registry = parts.filter("l_orderkey % 100 = 0").withColumnRenamed("l_orderkey", "ref")
-    return L.shell_overlap(parts.filter("l_orderkey % 100 != 0"), registry, "l_orderkey", "ref", "part", "h").filter("total > 5")
+    return L.shell_overlap(parts.filter("l_orderkey % 100 != 0"), registry, "l_orderkey", "ref", "part", "h", least=6)
 
 
 @query("SELECT o_custkey, o_orderpriority, concat_ws(',', CASE WHEN count(DISTINCT o_orderstatus) > 1 THEN 'o_orderstatus' END) AS fields FROM orders GROUP BY 1, 2 HAVING count(DISTINCT o_orderkey) > 1 AND count(DISTINCT o_orderstatus) > 1")
@@ -152,9 +161,9 @@ def partial_replacement(spark, sf_dir):
     return L.partial_replacement(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), expected, "l_orderkey", "l_linenumber", "l_returnflag")
 
 
-@query("SELECT doc_id, min_by(template, d * 1000 + CAST(template AS INT)) AS template, min(d) AS distance FROM (SELECT doc_id, CAST(item_id AS VARCHAR) AS template, CAST(abs(n_chars - length(b.text)) AS DOUBLE) AS d FROM documents JOIN benchmark b ON abs(n_chars - length(b.text)) <= 5 WHERE item_id < 10) GROUP BY 1")
+@query("SELECT doc_id, min_by(template, (d, template)) AS template, min(d) AS distance FROM (SELECT doc_id, CAST(item_id AS VARCHAR) AS template, CAST(abs(n_chars - length(b.text)) AS DOUBLE) AS d FROM documents JOIN benchmark b ON abs(n_chars - length(b.text)) <= 5) GROUP BY 1")
 def nearest_template(spark, sf_dir):
-    t = table(spark, sf_dir, "benchmark").filter("item_id < 10").select(F.col("item_id").cast("string").alias("template"), F.length("text").alias("at"))
+    t = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("template"), F.length("text").alias("at"))
     return L.nearest_template(docs(spark, sf_dir), "doc_id", "n_chars", t, tol=5)
 
 

@@ -167,23 +167,25 @@ def stream_user_dim(spark, sf_dir):
     """The user dimension, merged batch by batch; each batch writes a version of its own, so a batch run again changes nothing."""
     where = place(spark, "users")
     schema = "user_id long, first_seen timestamp, last_seen timestamp, seen_count long"
-    version = lambda n: f"{where}/v{n}"
-    state = {"last": -1}
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(where).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def read():
-        return spark.read.schema(schema).parquet(version(state["last"])) if state["last"] >= 0 else spark.createDataFrame([], schema)
+    def read(before):
+        """The last complete version below `before`, as the folder itself tells."""
+        done = [int(s.getPath().getName()[1:]) for s in fs.listStatus(path(where)) if fs.exists(path(s.getPath(), "_SUCCESS"))] if fs.exists(path(where)) else []
+        last = max((n for n in done if n < before), default=None)
+        return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{where}/v{last}")
 
     def merge(batch, current):
         new = batch.groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("seen_count"))
         return current.unionByName(new).groupBy("user_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("seen_count").alias("seen_count"))
 
     def write(rows, n):
-        rows.write.mode("overwrite").parquet(version(n))
-        state["last"] = n
+        rows.write.mode("overwrite").parquet(f"{where}/v{n}")
 
     q = event_stream(spark, sf_dir).writeStream.foreachBatch(S.stream_user_dim(merge, read, write)).option("checkpointLocation", f"{where}-checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return read().withColumn("first_seen", F.col("first_seen").cast("timestamp_ntz")).withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
+    return read(1 << 62).withColumn("first_seen", F.col("first_seen").cast("timestamp_ntz")).withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
 
 
 @query("SELECT event_id, user_id FROM events")

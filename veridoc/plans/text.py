@@ -77,11 +77,25 @@ def label_field_extract(spark, sf_dir):
     return T.label_field_extract(rows, "t", {"total": ["Total", "Total due"], "payer": ["Payer"], "note": ["Note"]}).drop("t")
 
 
-@query("SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS amount, replace(translate(format('{:,.2f}', CAST(o_totalprice AS DECIMAL(18,2))::DOUBLE), ',.', ' ,'), chr(160), ' ') AS formatted FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 4 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS amount FROM orders")
 def parse_amount(spark, sf_dir):
-    """Formats every price and reads it back."""
-    rows = T.format_amount(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice")
-    return T.parse_amount(rows, "formatted").select("o_orderkey", F.col("amount").cast("double").alias("amount"), "formatted")
+    """Every price written in four ways, as a phone number and with a date, and read back."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("p"))
+    english, way = F.format_number("p", 2), F.col("o_orderkey") % 6
+    spaced = F.translate(english, ",.", "\u00a0,")
+    t = F.when(way == 0, F.concat(F.lit("to pay: "), spaced, F.lit(" ₽"))).when(way == 1, F.concat(F.lit("sum "), english)).when(way == 2, F.translate(english, ",.", ".,"))
+    t = t.when(way == 3, F.concat(F.col("p").cast("string"), F.lit(" EUR"))).when(way == 4, F.concat(F.lit("+7 "), spaced)).otherwise(F.concat(F.lit("01.02.2024 "), spaced))
+    return T.parse_amount(o.withColumn("t", t), "t").select("o_orderkey", F.col("amount").cast("double").alias("amount"))
+
+
+@query("SELECT o_orderkey, translate(format('{:,.2f}', CAST(o_totalprice AS DECIMAL(18,2))::DOUBLE), ',.', ' ,') AS formatted FROM orders")
+def format_amount(spark, sf_dir):
+    return T.format_amount(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice").select("o_orderkey", "formatted")
+
+
+@query("SELECT doc_id, coalesce(nullif(regexp_extract(text, '[0-9]{3}-[0-9]{4}'), ''), nullif(regexp_extract(text, '[A-Z][a-z]+'), '')) AS any_opid FROM documents")
+def extract_any_opid(spark, sf_dir):
+    return T.extract_any_opid(docs(spark, sf_dir), "text", ["[0-9]{3}-[0-9]{4}", "[A-Z][a-z]+"]).select("doc_id", "any_opid")
 
 
 @query("SELECT event_id, date_trunc('second', ts) AS printed_at FROM events")

@@ -71,7 +71,8 @@ def sink_upsert(new: DataFrame, current: DataFrame, keys: Sequence[str], order:
 def sink_versioned_artifacts(dfs: Mapping[str, DataFrame], path: str, version: str) -> DataFrame:
     """Writes each table below `path/version`, then the manifest (name, version, n_rows, content_hash), which is returned.
 
-    A version whose manifest is there is complete. The hash doesn't depend on the order of rows.
+    A version whose manifest is there is complete. The hash is one of the sum of the rows' hashes
+    and their number: it doesn't depend on their order, and tells how often a row repeats.
     """
     spark = next(iter(dfs.values())).sparkSession
     out = None
@@ -79,7 +80,7 @@ def sink_versioned_artifacts(dfs: Mapping[str, DataFrame], path: str, version: s
         where = f"{path}/{version}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(where)
         rows = spark.read.schema(df.schema).parquet(where)
-        one = rows.agg(F.lit(name).alias("name"), F.lit(version).alias("version"), F.count("*").alias("n_rows"), F.coalesce(F.bit_xor(F.xxhash64(*rows.columns)), F.lit(0)).alias("content_hash"), F.lit(where).alias("place"))
+        one = rows.agg(F.lit(name).alias("name"), F.lit(version).alias("version"), F.count("*").alias("n_rows"), F.xxhash64(F.sum(F.xxhash64(*rows.columns).cast("decimal(20,0)")), F.count("*")).alias("content_hash"), F.lit(where).alias("place"))
         out = one if out is None else out.unionByName(one)
     out.coalesce(1).write.parquet(f"{path}/{version}/_manifest")  # fails where the version exists
     return spark.read.parquet(f"{path}/{version}/_manifest")

@@ -38,12 +38,15 @@ def stream_verdict_counts(df: DataFrame, ts: str, bank: str, fake: Column, *, wa
     return out.select(F.to_date("window.start").alias("day"), bank, "checks", "fakes")
 
 
-def stream_user_dim(merge: Callable[[DataFrame, DataFrame], DataFrame], read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A `foreachBatch` function: merges a batch into the dimension that `read` gives and hands it to `write` with the batch's number,
-    which makes a batch that is run again overwrite its own version."""
+def stream_user_dim(merge: Callable[[DataFrame, DataFrame], DataFrame], read: Callable[[int], DataFrame], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A `foreachBatch` function: merges a batch into the dimension as it was before it and writes it as the batch's own version.
+
+    `read` takes the batch's number and gives the last version below it, so nothing is kept in the driver: a
+    batch that is run again, also after a restart, overwrites its version with the same rows.
+    """
 
     def upsert(batch: DataFrame, number: int) -> None:
-        write(merge(batch, read()), number)
+        write(merge(batch, read(number)), number)
 
     return upsert
 
