@@ -5,12 +5,13 @@ leftmost first and without overlap within a kind; a match that fails its check i
 the pieces between the matches. The expressions are possessive, and begin where a run of their characters
 begins or the last match ended (`\G`), which finds the same matches in time linear in the text.
 
-Bootstrapping. Every identifier-like word (digits or an at sign, 6 to 64 characters) is an instance, and
-the word before it with its own shape is the lexical pattern it stands in. Base matches are the seeds. In
-every round, each pattern's confidence for a kind is the score of its instances over their number, with
-MIN_SUPPORT at least; each instance's score is the noisy-or of its confident patterns. Words that no base
-match touches and whose score reaches the threshold are told as spans of that kind. A number like a card's
-with a wrong check digit, where card numbers usually stand, is such a word.
+Bootstrapping. Every identifier-like word (four digits or an at sign, 6 characters), groups of digits after
+it included, is an instance, and the word before it with its own shape is the lexical pattern it stands in.
+Base matches are the seeds. In every round, each pattern's confidence for a kind is the score of its
+instances over their number, with MIN_SUPPORT at least; each instance's score is the noisy-or of its
+confident patterns. Instances that no base match touches and whose score reaches the threshold are told as
+spans of that kind. A number like a card's with a wrong check digit, where card numbers usually stand, is
+such an instance.
 """
 
 from __future__ import annotations
@@ -31,10 +32,14 @@ PATTERNS = {
 }
 #: What a text must hold for a kind to be looked for.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-#: A run of characters that are not white space, with a digit or an at sign in it.
-WORD = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: A run of characters that are not white space, with a digit or an at sign in it, and the groups of digits after it, each after one space.
+WORD = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:(?<=[0-9)]) \(?+[0-9][0-9().-]*+[,;:!?]?+(?!\S))*+"
 ROUNDS, MIN_SUPPORT, CONFIDENT, ACCEPTED = 3, 3, 0.8, 0.9
-SHORTEST, LONGEST = 6, 64
+SHORTEST = 6
+#: Matches of a text whose places are summed up together; the sums of these are summed up in turn.
+BLOCK = 256
+#: Characters of a text in which base matches and instances are met.
+SPAN = 256
 
 
 def _digits(m: Column) -> Column:
@@ -62,26 +67,46 @@ CHECKS: dict[str, Callable[[Column], Column]] = {
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<p, m>>: each match m with the piece p between it and the one before."""
+    """array<struct<p, m>>: each match m with the piece p between it and the one before; after the last, p alone."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
 
 
-def _placed(pairs: Column, left: Callable[[Column], Column]) -> Column:
-    """array<struct<s, e, m, l>>: the matches with their places in code points, and `left` of the piece before."""
-    none = F.expr("cast(array() as array<struct<s: int, e: int, m: string, l: string>>)")
+def _placed(pairs: Column, left: Callable[[Column, Column], Column]) -> Column:
+    """array<struct<s, e, m, l>>: the matches with their places in code points, and `left` of the piece and the match before.
+
+    Lists grow by copying, so a list of all matches would take time by the square of their number: places are
+    taken in blocks, and the blocks moved to where they begin.
+    """
+    kind = "array<struct<s: int, e: int, m: string, l: string>>"
+    none, blocks = F.expr(f"cast(array() as {kind})"), F.expr(f"cast(array() as array<{kind}>)")
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
         end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.array(F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m"), left(x["p"]).alias("l")))
-        return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+        one = F.array(F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m"), left(x["p"], acc["last"]).alias("l")))
+        return F.struct(end.alias("at"), F.coalesce(x["m"], F.lit("")).alias("last"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+
+    def block(i: Column) -> Column:
+        last = F.coalesce(F.get(pairs, i - 1)["m"], F.lit(""))
+        return F.aggregate(F.slice(pairs, i + 1, F.lit(BLOCK)), F.struct(F.lit(0).alias("at"), last.alias("last"), none.alias("out")), add)
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+    def join(acc: Column, x: Column) -> Column:
+        moved = F.transform(x["out"], lambda y: F.struct((y["s"] + acc["at"]).alias("s"), (y["e"] + acc["at"]).alias("e"), y["m"].alias("m"), y["l"].alias("l")))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    begins = F.filter(F.sequence(F.lit(0), F.size(pairs), F.lit(BLOCK)), lambda i: i < F.size(pairs))
+    return F.aggregate(F.transform(begins, block), F.struct(F.lit(0).alias("at"), blocks.alias("out")), join, lambda acc: F.flatten(acc["out"]))
 
 
 def _last_word(piece: Column) -> Column:
-    return F.lower(F.regexp_extract(F.right(piece, F.lit(80)), r"(?<!\S)(\S++)\s*+$", 1))
+    return F.lower(F.regexp_extract(piece, r"(?<!\S)(\S++)\s*+$", 1))
+
+
+def _context(piece: Column, before: Column) -> Column:
+    """The last word before a match; directly after another match, that one's last word."""
+    own = _last_word(piece)
+    return F.when(own != "", own).otherwise(_last_word(before))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,10 +122,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
     base = []
     for n, kind in enumerate(KINDS):
-        base.append(F.transform(F.filter(_placed(F.col(f"_{kind}"), lambda p: F.lit("")), _checked(kind)), _told(n, kind)))
+        base.append(F.transform(F.filter(_placed(F.col(f"_{kind}"), lambda p, m: F.lit("")), _checked(kind)), _told(n, kind)))
     rows = rows.withColumn("base", F.array_sort(F.concat(*base)))
-    words = F.filter(_placed(F.col("_word"), _last_word), lambda x: F.length(x["m"]) <= LONGEST + 16)
-    return rows.select("doc_id", "_k1", "_k2", "base", F.filter(F.transform(words, _core), _identifier).alias("words"))
+    return rows.select("doc_id", "_k1", "_k2", "base", F.filter(F.transform(_placed(F.col("_word"), _context), _core), _identifier).alias("words"))
 
 
 def _checked(kind: str) -> Callable[[Column], Column]:
@@ -112,7 +136,7 @@ def _told(n: int, kind: str) -> Callable[[Column], Column]:
 
 
 def _core(x: Column) -> Column:
-    """A word without the punctuation around it, its place, the word before, and its shape."""
+    """An instance without the punctuation around it, its place, the word before, and its shape."""
     cut_left = F.regexp_replace(x["m"], r"^[^A-Za-z0-9+]+", "")
     start = x["s"] + F.length(x["m"]) - F.length(cut_left)
     value = F.regexp_replace(cut_left, r"(?<![^A-Za-z0-9])[^A-Za-z0-9]++$", "")
@@ -121,17 +145,32 @@ def _core(x: Column) -> Column:
 
 
 def _identifier(x: Column) -> Column:
-    return F.length(x["value"]).between(SHORTEST, LONGEST) & ((F.length(_digits(x["value"])) >= 4) | x["value"].contains("@"))
+    return (F.length(x["value"]) >= SHORTEST) & ((F.length(_digits(x["value"])) >= 4) | x["value"].contains("@"))
+
+
+def _seeded(rows: DataFrame) -> DataFrame:
+    """(_k1, _k2, s, e, value, left, shape, seed): each place of an instance once, with the kind of the first base match that touches it, or null.
+
+    Both are met by the stretch of SPAN characters that they stand in, so a text with many of either is dealt out.
+    """
+    key = ["_k1", "_k2"]
+    stretches = F.explode(F.sequence(F.floor(F.col("s") / SPAN), F.floor((F.col("e") - 1) / SPAN))).alias("_at")
+    words = rows.select(*key, F.explode("words").alias("w")).select(*key, "w.*")
+    base = rows.select(*key, F.explode("base").alias("b")).select(*key, "b.s", "b.e", "b.n")
+    base = base.select(*key, stretches, F.col("s").alias("_s"), F.col("e").alias("_e"), F.col("n").alias("_n"))
+    touched = words.select("*", stretches).join(base, [*key, "_at"]).filter((F.col("_s") < F.col("e")) & (F.col("_e") > F.col("s")))
+    first = touched.groupBy(*key, "s").agg(F.min(F.struct("_s", "_n")).alias("_b")).select(*key, "s", F.col("_b._n").alias("seed"))
+    return words.distinct().join(first, [*key, "s"], "left")
 
 
 def bootstrap(places: DataFrame, *, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, confident: float = CONFIDENT, accepted: float = ACCEPTED) -> DataFrame:
     """(value, n, score): instances with the kind they are taken for, by its place in KINDS.
 
     `places(value, left, shape, seed)` has a row for each place of an instance; seed is the kind of the base
-    match there, or null. Seeds keep the score 1.
+    match there, or null. Seeds keep the score 1; a place at the start of a text, without a word before it, is in no pattern.
     """
     edges = cut(places.groupBy("left", "shape", "value").agg(F.min("seed").alias("seed")))
-    totals = edges.groupBy("left", "shape").agg(F.count("*").alias("total"))
+    totals = edges.filter("left != ''").groupBy("left", "shape").agg(F.count("*").alias("total"))
     seeds = edges.filter("seed is not null").groupBy("value").agg(F.min("seed").alias("n")).withColumn("score", F.lit(1.0))
     known = seeds = cut(seeds)
     edges = edges.select("left", "shape", "value")
@@ -152,10 +191,10 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     or empty texts have none; rows that repeat, null ids and clashing column names change nothing.
     """
     rows = cut(scan(docs, id_col=id_col, text_col=text_col))
-    places = rows.select("_k1", "_k2", "base", F.explode("words").alias("w")).select("_k1", "_k2", "w.*", F.get(F.filter("base", lambda b: (b["s"] < F.col("w.e")) & (b["e"] > F.col("w.s"))), F.lit(0))["n"].alias("seed"))
+    places = cut(_seeded(rows))
     known = bootstrap(places.select("value", "left", "shape", "seed"))
     kinds = F.array(*map(F.lit, KINDS))
-    new = places.filter("seed is null").distinct().join(known, "value")
+    new = places.filter("seed is null").join(known, "value")
     new = new.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set(F.struct("s", "n", "e", F.get(kinds, F.col("n")).alias("kind")))).alias("found"))
     none = F.expr("cast(array() as array<struct<s: int, n: int, e: int, kind: string>>)")
     return rows.join(new, ["_k1", "_k2"], "left").select("doc_id", "base", F.coalesce("found", none).alias("found"))
