@@ -1,12 +1,15 @@
 """Licence scan: an exact set-similarity join of text blocks with notice templates.
 
-The blocks are the lines of each document. A template is found in a block when the block holds at
-least `threshold` of the template's distinct words (containment), in any order. The join is exact:
+A template with n distinct words is looked for in blocks of 2 * L words, one from every L-th word on, where
+L is the least power of two that is at least 5/4 n: a notice of up to L words lies whole in a block, however
+its lines are broken, and words that are far apart are no notice. It is found in a block that holds at
+least `threshold` of its distinct words (containment), in any order. The join is exact:
 
-* the words that templates use are ordered by the number of blocks of the whole corpus holding them,
+* the words that templates use are ordered by the number of documents of the whole corpus holding them,
   rarest first;
 * prefix filter: a block that meets a template's need of o shared words has one of the template's
-  first |t| - o + 1 words, and that word is among the first |b| - o + 1 of the block's;
+  first |t| - o + 1 words, and that word is among the first |b| - o + 1 of the block's; texts without any
+  such word aren't cut into blocks;
 * length filter: a block with fewer than o words of the vocabulary can't meet the need;
 * positional filter: from the places of the first common word, at most
   1 + min(|t| - i, |b| - j) words can be shared;
@@ -20,11 +23,12 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import ascii_lower, whole
+from veridoc.llm.common import ascii_lower, cut, whole
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -64,46 +68,52 @@ def _block_key(doc: Column, text: Column) -> list[Column]:
     return [F.coalesce(doc.cast("string"), F.lit("null")).alias("_k1"), F.xxhash64(whole(text)).alias("_k2")]
 
 
-def license_matches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(_k1, _k2, block, template, label, containment): every block that meets a template's threshold.
+def block_step(n: int) -> int:
+    """L for a template of n distinct words."""
+    return 1 << max(2, (-(-5 * n // 4) - 1).bit_length())
 
-    `block` is the line's number from 0, `template` the template's place in `templates`. Null texts and
-    empty tables give no rows; rows repeated in `docs` give their rows once.
-    """
-    spark = docs.sparkSession
+
+def _prefixes(docs: DataFrame, text_col: str, templates: Sequence[tuple[str, str]], threshold: float) -> tuple[DataFrame, dict[str, int], list[str]]:
+    """(a row for each template and word of its prefix, the order of words, the words of all prefixes)."""
     sets = [(n, label, _template_words(text)) for n, (text, label) in enumerate(templates)]
     vocabulary = sorted({w for *_, ws in sets for w in ws})
-    known = F.array(*map(F.lit, vocabulary))
-
-    blocks = docs.select(*_block_key(F.col(id_col), F.col(text_col)), F.posexplode(F.split(ascii_lower(whole(F.col(text_col))), "\n")).alias("block", "_line"))
-    # array_intersect drops repeats and keeps what the templates can share
-    blocks = blocks.withColumn("_words", F.array_intersect(F.split("_line", SEPARATORS), known)).drop("_line")
-
-    # The global order: at most one row for each word of the templates comes back.
-    counts = {r["w"]: r["n"] for r in blocks.select(F.explode("_words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    # array_intersect drops repeats; at most one row for each word of the templates comes back
+    held = docs.select(F.explode(F.array_intersect(F.split(ascii_lower(whole(F.col(text_col))), SEPARATORS), F.array(*map(F.lit, vocabulary)))).alias("w"))
+    counts = {r["w"]: r["n"] for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    rank = F.create_map(*[x for w, i in order.items() for x in (F.lit(w), F.lit(i))])
-
     rows = []
     for n, label, ws in sets:
         ranks = sorted(order[w] for w in ws)
         need = max(1, math.ceil(threshold * len(ranks) - 1e-9))
-        rows += [(n, label, ranks, need, i + 1, r) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
-    prefixes = spark.createDataFrame(rows, "template int, label string, _t array<int>, _need int, _i int, _r int")
-    least = min((r[3] for r in rows), default=1)
+        rows += [(n, label, block_step(len(ranks)), ranks, need, i + 1, r) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
+    words_of = {i: w for w, i in order.items()}
+    return docs.sparkSession.createDataFrame(rows, "template int, label string, step int, _t array<int>, _need int, _i int, _r int"), order, sorted({words_of[r[-1]] for r in rows})
 
-    b = blocks.filter(F.size("_words") >= least).withColumn("_b", F.array_sort(F.transform("_words", lambda w: rank[w]))).drop("_words")
-    # The block's own prefix for the smallest need; a template with a larger need takes a shorter one below.
-    b = b.select("*", F.posexplode(F.slice("_b", F.lit(1), F.size("_b") - least + 1)).alias("_j0", "_r"))
+
+def license_matches(candidates: DataFrame, prefixes: DataFrame, order: dict[str, int]) -> DataFrame:
+    """(_k1, _k2, step, block, template, label, containment): every block of `candidates(_k1, _k2, _words)` that meets a template's threshold.
+
+    `block` is its first word, `template` the template's place.
+    """
+    steps = {r["step"]: r["least"] for r in prefixes.groupBy("step").agg(F.min("_need").alias("least")).collect()}  # a few
+    rank, known = F.create_map(*[x for w, i in order.items() for x in (F.lit(w), F.lit(i))]), F.array(*map(F.lit, order))
+    parts = []
+    for step, least in steps.items():
+        at = F.explode(F.sequence(F.lit(0), F.size("_words") - 1, F.lit(step))).alias("block")
+        b = candidates.select("_k1", "_k2", "_words", at).withColumn("_b", F.array_intersect(F.slice("_words", F.col("block") + 1, F.lit(2 * step)), known))
+        b = b.filter(F.size("_b") >= least).select("_k1", "_k2", F.lit(step).alias("step"), "block", F.array_sort(F.transform("_b", lambda w: rank[w])).alias("_b"))
+        # The block's own prefix for the smallest need; a template with a larger need takes a shorter one below.
+        parts.append(b.select("*", F.posexplode(F.slice("_b", F.lit(1), F.size("_b") - least + 1)).alias("_j0", "_r")))
+    b = reduce(DataFrame.union, parts)
     size_b, size_t, j = F.size("_b"), F.size("_t"), F.col("_j0") + 1
     met = (
-        b.join(F.broadcast(prefixes), "_r")  # a row for each prefix word of the templates given
+        b.join(F.broadcast(prefixes), ["_r", "step"])  # a row for each prefix word of the templates given
         .filter((size_b >= F.col("_need")) & (j <= size_b - F.col("_need") + 1))
         .filter(F.lit(1) + F.least(size_t - F.col("_i"), size_b - j) >= F.col("_need"))
         .withColumn("_shared", F.array_intersect("_b", "_t"))
         .filter((F.size("_shared") >= F.col("_need")) & (F.element_at("_shared", 1) == F.col("_r")))  # once, at the first common word
     )
-    return met.select("_k1", "_k2", "block", "template", "label", (F.size("_shared") / size_t).alias("containment")).distinct()
+    return met.select("_k1", "_k2", "step", "block", "template", "label", (F.size("_shared") / size_t).alias("containment")).distinct()
 
 
 def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -114,20 +124,17 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     word for word, else 0. Null or empty texts: zero words, empty labels, null places, score 0. Repeated
     rows are kept and get the same values; other columns are ignored, whatever their names.
     """
-    found = license_matches(docs, id_col=id_col, text_col=text_col, templates=templates, threshold=threshold)
-    found = found.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set("label")).alias("_method"), F.max("containment").alias("_best"), F.countDistinct("block").alias("n_blocks"))
-
+    prefixes, order, rare = _prefixes(docs, text_col, templates, threshold)
     base = docs.select(F.col(id_col).alias("doc_id"), *_block_key(F.col(id_col), F.col(text_col)), words(F.col(text_col)).alias("_w"))
-    base = base.withColumn("_s", F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")))
     places = []
     for phrase, _ in phrases:
         ws = phrase.split(" ")
         if not ws[0]:
             raise ValueError("a phrase has words")
-        # Only texts that hold the phrase are walked through word by word.
-        at = F.filter(F.sequence(F.lit(1), F.size("_w")), _stands(ws))
-        places.append(F.when(F.col("_s").contains(f" {phrase} "), at).otherwise(F.expr("array()").cast("array<int>")))
-    base = base.withColumn("_at", F.array(*places)).drop("_s")
+        # Only texts that hold the phrase's words are walked through word by word.
+        held = reduce(Column.__and__, [F.array_contains("_w", w) for w in ws])
+        places.append(F.when(held, F.filter(F.sequence(F.lit(1), F.size("_w")), _stands(ws))).otherwise(F.expr("array()").cast("array<int>")))
+    base = base.withColumn("_at", F.array(*places))
     flat = F.flatten("_at")
     base = base.select(
         "doc_id", "_k1", "_k2",
@@ -136,9 +143,13 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         (F.array_min(flat) - 1).cast("long").alias("first_word"),
         (F.array_max(flat) - 1).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(F.col("_at")[i]) > 0, F.lit(label)) for i, (_, label) in enumerate(phrases)])))).alias("_base"),
+        F.when(F.arrays_overlap("_w", F.array(*map(F.lit, rare))), F.col("_w")).alias("_words"),
     )
+    base = cut(base)  # texts are taken apart once for both ways
+    found = license_matches(base.filter("_words is not null").select("_k1", "_k2", "_words"), prefixes, order)
+    found = found.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set("label")).alias("_method"), F.max("containment").alias("_best"), F.countDistinct("step", "block").alias("n_blocks"))
     empty = F.expr("array()").cast("array<string>")
-    return base.join(found, ["_k1", "_k2"], "left").select(
+    return base.drop("_words").join(found, ["_k1", "_k2"], "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join("_base", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("_base", F.coalesce("_method", empty))), ",").alias("labels"),

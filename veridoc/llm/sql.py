@@ -15,17 +15,18 @@ def _places(phrase: str) -> str:
 
 
 def _op1() -> str:
-    templates = ", ".join(f"({n}, '{label}', [{', '.join(repr(w) for w in license_scan._template_words(text))}])" for n, (text, label) in enumerate(license_scan.TEMPLATES))
+    templates = ", ".join(f"({n}, '{label}', {license_scan.block_step(len(ws))}, [{', '.join(map(repr, ws))}])" for n, (label, ws) in enumerate((label, license_scan._template_words(text)) for text, label in license_scan.TEMPLATES))
     base = ", ".join(f"CASE WHEN len({_places(p)}) > 0 THEN '{label}' END" for p, label in license_scan.PHRASES)
     places = " || ".join(_places(p) for p, _ in license_scan.PHRASES)
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, {_SPLIT.format(x="t")} AS w FROM d),
 p AS (SELECT doc_id, w, {places} AS found_at, list_sort(list_filter([{base}], lambda x: x IS NOT NULL)) AS base FROM w),
-lines AS (SELECT doc_id, string_split(t, chr(10)) AS ls FROM d),
-blocks AS (SELECT doc_id, block, list_distinct({_SPLIT.format(x="line")}) AS b FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS block FROM lines)),
-met AS (SELECT doc_id, block, label, len(list_intersect(b, words)) / len(words) AS c FROM blocks, (VALUES {templates}) t(n, label, words) WHERE len(list_intersect(b, words)) / len(words) >= {license_scan.THRESHOLD} - 1e-9),
-m AS (SELECT doc_id, list(DISTINCT label) AS found, max(c) AS best, count(DISTINCT block) AS n_blocks FROM met GROUP BY 1)
+steps AS (SELECT DISTINCT step FROM (VALUES {templates}) t(n, label, step, words)),
+starts AS (SELECT doc_id, w, step, unnest(range(0, len(w), step)) AS block FROM w, steps),
+blocks AS (SELECT doc_id, step, block, list_distinct(w[block + 1 : block + 2 * step]) AS b FROM starts),
+met AS (SELECT doc_id, step, block, label, len(list_intersect(b, words)) / len(words) AS c FROM blocks JOIN (VALUES {templates}) t(n, label, step, words) USING (step) WHERE len(list_intersect(b, words)) / len(words) >= {license_scan.THRESHOLD} - 1e-9),
+m AS (SELECT doc_id, list(DISTINCT label) AS found, max(c) AS best, count(DISTINCT (step, block)) AS n_blocks FROM met GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(found_at) AS BIGINT) AS n_base, list_min(found_at) - 1 AS first_word, list_max(found_at) - 1 AS last_word, array_to_string(base, ',') AS base_labels,
   array_to_string(list_sort(list_distinct(base || coalesce(found, []))), ',') AS labels, CASE WHEN len(found_at) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score, coalesce(n_blocks, 0) AS n_blocks
 FROM p LEFT JOIN m USING (doc_id)"""
