@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from veridoc.llm.common import cut, small_batches, whole
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
-#: Fingerprints below a node that is dealt out, about, and levels walked before dealing at least.
-NODE_ROWS, LEAST_DEPTH = 1 << 16, 5
+#: Fingerprints below a node that is dealt out, about, and levels walked before dealing at least, with one trie and with one for each word.
+NODE_ROWS, LEAST_DEPTH, WORD_DEPTH = 1 << 16, 5, 3
 #: Node pairs of a step of the walk at once, and pairs of fingerprints below a node pair from which it is walked on.
 STEP_PAIRS, LEAF_PAIRS = 1 << 17, 64
 #: The stage's rule: words of a shingle, and the least Jaccard similarity as a fraction.
@@ -189,8 +189,8 @@ def _dealt(batch: tuple[np.ndarray, np.ndarray, np.ndarray, int], bits: int, dep
     return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(other), *(pa.array(x.view(np.int64)[at]) for x in (word, after, node))], names=["cell", "other", "word", "next", "node"])
 
 
-def _depth(n: int, bits: int) -> int:
-    return min(bits, max(LEAST_DEPTH, -(-n // NODE_ROWS).bit_length()))
+def _depth(n: int, bits: int, least: int) -> int:
+    return min(bits, max(least, (-(-n // NODE_ROWS)).bit_length()))
 
 
 def _sides(cell: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -205,7 +205,7 @@ def _sides(cell: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 def near_pairs(fps: DataFrame, *, budget: int = BUDGET) -> DataFrame:
     """(fa, fb): every pair of the distinct fingerprints `fps(fp)` with 1 to `budget` differing bits, once."""
-    depth = _depth(fps.count(), 64)
+    depth = _depth(fps.count(), 64, LEAST_DEPTH)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -318,7 +318,7 @@ def _meet_words(cell: pa.Table) -> pa.Table:
 
 def word_links(own: DataFrame) -> DataFrame:
     """(fa, fb): links between the `own(node, fp)` that meet in the trie of some word, as `_meet_words` chooses them, once."""
-    depth = _depth(own.count(), WORD_BITS)
+    depth = _depth(own.count(), WORD_BITS, WORD_DEPTH)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -82,7 +82,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, k: int = K, bins: int =
     reach = min(reach, (1 << 63) - 2)
 
     # salted by id, so that rows that are alike spread as well
-    grid = F.array(*map(F.lit, range(c_blocks)))
+    grid = F.sequence(F.lit(0), F.lit(c_blocks - 1))
     c = candidates.withColumn("cb", F.pmod(F.xxhash64("vec_id"), F.lit(c_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     state = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("qb"), F.lit(-reach).cast("long").alias("low"), F.lit(reach + 1).cast("long").alias("high"), F.lit(k).cast("long").alias("left"))
 
