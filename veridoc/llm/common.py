@@ -65,6 +65,11 @@ def whole(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def once(col: Column) -> Column:
+    """`col` as a generator of one row: its value is made once, where Catalyst would put the expression into every use of the column."""
+    return F.explode(F.array(col))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else: `lower` would fold other alphabets too."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import ascii_lower, cut, whole
+from veridoc.llm.common import ascii_lower, cut, once, whole
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -125,7 +125,7 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows are kept and get the same values; other columns are ignored, whatever their names.
     """
     prefixes, order, rare = _prefixes(docs, text_col, templates, threshold)
-    base = docs.select(F.col(id_col).alias("doc_id"), *_block_key(F.col(id_col), F.col(text_col)), words(F.col(text_col)).alias("_w"))
+    base = docs.select(F.col(id_col).alias("doc_id"), *_block_key(F.col(id_col), F.col(text_col)), once(words(F.col(text_col))).alias("_w"))
     places = []
     for phrase, _ in phrases:
         ws = phrase.split(" ")
@@ -134,7 +134,7 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         # Only texts that hold the phrase's words are walked through word by word.
         held = reduce(Column.__and__, [F.array_contains("_w", w) for w in ws])
         places.append(F.when(held, F.filter(F.sequence(F.lit(1), F.size("_w")), _stands(ws))).otherwise(F.expr("array()").cast("array<int>")))
-    base = base.withColumn("_at", F.array(*places))
+    base = base.select("*", once(F.array(*places)).alias("_at"))
     flat = F.flatten("_at")
     base = base.select(
         "doc_id", "_k1", "_k2",
