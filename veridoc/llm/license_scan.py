@@ -99,9 +99,10 @@ def license_matches(candidates: DataFrame, prefixes: DataFrame, order: dict[str,
     rank, known = F.create_map(*[x for w, i in order.items() for x in (F.lit(w), F.lit(i))]), F.array(*map(F.lit, order))
     parts = []
     for step, least in steps.items():
-        at = F.explode(F.sequence(F.lit(0), F.size("_words") - 1, F.lit(step))).alias("block")
-        b = candidates.select("_k1", "_k2", "_words", at).withColumn("_b", F.array_intersect(F.slice("_words", F.col("block") + 1, F.lit(2 * step)), known))
-        b = b.filter(F.size("_b") >= least).select("_k1", "_k2", F.lit(step).alias("step"), "block", F.array_sort(F.transform("_b", lambda w: rank[w])).alias("_b"))
+        # blocks are cut inside the array: a row for each with the whole text beside it would be the text's square
+        made = F.transform(F.sequence(F.lit(0), F.size("_words") - 1, F.lit(step)), _block(step, known))
+        b = candidates.select("_k1", "_k2", F.explode(F.filter(made, _has(least))).alias("_x")).select("_k1", "_k2", "_x.*")
+        b = b.select("_k1", "_k2", F.lit(step).alias("step"), "block", F.array_sort(F.transform("_b", lambda w: rank[w])).alias("_b"))
         # The block's own prefix for the smallest need; a template with a larger need takes a shorter one below.
         parts.append(b.select("*", F.posexplode(F.slice("_b", F.lit(1), F.size("_b") - least + 1)).alias("_j0", "_r")))
     b = reduce(DataFrame.union, parts)
@@ -158,6 +159,15 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _block(step: int, known: Column) -> Callable[[Column], Column]:
+    """The words of templates in the block that begins at a place."""
+    return lambda i: F.struct(i.alias("block"), F.array_intersect(F.slice("_words", i + 1, F.lit(2 * step)), known).alias("_b"))
+
+
+def _has(least: int) -> Callable[[Column], Column]:
+    return lambda x: F.size(x["_b"]) >= least
+
+
 def _stands(ws: list[str]) -> Callable[[Column], Column]:
     """Whether the words `ws` stand at place i (from 1) of the column _w."""
 
