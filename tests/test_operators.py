@@ -210,3 +210,58 @@ def test_bucket_equals_the_whole_number(spark):
 def test_rule_eval_takes_null_as_no(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id long, t string")
     assert [tuple(r) for r in verdicts.rule_eval(df, "id", [("HAS-A", "t = 'a'"), ("NOT-A", "t != 'a'")]).collect()] == [(1, "HAS-A")]
+
+
+def test_dates_behind_labels_and_in_words(spark):
+    rows = [(1, "made 01.01.2001\nPaid: 02.03.2024 10:11"), (2, "paid: nothing, on 3 March 2024"), (3, "5 мая 2024, 06:07:08"), (4, "99.99.2024"), (5, ""), (6, None), (7, "paid: 31.02.2024 and 01.02.2024")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    got = {r.id: r.printed_at and r.printed_at.isoformat() for r in text.parse_datetimes(df, "t", labels=["Paid:"], months={"mar": 3, "ма": 5}).collect()}
+    assert got == {1: "2024-03-02T10:11:00", 2: "2024-03-03T00:00:00", 3: "2024-05-05T06:07:08", 4: None, 5: None, 6: None, 7: None}
+
+
+def test_first_three_amounts_that_do_not_add_up(spark):
+    rows = [(1, [100.0, 10.0, 110.0, 5.0, 116.0]), (2, [100.0, 10.0, 110.04]), (3, [100.0, 200.0, 301.0]), (4, [100.0, None, 110.0]), (5, [1.0]), (6, []), (7, None)]
+    got = {r.id: r.first_mismatch for r in text.amount_triples(spark.createDataFrame(rows, "id int, a array<double>"), "a").collect()}
+    assert got == {1: 2, 2: None, 3: None, 4: None, 5: None, 6: None, 7: None}
+
+
+def test_marks_of_made_up_text(spark):
+    rows = [(1, "xx abcdez bc 1-2-3 кщтр абвг"), (2, "ab 6161"), (3, "cba 6666 6161x7"), (4, "")]
+    got = {r.id: (r.consonant_run, r.alphabet_run, r.ascending_digits, r.abab_tail) for r in text.text_artifact_scores(spark.createDataFrame(rows, "id int, t string"), "t").collect()}
+    assert got == {1: (4, 5, 2, False), 2: (1, 2, 0, True), 3: (2, 0, 0, False), 4: (0, 0, 0, False)}
+
+
+def test_pairs_of_masked_cards(spark):
+    rows = [(1, "2200 **** 6161 to 9900****1234"), (2, "4111 11****** 5555"), (3, "none"), (4, None)]
+    got = {r.id: (r.cards, r.card_head, r.second_tail, r.prefix_ok, r.abab_tail) for r in text.card_masks(spark.createDataFrame(rows, "id int, t string"), "t", ["22", "4"]).collect()}
+    assert got[1] == (2, "2200", "1234", False, True) and got[2] == (1, "4111", None, True, False) and got[3] == (0, None, None, None, False)
+    assert got[4][1:] == (None, None, None, None)
+
+
+def test_typography_of_amounts(spark):
+    rows = [(1, "10,00 RUR\u00a0\n5,00 RUR"), (2, "10,00 RUR\u00a0\u00a0"), (3, "1 000,00 RUR"), (4, "")]
+    got = {r.id: (r.padded, r.uneven_trail, r.grouped) for r in text.amount_typography(spark.createDataFrame(rows, "id int, t string"), "t").collect()}
+    assert got == {1: (0, True, 0), 2: (1, False, 0), 3: (0, False, 1), 4: (0, False, 0)}
+
+
+def test_thin_fonts_have_their_own_threshold(spark):
+    items = spark.createDataFrame([(1, "A", c, "x") for c in "abc"] + [(2, "B", c, "x") for c in "abc"] + [(3, "A", "a", "ok")], "d int, f string, c string, h string")
+    library = spark.createDataFrame([(f, c, ["ok"]) for f in "AB" for c in "abc"] + [("C", "a", ["ok"])], "f string, c string, hashes array<string>")
+    samples = spark.createDataFrame([("A", 9), ("B", 2)], "f string, samples int")
+    out = corpus.library_drift(items, "d", "f", "c", "h", library, min_n=3, min_bad=3, ratio=0.5, strict=(4, 4, 0.5), samples=samples, min_samples=5)
+    assert {r.d: (r.compared, r.thin_compared, r.drift) for r in out.collect()} == {1: (3, 0, True), 2: (0, 3, False), 3: (1, 0, False)}
+    assert sorted(map(tuple, corpus.missing_fonts(items, "d", "f", library).collect())) == [(1, "B"), (1, "C"), (2, "A"), (2, "C"), (3, "B"), (3, "C")]
+
+
+def test_templates_allow_ranges_and_modes(spark):
+    docs = spark.createDataFrame([(1, 10.0, "p"), (2, 11.0, "q"), (3, 50.0, "p"), (4, None, None)], "d int, x double, m string")
+    t = spark.createDataFrame([("a", 10.0, 9.0, 10.0, ["p"])], "template string, at double, x_lo double, x_hi double, m_modes array<string>")
+    got = {r.d: (r.template, r.breaks) for r in links.template_check(docs, "d", "x", t, tol=2, ranges=["x"], modes=["m"]).collect()}
+    assert got == {1: ("a", []), 2: ("a", ["x", "m"]), 3: (None, []), 4: (None, [])}
+
+
+def test_rules_of_identity_are_not_ranked(spark):
+    docs = spark.createDataFrame([(i, i % 2 == 0) for i in range(8)], "d int, bad boolean")
+    flags = spark.createDataFrame([(i, c) for i in range(8) for c in ("KNOWN", "SHAPE")], "d int, code string")
+    out = corpus.rule_ranking(docs, flags, doc="d", failed=F.col("bad"), identity=["KNOWN"])
+    assert [r.code for r in out.collect()] == ["SHAPE"]

@@ -53,12 +53,12 @@ def one_label_per_doc(df: DataFrame, doc: str, verdict: str) -> DataFrame:
     return df.groupBy(doc).agg(F.min(verdict).alias("verdict"), F.max(verdict).alias("_z")).filter("verdict = _z").drop("_z")
 
 
-def rule_ranking(docs: DataFrame, flags: DataFrame, *, doc: str, failed: Column, min_support: int = 3) -> DataFrame:
-    """Per rule with enough support: fail rates with and without it, their difference, the odds ratio with 0.5 added to each
+def rule_ranking(docs: DataFrame, flags: DataFrame, *, doc: str, failed: Column, min_support: int = 3, identity: Sequence[str] = ()) -> DataFrame:
+    """Per rule with enough support that isn't one of the `identity` rules (known files, which tell nothing of others): fail rates with and without it, their difference, the odds ratio with 0.5 added to each
     cell, and whether it separates perfectly. `docs` has one label for each document."""
     labelled = docs.select(doc, failed.alias("_f"))
     totals = labelled.agg(F.count("*").alias("_n"), F.count_if("_f").alias("_fails"))  # one row
-    per = flags.select(doc, "code").distinct().join(labelled, doc).groupBy("code").agg(F.count("*").alias("support"), F.count_if("_f").alias("hits")).filter(F.col("support") >= min_support)
+    per = flags.filter(~F.col("code").isin(*identity)).select(doc, "code").distinct().join(labelled, doc).groupBy("code").agg(F.count("*").alias("support"), F.count_if("_f").alias("hits")).filter(F.col("support") >= min_support)
     x = per.crossJoin(F.broadcast(totals))
     a, b = F.col("hits"), F.col("support") - F.col("hits")
     c, d = F.col("_fails") - F.col("hits"), F.col("_n") - F.col("support") - F.col("_fails") + F.col("hits")
@@ -139,13 +139,21 @@ def build_pools(df: DataFrame, group: str, layers: Sequence[str]) -> DataFrame:
     return df.select(group, F.explode(pairs).alias("_l")).select(group, "_l.*").filter("value is not null").groupBy(group, "layer", "value").agg(F.count("*").alias("n"))
 
 
-def pool_membership(df: DataFrame, doc: str, group: str, layers: Sequence[str], pools: DataFrame) -> DataFrame:
-    """(doc, unknown_layers, all_unknown): layers whose value the group's pool lacks; only documents with all of them unknown are suspect."""
+def pool_membership(df: DataFrame, doc: str, group: str, layers: Sequence[str], pools: DataFrame, wholes: DataFrame | None = None) -> DataFrame:
+    """(doc, unknown_layers, all_unknown): layers whose value the group's pool lacks; only documents with all of them unknown are suspect.
+
+    With `wholes` (group, layers) also `whole_known`: whether all layers' values stand together there, nulls as values.
+    """
     pairs = F.array(*[F.struct(F.lit(m).alias("layer"), F.col(m).cast("string").alias("value")) for m in layers])
-    long = df.select(doc, group, F.explode(pairs).alias("_l")).select(doc, group, "_l.*")
+    whole = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in (group, *layers)])).alias("_w")
+    long = df.select(doc, group, whole, F.explode(pairs).alias("_l")).select(doc, group, "_w", "_l.*")
     known = pools.select(group, "layer", "value", F.lit(True).alias("_known")).distinct()
     seen = long.join(known, [group, "layer", "value"], "left")
-    return seen.groupBy(doc).agg(F.count_if(F.col("_known").isNull()).alias("unknown_layers"), F.bool_and(F.col("_known").isNull()).alias("all_unknown"))
+    unknown = [F.count_if(F.col("_known").isNull()).alias("unknown_layers"), F.bool_and(F.col("_known").isNull()).alias("all_unknown")]
+    if wholes is None:
+        return seen.groupBy(doc).agg(*unknown)
+    seen = seen.join(wholes.select(whole).distinct().withColumn("_whole", F.lit(True)), "_w", "left")
+    return seen.groupBy(doc).agg(*unknown, F.bool_or(F.col("_whole").isNotNull()).alias("whole_known"))
 
 
 def build_library(items: DataFrame, font: str, char: str, hash_col: str) -> DataFrame:
@@ -153,11 +161,31 @@ def build_library(items: DataFrame, font: str, char: str, hash_col: str) -> Data
     return items.groupBy(font, char).agg(F.array_sort(F.collect_set(hash_col)).alias("hashes"))
 
 
-def library_drift(items: DataFrame, doc: str, font: str, char: str, hash_col: str, library: DataFrame, *, min_n: int = 12, min_bad: int = 3, ratio: float = 0.2) -> DataFrame:
-    """(doc, compared, unknown, drift): items whose character the library knows with other hashes only."""
-    x = items.join(library, [font, char])
-    out = x.groupBy(doc).agg(F.count("*").alias("compared"), F.count_if(~F.array_contains("hashes", F.col(hash_col))).alias("unknown"))
-    return out.withColumn("drift", (F.col("compared") >= min_n) & (F.col("unknown") >= min_bad) & (F.col("unknown") / F.col("compared") >= ratio))
+def library_drift(
+    items: DataFrame, doc: str, font: str, char: str, hash_col: str, library: DataFrame, *, min_n: int = 12, min_bad: int = 3, ratio: float = 0.2,
+    strict: tuple[int, int, float] | None = None, samples: DataFrame | None = None, min_samples: int = 0,
+) -> DataFrame:
+    """(doc, compared, unknown, drift): items whose character the library knows with other hashes only.
+
+    With `samples` (font, samples) only fonts with `min_samples` of them are held by the first threshold; items of the others are
+    counted apart (`thin_compared`, `thin_unknown`) and held by the `strict` one (items, unknown ones, their share).
+    """
+    x = items.join(library, [font, char]).withColumn("_bad", ~F.array_contains("hashes", F.col(hash_col)))
+    over = lambda n, bad, a, b, r: (F.col(n) >= a) & (F.col(bad) >= b) & (F.col(bad) / F.greatest(F.col(n), F.lit(1)) >= r)
+    drift = over("compared", "unknown", min_n, min_bad, ratio)
+    if samples is None:
+        return x.groupBy(doc).agg(F.count("*").alias("compared"), F.count_if("_bad").alias("unknown")).withColumn("drift", drift)
+    thin = F.coalesce(F.col("_samples"), F.lit(0)) < min_samples
+    x = x.join(samples.select(font, F.col("samples").alias("_samples")), font, "left")
+    out = x.groupBy(doc).agg(F.count_if(~thin).alias("compared"), F.count_if(~thin & F.col("_bad")).alias("unknown"), F.count_if(thin).alias("thin_compared"), F.count_if(thin & F.col("_bad")).alias("thin_unknown"))
+    return out.withColumn("drift", drift | over("thin_compared", "thin_unknown", *strict) if strict else drift)
+
+
+def missing_fonts(items: DataFrame, doc: str, font: str, library: DataFrame) -> DataFrame:
+    """(doc, font): fonts of the library that a document lacks. The library's fonts are one row of a bounded number."""
+    fonts = library.agg(F.collect_set(font).alias("_all"))
+    own = items.groupBy(doc).agg(F.collect_set(font).alias("_own"))
+    return own.crossJoin(F.broadcast(fonts)).select(doc, F.explode(F.array_except("_all", "_own")).alias(font))
 
 
 def build_epochs(df: DataFrame, profile: str, date: str) -> DataFrame:
@@ -199,9 +227,12 @@ def build_slot_canon(items: DataFrame, owner: str, slot: str, content: str) -> D
 
 
 def slot_transplant(items: DataFrame, doc: str, owner: str, slot: str, content: str, canon: DataFrame) -> DataFrame:
-    """(doc, slot, content, canon_owner): items that carry what another owner's canon has."""
+    """(doc, slot, content, canon_owner, displaced): items that carry what another owner's canon has; `displaced` where the canon has
+    contents of the item's own owner in that slot too, which the item then lacks."""
     c = canon.select(F.col(owner).alias("canon_owner"), slot, content)
-    return items.join(c, [slot, content]).filter(F.col("canon_owner") != F.col(owner)).select(doc, slot, content, "canon_owner").distinct()
+    x = items.join(c, [slot, content]).filter(F.col("canon_owner") != F.col(owner))
+    own = canon.select(owner, slot, F.lit(True).alias("_own")).distinct()
+    return x.join(own, [owner, slot], "left").select(doc, slot, content, "canon_owner", F.col("_own").isNotNull().alias("displaced")).distinct()
 
 
 def build_registry(parts: DataFrame, id_col: str, path: str, part_hash: str) -> DataFrame:

@@ -171,6 +171,20 @@ def nearest_template(df: DataFrame, doc: str, x: str, templates: DataFrame, *, t
     return best.select(doc, "_m.template", "_m.distance")
 
 
+def template_check(df: DataFrame, doc: str, x: str, templates: DataFrame, *, tol: float, ranges: Sequence[str] = (), modes: Sequence[str] = ()) -> DataFrame:
+    """(doc, template, breaks): the nearest template and the metrics that it doesn't allow.
+
+    A template has the columns m_lo and m_hi for a metric m of `ranges` and an array m_modes for one of `modes`; an open end, an empty
+    array and a null metric pass. Documents without a template near enough have a null one and break nothing. One row per document.
+    """
+    best = nearest_template(df, doc, x, templates, tol=tol).select(doc, "template")
+    rules = templates.select("template", *[F.col(f"{m}_{e}").alias(f"_{m}_{e}") for m in ranges for e in ("lo", "hi")], *[F.col(f"{m}_modes").alias(f"_{m}_modes") for m in modes])
+    at = df.select(doc, *dict.fromkeys([*ranges, *modes])).join(best, doc, "left").join(rules, "template", "left")
+    out = [F.when((F.col(m) < F.col(f"_{m}_lo")) | (F.col(m) > F.col(f"_{m}_hi")), m) for m in ranges]
+    out += [F.when((F.size(f"_{m}_modes") > 0) & ~F.array_contains(f"_{m}_modes", F.col(m)), m) for m in modes]
+    return at.select(doc, "template", F.array_compact(F.array(*out)).alias("breaks"))
+
+
 def overlap_pairs(boxes: DataFrame, doc: str, item: Sequence[str], x0: str, x1: str, y0: str, y1: str) -> DataFrame:
     """Pairs of a document's boxes that overlap, the smaller item first."""
     a = boxes.select(doc, F.struct(*item).alias("a"), F.col(x0).alias("ax0"), F.col(x1).alias("ax1"), F.col(y0).alias("ay0"), F.col(y1).alias("ay1"))
@@ -178,6 +192,13 @@ def overlap_pairs(boxes: DataFrame, doc: str, item: Sequence[str], x0: str, x1:
     return a.join(b, doc).filter("a < b and ax0 < bx1 and bx0 < ax1 and ay0 < by1 and by0 < ay1").select(doc, "a", "b")
 
 
+def right_overflow(boxes: DataFrame, doc: str, item: Sequence[str], x1: str, second: str, pages: DataFrame, right: str, *, tol: float = 0.0) -> DataFrame:
+    """(doc, item): boxes that end beyond the right edge of their page (doc, right) by more than the tolerance, by both measures of
+    their end; a box that lacks one isn't told."""
+    edge = F.col(right) + F.lit(tol)
+    return boxes.join(pages.select(doc, right), doc).filter((F.col(x1) > edge) & (F.col(second) > edge)).select(doc, *item)
+
+
 def dedup_two_keys(df: DataFrame, file_key: str, identity_key: str, order: Sequence[str], id_col: str) -> DataFrame:
     """`duplicate_of`: the first earlier row with the same file, else with the same identity. Two windows, never an OR-join."""
     first = lambda key: F.first(id_col).over(Window.partitionBy(*by_known(key, order)).orderBy(*order))

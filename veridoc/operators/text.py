@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -118,13 +119,32 @@ def format_amount(df: DataFrame, col: str, *, out: str = "formatted") -> DataFra
     return df.withColumn(out, F.translate(F.format_number(F.col(col).cast("decimal(18,2)"), 2), ",.", " ,"))
 
 
-def parse_datetimes(df: DataFrame, text: str, *, out: str = "printed_at") -> DataFrame:
-    """The first dd.mm.yyyy with its time, if there is one; null where it is no date."""
-    date = F.regexp_extract(text, r"\b([0-9]{2}\.[0-9]{2}\.[0-9]{4})(?:[ ,T]+([0-9]{2}:[0-9]{2})(:[0-9]{2})?)?", 1)
-    hm = F.regexp_extract(text, r"\b([0-9]{2}\.[0-9]{2}\.[0-9]{4})(?:[ ,T]+([0-9]{2}:[0-9]{2})(:[0-9]{2})?)?", 2)
-    sec = F.regexp_extract(text, r"\b([0-9]{2}\.[0-9]{2}\.[0-9]{4})(?:[ ,T]+([0-9]{2}:[0-9]{2})(:[0-9]{2})?)?", 3)
-    written = F.concat(date, F.lit(" "), F.when(hm == "", "00:00").otherwise(hm), F.when(sec == "", ":00").otherwise(sec))
-    return df.withColumn(out, F.try_to_timestamp(F.when(date != "", written), F.lit("dd.MM.yyyy HH:mm:ss")).cast("timestamp_ntz"))
+#: A date and its time in lower-cased text.
+DATE_TIME = r"\b([0-9]{2}\.[0-9]{2}\.[0-9]{4})(?:[ ,t]+([0-9]{2}:[0-9]{2})(:[0-9]{2})?)?"
+
+
+def parse_datetimes(df: DataFrame, text: str, *, labels: Sequence[str] = (), months: Mapping[str, int] = {}, out: str = "printed_at") -> DataFrame:
+    """The first date with its time, if there is one: after the first of the labels that one follows, else anywhere in the text.
+
+    A date is dd.mm.yyyy or, where none stands there, a day, a word that begins as one of `months` (lower case) and a year.
+    Labels are found in any case. Null where there is no date or it is none in the calendar.
+    """
+    t = F.lower(F.translate(F.col(text), SPACES, " " * len(SPACES)))
+    clock = lambda hm, sec: F.concat(F.lit(" "), F.when(hm == "", "00:00").otherwise(hm), F.when(sec == "", ":00").otherwise(sec))
+    at = lambda date, hm, sec: F.try_to_timestamp(F.concat(date, clock(hm, sec)), F.lit("dd.MM.yyyy HH:mm:ss")).cast("timestamp_ntz")
+
+    def first(s):
+        date, hm, sec = (F.regexp_extract(s, DATE_TIME, i) for i in (1, 2, 3))
+        worded = F.lit(None).cast("timestamp_ntz")
+        if months:
+            pattern = r"\b([0-9]{1,2}) +(" + "|".join(months) + r")\p{L}*\.? +([0-9]{4})(?:[ ,]+([0-9]{2}:[0-9]{2})(:[0-9]{2})?)?"
+            day, word, year, word_hm, word_sec = (F.regexp_extract(s, pattern, i) for i in range(1, 6))
+            number = F.create_map(*[F.lit(x) for m, n in months.items() for x in (m, f"{n:02d}")])[word]
+            worded = at(F.concat_ws(".", F.lpad(day, 2, "0"), number, year), word_hm, word_sec)
+        return F.when(date != "", at(date, hm, sec)).otherwise(worded)
+
+    regions = [F.regexp_extract(t, "(?s)" + re.escape(x.lower()) + "(.*)", 1) for x in labels]
+    return df.withColumn(out, F.coalesce(*[first(r) for r in regions], first(t)))
 
 
 def parse_pdf_date(df: DataFrame, col: str, *, out: str = "instant") -> DataFrame:
@@ -172,40 +192,89 @@ def amount_arithmetic(df: DataFrame, amount: str, fee: str, total: str, *, eps:
     return df.withColumn("adds_up", F.when(applies, F.abs(a + f - t) <= F.lit(eps).cast("decimal(18,2)")))
 
 
-def amount_typography(df: DataFrame, text: str) -> DataFrame:
-    """Amounts of a text written with and without grouping: `mixed_grouping` where both occur."""
+def amount_triples(df: DataFrame, amounts: str, *, eps: float = 0.05, out: str = "first_mismatch") -> DataFrame:
+    """Where, from 0, the first three neighbours of an array of amounts stand that should be amount, fee and total and don't add up; null for none.
+
+    Threes with a null, with a fee that isn't below the amount or with a total below it are passed over.
+    """
+    at = lambda i: F.get(F.col(amounts), i).cast("decimal(18,2)")
+    off = lambda i: (at(i + 1) < at(i)) & (at(i + 2) >= at(i)) & (F.abs(at(i) + at(i + 1) - at(i + 2)) > F.lit(eps).cast("decimal(18,2)"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(amounts) - 3, F.lit(0)))
+    return df.withColumn(out, F.get(F.filter(starts, off), F.lit(0)).cast("long"))
+
+
+def amount_typography(df: DataFrame, text: str, *, currency: str = "RUR|RUB|USD|EUR|[₽$€£]") -> DataFrame:
+    """How a text writes its amounts: with and without grouping (`mixed_grouping` where both occur), how many currency marks are padded
+    with two no-break spaces or more, and whether some marks have one behind them and others don't (`uneven_trail`)."""
     grouped = F.regexp_count(text, F.lit(r"\b[0-9]{1,3}(?:[ \u00a0][0-9]{3})+[.,][0-9]{2}\b"))
     plain = F.regexp_count(text, F.lit(r"(?<![0-9 \u00a0])[0-9]{4,}[.,][0-9]{2}\b"))
-    return df.withColumn("grouped", grouped.cast("long")).withColumn("ungrouped", plain.cast("long")).withColumn("mixed_grouping", (grouped > 0) & (plain > 0))
+    mark = rf"[0-9][ \u00a0]?(?:{currency})"
+    marks, trailed = F.regexp_count(text, F.lit(mark)), F.regexp_count(text, F.lit(mark + r"\u00a0"))
+    return (
+        df.withColumn("grouped", grouped.cast("long")).withColumn("ungrouped", plain.cast("long")).withColumn("mixed_grouping", (grouped > 0) & (plain > 0))
+        .withColumn("padded", F.regexp_count(text, F.lit(mark + r"\u00a0{2,}")).cast("long")).withColumn("uneven_trail", (trailed > 0) & (trailed < marks))
+    )
+
+
+def _ladders(alphabet: str) -> str:
+    """A pattern of two or more letters that follow each other in the alphabet, as many as there are."""
+    rest = lambda s: f"(?:{s[0]}{rest(s[1:])})?" if s else ""
+    return "|".join(alphabet[i : i + 2] + rest(alphabet[i + 2 :]) for i in range(len(alphabet) - 1))
+
+
+LADDERS = _ladders("".join(map(chr, range(ord("a"), ord("z") + 1)))) + "|" + _ladders("".join(map(chr, range(ord("а"), ord("я") + 1))))
 
 
 def text_artifact_scores(df: DataFrame, col: str) -> DataFrame:
-    """Longest consonant run, control characters, padding and runs of three like characters in a text."""
-    runs = F.regexp_extract_all(F.lower(col), F.lit("[bcdfghjklmnpqrstvwxz]+"), F.lit(0))
+    """Marks of made-up text: the longest run of consonants of one script and of letters in the order of the alphabet (0 for none),
+    digits that are one more than the digit before them (whatever stands between), whether the last four digits are ABAB,
+    control characters, padding, and runs of three like characters."""
+    low = F.lower(col)
+    longest = lambda p: F.coalesce(F.array_max(F.transform(F.regexp_extract_all(low, F.lit(p), F.lit(0)), F.length)), F.lit(0)).cast("long")
+    digits = F.regexp_replace(col, "[^0-9]", "")
     return (
-        df.withColumn("consonant_run", F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)).cast("long"))
+        df.withColumn("consonant_run", longest("[bcdfghjklmnpqrstvwxz]+|[бвгджзйклмнпрстфхцчшщъь]+"))
+        .withColumn("alphabet_run", longest(LADDERS))
+        .withColumn("ascending_digits", F.regexp_count(digits, F.lit("(?=01|12|23|34|45|56|67|78|89)")).cast("long"))
+        .withColumn("abab_tail", _abab(F.regexp_extract(col, "([0-9]{4})[^0-9]*$", 1)))
         .withColumn("control_chars", F.length(F.regexp_replace(col, r"[^\x01-\x08\x0B\x0C\x0E-\x1F]", "")).cast("long"))
         .withColumn("padding", (F.length(col) - F.length(F.btrim(F.col(col)))).cast("long"))
         .withColumn("triples", F.regexp_count(col, F.lit("aaa|eee|###|!!!|\\*\\*\\*|&&&")).cast("long"))
     )
 
 
+def _abab(four: Column) -> Column:
+    """Whether four characters are two unlike ones and the same again."""
+    one = lambda i: F.substring(four, i, 1)
+    return (F.length(four) == 4) & (one(1) == one(3)) & (one(2) == one(4)) & (one(1) != one(2))
+
+
+CARD_MASK = r"\b([0-9]{4})[0-9 ]{0,3}[*xX]{4,8} ?([0-9]{4})\b"
+
+
 def card_masks(df: DataFrame, text: str, prefixes: Sequence[str]) -> DataFrame:
-    """The first masked card number and whether its issuer prefix is known."""
-    found = F.regexp_extract(text, r"\b([0-9]{4})[0-9 ]{0,3}[*xX]{4,8} ?([0-9]{4})\b", 1)
-    return df.withColumn("card_head", F.nullif(found, F.lit(""))).withColumn("prefix_ok", F.when(found != "", F.arrays_overlap(F.array(F.substring(found, 1, 1), F.substring(found, 1, 2)), F.array(*map(F.lit, prefixes)))))
+    """Masked card numbers: how many, the first two's heads and tails (null where there is none), whether all have a known issuer
+    prefix (null without cards), and whether a tail is ABAB."""
+    heads, tails = (F.regexp_extract_all(text, F.lit(CARD_MASK), F.lit(i)) for i in (1, 2))
+    known = lambda h: F.arrays_overlap(F.array(F.substring(h, 1, 1), F.substring(h, 1, 2)), F.array(*map(F.lit, prefixes)))
+    out = df.withColumn("cards", F.size(heads).cast("long"))
+    for i, name in enumerate(("card", "second")):
+        out = out.withColumn(f"{name}_head", F.get(heads, F.lit(i))).withColumn(f"{name}_tail", F.get(tails, F.lit(i)))
+    return out.withColumn("prefix_ok", F.when(F.size(heads) > 0, F.forall(heads, known))).withColumn("abab_tail", F.exists(tails, _abab))
 
 
 def distinct_mentions(df: DataFrame, text: str, pattern: str, *, out: str = "mentions") -> DataFrame:
     return df.withColumn(out, F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).cast("long"))
 
 
-def regime_check(df: DataFrame, doc: str, token: str, date: str, regimes: DataFrame) -> DataFrame:
-    """(doc, token): tokens used on a date outside their regime (token, valid_from, valid_to); open ends are null, unknown tokens pass."""
+def regime_check(df: DataFrame, doc: str, token: str, dates: str | Sequence[str], regimes: DataFrame) -> DataFrame:
+    """(doc, token): tokens outside their regime (token, valid_from, valid_to) on one of the dates; open ends are null, a token may have
+    several regimes, unknown tokens and null dates pass."""
     r = regimes.withColumnRenamed("token", "_t")
     x = df.join(r, df[token] == r["_t"])
-    inside = F.coalesce(F.col(date) >= F.col("valid_from"), F.lit(True)) & F.coalesce(F.col(date) < F.col("valid_to"), F.lit(True))
-    return x.groupBy(doc, token).agg(F.bool_or(inside).alias("_ok")).filter("not _ok").select(doc, token)
+    inside = lambda d: F.coalesce(F.col(d) >= F.col("valid_from"), F.lit(True)) & F.coalesce(F.col(d) < F.col("valid_to"), F.lit(True))
+    held = [F.bool_or(inside(d)).alias(f"_ok{i}") for i, d in enumerate([dates] if isinstance(dates, str) else dates)]
+    return x.groupBy(doc, token).agg(*held).filter(" or ".join(f"not _ok{i}" for i in range(len(held)))).select(doc, token)
 
 
 def metadata_drift(df: DataFrame, created: str, modified: str, operation: str, *, edit_s: int = 60, late_s: int = 300) -> DataFrame:
@@ -253,11 +322,18 @@ def char_entropy(df: DataFrame, doc: str, text: str) -> DataFrame:
     return out.select(doc, (F.log2("chars") - F.col("_s") / F.col("chars")).alias("entropy"), "chars")
 
 
-def domain_functions(df: DataFrame, address: str) -> DataFrame:
-    """`host`, and the registered domain as its last two labels."""
+def domain_functions(df: DataFrame, address: str, banks: DataFrame | None = None) -> DataFrame:
+    """`host`, the registered domain as its last two labels, and with `banks` (domain, bank) the bank of the host, else of that domain."""
     host = F.lower(F.regexp_extract(address, r"(?:@|://)([A-Za-z0-9.-]+)", 1))
     labels = F.split("host", r"\.")
-    return df.withColumn("host", host).withColumn("registered", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), "."))
+    out = df.withColumn("host", host).withColumn("registered", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), "."))
+    if banks is None:
+        return out
+    known = banks.groupBy(F.lower("domain").alias("_domain")).agg(F.min("bank").alias("_bank"))
+    for c in ("host", "registered"):
+        k = known.select(F.col("_domain").alias(f"_{c}"), F.col("_bank").alias(f"_{c}_bank"))
+        out = out.join(k, out[c] == k[f"_{c}"], "left").drop(f"_{c}")
+    return out.withColumn("bank", F.coalesce("_host_bank", "_registered_bank")).drop("_host_bank", "_registered_bank")
 
 
 def sender_alignment(mails: DataFrame, domains: DataFrame) -> DataFrame:

@@ -124,11 +124,10 @@ def build_pools(spark, sf_dir):
 POOLED = lambda t: "(" + " UNION ALL ".join(f"SELECT doc_id, lang, '{m}' AS layer, CAST({m} AS VARCHAR) AS value FROM {t}" for m in ("h", "breaks", "len")) + ")"
 
 
-@query(f"SELECT doc_id, count(*) FILTER (WHERE NOT known) AS unknown_layers, bool_and(NOT known) AS all_unknown FROM (SELECT doc_id, (lang, layer, value) IN (SELECT (lang, layer, value) FROM {POOLED(TRUSTED)}) AS known FROM {POOLED(DOCS)}) GROUP BY 1")
+@query(f"SELECT *, doc_id IN (SELECT d.doc_id FROM {DOCS} d JOIN {TRUSTED} t ON (d.lang, d.h, d.breaks, d.len) IS NOT DISTINCT FROM (t.lang, t.h, t.breaks, t.len)) AS whole_known FROM (SELECT doc_id, count(*) FILTER (WHERE NOT known) AS unknown_layers, bool_and(NOT known) AS all_unknown FROM (SELECT doc_id, (lang, layer, value) IN (SELECT (lang, layer, value) FROM {POOLED(TRUSTED)}) AS known FROM {POOLED(DOCS)}) GROUP BY 1)")
 def pool_membership(spark, sf_dir):
-    layers = ["h", "breaks", "len"]
-    pools = C.build_pools(labelled(spark, sf_dir).filter("quality = 1"), "lang", layers)
-    return C.pool_membership(docs(spark, sf_dir), "doc_id", "lang", layers, pools)
+    layers, trusted = ["h", "breaks", "len"], labelled(spark, sf_dir).filter("quality = 1")
+    return C.pool_membership(docs(spark, sf_dir), "doc_id", "lang", layers, C.build_pools(trusted, "lang", layers), trusted)
 
 
 ITEMS = "(SELECT l_orderkey, l_shipmode AS font, CAST(l_linenumber AS VARCHAR) AS chr, CAST(CAST(round(l_quantity) AS BIGINT) % 7 AS VARCHAR) AS hash FROM (SELECT *, l_returnflag AS l_shipmode FROM lineitem))"
@@ -147,11 +146,20 @@ def build_library(spark, sf_dir):
 
 
 @query(
-    f"SELECT l_orderkey, compared, unknown, compared >= 4 AND unknown >= 2 AND unknown / compared >= 0.5 AS drift FROM (SELECT l_orderkey, count(*) AS compared, count(*) FILTER (WHERE NOT list_contains(hashes, hash)) AS unknown FROM {ITEMS} JOIN {LIBRARY} USING (font, chr) GROUP BY 1)"
+    f"""SELECT *, (compared >= 2 AND unknown >= 1 AND unknown / greatest(compared, 1) >= 0.5) OR (thin_compared >= 2 AND thin_unknown >= 2 AND thin_unknown / greatest(thin_compared, 1) >= 0.7) AS drift FROM (SELECT l_orderkey, count(*) FILTER (WHERE font = 'N') AS compared, count(*) FILTER (WHERE font = 'N' AND bad) AS unknown,
+    count(*) FILTER (WHERE font <> 'N') AS thin_compared, count(*) FILTER (WHERE font <> 'N' AND bad) AS thin_unknown FROM (SELECT *, NOT list_contains(hashes, hash) AS bad FROM {ITEMS} JOIN {LIBRARY} USING (font, chr)) GROUP BY 1)"""
 )
 def library_drift(spark, sf_dir):
+    """The library's samples of N are many, those of A and of all others few."""
     library = C.build_library(items(spark, sf_dir).filter("l_orderkey % 50 = 0 and hash < '4'"), "font", "chr", "hash")
-    return C.library_drift(items(spark, sf_dir), "l_orderkey", "font", "chr", "hash", library, min_n=4, min_bad=2, ratio=0.5)
+    samples = items(spark, sf_dir).filter("font <> 'R'").groupBy("font").agg(F.when(F.col("font") == "N", 20).otherwise(3).alias("samples"))
+    return C.library_drift(items(spark, sf_dir), "l_orderkey", "font", "chr", "hash", library, min_n=2, min_bad=1, ratio=0.5, strict=(2, 2, 0.7), samples=samples, min_samples=5)
+
+
+@query(f"SELECT k.l_orderkey, f.font FROM (SELECT DISTINCT l_orderkey FROM {ITEMS}) k, (SELECT DISTINCT font FROM {LIBRARY}) f WHERE (k.l_orderkey, f.font) NOT IN (SELECT (l_orderkey, font) FROM {ITEMS})")
+def missing_fonts(spark, sf_dir):
+    library = C.build_library(items(spark, sf_dir).filter("l_orderkey % 50 = 0 and hash < '4'"), "font", "chr", "hash")
+    return C.missing_fonts(items(spark, sf_dir), "l_orderkey", "font", library)
 
 
 EPOCHS = "(SELECT o_orderpriority, min(CAST(o_orderdate AS DATE)) AS first_date, max(CAST(o_orderdate AS DATE)) AS last_date, count(*) AS samples, count(DISTINCT CAST(o_orderdate AS DATE)) AS dates FROM orders WHERE {where} GROUP BY 1)"
@@ -208,7 +216,7 @@ def build_slot_canon(spark, sf_dir):
     return C.build_slot_canon(table(spark, sf_dir, "lineitem").filter("l_returnflag = 'N'"), "l_suppkey", "l_linenumber", "l_partkey")
 
 
-@query(f"SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, c.l_suppkey AS canon_owner FROM lineitem l JOIN {CANON} c USING (l_linenumber, l_partkey) WHERE l.l_returnflag <> 'N' AND l.l_suppkey <> c.l_suppkey")
+@query(f"SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, c.l_suppkey AS canon_owner, (l.l_suppkey, l_linenumber) IN (SELECT (l_suppkey, l_linenumber) FROM {CANON}) AS displaced FROM lineitem l JOIN {CANON} c USING (l_linenumber, l_partkey) WHERE l.l_returnflag <> 'N' AND l.l_suppkey <> c.l_suppkey")
 def slot_transplant(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
     canon = C.build_slot_canon(rows.filter("l_returnflag = 'N'"), "l_suppkey", "l_linenumber", "l_partkey")

@@ -161,12 +161,25 @@ def partial_replacement(spark, sf_dir):
     return L.partial_replacement(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), expected, "l_orderkey", "l_linenumber", "l_returnflag")
 
 
-@query("SELECT doc_id, min_by(template, (d, template)) AS template, min(d) AS distance FROM (SELECT doc_id, CAST(item_id AS VARCHAR) AS template, CAST(abs(n_chars - length(b.text)) AS DOUBLE) AS d FROM documents JOIN benchmark b ON abs(n_chars - length(b.text)) <= 5) GROUP BY 1")
+NEAREST = "SELECT doc_id, min_by(template, (d, template)) AS template, min(d) AS distance FROM (SELECT doc_id, CAST(item_id AS VARCHAR) AS template, CAST(abs(n_chars - length(b.text)) AS DOUBLE) AS d FROM documents JOIN benchmark b ON abs(n_chars - length(b.text)) <= 5) GROUP BY 1"
+
+
+@query(NEAREST)
 def nearest_template(spark, sf_dir):
     t = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("template"), F.length("text").alias("at"))
     return L.nearest_template(docs(spark, sf_dir), "doc_id", "n_chars", t, tol=5)
 
 
+@query(
+    f"""SELECT doc_id, template, concat_ws(',', CASE WHEN n_chars < length(b.text) - 2 OR n_chars > length(b.text) + 2 THEN 'n_chars' END, CASE WHEN item_id % 2 = 0 AND lang NOT IN ('en', 'de') THEN 'lang' END) AS breaks
+    FROM documents LEFT JOIN ({NEAREST}) USING (doc_id) LEFT JOIN benchmark b ON template = CAST(item_id AS VARCHAR)"""
+)
+def template_check(spark, sf_dir):
+    n, langs = F.length("text"), F.when(F.col("item_id") % 2 == 0, F.array(F.lit("en"), F.lit("de"))).otherwise(F.array().cast("array<string>"))
+    t = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("template"), n.alias("at"), (n - 2).alias("n_chars_lo"), (n + 2).alias("n_chars_hi"), langs.alias("lang_modes"))
+    return L.template_check(docs(spark, sf_dir), "doc_id", "n_chars", t, tol=5, ranges=["n_chars"], modes=["lang"]).withColumn("breaks", F.array_join("breaks", ","))
+
+
 BOXES = "(SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, CAST(round(l_quantity) AS BIGINT) AS x0, l_partkey % 40 AS y0 FROM lineitem)"
 
 
@@ -178,6 +191,14 @@ def overlap_pairs(spark, sf_dir):
     return out.select("l_orderkey", F.col("a.l_linenumber").alias("a_line"), F.col("a.l_partkey").alias("a_part"), F.col("b.l_linenumber").alias("b_line"), F.col("b.l_partkey").alias("b_part"))
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_quantity + 4 > l_orderkey % 20 + 31 AND l_quantity + l_suppkey % 7 > l_orderkey % 20 + 31")
+def right_overflow(spark, sf_dir):
+    """Boxes measured twice, on pages of 30 to 49 units with one to spare."""
+    b = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") + 4).alias("x1"), (F.col("l_quantity") + F.col("l_suppkey") % 7).alias("second"))
+    pages = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct().withColumn("right", F.col("l_orderkey") % 20 + 30)
+    return L.right_overflow(b, "l_orderkey", ["l_linenumber", "l_partkey"], "x1", "second", pages, "right", tol=1)
+
+
 @query(
     f"""SELECT doc_id, CASE WHEN f <> doc_id THEN f WHEN g <> doc_id THEN g END AS duplicate_of FROM (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY h ORDER BY doc_id) AS f, first_value(doc_id) OVER (PARTITION BY source || ':' || len ORDER BY doc_id) AS g FROM {DOCS})"""
 )

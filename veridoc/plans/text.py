@@ -98,10 +98,17 @@ def extract_any_opid(spark, sf_dir):
     return T.extract_any_opid(docs(spark, sf_dir), "text", ["[0-9]{3}-[0-9]{4}", "[A-Z][a-z]+"]).select("doc_id", "any_opid")
 
 
-@query("SELECT event_id, date_trunc('second', ts) AS printed_at FROM events")
+MONTHS = {m: n for n, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL WHEN event_id % 5 = 3 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS printed_at FROM events")
 def parse_datetimes(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("paid on "), F.date_format("ts", "dd.MM.yyyy HH:mm:ss"), F.lit(" by card")).alias("t"))
-    return T.parse_datetimes(rows, "t").drop("t")
+    """Every time written in numbers, behind a label and another date, in words, without seconds, and as no date."""
+    way, at = F.col("event_id") % 5, lambda f: F.date_format("ts", f)
+    t = F.when(way == 0, F.concat(F.lit("paid on "), at("dd.MM.yyyy HH:mm:ss"), F.lit(" by card")))
+    t = t.when(way == 1, F.concat(F.lit("printed 01.02.2003 04:05:06\nDate of payment:\u00a0"), at("dd.MM.yyyy HH:mm:ss")))
+    t = t.when(way == 2, F.concat(F.lit("on "), at("d MMMM yyyy, HH:mm:ss"))).when(way == 3, at("dd.MM.yyyy HH:mm")).otherwise("on 31.02.2024 10:00")
+    return T.parse_datetimes(table(spark, sf_dir, "events").select("event_id", t.alias("t")), "t", labels=["date of payment"], months=MONTHS).drop("t")
 
 
 @query("SELECT event_id, epoch_us(date_trunc('second', ts) - INTERVAL 3 HOUR) // 1000000 AS instant FROM events")
@@ -160,24 +167,45 @@ def amount_arithmetic(spark, sf_dir):
     return T.amount_arithmetic(rows, "a", "f", "t", eps=0.05).select("l_orderkey", "l_linenumber", "l_partkey", "adds_up")
 
 
-@query("SELECT o_orderkey, CAST(o_totalprice >= 1000 AS BIGINT) AS grouped, CAST(o_totalprice >= 1000 AND o_orderkey % 2 = 0 AS BIGINT) AS ungrouped, o_totalprice >= 1000 AND o_orderkey % 2 = 0 AS mixed_grouping FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_orderkey % 2 = 0 THEN 2 END AS first_mismatch FROM orders")
+def amount_triples(spark, sf_dir):
+    """Amount, fee and total twice over, the first total one too large for every third order, the second for every second."""
+    p, key = F.col("o_totalprice").cast("decimal(18,2)"), F.col("o_orderkey")
+    one = p + 100 + F.when(key % 3 == 0, 1).otherwise(0)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.array(*[x.cast("decimal(18,2)") for x in (p + 90, F.lit(10), one, F.lit(5), one + 5 + F.when(key % 2 == 0, 1).otherwise(0))]).alias("a"))
+    return T.amount_triples(rows, "a").select("o_orderkey", "first_mismatch")
+
+
+@query("SELECT o_orderkey, CAST(o_totalprice >= 1000 AS BIGINT) AS grouped, CAST(o_totalprice >= 1000 AND o_orderkey % 2 = 0 AS BIGINT) AS ungrouped, o_totalprice >= 1000 AND o_orderkey % 2 = 0 AS mixed_grouping, CAST(o_orderkey % 4 >= 2 AS BIGINT) AS padded, (o_orderkey % 3 = 0) <> (o_orderkey % 4 > 0) AS uneven_trail FROM orders")
 def amount_typography(spark, sf_dir):
-    rows = T.format_amount(table(spark, sf_dir, "orders"), "o_totalprice")
-    plain = F.when(F.col("o_orderkey") % 2 == 0, F.replace(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))).otherwise("")
-    return T.amount_typography(rows.withColumn("t", F.concat(F.lit("sum: "), "formatted", F.lit(" ="), plain)), "t").select("o_orderkey", "grouped", "ungrouped", "mixed_grouping")
+    rows, key, nbsp = T.format_amount(table(spark, sf_dir, "orders"), "o_totalprice"), F.col("o_orderkey"), F.lit("\u00a0")
+    plain = F.when(key % 2 == 0, F.replace(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))).otherwise("")
+    t = F.concat(F.lit("sum: "), "formatted", F.lit(" RUR"), F.repeat(nbsp, (key % 3 == 0).cast("int")), F.lit("\nfee: 10,00 RUR"), F.repeat(nbsp, (key % 4).cast("int")), F.lit("\n ="), plain)
+    return T.amount_typography(rows.withColumn("t", t), "t").select("o_orderkey", "grouped", "ungrouped", "mixed_grouping", "padded", "uneven_trail")
 
 
 @query(
-    r"""SELECT doc_id, coalesce(list_max(list_transform(regexp_extract_all(lower(text), '[bcdfghjklmnpqrstvwxz]+'), lambda x: length(x))), 0) AS consonant_run, length(regexp_replace(text, '[^\x01-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS control_chars,
-    length(text) - length(trim(text, ' ')) AS padding, len(regexp_extract_all(text, 'aaa|eee|###|!!!|\*\*\*|&&&')) AS triples FROM documents"""
+    r"""WITH s AS (SELECT substr('abcdefghijklmnopqrstuvwxyz', a, n) AS s, n FROM range(1, 26) r(a), range(2, 27) q(n) WHERE a + n <= 27),
+    l AS (SELECT doc_id, coalesce((SELECT max(n) FROM s WHERE contains(lower(text), s)), 0) AS alphabet_run FROM documents)
+    SELECT doc_id, coalesce(list_max(list_transform(regexp_extract_all(lower(text), '[bcdfghjklmnpqrstvwxz]+'), lambda x: length(x))), 0) AS consonant_run, alphabet_run,
+    """
+    + " + ".join(f"(length(d) - length(replace(d, '{i}{i + 1}', ''))) // 2" for i in range(9))
+    + r""" AS ascending_digits, length(f) = 4 AND f[1] = f[3] AND f[2] = f[4] AND f[1] <> f[2] AS abab_tail, length(regexp_replace(text, '[^\x01-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS control_chars,
+    length(text) - length(trim(text, ' ')) AS padding, len(regexp_extract_all(text, 'aaa|eee|###|!!!|\*\*\*|&&&')) AS triples
+    FROM (SELECT *, regexp_replace(text, '[^0-9]', '', 'g') AS d, regexp_extract(text, '([0-9]{4})[^0-9]*$', 1) AS f FROM documents) JOIN l USING (doc_id)"""
 )
 def text_artifact_scores(spark, sf_dir):
     return T.text_artifact_scores(docs(spark, sf_dir).select("doc_id", "text"), "text").drop("text")
 
 
-@query("SELECT c_custkey, lpad(CAST(c_custkey * 7919 % 9000 + 1000 AS VARCHAR), 4, '0') AS card_head, substr(CAST(c_custkey * 7919 % 9000 + 1000 AS VARCHAR), 1, 1) IN ('4', '5') OR substr(CAST(c_custkey * 7919 % 9000 + 1000 AS VARCHAR), 1, 2) IN ('22') AS prefix_ok FROM customer")
+CARDS = "(SELECT c_custkey, CAST(c_custkey * 7919 % 9000 + 1000 AS VARCHAR) AS a, CAST(c_custkey * 6007 % 9000 + 1000 AS VARCHAR) AS b, c_custkey % 2 = 0 AS two FROM customer)"
+KNOWN = "(substr({0}, 1, 1) IN ('4', '5') OR substr({0}, 1, 2) = '22')"
+
+
+@query(f"SELECT c_custkey, 1 + CAST(two AS BIGINT) AS cards, a AS card_head, '1234' AS card_tail, CASE WHEN two THEN b END AS second_head, CASE WHEN two THEN a END AS second_tail, {KNOWN.format('a')} AND (NOT two OR {KNOWN.format('b')}) AS prefix_ok, two AND a[1] = a[3] AND a[2] = a[4] AND a[1] <> a[2] AS abab_tail FROM {CARDS}")
 def card_masks(spark, sf_dir):
-    t = F.concat(F.lit("card "), (F.col("c_custkey") * 7919 % 9000 + 1000).cast("string"), F.lit(" **** 1234 ok"))
+    head = lambda n: (F.col("c_custkey") * n % 9000 + 1000).cast("string")
+    t = F.concat(F.lit("card "), head(7919), F.lit(" **** 1234 ok"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" to "), head(6007), F.lit("xxxxxxxx"), head(7919))).otherwise(""))
     return T.card_masks(table(spark, sf_dir, "customer").select("c_custkey", t.alias("t")), "t", ["4", "5", "22"]).drop("t")
 
 
@@ -186,11 +214,16 @@ def distinct_mentions(spark, sf_dir):
     return T.distinct_mentions(docs(spark, sf_dir), "text", "[0-9]{3}-[0-9]{4}").select("doc_id", "mentions")
 
 
-@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE (o_orderpriority = '1-URGENT' AND CAST(o_orderdate AS DATE) < DATE '1995-01-01') OR (o_orderpriority = '5-LOW' AND NOT (CAST(o_orderdate AS DATE) < DATE '1994-01-01' OR CAST(o_orderdate AS DATE) >= DATE '1997-01-01'))")
+OUTSIDE = "((o_orderpriority = '1-URGENT' AND {0} < DATE '1995-01-01') OR (o_orderpriority = '5-LOW' AND {0} >= DATE '1994-01-01' AND {0} < DATE '1997-01-01'))"
+
+
+@query(f"SELECT o_orderkey, o_orderpriority FROM orders WHERE {OUTSIDE.format('CAST(o_orderdate AS DATE)')} OR (o_orderkey % 4 > 0 AND {OUTSIDE.format('CAST(o_orderdate AS DATE) + 400')})")
 def regime_check(spark, sf_dir):
+    """Against the day of the order and another 400 days later, which every fourth order lacks."""
     rules = [("1-URGENT", "1995-01-01", None), ("5-LOW", None, "1994-01-01"), ("5-LOW", "1997-01-01", None)]
     regimes = spark.createDataFrame(rules, "token string, f string, t string").select("token", F.col("f").cast("date").alias("valid_from"), F.col("t").cast("date").alias("valid_to"))
-    return T.regime_check(table(spark, sf_dir, "orders").withColumn("d", F.to_date("o_orderdate")), "o_orderkey", "o_orderpriority", "d", regimes)
+    rows = table(spark, sf_dir, "orders").withColumn("d", F.to_date("o_orderdate")).withColumn("later", F.when(F.col("o_orderkey") % 4 > 0, F.date_add("d", 400)))
+    return T.regime_check(rows, "o_orderkey", "o_orderpriority", ["d", "later"], regimes)
 
 
 @query("SELECT event_id, event_id % 200 > 60 AS edited, event_id % 7 * 60 > 300 AS operation_late, greatest(event_id % 200, event_id % 7 * 60) <= 1 AS clocks_collapse FROM events")
@@ -234,9 +267,16 @@ def char_entropy(spark, sf_dir):
     return T.char_entropy(docs(spark, sf_dir), "doc_id", "text").withColumn("entropy", F.round("entropy", 6))
 
 
-@query(r"SELECT page_id, host, array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.') AS registered FROM (SELECT page_id, lower(regexp_extract(url, '(?:@|://)([A-Za-z0-9.-]+)', 1)) AS host FROM pages)")
+@query(
+    r"""SELECT *, CASE WHEN host <> registered AND length(host) % 3 = 0 THEN 'own ' || host WHEN length(registered) % 2 = 0 THEN upper(registered) END AS bank
+    FROM (SELECT page_id, host, array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.') AS registered FROM (SELECT page_id, lower(regexp_extract(url, '(?:@|://)([A-Za-z0-9.-]+)', 1)) AS host FROM pages))"""
+)
 def domain_functions(spark, sf_dir):
-    return T.domain_functions(table(spark, sf_dir, "pages"), "url").select("page_id", "host", "registered")
+    pages = table(spark, sf_dir, "pages")
+    hosts = T.domain_functions(pages, "url")
+    own = hosts.filter("host <> registered and length(host) % 3 = 0").select(F.col("host").alias("domain"), F.concat(F.lit("own "), "host").alias("bank"))
+    banks = own.union(hosts.filter("length(registered) % 2 = 0").select("registered", F.upper("registered"))).distinct()
+    return T.domain_functions(pages, "url", banks).select("page_id", "host", "registered", "bank")
 
 
 MAILS = "(SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'a.example' WHEN 1 THEN 'b.example' ELSE 'x.example' END AS f, 1 + CAST(c_custkey % 11 = 0 AS INT) AS n, CASE c_custkey % 2 WHEN 0 THEN 'mail.a.example' ELSE 'b.example' END AS k, c_custkey % 5 > 0 AS ok, 'a.example' AS e, c_custkey % 4 = 0 AS spf FROM customer)"
