@@ -143,7 +143,8 @@ def novelty_observe(df: DataFrame, keys: Sequence[str], ts: str, atlas: DataFram
 
 
 def parts_known_whole_unknown(parts: DataFrame, doc: str, part: str, pool: DataFrame, wholes: DataFrame) -> DataFrame:
-    """(doc, whole): every part is in the pool (part), but the sorted combination is not among the known ones (whole)."""
+    """(doc, whole): every part is in the pool (part), but the sorted combination is not among the known ones (whole).
+    A known part with a wrong hash is told apart by `dependency_check`."""
     x = parts.join(pool.select(part, F.lit(True).alias("_k")).distinct(), part, "left")
     whole = x.groupBy(doc).agg(F.bool_and(F.col("_k").isNotNull()).alias("_all"), F.sha2(F.array_join(F.array_sort(F.collect_set(F.col(part).cast("string"))), "|"), 256).alias("whole"))
     return whole.filter("_all").join(wholes.select("whole"), "whole", "left_anti").select(doc, "whole")
