@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from veridoc.operators import corpus, graph, history, ledger, links, text, verdicts
+from veridoc.operators import corpus, graph, history, learning, ledger, links, text, verdicts
 
 T0 = datetime(2024, 1, 1)
 
@@ -265,3 +265,31 @@ def test_rules_of_identity_are_not_ranked(spark):
     flags = spark.createDataFrame([(i, c) for i in range(8) for c in ("KNOWN", "SHAPE")], "d int, code string")
     out = corpus.rule_ranking(docs, flags, doc="d", failed=F.col("bad"), identity=["KNOWN"])
     assert [r.code for r in out.collect()] == ["SHAPE"]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10])
+def test_seen_recently_is_a_list_of_n_hashes(spark, n):
+    """Against the list itself: a hash seen again keeps its place; null hashes are one hash, null keys one key, other columns stay."""
+    r = random.Random(n)
+    rows = [(i, r.choice(["u", "v", None]), r.choice([None, "", "a", "b", "c", "d", "e"]), r.choice([None, 1.5])) for i in range(400)]
+    lists, want = {}, {}
+    for i, user, h, _ in rows:
+        recent, h = lists.setdefault(user, []), h or ""
+        want[i] = h in recent
+        if h not in recent:
+            recent.append(h)
+            del recent[:-n]
+    df = spark.createDataFrame(rows, "i long, u string, h string, seen_recently double")
+    got = history.seen_recently(df.repartition(5), "h", ["i"], partition=["u"], n=n)
+    assert got.columns == ["i", "u", "h", "seen_recently"] and {x["i"]: x["seen_recently"] for x in got.collect()} == want
+    assert history.seen_recently(df.limit(0), "h", ["i"], partition=["u"], n=n).count() == 0
+
+
+def test_logistic_model_is_balanced(spark):
+    """At the best intercept, which no penalty touches, the weighted scores of both labels even out."""
+    r = random.Random(5)
+    rows = [(i, int(i % 5 == 0), r.gauss(i % 5 == 0, 1.0), r.choice(["a", "b", None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, label int, x double, c string")
+    scored = learning.fit_predict(df, df, ["x"], ["c"], label="label").collect()
+    by = {y: [x["score"] for x in scored if x["label"] == y] for y in (0, 1)}
+    assert len(scored) == 400 and abs(sum(by[1]) / len(by[1]) + sum(by[0]) / len(by[0]) - 1) < 1e-3 and sum(by[1]) / len(by[1]) > 0.55

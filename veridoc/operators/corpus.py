@@ -57,9 +57,9 @@ def rule_ranking(docs: DataFrame, flags: DataFrame, *, doc: str, failed: Column,
     """Per rule with enough support that isn't one of the `identity` rules (known files, which tell nothing of others): fail rates with and without it, their difference, the odds ratio with 0.5 added to each
     cell, and whether it separates perfectly. `docs` has one label for each document."""
     labelled = docs.select(doc, failed.alias("_f"))
-    totals = labelled.agg(F.count("*").alias("_n"), F.count_if("_f").alias("_fails"))  # one row
+    totals = labelled.agg(F.struct(F.count("*").alias("n"), F.count_if("_f").alias("fails"))).scalar()
     per = flags.filter(~F.col("code").isin(*identity)).select(doc, "code").distinct().join(labelled, doc).groupBy("code").agg(F.count("*").alias("support"), F.count_if("_f").alias("hits")).filter(F.col("support") >= min_support)
-    x = per.crossJoin(F.broadcast(totals))
+    x = per.withColumn("_t", totals).select("*", F.col("_t.n").alias("_n"), F.col("_t.fails").alias("_fails"))
     a, b = F.col("hits"), F.col("support") - F.col("hits")
     c, d = F.col("_fails") - F.col("hits"), F.col("_n") - F.col("support") - F.col("_fails") + F.col("hits")
     with_rate, without = a / F.col("support"), F.when(F.col("_n") > F.col("support"), c / (F.col("_n") - F.col("support")))
@@ -183,9 +183,9 @@ def library_drift(
 
 def missing_fonts(items: DataFrame, doc: str, font: str, library: DataFrame) -> DataFrame:
     """(doc, font): fonts of the library that a document lacks. The library's fonts are one row of a bounded number."""
-    fonts = library.agg(F.collect_set(font).alias("_all"))
+    fonts = library.agg(F.collect_set(font)).scalar()
     own = items.groupBy(doc).agg(F.collect_set(font).alias("_own"))
-    return own.crossJoin(F.broadcast(fonts)).select(doc, F.explode(F.array_except("_all", "_own")).alias(font))
+    return own.select(doc, F.explode(F.array_except(fonts, F.col("_own"))).alias(font))
 
 
 def build_epochs(df: DataFrame, profile: str, date: str) -> DataFrame:
@@ -196,8 +196,7 @@ def build_epochs(df: DataFrame, profile: str, date: str) -> DataFrame:
 def profile_epoch(df: DataFrame, doc: str, profile: str, id_date: str, doc_date: str, epochs: DataFrame, *, min_samples: int = 5, early_days: int = 14, late_days: int = 21) -> DataFrame:
     """(doc, epoch): "early" where both dates are so many days before a well sampled profile's first, "late" where both are past its last
     and the corpus goes on that long, else "inside". Unknown profiles are silent."""
-    end = epochs.agg(F.max("last_date").alias("_end"))
-    x = df.join(epochs, profile).crossJoin(F.broadcast(end))
+    x = df.join(epochs, profile).withColumn("_end", epochs.agg(F.max("last_date")).scalar())
     first, last = F.col("first_date"), F.col("last_date")
     early = (F.col("samples") >= min_samples) & (F.datediff(first, id_date) >= early_days) & (F.datediff(first, doc_date) >= early_days)
     late = (F.datediff(id_date, last) > late_days) & (F.datediff(doc_date, last) > late_days) & (F.date_add(last, late_days) <= F.col("_end"))
@@ -252,7 +251,7 @@ def usage_kpis(users: DataFrame, checks: DataFrame, *, user: str, ts: str, fake:
     """One row: users, active today, checks and fakes today and in all."""
     today = F.to_date(ts) == F.lit(day).cast("date")
     c = checks.agg(F.countDistinct(F.when(today, F.col(user))).alias("active_today"), F.count_if(today).alias("checks_today"), F.count_if(today & fake).alias("fakes_today"), F.count("*").alias("checks_total"), F.count_if(fake).alias("fakes_total"))
-    return users.agg(F.countDistinct(user).alias("users")).crossJoin(c)  # one row each
+    return c.select(users.agg(F.countDistinct(user)).scalar().alias("users"), "*")
 
 
 def bank_today_top(checks: DataFrame, bank: str, ts: str, *, day: str, k: int = 8) -> DataFrame:

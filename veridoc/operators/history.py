@@ -6,10 +6,12 @@ per key; without it `send_index` and `temporal_split` number rows in two levels,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veridoc.functions.session import by_known, cut, known
 
@@ -85,10 +87,31 @@ def unique_in_batch(df: DataFrame, hash_col: str, order: Sequence[str]) -> DataF
 
 
 def seen_recently(df: DataFrame, hash_col: str, order: Sequence[str], *, partition: Sequence[str], n: int = 10) -> DataFrame:
-    """Whether the hash is among the last n rows before. A first-in-first-out list of n distinct hashes, in which a hash seen again keeps
-    its place, is sequential and isn't built."""
-    w = _over(partition, order).rowsBetween(-n, -1)
-    return df.withColumn("seen_recently", F.array_contains(F.collect_list(F.coalesce(F.col(hash_col).cast("string"), F.lit(""))).over(w), F.coalesce(F.col(hash_col).cast("string"), F.lit(""))))
+    """Whether the hash is in its key's list of n hashes: one that is there keeps its place, one that isn't enters, and the oldest leaves.
+
+    Sequential for each key. Rows stream through their task in order, so it holds n hashes however many rows
+    the key has. A null hash is the empty one, null keys are one key. An empty table gives no rows.
+    """
+    key, value = F.to_json(F.struct(*partition)).alias("_key"), F.coalesce(F.col(hash_col).cast("string"), F.lit("")).alias("_hash")
+    plain = df.drop("seen_recently")
+    width = len(plain.columns)
+    rows = plain.select("*", key, value).repartition("_key").sortWithinPartitions("_key", *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, recent = None, {}
+        for b in batches:
+            out = []
+            for k, h in zip(b.column(width).to_pylist(), b.column(width + 1).to_pylist(), strict=True):
+                if k != current:
+                    current, recent = k, {}
+                out.append(h in recent)
+                if h not in recent:
+                    recent[h] = None
+                    if len(recent) > n:
+                        del recent[next(iter(recent))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(out, pa.bool_())], names=[*b.schema.names[:width], "seen_recently"])
+
+    return rows.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("seen_recently", T.BooleanType())]))
 
 
 def daily_quota(df: DataFrame, user: str, ts: str, order: Sequence[str], *, limit: int) -> DataFrame:

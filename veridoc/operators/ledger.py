@@ -77,8 +77,9 @@ def balances(checks: DataFrame, ledger: DataFrame) -> DataFrame:
 def campaign_stats(checks: DataFrame, ledger: DataFrame, statuses: Sequence[str]) -> DataFrame:
     """One row: participants, checks by status, ledger sum, sum of positive balances."""
     c = checks.agg(F.countDistinct("user_id").alias("participants"), *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in statuses])
-    b = balance_asof(ledger).agg(F.sum("balance").alias("ledger_sum"), F.sum(F.when(F.col("balance") > 0, F.col("balance")).otherwise(0)).alias("owed"))
-    return c.crossJoin(b)  # one row each
+    positive = F.sum(F.when(F.col("balance") > 0, F.col("balance")).otherwise(0))
+    b = balance_asof(ledger).agg(F.struct(F.sum("balance").alias("ledger_sum"), positive.alias("owed"))).scalar()
+    return c.withColumn("_b", b).select(*c.columns, "_b.ledger_sum", "_b.owed")
 
 
 def status_pivot(checks: DataFrame, ledger: DataFrame, payouts: DataFrame, statuses: Sequence[str]) -> DataFrame:

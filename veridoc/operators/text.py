@@ -410,15 +410,21 @@ def document_router(df: DataFrame, text: str, markers: Mapping[str, Sequence[str
 def issuer_identify(df: DataFrame, doc: str, text: str, producer: str, profiles: DataFrame, *, min_score: float = 0.5) -> DataFrame:
     """(doc, issuer, score): the profile with the highest share of its text markers and producers found.
 
-    `profiles` is a rule table (issuer, ord, markers, producers, exclusive). An exclusive marker gives 1; without any
+    `profiles` is a rule table (issuer, ord, markers, producers, exclusive) of a size that each row can be held against; without rules
+    every document has none. An exclusive marker gives 1; without any
     text marker the score is at most 0.55; ties go to the smaller ord; below min_score there is none.
     """
-    x = df.select(doc, F.col(text).alias("_t"), F.coalesce(F.col(producer), F.lit("")).alias("_p")).crossJoin(F.broadcast(profiles))  # a handful of rules for each row
+    rules = profiles.agg(F.collect_list(F.struct("issuer", "ord", "markers", "producers", "exclusive"))).scalar()
+    x = df.select(doc, F.col(text).alias("_t"), F.coalesce(F.col(producer), F.lit("")).alias("_p"), rules.alias("_rules"))
     hits = lambda words, where: F.size(F.filter(words, lambda w: F.contains(where, w)))
-    m, p = hits(F.col("markers"), F.col("_t")), hits(F.col("producers"), F.col("_p"))
-    score = (m + p) / F.greatest(F.size("markers") + F.size("producers"), F.lit(1))
-    score = F.when(hits(F.col("exclusive"), F.col("_t")) > 0, 1.0).when(m == 0, F.least(score, F.lit(0.55))).otherwise(score)
-    best = x.select(doc, F.struct(score.alias("score"), (-F.col("ord")).alias("o"), "issuer").alias("b")).groupBy(doc).agg(F.max("b").alias("b"))
+
+    def scored(r):
+        m, p = hits(r["markers"], F.col("_t")), hits(r["producers"], F.col("_p"))
+        share = (m + p) / F.greatest(F.size(r["markers"]) + F.size(r["producers"]), F.lit(1))
+        score = F.when(hits(r["exclusive"], F.col("_t")) > 0, 1.0).when(m == 0, F.least(share, F.lit(0.55))).otherwise(share)
+        return F.struct(score.alias("score"), (-r["ord"]).alias("o"), r["issuer"].alias("issuer"))
+
+    best = x.select(doc, F.array_max(F.transform("_rules", scored)).alias("b")).groupBy(doc).agg(F.max("b").alias("b"))
     return best.select(doc, F.when(F.col("b.score") >= min_score, F.col("b.issuer")).alias("issuer"), F.round("b.score", 6).alias("score"))
 
 

@@ -71,12 +71,16 @@ def unique_in_batch(spark, sf_dir):
 
 
 @query(
-    """SELECT event_id, coalesce(list_contains(list(event_type || coalesce(json_extract_string(props, '$.k'), '')) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING),
-       event_type || coalesce(json_extract_string(props, '$.k'), '')), false) AS seen_recently FROM events"""
+    """WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, event_type || coalesce(json_extract_string(props, '$.k'), '') AS h, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+       r AS (SELECT event_id, user_id, i, false AS seen_recently, [h] AS recent FROM e WHERE i = 1
+             UNION ALL
+             SELECT e.event_id, e.user_id, e.i, list_contains(r.recent, e.h), CASE WHEN list_contains(r.recent, e.h) THEN r.recent ELSE list_append(r.recent, e.h)[-3:] END
+             FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.i = r.i + 1)
+       SELECT event_id, seen_recently FROM r"""
 )
 def seen_recently(spark, sf_dir):
     rows = submissions(spark, sf_dir).withColumn("h", F.concat("event_type", F.coalesce("k", F.lit(""))))
-    return H.seen_recently(rows, "h", ORDER, partition=["user_id"]).select("event_id", "seen_recently")
+    return H.seen_recently(rows, "h", ORDER, partition=["user_id"], n=3).select("event_id", "seen_recently")
 
 
 @query(

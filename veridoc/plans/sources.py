@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from veridoc.functions.session import shared_dir
@@ -14,6 +15,10 @@ from veridoc.sources import io
 from veridoc.streaming import history as S
 
 
+#: Files of one arrival of a stream.
+FILES = 2
+
+
 def place(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -29,14 +34,14 @@ def scan_raw_corpus(spark, sf_dir):
 
 @query("SELECT event_id AS message_id, CASE event_type WHEN 'purchase' THEN 'PASS' ELSE 'FAIL' END AS verdict FROM events WHERE event_type IN ('purchase', 'error') AND event_id % 4 > 1")
 def scan_submission_logs(spark, sf_dir):
-    """All events as logs, a file for each user; a quarter has no messages and a quarter no file attached."""
+    """All events as logs, files of a user's events within a hundred thousand ids; a quarter has no messages and a quarter no file attached."""
     where = place(spark, "logs")
     key = F.col("event_id")
     log = F.struct(
         key.alias("message_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("sent_at"), F.when(F.col("event_type") == "purchase", "PASS").when(F.col("event_type") == "error", "FAIL").otherwise("UNKNOWN").alias("verdict"),
         F.when(key % 4 != 1, F.struct(F.md5(key.cast("string")).alias("sha256"), key.alias("size"))).alias("pdf"), F.when(key % 4 != 0, F.array(F.struct(F.lit("ok").alias("text")))).alias("messages"),
     )
-    table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(log).alias("logs")).select(F.to_json("logs").alias("value")).write.option("maxRecordsPerFile", 1).text(where)
+    table(spark, sf_dir, "events").groupBy("user_id", F.floor(F.col("event_id") / 100_000)).agg(F.collect_list(log).alias("logs")).select(F.to_json("logs").alias("value")).write.option("maxRecordsPerFile", 1).text(where)
     return io.scan_submission_logs(spark, where).select("message_id", "verdict")
 
 
@@ -98,6 +103,27 @@ def features(spark, sf_dir):
 NUMERIC = ["len", "breaks", "symbols", "capitals"]
 
 
+@query(
+    """WITH d AS (SELECT doc_id, lang, CAST(length(text) AS DOUBLE) AS len, nullif(CAST(length(regexp_replace(text, '[^A-Z]', '', 'g')) AS DOUBLE), 0) AS capitals FROM documents JOIN labels USING (doc_id)),
+       f AS (SELECT doc_id, lang, len, coalesce(capitals, (SELECT quantile_disc(capitals, 0.5) FROM d)) AS capitals FROM d),
+       k AS (SELECT lang, row_number() OVER (ORDER BY count(*) DESC, lang) AS category FROM d GROUP BY lang)
+       SELECT doc_id, round((len - avg(len) OVER ()) / stddev_samp(len) OVER (), 6) AS len_scaled, round((capitals - avg(capitals) OVER ()) / stddev_samp(capitals) OVER (), 6) AS capitals_scaled, category FROM f JOIN k USING (lang)"""
+)
+def feature_pipeline(spark, sf_dir):
+    """The features of the labelled documents, numbers that are 0 as unknown ones; `category` is the place of the language's 1."""
+    rows = features(spark, sf_dir).withColumn("capitals", F.nullif("capitals", F.lit(0.0)))
+    out = M.feature_pipeline(["len", "capitals"], ["lang"]).fit(rows).transform(rows).withColumn("f", vector_to_array("features"))
+    hot = F.array_position(F.slice("f", 3, F.size("f") - 2), F.lit(1.0))
+    return out.select("doc_id", F.round(F.get("f", F.lit(0)), 6).alias("len_scaled"), F.round(F.get("f", F.lit(1)), 6).alias("capitals_scaled"), hot.alias("category"))
+
+
+@query()
+def logistic_model(spark, sf_dir):
+    """(doc_id, score): the labelled documents' own scores; solvers differ in the last digits."""
+    rows = features(spark, sf_dir)
+    return M.fit_predict(rows, rows, NUMERIC, ["lang"], label="label").select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query()
 def grouped_cv(spark, sf_dir):
     return M.grouped_cv(features(spark, sf_dir), "h", NUMERIC, ["lang"], label="label")
@@ -117,51 +143,64 @@ def drained(stream, name: str, mode: str = "append"):
     return spark.read.schema(stream.schema).parquet(where)
 
 
-def event_stream(spark, sf_dir, *, files: int = 1):
-    """The event log as files, so many in each batch. Files written at once have no order of their own: operators that drop late rows
-    get them all in one batch."""
+def event_stream(spark, sf_dir):
+    """The event log as four arrivals in the order of their times, each of them a batch of its own."""
     where = place(spark, "events")
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    e.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(where)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(where)
+    us = F.unix_micros("ts")
+    low, high = (x or 0 for x in e.agg(F.min(us), F.max(us)).head())
+    step = (high - low) // 4 + 1
+    for n in range(4):
+        e.filter((us >= low + n * step) & (us < low + (n + 1) * step)).repartition(FILES).write.mode("append").parquet(where)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", FILES).parquet(where)
 
 
 @query("SELECT DISTINCT CAST(ts AS DATE) AS day, user_id FROM events")
 def stream_daily_active(spark, sf_dir):
-    return drained(S.stream_daily_active(event_stream(spark, sf_dir), "user_id", "ts", watermark="60 days"), "daily")
+    return drained(S.stream_daily_active(event_stream(spark, sf_dir), "user_id", "ts"), "daily")
 
 
 @query("SELECT event_id, user_id FROM events")
 def stream_dedup(spark, sf_dir):
     """The event stream read twice: each id comes out once."""
-    e = event_stream(spark, sf_dir)
-    twice = e.union(event_stream(spark, sf_dir))
-    return drained(S.stream_dedup(twice, "event_id", "ts", watermark="60 days"), "dedup").select("event_id", "user_id")
+    twice = event_stream(spark, sf_dir).union(event_stream(spark, sf_dir))
+    return drained(S.stream_dedup(twice, "event_id", "ts", watermark="1 hour"), "dedup").select("event_id", "user_id")
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS checks, count(*) FILTER (WHERE value > 50) AS fakes FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) AS DATE) - 1 FROM events) GROUP BY 1, 2")
 def stream_verdict_counts(spark, sf_dir):
     """Days that the watermark of a day has passed."""
-    out = drained(S.stream_verdict_counts(event_stream(spark, sf_dir, files=4), "ts", "event_type", F.col("value") > 50), "counts")
-    last = table(spark, sf_dir, "events").agg((F.to_date(F.max("ts")) - F.expr("interval 1 day")).cast("date").alias("last"))
-    return out.crossJoin(F.broadcast(last)).filter("day < last").drop("last")  # one row
+    return drained(S.stream_verdict_counts(event_stream(spark, sf_dir), "ts", "event_type", F.col("value") > 50), "counts")
 
 
-@query(
-    """SELECT o_orderkey AS file, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS use_no, o_orderstatus <> first_value(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS conflict,
-    o_orderpriority <> first_value(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS by_other FROM orders"""
-)
-def stream_identity(spark, sf_dir):
+def sightings(spark, sf_dir):
     """Orders as sightings of their customer's id, in the order of their keys."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     where = place(spark, "sightings")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.timestamp_seconds("o_orderkey").alias("at"))
     o.write.parquet(where)
-    stream = spark.readStream.schema(o.schema).parquet(where)
+    return spark.readStream.schema(o.schema).parquet(where)
+
+
+@query(
+    """SELECT o_orderkey AS file, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS use_no, o_orderstatus <> first_value(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS conflict,
+    o_orderpriority <> first_value(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS by_other FROM orders"""
+)
+def stream_identity(spark, sf_dir):
+    stream = sightings(spark, sf_dir)
     out = S.stream_identity(stream, id_col="o_custkey", file_col="o_orderkey", signature_col="o_orderstatus", user_col="o_orderpriority", at_col="at")
     return drained(out, "identity").select(F.col("file").cast("long").alias("file"), "use_no", "conflict", "by_other")
 
 
+@query(
+    """SELECT o_orderkey AS file, row_number() OVER w AS use_no, o_orderpriority <> first_value(o_orderpriority) OVER w AS by_other, CAST(first_value(o_orderkey) OVER w AS DOUBLE) AS first_at
+    FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)"""
+)
+def stream_reuse(spark, sf_dir):
+    out = S.stream_reuse(sightings(spark, sf_dir), id_col="o_custkey", user_col="o_orderpriority", at_col="at", file_col="o_orderkey")
+    return drained(out, "reuse").select(F.col("file").cast("long").alias("file"), "use_no", "by_other", "first_at")
+
+
 @query("SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS seen_count FROM events GROUP BY 1")
 def stream_user_dim(spark, sf_dir):
     """The user dimension, merged batch by batch; each batch writes a version of its own, so a batch run again changes nothing."""
@@ -196,6 +235,12 @@ def stream_log_tail(spark, sf_dir):
     return drained(S.stream_log_tail(spark, where, rows.schema, files_per_trigger=2), "tailed")
 
 
-@query()
+@query(
+    """WITH e AS (SELECT event_type, ts, unnest([0, 30]) AS back FROM events), w AS (SELECT time_bucket(INTERVAL 30 SECOND, ts, TIMESTAMP '2000-01-01') - to_seconds(back) AS start, event_type FROM e)
+    SELECT start, count(*) AS submissions, count(*) FILTER (WHERE event_type = 'purchase') AS passes FROM w
+    WHERE start + INTERVAL 60 SECOND <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events) GROUP BY 1"""
+)
 def stream_bursts(spark, sf_dir):
-    return drained(S.stream_bursts(event_stream(spark, sf_dir, files=4), "ts", F.col("event_type") == "purchase"), "bursts")
+    """Windows that the watermark has passed."""
+    out = drained(S.stream_bursts(event_stream(spark, sf_dir), "ts", F.col("event_type") == "purchase"), "bursts")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
