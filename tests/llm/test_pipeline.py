@@ -1,7 +1,7 @@
 """The pipeline against its stages done plainly."""
 
 import corpus_pipeline
-from veridoc.llm import bpe, quality, simhash
+from veridoc.llm import bpe, line_dedup, quality, simhash
 from veridoc.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +32,21 @@ def test_stages_and_run(spark):
             assert size == {r["doc_id"]: len(t.encode(r["text"], add_special_tokens=False).ids) for r in before.collect()}
     assert kept == sorted(kept, reverse=True) and kept[1] == kept[2] and kept[4] == kept[5]
     assert corpus_pipeline.run(spark, SF).exceptAll(docs).isEmpty()
+
+
+def test_line_stage_equals_a_plain_version(spark):
+    """Lines of 12 characters on ten sites go, but for the first place of each by document and place; whole rows both ways."""
+    docs = table(spark, SF, "documents")
+    rows, sites, first = sorted(docs.collect(), key=lambda r: r["doc_id"]), {}, {}
+    for r in rows:
+        for n, line in enumerate((r["text"] or "").split("\n")):
+            sites.setdefault(line.strip(" "), set()).add(r["source"])
+            first.setdefault(line.strip(" "), (r["doc_id"], n))
+    common = {line for line, s in sites.items() if len(line) >= line_dedup.MIN_CHARS and len(s) >= line_dedup.MIN_SITES}
+    want = []
+    for r in rows:
+        kept = (x for n, x in enumerate((r["text"] or "").split("\n")) if x.strip(" ") not in common or first[x.strip(" ")] == (r["doc_id"], n))
+        text = "\n".join(kept)
+        want.append({**r.asDict(), "text": text, "n_chars": len(text)})
+    got = [r.asDict() for r in corpus_pipeline.line_dedup_stage(spark, docs, SF).orderBy("doc_id").collect()]
+    assert got == want and common
