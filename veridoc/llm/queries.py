@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm import bpe, chat, decontaminate, license_scan, line_dedup, pii, quality, sharding, simhash, topk
+from veridoc.llm import bpe, chat, decontaminate, lexical, license_scan, line_dedup, merkle, pii, quality, repeats, sharding, simhash, topk
 from veridoc.llm.common import shared_dir, table
 from veridoc.llm.sql import oracle_sql  # noqa: F401
 
@@ -69,6 +69,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.drop_repeats(table(spark, sf_dir, "documents")))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_license_scan, op2_bpe, op3_sharding, op4_line_dedup, op5_chat, op6_simhash, op7_pii, op8_quality, op9_topk, op10_decontaminate)
+    own = (op1_license_scan, op2_bpe, op3_sharding, op4_line_dedup, op5_chat, op6_simhash, op7_pii, op8_quality, op9_topk, op10_decontaminate, op11_merkle, op12_repeats, op13_lexical)
     return {f.__name__: f for f in own}

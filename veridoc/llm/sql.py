@@ -53,5 +53,53 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
 
 
+_FRAMED = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c} END" for c in ("doc_id", "source", "lang", "{n}", "text"))
+_CRC = "list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda y, i: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END))"
+
+
+def _levels(name: str, leaves: str) -> str:
+    """All levels of the trees whose `leaves` are (tree, idx, h)."""
+    return f"""{name} AS (
+  SELECT tree, 0 AS level, idx, h, count(*) OVER (PARTITION BY tree) AS n FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 1) // 2 FROM {name} WHERE n > 1 GROUP BY tree, level, idx // 2)"""
+
+
+OP11 = f"""
+WITH RECURSIVE d AS (SELECT *, sha256({_FRAMED.format(n="n_chars")}) AS leaf, {_CRC} AS crc FROM documents),
+d1 AS (SELECT *, CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256({_FRAMED.format(n="(n_chars + 1)")}) ELSE leaf END AS seen,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, row_number() OVER () AS r, coalesce('=' || lang, '') AS tree FROM d),
+leaves AS (SELECT tree, i AS idx, leaf AS h FROM d1),
+{_levels("lower_tree", "leaves")},
+subroots AS (SELECT tree, h FROM lower_tree WHERE n = 1),
+tops AS (SELECT 0 AS tree, row_number() OVER (ORDER BY tree) - 1 AS idx, h, tree AS name FROM subroots),
+{_levels("upper_tree", "tops")},
+steps AS (
+  SELECT r, l.level AS height, d1.i >> l.level AS idx, s.h AS sibling FROM d1 JOIN (SELECT DISTINCT tree, level, n FROM lower_tree WHERE n > 1) l USING (tree) LEFT JOIN lower_tree s ON s.tree = d1.tree AND s.level = l.level AND s.idx = xor(d1.i >> l.level, 1)
+  UNION ALL
+  SELECT r, 1000 + l.level, t.idx >> l.level, s.h FROM d1 JOIN tops t ON t.name = d1.tree JOIN (SELECT DISTINCT level FROM upper_tree WHERE n > 1) l ON true LEFT JOIN upper_tree s ON s.level = l.level AND s.idx = xor(t.idx >> l.level, 1)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY height) AS k FROM steps),
+fold AS (
+  SELECT r, CAST(0 AS BIGINT) AS k, seen AS h FROM d1
+  UNION ALL
+  SELECT f.r, s.k, sha256(CASE WHEN s.sibling IS NULL THEN f.h WHEN s.idx % 2 = 1 THEN s.sibling || f.h ELSE f.h || s.sibling END) FROM fold f JOIN numbered s ON s.r = f.r AND s.k = f.k + 1),
+ended AS (SELECT r, arg_max(h, k) AS folded_root FROM fold GROUP BY r),
+proof AS (SELECT r, sha256(coalesce(string_agg(sibling, '' ORDER BY k), '')) AS proof_sha256 FROM d1 LEFT JOIN numbered USING (r) GROUP BY r)
+SELECT doc_id, leaf, s.h AS subroot, u.h AS root, proof_sha256, folded_root, folded_root = u.h AS verified
+FROM d1 JOIN subroots s USING (tree) JOIN upper_tree u ON u.n = 1 JOIN ended USING (r) JOIN proof USING (r)"""
+
+OP13 = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM t),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS often FROM i GROUP BY 1, 2),
+x AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM t),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM x WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, c GROUP BY term),
+g AS (SELECT r, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))) AS gain FROM tf JOIN df USING (term), c),
+s AS (SELECT item_id, doc_id, r, CAST(sum(often * gain) AS BIGINT) AS score FROM q JOIN g USING (term) GROUP BY ALL HAVING sum(often * gain) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s QUALIFY rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1(), "op4_line_dedup": OP4, "op5_chat": OP5, "op9_topk": OP9}
+    return {"op1_license_scan": _op1(), "op4_line_dedup": OP4, "op5_chat": OP5, "op9_topk": OP9, "op11_merkle": OP11, "op13_lexical": OP13}
