@@ -201,6 +201,18 @@ def test_line_dedup(docs, rows, none):
     assert line_dedup.drop_boilerplate(none).count() == 0
 
 
+def test_lines_of_a_long_text_go_in_linear_time(spark):
+    """100,000 lines of one text, of which 80,000 stand on ten sites."""
+    lines = [f"this is line number {n}" for n in range(100_000)]
+    rows = [(n, "\n".join(lines[:80_000] if n else lines), f"s{n}") for n in range(11)]
+    began = time.time()
+    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(11)).collect()}
+    assert out[0] == rows[0][1] and set(out.values()) == {rows[0][1], ""} and time.time() - began < 90
+    more = [(-1, "\n".join(lines[:80_000]), "s"), *((n, f"{t}\nown {n} of this text" if n else t, s) for n, t, s in rows)]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(spark.createDataFrame(more, "doc_id long, text string, source string").repartition(12)).collect()}
+    assert out[0] == "\n".join(lines[80_000:]) and all(out[n] == f"own {n} of this text" for n in range(1, 11))
+
+
 def test_line_spread_is_exact_near_the_threshold(spark):
     rows = [(i, f"line number {n} of many", f"s{i}") for n in (8, 9, 10, 11, 12, 40) for i in range(n)]
     found = line_dedup.lines(spark.createDataFrame(rows, "doc_id long, text string, source string"))
@@ -502,15 +514,13 @@ def test_decontamination_equals_the_edit_distance():
 
 
 def brute_matches(docs, items):
-    """(doc, item): all pairs by the edit distance to the best substring, row by row of the alignment; short items as words."""
+    """(doc, item): all pairs by the edit distance to the best substring, row by row of the alignment."""
     out = set()
     fold = lambda t: re.sub(r" +", " ", "".join(c.lower()[0] if c.isalnum() else " " for c in t)).strip()
     for d, t in {(r["doc_id"], fold(r["text"] or "")) for r in docs.collect()}:
         chars = np.frombuffer(t.encode("utf-32-le"), np.uint32)
         for i, item in ((r["item_id"], fold(r["text"] or "")) for r in items.collect()):
-            if len(item) < 8:
-                hit = bool(item) and f" {item} " in f" {t} "
-            else:
+            if hit := bool(item):
                 row, at = np.zeros(len(t) + 1, np.int64), np.arange(len(t) + 1)
                 for k, c in enumerate(item):
                     new = np.concatenate([[k + 1], np.minimum(row[1:] + 1, row[:-1] + (chars != ord(c)))])
@@ -521,9 +531,39 @@ def brute_matches(docs, items):
     return out
 
 
+def ends(item, text):
+    """For each place in the text the least edits of the item against a substring that ends there."""
+    row, at, chars = np.zeros(len(text) + 1, np.int64), np.arange(len(text) + 1), np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    for k, c in enumerate(item):
+        new = np.concatenate([[k + 1], np.minimum(row[1:] + 1, row[:-1] + (chars != ord(c)))])
+        row = np.minimum.accumulate(new - at) + at
+    return row
+
+
+@pytest.mark.parametrize("size", [*range(1, 13), 25, 60])
+def test_decontamination_tells_where_and_how_near(size):
+    """Items of every length, inside words too, in short and long texts: what is told is a match, and every match is near one that is told."""
+    r = random.Random(size)
+    word = lambda n: "".join(r.choice("abcde ") for _ in range(n))
+    for length in (0, 5, 60, 300, 6000):
+        item = decontaminate.normalize("c" + word(size - 2).replace(" ", "a") + "d" * (size > 1))
+        text = decontaminate.normalize("".join(r.choice([word(r.randrange(20)), "x" + decontaminate.as_text(item) + "y"]) for _ in range(length // 20)))
+        e = size // 10
+        best = ends(decontaminate.as_text(item), decontaminate.as_text(text))
+        found = decontaminate.find(text, decontaminate.index([(7, item)], decontaminate.EDIT_RATE))
+        for i, start, end, edits in found:
+            assert i == 7 and start == max(0, end - size) and best[end] <= edits <= e
+        told = np.array([end for *_, end, _ in found])
+        for end in np.flatnonzero(best[1:] <= e) + 1:
+            assert len(told) and np.abs(told - end).min() <= max(4, 7 * e)
+        if length == 6000:
+            assert len(found) > 20
+
+
 def test_decontamination_of_the_given_tables(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
-    docs = docs.filter(F.length("text") < 1500)  # the brute-force version is slow
+    long = docs.filter(F.length("text") >= 1500).orderBy(F.length("text").desc(), "doc_id").limit(12)  # the brute-force version is slow
+    docs = docs.filter(F.length("text") < 1500).union(long)
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()}
     assert got == brute_matches(docs, items) and got
 

@@ -14,7 +14,6 @@ executors by itself, so nothing that grows with the input is broadcast.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache, reduce
@@ -93,23 +92,14 @@ class Items:
     table: np.ndarray  # whether some key has these leading bits
 
 
-@dataclass
-class Block:
-    """A block of items: those without edits and shorter than a q-gram as words, the others by their q."""
-
-    words: list[tuple[object, re.Pattern]]
-    by_q: list[Items]
-
-
-def index(items: list[tuple[object, np.ndarray]], rate: float) -> Block:
-    words, by_q = [], {}
+def index(items: list[tuple[object, np.ndarray]], rate: float) -> list[Items]:
+    """A block of items, by their q."""
+    by_q: dict[int, list] = {}
     for i, c in items:
-        e = allowed(len(c), rate)
-        if 0 < len(c) < Q and not e:
-            words.append((i, re.compile(rf"(?<!\S){re.escape(as_text(c))}(?!\S)")))
-        elif len(c):
+        if len(c):
+            e = allowed(len(c), rate)
             by_q.setdefault(max(1, min(Q, len(c) // (e + 1))), []).append((i, c, e))
-    return Block(words, [_items(q, rows) for q, rows in by_q.items()])
+    return [_items(q, rows) for q, rows in by_q.items()]
 
 
 def _items(q: int, rows: list[tuple[object, np.ndarray, int]]) -> Items:
@@ -149,15 +139,14 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
     return int(row[at]), int(d[at]) + m
 
 
-def find(chars: np.ndarray, block: Block) -> list[tuple[object, int, int, int]]:
+def find(chars: np.ndarray, block: list[Items]) -> list[tuple[object, int, int, int]]:
     """(item id, start, end, edits) of the regions of a normalized text that match an item.
 
-    Every item that matches somewhere is found. `start` and `end` are places in the normalized text; a
-    region is told as long as its item is.
+    Wherever an item matches within its edits, a region of that item is told that begins no more than six
+    times the edits away, or four characters for an item of few or no edits. `start` and `end` are places in the
+    normalized text; a region is told as long as its item is, and an item may stand inside a word.
     """
-    text = as_text(chars) if block.words else ""
-    out = [(i, x.start(), x.end(), 0) for i, word in block.words for x in word.finditer(text)]
-    return out + [hit for items in block.by_q for hit in _found(chars, items)]
+    return [hit for items in block for hit in _found(chars, items)]
 
 
 def _found(chars: np.ndarray, items: Items) -> list[tuple[object, int, int, int]]:
@@ -217,8 +206,7 @@ def _entries(lo: np.ndarray, times: np.ndarray) -> Iterator[tuple[np.ndarray, np
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edit_rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, start, end, edits): the regions of the documents' normalized texts that match an item.
 
-    An item matches within `edit_rate` edits for each of its characters; items shorter than q characters
-    that are allowed no edit match as whole words. Null or empty texts and items match nothing, rows repeated in `docs` are
+    An item matches within `edit_rate` edits for each of its characters, wherever it stands. Null or empty texts and items match nothing, rows repeated in `docs` are
     told again, ids may be null, and other columns are ignored whatever their names. The items are read by
     the driver block by block.
     """

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import cut, fresh, whole
+from veridoc.llm.common import cut, fresh, once, whole
 
 #: Distinct sites from which a line is boilerplate, and characters (trimmed) below which lines are left alone.
 MIN_SITES, MIN_CHARS = 10, 12
@@ -38,7 +38,9 @@ def lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
     """(_d1, _d2, site, at, _h1, _h2, need): the lines of at least `min_chars` characters by hash, their place and the sites that make them boilerplate."""
     text = whole(F.col(text_col))
     d1, d2 = _doc_key(F.col(id_col), text)
-    rows = docs.select(d1.alias("_d1"), d2.alias("_d2"), F.col(id_col).alias("doc"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    # keys are made below the generator: in one select with it they would hash the whole text again for each line
+    rows = docs.select(d1.alias("_d1"), d2.alias("_d2"), F.col(id_col).alias("doc"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.split(text, "\n").alias("lines"))
+    rows = rows.select("_d1", "_d2", "doc", "site", F.posexplode("lines").alias("pos", "line"))
     rows = rows.withColumn("line", F.trim("line")).filter(F.length("line") >= min_chars)
     # so many words have as many characters at least
     is_long = (F.length("line") >= long_words) & (F.size(F.split("line", r"[ \t\r]+")) >= long_words)
@@ -72,12 +74,14 @@ def drop_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     found = lines(docs, id_col=id_col, text_col=text_col, site_col=site_col, min_chars=min_chars, min_sites=min_sites, long_words=long_words, long_sites=long_sites)
     common = cut(spread(found)).select("_h1", "_h2", "first")
-    d1, d2, gone = fresh(docs, "d1", "d2", "gone")
+    d1, d2, gone, split = fresh(docs, "d1", "d2", "gone", "split")
     places = found.join(common, ["_h1", "_h2"]).filter("at != first")
     dropped = places.groupBy(F.col("_d1").alias(d1), F.col("_d2").alias(d2)).agg(F.collect_set("at.pos").alias(gone))
 
     text = whole(F.col(text_col))
     keyed = docs.withColumns(dict(zip((d1, d2), _doc_key(F.col(id_col), text), strict=True)))
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(gone, i)), "\n")
-    cleaned = keyed.join(dropped, [d1, d2], "left")
+    # lines are looked up by the places that stay, which takes time in proportion to the lines, however many go
+    cleaned = keyed.join(dropped, [d1, d2], "left").withColumn(split, once(F.when(F.col(gone).isNotNull(), F.split(text, "\n"))))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(F.col(split), i)), "\n")
     return cleaned.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
