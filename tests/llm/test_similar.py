@@ -1,8 +1,10 @@
 """Near copies against all pairs, done plainly."""
 
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -88,6 +90,56 @@ def test_forest_joins_what_links_join():
     assert roots[0] == roots[1]
 
 
+def test_clusters_join_what_all_pairs_join():
+    """Crowds of one word with words after it near and far: the cell's links join the same sets as all its pairs, strong ones too."""
+    r = np.random.default_rng(5)
+    flips = lambda n, bits: np.bitwise_or.reduce([np.uint64(1) << r.integers(0, 64, n).astype(np.uint64) for _ in range(bits)])
+    for trial in range(6):
+        word = np.concatenate([np.full(400, 12345), np.full(300, 12347), r.integers(0, 1 << 32, 50), np.full(20, 12349)]).astype(np.uint64)
+        centre = r.integers(0, 1 << 63, 5).astype(np.uint64)
+        after = centre[r.integers(0, 5, len(word))]
+        for _ in range(3):
+            after = after ^ np.where(r.random(len(word)) < 0.5, flips(len(word), 1 + trial % 3), np.uint64(0))
+        other = r.random(len(word)) < 0.3
+        cell = pa.table({"other": other, "word": word.view(np.int64), "next": after.view(np.int64), "node": r.permutation(len(word)) * 3})
+        node = cell.column("node").to_numpy()
+        apart = np.bitwise_count(word[:, None] ^ word).astype(int)
+        more = np.bitwise_count(after[:, None] ^ after).astype(int)
+        meets = (apart <= simhash.WORD_BUDGET) & (more <= simhash.NEXT_BUDGET) & ~(other[:, None] & other)
+        got = simhash._meet_words(cell).to_pydict()
+        index = {n: k for k, n in enumerate(node.tolist())}
+        links = [(index[a], index[b]) for a, b in zip(got["fa"], got["fb"], strict=True)]
+        assert len(links) < 3 * len(word)
+        near = lambda a, b: (apart[a, b] <= simhash.WORD_BUDGET) & (more[a, b] <= simhash.NEXT_BUDGET)
+        assert all(near(a, b) for a, b in links)
+        strong = apart + more <= simhash.STRONG
+        for want, chosen in ((meets, links), (meets & strong, [(a, b) for a, b in links if strong[a, b]])):
+            sets = []
+            for pairs in (np.argwhere(np.triu(want, 1)), np.array(chosen).reshape(-1, 2)):
+                forest = simhash.Forest(len(word))
+                forest.add(pairs[:, 0], pairs[:, 1])
+                sets.append([forest._root(x) for x in range(len(word))])
+            finer = {}  # links between two "other" rows of a crowd may join more, never less
+            assert all(finer.setdefault(a, b) == b for a, b in zip(*sets, strict=True))
+
+
+def test_a_crowd_of_copies_ends_soon(spark):
+    """20,000 copies of one text, each with a word of its own changed."""
+    r = random.Random(3)
+    words = [f"w{r.randrange(10**6)}" for _ in range(240)]
+    rows = []
+    for n in range(20_000):
+        at = r.randrange(240)
+        rows.append((n, " ".join([*words[:at], f"x{n}", *words[at + 1 :]])))
+    rows.append((20_000, " ".join(f"other{k}" for k in range(240))))
+    began = time.time()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    groups = {}
+    for x in simhash.similar_groups(docs).collect():
+        groups[x["component_id"]] = groups.get(x["component_id"], 0) + 1
+    assert groups == {0: 20_000, 20_000: 1} and time.time() - began < 240
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(3, "a b c d e f"), (None, "a b c d e f"), (1, "A b c d e  f"), (2, None), (4, "")], "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in simhash.keep_one(docs).collect()) == ["1", "2", "None"]

@@ -41,6 +41,10 @@ WORDS, WORD_BITS, WORD_BUDGET = 24, 32, 2
 NEXT_BUDGET, WIDE_BUDGET = 16, 136
 #: A link with at most so many bits apart in the three words is a strong one.
 STRONG = 10
+#: Rows of a cell with one word from which they are put together around leaders, and the bits that a member is apart from its leader at most.
+CROWD, RADIUS = 64, STRONG // 2
+#: Pairs of two clusters' members compared at once.
+CLUSTER_PAIRS = 1 << 22
 
 _OFFSET = np.arange(8 * WORDS, dtype=np.int64) * 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
@@ -280,6 +284,9 @@ class Forest:
             up[x] = x = up[up[x]]
         return x
 
+    def apart(self, x: int, y: int) -> bool:
+        return self._root(x) != self._root(y)
+
     def add(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Which of these links, taken in order, join something."""
         while not np.array_equal(flat := self.up[self.up], self.up):
@@ -293,42 +300,118 @@ class Forest:
         return new
 
 
+def _leaders(word: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """For each row, sorted by word, the row that leads it: of rows with one word, crowded ones join the first that is within RADIUS."""
+    lead = np.arange(len(word))
+    begin = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1, [len(word)]])
+    for k in np.flatnonzero(np.diff(begin) > CROWD).tolist():
+        left = np.arange(begin[k], begin[k + 1])
+        while len(left):
+            near = np.bitwise_count(after[left] ^ after[left[0]]) <= RADIUS
+            lead[left[near]] = left[0]
+            left = left[~near]
+    return lead
+
+
+class Clusters:
+    """One side of a cell: its rows by word, and the leaders among them."""
+
+    def __init__(self, word: np.ndarray, after: np.ndarray, node: np.ndarray):
+        self.after, self.node, self.lead = after, node, _leaders(word, after)
+        self.leaders, sizes = np.unique(self.lead, return_counts=True)
+        self.by_lead, self.ends = np.argsort(self.lead, kind="stable"), np.cumsum(sizes)
+        self.sizes, self.trie = sizes, Trie(word[self.leaders], WORD_BITS)
+
+    def members(self, k: int) -> np.ndarray:
+        """The rows of the k-th leader."""
+        return self.by_lead[self.ends[k] - self.sizes[k] : self.ends[k]]
+
+
+def _nearest(a: Clusters, i: int, b: Clusters, j: int) -> tuple[int, int, int]:
+    """(bits apart in the words after, row, row): the nearest members of two clusters."""
+    x, y = a.members(i), b.members(j)
+    best = (1 << 30, -1, -1)
+    step = max(1, CLUSTER_PAIRS // len(y))
+    for at in range(0, len(x), step):
+        apart = np.bitwise_count(a.after[x[at : at + step], None] ^ b.after[y])
+        k = int(apart.argmin())
+        best = min(best, (int(apart.flat[k]), int(x[at + k // len(y)]), int(y[k % len(y)])))
+    return best
+
+
 def _meet_words(cell: pa.Table) -> pa.Table:
     """(fa, fb): of the fingerprints that meet in the cell and are near in the words after, links that join all that are joined.
 
-    A crowd of copies gives as many links as it has members. Strong links are chosen for themselves, so
-    that no weak one stands for them.
+    A crowd of copies gives as many links as it has members, and takes as many comparisons as it has members and
+    leaders: a member is near its leader, so two clusters are compared member by member only where their leaders'
+    distance leaves it open whether a link joins them, and nothing has joined them yet. Strong links are chosen for
+    themselves, so that no weak one stands for them.
     """
-    own, others = _sides(cell)
-    nodes, place = np.unique(np.concatenate([own[2], others[2]]), return_inverse=True)
-    of = place[: len(own[2])], place[len(own[2]) :]
-    a, any_link, strong_link, found = Trie(own[0], WORD_BITS), Forest(len(nodes)), Forest(len(nodes)), []
-    for side, to in ((own, of[0]), (others, of[1])):
-        b = a if side is own else Trie(side[0], WORD_BITS)
-        for i, j, apart in walk(a, b, WORD_BUDGET):
-            more = np.bitwise_count(own[1][i] ^ side[1][j]).astype(np.int64)
+    sides = _sides(cell)
+    nodes, place = np.unique(np.concatenate([sides[0][2], sides[1][2]]), return_inverse=True)
+    of = place[: len(sides[0][2])], place[len(sides[0][2]) :]
+    any_link, strong_link, found = Forest(len(nodes)), Forest(len(nodes)), []
+
+    def add(x: np.ndarray, y: np.ndarray, strong: np.ndarray) -> None:
+        joins = any_link.add(x, y)
+        joins[strong] |= strong_link.add(x[strong], y[strong])
+        found.append((nodes[np.minimum(x, y)[joins]], nodes[np.maximum(x, y)[joins]]))
+
+    own, others = (Clusters(word, after, at) for (word, after, _), at in zip(sides, of, strict=True))
+    for side in (own, others):
+        led = np.flatnonzero(side.lead != np.arange(len(side.lead)))
+        add(side.node[side.lead[led]], side.node[led], np.ones(len(led), bool))
+    for side in (own, others):
+        for i, j, apart in walk(own.trie, side.trie, WORD_BUDGET):
+            x, y = own.leaders[i], side.leaders[j]
+            more = np.bitwise_count(own.after[x] ^ side.after[y]).astype(np.int64)
             keep = np.flatnonzero(more <= NEXT_BUDGET)
             keep = keep[np.argsort((apart + more)[keep], kind="stable")]
-            x, y, strong = of[0][i[keep]], to[j[keep]], (apart + more)[keep] <= STRONG
-            joins = any_link.add(x, y)
-            joins[strong] |= strong_link.add(x[strong], y[strong])
-            found.append((nodes[np.minimum(x, y)[joins]], nodes[np.maximum(x, y)[joins]]))
+            add(own.node[x[keep]], side.node[y[keep]], (apart + more)[keep] <= STRONG)
+            slack = RADIUS * ((own.sizes[i] > 1).astype(np.int64) + (side.sizes[j] > 1))
+            for k in np.flatnonzero((slack > 0) & (more <= NEXT_BUDGET + slack)).tolist():
+                a, b = int(own.node[x[k]]), int(side.node[y[k]])
+                open_ = any_link.apart(a, b), apart[k] + more[k] <= STRONG + slack[k] and strong_link.apart(a, b)
+                if any(open_):
+                    bits, p, q = _nearest(own, int(i[k]), side, int(j[k]))
+                    if bits <= NEXT_BUDGET:
+                        add(own.node[[p]], side.node[[q]], np.array([apart[k] + bits <= STRONG]))
     return pa.table({c: np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k, c in enumerate(("fa", "fb"))})
 
 
+WORD = "trie int, word long, next long, node long"
+
+
 def word_links(own: DataFrame) -> DataFrame:
-    """(fa, fb): links between the `own(node, fp)` that meet in the trie of some word, as `_meet_words` chooses them, once."""
+    """(fa, fb): links between the `own(node, fp)` that meet in the trie of some word, as `_meet_words` chooses them, once.
+
+    Fingerprints that are alike in a word and the two after it are one class: each is linked to the class's least node,
+    and only that one is dealt to the trie. So a page with a million near copies is a few rows in each cell.
+    """
     depth = _depth(own.count(), WORD_BITS, WORD_DEPTH)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             node = b.column(0).to_numpy()
             words = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u4").reshape(-1, WORDS).astype(np.uint64)
-            for k in range(WORDS):
-                after = words[:, (k + 1) % WORDS] << np.uint64(32) | words[:, (k + 2) % WORDS]
-                yield _dealt((np.ascontiguousarray(words[:, k]), after, node, k), WORD_BITS, depth, WORD_BUDGET)
+            after = np.roll(words, -1, axis=1) << np.uint64(32) | np.roll(words, -2, axis=1)
+            trie = np.tile(np.arange(WORDS, dtype=np.int32), len(node))
+            yield pa.RecordBatch.from_arrays([pa.array(trie), pa.array(words.ravel().view(np.int64)), pa.array(after.ravel().view(np.int64)), pa.array(np.repeat(node, WORDS))], names=["trie", "word", "next", "node"])
 
-    return own.select("node", "fp").mapInArrow(deal, CELL).groupBy("cell").applyInArrow(_meet_words, "fa long, fb long").distinct()
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            trie, word, after, node = (b.column(c).to_numpy() for c in range(4))
+            for k in np.unique(trie).tolist():
+                at = trie == k
+                yield _dealt((word[at].view(np.uint64), after[at].view(np.uint64), node[at], k), WORD_BITS, depth, WORD_BUDGET)
+
+    key = ["trie", "word", "next"]
+    rows = own.select("node", "fp").mapInArrow(words, WORD)
+    classes = cut(rows.groupBy(*key).agg(F.min("node").alias("node"), F.count("*").alias("n")))
+    alike = classes.filter("n > 1").select(*key, F.col("node").alias("fa"))
+    stars = rows.join(alike, key).filter("fa != node").select("fa", F.col("node").alias("fb"))
+    met = classes.select(*key, "node").mapInArrow(deal, CELL).groupBy("cell").applyInArrow(_meet_words, "fa long, fb long")
+    return stars.union(met).distinct()
 
 
 def _apart(links: DataFrame, own: DataFrame, budget: int) -> DataFrame:
