@@ -9,12 +9,16 @@ Pieces are counted by hash first. A piece that stands in several places is a rep
 buckets that hold different pieces, some of them in one place only, the suffixes from the anchor on are sorted, a stack
 scan over their common prefixes gives the interval tree, and each interval of depth R is tested for the diversity of
 its left extensions: what its members have in common to the left of the anchor is scanned in the same way, and every
-L with L + R >= `length` that no deeper interval holds is a maximal repeat, told with all its occurrences. Repeats
-longer than a piece are told in the overlapping pieces of their anchors.
+L with L + R >= `length` that no deeper interval holds is a maximal repeat with all its occurrences. Repeats longer
+than a piece are told in the overlapping pieces of their anchors.
 
 Buckets with more than CROWD different pieces are split, as often as it takes: strings are dealt by cells of their
 distance to the anchor and by the bytes that all strings of a cell share, until a piece is one string and its bucket
 too. So no task holds an unbounded bucket, and nothing is left out.
+
+`repeat_groups` tells the groups with their members, whose number can grow with the depth of the tree for each place.
+`repeat_spans` tells which bytes they cover: of a piece in one place the largest groups alone, for what lies in others
+lies in them. `drop_repeats` takes those bytes out.
 """
 
 from __future__ import annotations
@@ -170,8 +174,9 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int) -> Ite
                 yield left, depth, [order[p] for p in group]
 
 
-PIECE = "b long, v1 long, v2 long, o int, piece binary"
+PIECE = "b long, v1 long, v2 long, times long, d1 long, d2 long, at int, o int, piece binary"
 FOUND = "b long, v1 long, v2 long, d1 long, d2 long, at int, o int, n int"
+KEY = ["b", "v1", "v2"]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -193,133 +198,206 @@ def found_pieces(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM) ->
     return rows.filter(F.octet_length("text") >= length).mapInArrow(run, FOUND)
 
 
-def _counted(holds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((b, v1, v2, times, one), (b, kinds, lone)): places of each piece with one of them, pieces of each bucket, and whether one has a single place."""
-    per_piece = cut(holds.groupBy("b", "v1", "v2").agg(F.count("*").alias("times"), F.min(F.struct("d1", "d2", "at", "o", "n")).alias("one")))
-    per_bucket = per_piece.groupBy("b").agg(F.count("*").alias("kinds"), F.bool_or(F.col("times") == 1).alias("lone"))
-    return per_piece, cut(per_bucket.filter("kinds > 1 and lone"))
+def _open(per_piece: DataFrame) -> DataFrame:
+    """(b, kinds): the buckets of `per_piece(b, v1, v2, times)` that hold different pieces, some of them in one place only."""
+    return cut(per_piece.groupBy("b").agg(F.count("*").alias("kinds"), F.bool_or(F.col("times") == 1).alias("lone")).filter("kinds > 1 and lone").select("b", "kinds"))
+
+
+def _batch(out: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    columns = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds[k]) for i, (_, k) in enumerate(columns)], names=[c for c, _ in columns])
 
 
 def _texts_cut(need: DataFrame, rows: DataFrame) -> DataFrame:
-    """The bytes of the pieces `need(b, v1, v2, one)`, cut out of their documents."""
-    by_doc = need.select("one.d1", "one.d2", F.struct("b", "v1", "v2", "one.at", "one.o", "one.n").alias("w")).groupBy("d1", "d2").agg(F.collect_list("w").alias("wanted"))
+    """The pieces `need(b, v1, v2, times, one)` with their bytes, cut out of the documents; `one` is where one of their places is."""
+    by_doc = need.select("one.d1", "one.d2", F.struct(*KEY, "times", "one.at", "one.o", "one.n").alias("w")).groupBy("d1", "d2").agg(F.collect_list("w").alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, wanted = batch.column(0), batch.column(1)
-            flat, sizes = wanted.flatten(), np.diff(wanted.offsets.to_numpy())
-            at, n = (flat.field(c).to_numpy() for c in ("at", "n"))
+            texts, wanted = batch.column(2), batch.column(3)
+            flat, of = wanted.flatten(), np.repeat(np.arange(len(batch)), np.diff(wanted.offsets.to_numpy()))
             views = [memoryview(t.as_buffer()) for t in texts]
-            out = [bytes(views[t][s : s + m]) for t, s, m in zip(np.repeat(np.arange(len(views)), sizes).tolist(), at.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in ("b", "v1", "v2", "o")), pa.array(out, pa.binary())], names=["b", "v1", "v2", "o", "piece"])
+            out = [bytes(views[t][s : s + m]) for t, s, m in zip(of.tolist(), *(flat.field(c).to_pylist() for c in ("at", "n")), strict=True)]
+            docs = [pa.array(batch.column(c).to_numpy()[of]) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in (*KEY, "times")), *docs, flat.field("at"), flat.field("o"), pa.array(out, pa.binary())], names=[c.split()[0] for c in PIECE.split(", ")])
 
     # repeated rows of a document give the same pieces again
-    return rows.join(by_doc, ["d1", "d2"]).select("text", "wanted").mapInArrow(run, PIECE)
+    return rows.join(by_doc, ["d1", "d2"]).select("d1", "d2", "text", "wanted").mapInArrow(run, PIECE)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The pieces of each bucket, out of rows sorted by bucket; a piece that comes again is left out."""
+    bucket: dict[tuple, dict] = {}
+    now = None
+    for batch in batches:
+        for x in batch.to_pylist():
+            if x["b"] != now:
+                if len(bucket) > 1:
+                    yield list(bucket.values())
+                bucket, now = {}, x["b"]
+            bucket.setdefault((x["v1"], x["v2"]), x)
+    if len(bucket) > 1:
+        yield list(bucket.values())
 
 
-def _compared(pieces: DataFrame, length: int) -> DataFrame:
+def _in_order(pieces: DataFrame) -> DataFrame:
+    return pieces.repartition("b").sortWithinPartitions("b")
+
+
+def _repeats(bucket: list[dict], length: int) -> Iterator[tuple[int, int, list[int]]]:
+    return maximal_repeats([x["piece"][: x["o"]][::-1] for x in bucket], [x["piece"][x["o"] :] for x in bucket], length)
+
+
+def _grouped(pieces: DataFrame, length: int) -> DataFrame:
     """(b, v1, v2, shift, m, g): the repeats in each bucket of `pieces`, as groups g of parts of pieces: m bytes from `shift` on."""
     schema = "b long, v1 long, v2 long, shift int, m int, g long"
 
-    def repeats(bucket: list[tuple]) -> Iterator[tuple]:
-        own = list({x[1:3]: x for x in bucket}.values())
-        if len(own) < 2:
-            return
-        lefts, rights = [x[4][: x[3]][::-1] for x in own], [x[4][x[3] :] for x in own]
-        for left, right, members in maximal_repeats(lefts, rights, length):
-            x = own[members[0]]
-            group = int.from_bytes(xxhash.xxh3_64_digest(x[4][x[3] - left : x[3] + right]), "big", signed=True)
-            for k in members:
-                yield (*own[k][:3], own[k][3] - left, left + right, group)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket: list[tuple] = []
-        for b in batches:
+        for bucket in _buckets(batches):
             out = []
-            for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if bucket and bucket[0][0] != x[0]:
-                    out += repeats(bucket)
-                    bucket = []
-                bucket.append(x)
-            yield _batch(out)
-        yield _batch(list(repeats(bucket)))
+            for left, right, members in _repeats(bucket, length):
+                x = bucket[members[0]]
+                group = int.from_bytes(xxhash.xxh3_64_digest(x["piece"][x["o"] - left : x["o"] + right]), "big", signed=True)
+                out += [(*(bucket[k][c] for c in KEY), bucket[k]["o"] - left, left + right, group) for k in members]
+            yield _batch(out, schema)
+
+    return _in_order(pieces).mapInArrow(run, schema)
+
+
+def largest(spans: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of pairs (L, R) those that no other holds: R falls as L rises."""
+    out: list[tuple[int, int]] = []
+    for left, right in sorted(spans, reverse=True):
+        if not out or right > out[-1][1]:
+            out.append((left, right))
+    return out
+
 
-    def _batch(out: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], k) for c, k in enumerate(kinds)], names=["b", "v1", "v2", "shift", "m", "g"])
+SPAN = "d1 long, d2 long, start int, m int"
+
+
+def _covered(pieces: DataFrame, length: int) -> DataFrame:
+    """(d1, d2, start, m): what the repeats in each bucket of `pieces` cover of those with one place. The others are repeats as wholes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for bucket in _buckets(batches):
+            reach: dict[int, set[tuple[int, int]]] = {k: set() for k, x in enumerate(bucket) if x["times"] == 1}
+            for left, right, members in _repeats(bucket, length):
+                for k in members:
+                    if k in reach:
+                        reach[k].add((left, right))
+            for k, found in reach.items():
+                x = bucket[k]
+                out += [(x["d1"], x["d2"], x["at"] + x["o"] - left, left + right) for left, right in largest(found)]
+            if len(out) > 10_000:
+                yield _batch(out, SPAN)
+                out = []
+        yield _batch(out, SPAN)
 
-    return pieces.repartition("b").sortWithinPartitions("b").mapInArrow(run, schema)
+    return _in_order(pieces).mapInArrow(run, SPAN)
+
+
+PART = "b long, v1 long, v2 long, times long, d1 long, d2 long, at int, o int, piece binary, pb long, p1 long, p2 long, shift int"
 
 
 def _split(pieces: DataFrame, cell: int, length: int) -> DataFrame:
-    """(b, v1, v2, b2, w1, w2, shift, o, m, piece): the pieces by cells of so many distances to the anchor, and by the bytes that all strings of a cell share."""
-    schema = "b long, v1 long, v2 long, b2 long, w1 long, w2 long, shift int, o int, m int, piece binary"
+    """PART: the pieces by cells of so many distances to the anchor, and by the bytes that all strings of a cell share; with the piece (pb, p1, p2) that a part begins at `shift` of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for b, v1, v2, o, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for x in batch.to_pylist():
+                o, piece = x["o"], x["piece"]
                 far, near = o, o - (len(piece) - length)  # distances of the first and the last string to the anchor
                 for c in range(near // cell, far // cell + 1):
                     low, high = c * cell, (c + 1) * cell - 1
                     shared = piece[max(0, o - low) : max(0, o - high + length)]
                     begin, end = o - min(far, high), o - max(near, low) + length
-                    part = piece[begin:end]
                     key = int.from_bytes(xxhash.xxh3_64_digest(shared, (c << 20 | cell) & (1 << 63) - 1), "big", signed=True)
-                    w1, w2 = np.frombuffer(piece_id(part), np.int64).tolist()
-                    out.append((b, v1, v2, key, w1, w2, begin, o - begin, end - begin, part))
-            kinds = [pa.int64()] * 6 + [pa.int32()] * 3 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["b", "v1", "v2", "b2", "w1", "w2", "shift", "o", "m", "piece"])
+                    w1, w2 = np.frombuffer(piece_id(piece[begin:end]), np.int64).tolist()
+                    out.append((key, w1, w2, x["times"], x["d1"], x["d2"], x["at"] + begin, o - begin, piece[begin:end], *(x[k] for k in KEY), begin))
+            yield _batch(out, PART)
+
+    return pieces.mapInArrow(run, PART)
+
+
+def _met(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """FOUND and `same`: the pieces of buckets with several places, and whether all of a bucket's are the same piece."""
+    found = cut(found_pieces(rows, length=length, gram=gram))
+    same = (F.min("v1") == F.max("v1")) & (F.min("v2") == F.max("v2"))
+    # a table, so that the join below deals both its sides itself and can split an anchor that stands in every text
+    shared = cut(found.groupBy("b").agg(F.count("*").alias("places"), same.alias("same")).filter("places > 1").select("b", "same"))
+    return cut(found.join(shared, "b"))
+
+
+def _per_piece(holds: DataFrame) -> DataFrame:
+    """(b, v1, v2, times, one): how often each piece stands, and one of its places."""
+    return cut(holds.groupBy(*KEY).agg(F.count("*").alias("times"), F.min(F.struct("d1", "d2", "at", "o", "n")).alias("one")))
 
-    return pieces.mapInArrow(run, schema)
+
+def repeat_spans(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """(d1, d2, start, m): runs of m bytes of `rows(d1, d2, text)` that cover every string of `length` bytes which also starts elsewhere, and no other byte."""
+    small_batches(rows.sparkSession)
+    met = _met(rows, length, gram)
+    span = ["d1", "d2", F.col("at").alias("start"), F.col("n").alias("m")]
+    mixed = met.filter("not same")
+    per_piece = _per_piece(mixed)
+    out = [met.filter("same").select(*span), mixed.join(per_piece.filter("times > 1").select(*KEY), KEY).select(*span)]
+    buckets, cell = _open(per_piece), length - gram + 1
+    pieces = _texts_cut(per_piece.join(buckets.select("b"), "b"), rows)
+    while True:
+        pieces = cut(pieces.join(buckets, "b"))
+        out.append(_covered(pieces.filter(F.col("kinds") <= crowd).drop("kinds"), length))
+        many = pieces.filter(F.col("kinds") > crowd).drop("kinds")
+        if many.isEmpty():
+            return reduce(DataFrame.union, out)
+        cell = -(-cell // SPLIT)
+        parts = cut(_split(many, cell, length).drop("pb", "p1", "p2", "shift"))
+        sums = cut(parts.groupBy(*KEY).agg(F.sum("times").alias("sum")))
+        often = sums.filter("sum > 1").select(*KEY)
+        out.append(parts.filter("times = 1").join(often, KEY).select("d1", "d2", F.col("at").alias("start"), F.octet_length("piece").alias("m")))
+        buckets = _open(sums.withColumnRenamed("sum", "times"))
+        pieces = parts.dropDuplicates(KEY).drop("times").join(sums, KEY).select(*KEY, F.col("sum").alias("times"), "d1", "d2", "at", "o", "piece")
 
 
 def repeat_groups(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """(g, d1, d2, start, m): the repeats of `rows(d1, d2, text)` as groups of all their occurrences; m bytes from `start` on.
+    """(g, d1, d2, start, m): the repeats of `rows(d1, d2, text)` as groups of all their places; m bytes from `start` on.
 
     Every string of `length` bytes that stands in more than one place lies in a group, and a group's strings are equal.
+    Pieces that are all repeats as wholes aren't held against each other.
     """
     small_batches(rows.sparkSession)
-    found = cut(found_pieces(rows, length=length, gram=gram))
-    same = (F.min("v1") == F.max("v1")) & (F.min("v2") == F.max("v2"))
-    shared = found.groupBy("b").agg(F.count("*").alias("places"), same.alias("same")).filter("places > 1").select("b", "same")
-    met = cut(found.join(shared, "b"))
-    group = F.xxhash64("b", "v1", "v2").alias("g")
+    met = _met(rows, length, gram)
+    group = F.xxhash64(*KEY).alias("g")
     out = [met.filter("same").select(group, "d1", "d2", F.col("at").alias("start"), F.col("n").alias("m"))]
     holds, pieces, cell = met.filter("not same").drop("same"), None, length - gram + 1
     while True:
-        per_piece, per_bucket = _counted(holds)
-        often = per_piece.filter("times > 1").select("b", "v1", "v2")
-        out.append(holds.join(often, ["b", "v1", "v2"]).select(group, "d1", "d2", F.col("at").alias("start"), F.col("n").alias("m")))
+        per_piece = _per_piece(holds)
+        buckets, often = _open(per_piece), per_piece.filter("times > 1").select(*KEY)
+        out.append(holds.join(often, KEY).select(group, "d1", "d2", F.col("at").alias("start"), F.col("n").alias("m")))
         if pieces is None:
-            pieces = _texts_cut(per_piece.join(per_bucket.select("b"), "b"), rows)
-        pieces = cut(pieces.join(per_bucket.select("b", "kinds"), "b").select("b", "v1", "v2", "o", "piece", "kinds"))
-        few, many = (pieces.filter(F.col("kinds") <= crowd).drop("kinds"), pieces.filter(F.col("kinds") > crowd).drop("kinds"))
-        told = _compared(few, length)
-        out.append(holds.join(told, ["b", "v1", "v2"]).select("g", "d1", "d2", (F.col("at") + F.col("shift")).alias("start"), "m"))
+            pieces = _texts_cut(per_piece.join(buckets.select("b"), "b"), rows)
+        pieces = cut(pieces.join(buckets, "b"))
+        told = _grouped(pieces.filter(F.col("kinds") <= crowd).drop("kinds"), length)
+        out.append(holds.join(told, KEY).select("g", "d1", "d2", (F.col("at") + F.col("shift")).alias("start"), "m"))
+        many = pieces.filter(F.col("kinds") > crowd).drop("kinds")
         if many.isEmpty():
-            break
+            return reduce(DataFrame.union, out)
         cell = -(-cell // SPLIT)
         parts = cut(_split(many, cell, length))
-        to = parts.select("b", "v1", "v2", F.col("b2"), "w1", "w2", "shift", F.col("o").alias("o2"), F.col("m").alias("n2"))
-        holds = cut(holds.join(to, ["b", "v1", "v2"]).select(F.col("b2").alias("b"), F.col("w1").alias("v1"), F.col("w2").alias("v2"), "d1", "d2", (F.col("at") + F.col("shift")).alias("at"), F.col("o2").alias("o"), F.col("n2").alias("n")))
-        pieces = parts.select(F.col("b2").alias("b"), F.col("w1").alias("v1"), F.col("w2").alias("v2"), "o", "piece").dropDuplicates(["b", "v1", "v2"])
-    return reduce(DataFrame.union, out)
-
-
-def _kept(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left of a text without the spans (start, bytes), and the removed runs (start, end)."""
-    runs: list[list[int]] = []
-    for start, n in sorted(spans):
-        if runs and start <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], start + n)
-        else:
-            runs.append([start, start + n])
-    left, at = [], 0
-    for start, end in runs:
-        left.append(text[at:start])
-        at = end
-    return b"".join([*left, text[at:]]), [(a, b) for a, b in runs]
+        to = parts.select(F.col("pb").alias("b"), F.col("p1").alias("v1"), F.col("p2").alias("v2"), F.col("b").alias("b2"), F.col("v1").alias("w1"), F.col("v2").alias("w2"), "shift", F.col("o").alias("o2"), F.octet_length("piece").alias("n2"))
+        holds = cut(holds.join(to, KEY).select(F.col("b2").alias("b"), F.col("w1").alias("v1"), F.col("w2").alias("v2"), "d1", "d2", (F.col("at") + F.col("shift")).alias("at"), F.col("o2").alias("o"), F.col("n2").alias("n")))
+        pieces = parts.select("b", "v1", "v2", "times", "d1", "d2", "at", "o", "piece").dropDuplicates(KEY)
+
+
+def _runs(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal runs of what spans cover."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+    return list(zip(start[first].tolist(), end[np.append(first[1:], len(start)) - 1].tolist(), strict=True))
 
 
 def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
@@ -330,20 +408,24 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     empty ones, rows that repeat are repeats of each other, ids may be null, an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = _keyed(docs, id_col, text_col).drop("doc_id")
-    groups = repeat_groups(rows, length=length, gram=gram, crowd=crowd)
-    spans = groups.select("d1", "d2", "start", "m").distinct().groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "m")).alias("spans"))
     all_rows = _keyed(docs, id_col, text_col)
+    spans = repeat_spans(all_rows.drop("doc_id"), length=length, gram=gram, crowd=crowd)
+    spans = spans.groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "m")).alias("spans"))
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept, removed = [], []
+            sizes, kept, removed = [], [], []
             for t, s in zip(b.column(1), b.column(2), strict=True):
-                left, runs = _kept(t.as_py(), [(x["start"], x["m"]) for x in s.as_py() or ()])
-                kept.append(left)
-                removed.append([{"start": a, "end": z} for a, z in runs])
-            size = pa.array([len(t.as_py()) for t in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "n_bytes", "kept", "removed"])
+                text, runs = memoryview(t.as_buffer()), []
+                if s.is_valid:
+                    start, m = (s.values.field(c).to_numpy().astype(np.int64) for c in ("start", "m"))
+                    runs = _runs(start, start + m)
+                at = [0, *(x for run in runs for x in run), len(text)]
+                kept.append(b"".join(text[at[k] : at[k + 1]] for k in range(0, len(at), 2)))
+                removed.append([{"start": x, "end": y} for x, y in runs])
+                sizes.append(len(text))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, span)], names=["doc_id", "n_bytes", "kept", "removed"])
 
     joined = all_rows.join(spans, ["d1", "d2"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, kept binary, removed array<struct<start: long, end: long>>")
