@@ -207,9 +207,220 @@ def test_bucket_equals_the_whole_number(spark):
     assert by_id(text.bucket_percent(df, "k", 30), "bucket", "k") == {str(i): int(hashlib.sha256(str(i).encode()).hexdigest(), 16) % 100 for i in range(200)}
 
 
+def catalog(spark, rows):
+    return spark.createDataFrame(rows, verdicts.CATALOG)
+
+
 def test_rule_eval_takes_null_as_no(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id long, t string")
-    assert [tuple(r) for r in verdicts.rule_eval(df, "id", [("HAS-A", "t = 'a'"), ("NOT-A", "t != 'a'")]).collect()] == [(1, "HAS-A")]
+    rules = catalog(spark, [("HAS-A", "A", "g", None, "k", "t = 'a'", True), ("NOT-A", None, None, None, None, "t != 'a'", True)])
+    assert [tuple(r) for r in verdicts.rule_eval(df, "id", rules).collect()] == [(1, "HAS-A", "A", "g", "k")]
+
+
+def test_rules_of_a_table(spark):
+    """Rules of all banks and of one, disabled ones, tiers by prefix, codes told once; rules that can't be evaluated are refused by name."""
+    df = spark.createDataFrame([(1, "x", 5), (2, "y", 5), (3, None, 5), (4, "x", None)], "id long, bank string, n int")
+    rules = [("B-ALL", None, None, None, "k", "n = 5", True), ("A-X", None, "gx", "x", "k", "n > 1", True), ("A-X", None, "gx", "x", "k", "n > 2", True), ("Y", "B", None, "y", "k", "n > 1", True), ("A-DELETED", "A", None, None, "k", "true", False), ("A-GONE", "A", None, "x", "k", "no_such = 1", False), ("C-NULL", None, None, None, None, "id = 4", None)]
+    got = sorted(tuple(r) for r in verdicts.rule_eval(df, "id", catalog(spark, rules), bank="bank").collect())
+    assert got == [(1, "A-X", "A", "gx", "k"), (1, "B-ALL", "B", "B-ALL", "k"), (2, "B-ALL", "B", "B-ALL", "k"), (2, "Y", "B", "Y", "k"), (3, "B-ALL", "B", "B-ALL", "k"), (4, "C-NULL", "C", "C-NULL", None)]
+    for bad, said in (("no_such = 1", "can't be held"), ("n + 1", "no predicate")):
+        with pytest.raises(ValueError, match=f"B-BAD.*{said}|B-BAD is {said}"):
+            verdicts.rule_eval(df, "id", catalog(spark, [("B-BAD", None, None, None, None, bad, True)]), bank="bank")
+    with pytest.raises(ValueError, match="no bank column"):
+        verdicts.rule_eval(df, "id", catalog(spark, rules))
+    assert verdicts.rule_eval(df, "id", catalog(spark, rules).limit(0)).count() == 0
+
+
+def history_rows(n, seed):
+    """Times that are null, equal, in bursts, and 60 and 300 seconds apart; verdicts that are null."""
+    r, t, rows = random.Random(seed), 0, []
+    for i in range(n):
+        t += r.choice([0, 0, 0, 1, 59, 60, 61, 299, 300, 301, 5000])
+        rows.append((i, None if r.random() < 0.1 else T0 + timedelta(seconds=t), r.choice(["PASS", "FAIL", "FAIL", None]), r.choice([None, "", *"abcdefgh"])))
+    return rows
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_global_history_equals_the_loop(spark, parts):
+    """Without a partition the features are those of a loop over the whole history, however the ranges fall."""
+    rows = history_rows(300, parts)
+    in_order = sorted(rows, key=lambda x: (x[1] is not None, x[1] or T0, x[0]))
+    want, times, streak, seen, uploads, previous, last = {}, [], 0, set(), 0, "", None
+    for i, ts, v, mid in in_order:
+        counts = [0] * 4
+        if ts is not None:
+            for k, s in enumerate((60, 300)):
+                near = [x for x in times if (ts - x[0]).total_seconds() <= s]
+                counts[2 * k : 2 * k + 2] = len(near), sum(x[1] == "PASS" for x in near)
+        if not (mid and mid in seen):
+            streak = streak + 1 if v == "PASS" else 0
+            if v == "PASS" and mid:
+                seen.add(mid)
+        uploads += v == "FAIL"
+        want[i] = (previous, None if ts is None or last is None else (ts - last).total_seconds(), *counts, streak, uploads)
+        previous = v or ""
+        if ts is not None:
+            times.append((ts, v))
+            last = ts
+    df = spark.createDataFrame(rows, "id long, ts timestamp, v string, mid string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        order = ["ts", "id"]
+        out = history.previous_verdict(df, "v", order)
+        out = history.gap_seconds(out, "ts", order)
+        out = history.prior_window_counts(out, "ts", F.col("v") == "PASS", order)
+        out = history.clean_streak(out, F.col("v") == "PASS", order, ids="mid")
+        out = history.reply_attribution(out, F.col("v") == "FAIL", order)
+        assert out.columns == [*df.columns, "previous_verdict", "gap_seconds", "prior_60s", "prior_pass_60s", "prior_300s", "prior_pass_300s", "streak", "upload_no"]
+        got = {r[0]: tuple(r)[4:] for r in out.collect()}
+        assert got == want
+        assert history.clean_streak(df.limit(0), F.col("v") == "PASS", order).count() == history.prior_window_counts(df.limit(0), "ts", F.col("v") == "PASS", order).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_resolve_copy_keeps_every_row(spark):
+    """Rows that share a key or have none, sizes that are null, candidates by the dozen: each row its own best one."""
+    r = random.Random(4)
+    rows = [(i, r.choice([None, "", "a", "b", "c", "zz"]), r.choice([None, 1, 2, 3])) for i in range(80)]
+    found = [(r.choice([None, "", "a", "b", "c"]), r.choice(["chat", "disk"]), r.choice([None, *"pqrstu"]), r.choice([None, 1, 2])) for _ in range(60)]
+    want = {}
+    for i, key, size in rows:
+        best = min(((0 if k == "chat" and s == size and size else 1 if s == size and size else 2 if k == "chat" else 3, p is None, p or "", k, p) for x, k, p, s in found if key and x == key), default=None)
+        want[i] = (key, size, best and best[3], best and best[4])
+    got = links.resolve_copy(spark.createDataFrame(rows, "id long, key string, size long"), spark.createDataFrame(found, "key string, kind string, path string, size long"), "key", "size")
+    assert got.columns == ["id", "key", "size", "kind", "path"] and got.count() == 80 and {x["id"]: tuple(x)[1:] for x in got.collect()} == want
+
+
+def test_weak_matches_once_a_file(spark):
+    """Against all pairs: nulls and empty texts in every column, files and ids that repeat; the fields that differ are named."""
+    r = random.Random(9)
+    rows = [(i, r.choice([None, "", *"xyz"]), r.choice([None, "", *"fghijk"]), r.choice([None, "", "1", "2"]), r.choice([None, 1.0, 2.0])) for i in range(120)]
+    there = lambda v: v is not None and v != ""
+    want = {}
+    for n, (_, key, file, a, b) in enumerate(rows):
+        if not (there(key) and there(file) and (there(a) or there(b))) or file in want:
+            continue
+        earlier = [x for x in rows[:n] if x[1] == key and there(x[2]) and x[2] != file and (there(x[3]) or there(x[4]))]
+        if earlier:
+            names = [c for c, k in (("a", 3), ("b", 4)) if there(rows[n][k]) and any(there(x[k]) and x[k] != rows[n][k] for x in earlier)]
+            want[file] = (key, ",".join(names))
+    got = links.weak_match_once(spark.createDataFrame(rows, "n long, id string, file string, a string, b double"), "id", "file", ["a", "b"], ["n"])
+    assert {x["file"]: (x["id"], x["differing"]) for x in got.collect()} == want and len(want) > 3 and got.count() == len(want)
+
+
+def test_lookups_without_a_key(spark):
+    rows = spark.createDataFrame([(1, "h", "x"), (2, None, "x"), (3, "", "y"), (4, None, None)], "id long, h string, s string")
+    known = [("h", spark.createDataFrame([("h", "H"), (None, "none"), ("", "empty")], "h string, label string")), ("s", spark.createDataFrame([("x", "X"), (None, "none")], "s string, label string"))]
+    assert {r["id"]: (r["known_by"], r["known_label"]) for r in links.known_lookup(rows, known).collect()} == {1: ("h", "H"), 2: ("s", "X"), 3: (None, None), 4: (None, None)}
+    chat = spark.createDataFrame([("h", 7), (None, 8), (None, 9), ("q", 10)], "h string, size long")
+    got = sorted((str(r["id"]), str(r["size"]), r["origin"]) for r in links.log_chat_merge(rows, chat, "h").collect())
+    assert got == [("1", "7", "log"), ("2", "None", "log"), ("3", "None", "log"), ("4", "None", "log"), ("None", "10", "chat"), ("None", "8", "chat"), ("None", "9", "chat")]
+
+
+@pytest.mark.parametrize("crowd", [0, 64])
+def test_overlaps_equal_all_pairs(spark, crowd):
+    """Boxes of all sizes, on cell borders, one over the whole page, some without an extent; a document of hundreds and small ones."""
+    r = random.Random(6)
+    rows = [("big", n, float(x), float(x + w), float(y), float(y + h)) for n, (x, w, y, h) in enumerate((r.randrange(100), r.choice([0, 1, 2, 5]), r.randrange(100), r.choice([1, 2, 5])) for _ in range(300))]
+    rows += [("big", 900, 0.0, 100.0, 0.0, 100.0), ("two", 1, 0.0, 1.0, 0.0, 1.0), ("two", 2, 0.5, 1.0, 0.5, 3.0), ("two", 3, None, 1.0, 0.0, 1.0), ("one", 1, 0.0, 1.0, 0.0, 1.0)]
+    want = {(d, a[1], b[1]) for a in rows for b in rows for d in [a[0]] if d == b[0] and a[1] < b[1] and None not in a[2:] + b[2:] and a[2] < a[3] and b[2] < b[3] and a[2] < b[3] and b[2] < a[3] and a[4] < b[5] and b[4] < a[5]}
+    out = links.overlap_pairs(spark.createDataFrame(rows, "d string, n long, x0 double, x1 double, y0 double, y1 double"), "d", ["n"], "x0", "x1", "y0", "y1", crowd=crowd)
+    got = [(x["d"], x["a"]["n"], x["b"]["n"]) for x in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
+
+
+def test_folds_keep_groups_and_are_alike(spark):
+    r = random.Random(2)
+    rows = [(i, r.choice([None, "", *(f"g{k}" for k in range(60)), "huge", "huge"]), int(r.random() < 0.2)) for i in range(1500)]
+    f = learning.grouped_folds(spark.createDataFrame(rows, "id long, g string, label int"), "g", label="label", folds=5).collect()
+    by, size, ones = {}, [0] * 5, [0] * 5
+    for x in f:
+        by.setdefault(x["g"], set()).add(x["fold"])
+        size[x["fold"]] += 1
+        ones[x["fold"]] += x["label"]
+    assert len(f) == 1500 and all(len(folds) == 1 for g, folds in by.items() if g) and by[None] == by[""] == set(range(5))
+    assert max(size) - min(size) <= 40 and max(ones) - min(ones) <= 12
+    # the dealing itself: every group once, and the greedy rest goes where least is
+    assert learning.deal([(1, 0, 7), (0, 2, 5)], 3) == {(1, 0): [3, 2, 2], (0, 2): [1, 2, 2]}
+    assert learning.grouped_folds(spark.createDataFrame([], "id long, g string, label int"), "g", label="label").count() == 0
+
+
+def test_metrics_of_each_fold(spark):
+    """Scores fixed in tables, against counts by hand."""
+    a = spark.createDataFrame([(1, 0.9), (0, 0.6), (0, 0.2), (1, 0.4)], "label int, score double")
+    b = spark.createDataFrame([(1, 0.8), (0, 0.1)], "label int, score double")
+    got = {x["fold"]: x for x in learning.fold_metrics([a, b], "label").collect()}
+    assert {k: (x["test_size"], x["test_passes"], x["tp"], x["fp"], x["fn"], x["tn"]) for k, x in got.items()} == {0: (4, 2, 1, 1, 1, 1), 1: (2, 1, 1, 0, 0, 1), None: (6, 3, 2, 1, 1, 2)}
+    assert got[0]["auc"] == 0.75 and got[1]["auc"] == 1.0 and got[None]["accuracy"] == round(4 / 6, 6)
+
+
+def test_cross_validation_and_holdout_score_each_row_by_others(spark):
+    """A number that only tells within its group, and one that tells of all: every fold is scored by a model of the others."""
+    r = random.Random(3)
+    rows = [(i, f"g{i % 40}", r.gauss(3.0 * (i % 40 % 2), 1.0), i % 40 % 2) for i in range(800)]
+    df = spark.createDataFrame(rows, "id long, g string, x double, label int")
+    got = {x["fold"]: x for x in learning.grouped_cv(df, "g", ["x"], [], label="label", folds=4).collect()}
+    assert set(got) == {0, 1, 2, 3, None} and got[None]["test_size"] == 800 and sum(got[k]["test_size"] for k in range(4)) == 800
+    assert all(x["auc"] > 0.95 for x in got.values())
+    held = learning.temporal_holdout(df, ["id"], ["x"], [], label="label").head()
+    assert held["tp"] + held["fp"] + held["fn"] + held["tn"] == 240 and held["auc"] > 0.95
+
+
+def test_rare_categories_share_a_slot(spark):
+    train = spark.createDataFrame([(1.0, c) for c in ["a", "a", "a", "b", "b", "rare", "once", None]], "x double, c string")
+    model = learning.feature_pipeline(["x"], ["c"]).fit(train)
+    seen = model.transform(spark.createDataFrame([(1.0, c) for c in ["a", "b", "rare", "once", "new", None]], "x double, c string")).collect()
+    hot = {x["c"]: tuple(x["c_hot"].toArray()) for x in seen}
+    assert len(hot["a"]) == len(hot["b"]) and hot["a"] != hot["b"] and hot["rare"] == hot["once"] == hot["new"] == hot[None] not in (hot["a"], hot["b"])
+
+
+def test_rounds_of_a_graph_append(spark):
+    """A chain of many nodes, a cycle, a shared child, wrong counts: what the rounds write is in proportion to the rows."""
+    n = 24
+    edges = [("g", k, k + 1) for k in range(n)] + [("c", 1, 2), ("c", 2, 3), ("c", 3, 1), ("d", 0, 1), ("d", 0, 2), ("d", 1, 3), ("d", 2, 3)]
+    nodes = [("g", k, k - 1 if k else None, 1) for k in range(n + 1)] + [("c", k, None, None) for k in (1, 2, 3)] + [("d", 0, None, 2), ("d", 1, 0, 1), ("d", 2, 0, 5), ("d", 3, 1, None)]
+    e, v = spark.createDataFrame(edges, "graph string, src long, dst long"), spark.createDataFrame(nodes, "graph string, node long, parent long, declared long")
+    got = sorted(tuple(r) for r in graph.reachable(e, spark.createDataFrame([("g", 5), ("c", 1)], "graph string, node long")).collect())
+    assert got == [("c", 1), ("c", 2), ("c", 3)] + [("g", k) for k in range(5, n + 1)]
+    got = {tuple(r) for r in graph.tree_audit(v, e).collect()}
+    assert got == {("c", k, "cycle") for k in (1, 2, 3)} | {("c", k, "parent") for k in (1, 2, 3)} | {("d", 3, "shared"), ("d", 3, "parent"), ("d", 2, "count")}
+
+
+def test_listings_are_cut_into_rows(spark):
+    rows = [(n, "k" if n < 25 else None, "PASS" if n % 3 else "FAIL") for n in range(40)]
+    df = spark.createDataFrame(rows, "e long, k string, v string")
+    got = sorted((r["chunk_no"], r["n"], r["passes"], r["events"]) for r in corpus.contradiction_groups(df, "k", "v", "e", chunk=10).collect())
+    assert got == [(c, 25, 16, ",".join(map(str, range(10 * c, min(25, 10 * c + 10))))) for c in range(3)]
+    got = sorted((r["chunk_no"], r["verdicts"]) for r in corpus.duplicate_sequences(df, "k", "v", ["e"], chunk=10).collect())
+    assert got == [(0, "FPPFPPFPPF"), (1, "PPFPPFPPFP"), (2, "PFPPF")]
+    replies = spark.createDataFrame([("a", n, "x") for n in range(30)] + [("b", n, "st" if n == 9 else "op" if n == 10 else "x") for n in range(30)] + [("c", 0, None), ("d", 0, "yes")], "d string, n long, t string")
+    got = {r["d"]: r["verdict"] for r in verdicts.verdict_from_replies(replies, "d", "t", ["n"], fail="st\nop", passed="yes", chunk=10).collect()}
+    assert got == {"a": "UNKNOWN", "b": "FAIL", "c": "UNKNOWN", "d": "PASS"}
+
+
+def test_compatible_characters(spark):
+    """Every character that normalises to another, alone and between letters, against Unicode's own normalisation."""
+    import unicodedata
+
+    chars = [c for c in map(chr, (*range(0x20, 0xD800), *range(0xE000, 0x30000))) if unicodedata.normalize("NFKC", c) != c]
+    rows = [(n, f"a{c} {c}b") for n, c in enumerate(chars)] + [(-1, None), (-2, ""), (-3, "plain é ß")]
+    got = {r["n"]: r["t"] for r in spark.createDataFrame(rows, "n int, t string").select("n", text.compatible(F.col("t")).alias("t")).collect()}
+    each = lambda t: t and "".join(unicodedata.normalize("NFKC", c) for c in t)
+    assert got == {n: each(t) for n, t in rows} and len(chars) > 3000
+    hashes = text.semantic_hash(spark.createDataFrame([("№\u00a01２", 0), ("No 12", 1), ("no  12", 2), ("ﬁne", 3), ("fine", 4)], "t string, n int"), "t")
+    h = {r["n"]: r["semantic"] for r in hashes.collect()}
+    assert h[0] == h[1] == h[2] and h[3] == h[4] != h[0]
+
+
+def test_longest_suffix(spark):
+    rows = [("a@mail.shop.co.uk", "shop.co.uk"), ("https://x.y.example.com/p", "example.com"), ("b@co.uk", "co.uk"), ("c@uk", "uk"), ("d@a.b.unknown", "b.unknown"), ("nothing", ""), (None, None), ("e@Shop.CO.UK", "shop.co.uk")]
+    suffixes = spark.createDataFrame([("uk",), ("co.uk",), ("CO.uk",), ("com",)], "suffix string")
+    got = {r["a"]: r["registered"] for r in text.domain_functions(spark.createDataFrame([(a,) for a, _ in rows], "a string"), "a", suffixes=suffixes).collect()}
+    assert got == dict(rows)
 
 
 def test_dates_behind_labels_and_in_words(spark):

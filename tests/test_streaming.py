@@ -60,6 +60,52 @@ def test_identity_over_batches(spark, source):
     assert sorted(r["use_no"] for r in drained(uses, "r").collect()) == [1, 2, 3, 4]
 
 
+def test_newest_ids_and_their_time(spark, source):
+    """A store keeps two ids, each for a hundred seconds of event time: what has left, by number or by time, is new again."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "store string, id string, file string, sig string, ts timestamp"
+    batches = [
+        [("s", "a", "f1", "1", at(0)), ("s", "a", "f2", "2", at(1)), ("t", "a", "f3", "9", at(1)), ("s", "", "f4", "1", at(2)), (None, "a", "f5", "1", at(2))],
+        [("s", "b", "f6", "1", at(10)), ("s", "c", "f7", "1", at(20))],  # a leaves
+        [("s", "a", "f8", "3", at(30)), ("s", "c", "f9", "1", at(31)), ("t", "a", "f3", "8", at(99))],  # a is new, b leaves
+        [("t", "a", "f10", "7", at(150)), ("s", "c", "f11", "1", at(119))],  # t's a has had its time, s's c not yet
+        [("s", "c", "f12", "1", at(400))], [("s", "c", "f13", "1", at(401))],
+    ]
+    out = S.stream_newest(source(batches, schema), store="store", id_col="id", file_col="file", signature_col="sig", ts="ts", most=2, keep_ms=100_000, watermark="1 minute")
+    got = {r["file"] + r["store"]: (r["seen"], r["conflict"]) for r in drained(out, "n").collect() if r["file"] != "f3"}
+    assert got == {"f1s": (False, False), "f2s": (True, True), "f6s": (False, False), "f7s": (False, False), "f8s": (False, False), "f9s": (True, False), "f10t": (False, False), "f11s": (True, False), "f12s": (False, False), "f13s": (True, False)}
+
+
+def test_a_late_row_joins_two_sessions(source):
+    schema = "user string, ts timestamp"
+    rows = [[("u", at(0)), ("u", at(10))], [("u", at(100)), ("v", at(100))], [("u", at(55)), (None, at(56)), ("u", None)], [("z", at(9999))], [("z", at(10000))]]
+    got = drained(S.stream_sessions(source(rows, schema), "user", "ts", gap="1 minute", watermark="5 minutes"), "s")
+    assert sorted((str(r["user"]), r["started"], r["ended"], r["submissions"]) for r in got.collect()) == [("None", at(56), at(56), 1), ("u", at(0), at(100), 4), ("v", at(100), at(100), 1)]
+
+
+def test_upserts_rewrite_only_what_they_touch(spark):
+    where = f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
+    t = io.UpsertTable(spark, where, "k long, v string, at long", ["k"], "at", buckets=8)
+    rows = {k: ("old", 1) for k in range(100)}
+    assert t.read().count() == 0
+    assert t.upsert(spark.createDataFrame([(k, *v) for k, v in rows.items()], t.schema)) == list(range(8))
+    before = t._manifest()[1]["folders"]
+    new = [(3, "new", 2), (3, "newest", 3), (4, "older", 0), (5, "same", 1), (None, "none", 1), (3, "newer", None)]
+    touched = t.upsert(spark.createDataFrame(new, t.schema), batch=1)
+    after = t._manifest()[1]["folders"]
+    assert 0 < len(touched) < 8 and {b for b in after if after[b] != before.get(b)} == set(map(str, touched))
+    rows |= {3: ("newest", 3), 5: ("same", 1), None: ("none", 1)}
+    assert {r["k"]: (r["v"], r["at"]) for r in t.read().collect()} == rows
+    assert t.upsert(spark.createDataFrame([(7, "again", 9)], t.schema), batch=1) == []  # a batch that runs again
+    # of two writers of one version one loses, and makes its change again
+    number, manifest = t._manifest()
+    assert t._commit(number + 1, manifest) and not t._commit(number + 1, manifest)
+    t.upsert(spark.createDataFrame([(8, "won", 9)], t.schema))
+    assert {r["k"]: r["v"] for r in t.read().collect()}[8] == "won" and t._manifest()[0] == number + 2
+    with pytest.raises(ValueError, match="8 buckets"):
+        io.UpsertTable(spark, where, t.schema, ["k"], "at", buckets=9).upsert(spark.createDataFrame([(8, "x", 9)], t.schema))
+
+
 def test_log_scan_skips_what_is_no_submission(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"message_id": 1, "verdict": "PASS", "pdf": {"sha256": "x", "size": 3}, "messages": [{"text": "ok"}]}')
     (tmp_path / "b.json").write_text("{broken")

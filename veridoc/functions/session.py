@@ -34,6 +34,26 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(drop_on_exit(spark, path))
 
 
+class Appended:
+    """A table in the shared folder to which each round of a loop adds its own rows; rows that are there are never written again."""
+
+    def __init__(self, spark, schema: str):
+        self.spark, self.schema, self.rounds = spark, schema, 0
+        self.path = drop_on_exit(spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}")
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """The rows of this round, as written."""
+        at = f"{self.path}/round={self.rounds}"
+        rows.write.option("compression", "zstd").parquet(at)
+        self.rounds += 1
+        return self.spark.read.schema(self.schema).parquet(at)
+
+    def read(self) -> DataFrame:
+        """The rows of all rounds."""
+        rounds = [f"{self.path}/round={n}" for n in range(self.rounds)]
+        return self.spark.read.schema(self.schema).parquet(*rounds)
+
+
 def known(col: str) -> Column:
     """Whether a key is there: neither null nor the empty text."""
     return F.col(col).isNotNull() & (F.col(col).cast("string") != "")

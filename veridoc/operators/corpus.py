@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridoc.functions.session import cut
+from veridoc.functions.session import cut, known
 
 
 def corpus_summary(df: DataFrame, *, verdict: str, hash_col: str, reliable: Column) -> DataFrame:
@@ -18,13 +18,24 @@ def corpus_summary(df: DataFrame, *, verdict: str, hash_col: str, reliable: Colu
     )
 
 
-def contradiction_groups(df: DataFrame, key: str, verdict: str, event: str) -> DataFrame:
-    """(key, n, passes, fails, events): keys with more than one verdict, with their events in order."""
-    out = df.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        F.count("*").alias("n"), F.count_if(F.col(verdict) == "PASS").alias("passes"), F.count_if(F.col(verdict) == "FAIL").alias("fails"),
-        F.countDistinct(verdict).alias("_v"), F.array_join(F.transform(F.array_sort(F.collect_list(event)), lambda x: x.cast("string")), ",").alias("events"),
-    )
-    return out.filter("_v > 1").drop("_v")
+def _in_rows(df: DataFrame, key: str, order: Sequence[str], part: Column, chunk: int) -> DataFrame:
+    """(key, chunk_no, parts): `part` of each row of a key in order, in arrays of `chunk` at most, so that no row grows with its key."""
+    numbered = df.select(F.col(key), part.alias("_v"), (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).alias("_n"))
+    return numbered.groupBy(key, F.floor(F.col("_n") / chunk).alias("chunk_no")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_v"))), lambda x: x["_v"]).alias("parts"))
+
+
+#: Events or verdicts in one row of a listing.
+CHUNK = 1000
+
+
+def contradiction_groups(df: DataFrame, key: str, verdict: str, event: str, *, chunk: int = CHUNK) -> DataFrame:
+    """(key, n, passes, fails, chunk_no, events): keys with more than one verdict, with their events in order, `chunk` in a row; a key with more has further rows."""
+    rows = df.filter(F.col(key).isNotNull())
+    groups = rows.groupBy(key).agg(
+        F.count("*").alias("n"), F.count_if(F.col(verdict) == "PASS").alias("passes"), F.count_if(F.col(verdict) == "FAIL").alias("fails"), F.min(verdict).alias("_lo"), F.max(verdict).alias("_hi"),
+    ).filter("_lo != _hi").drop("_lo", "_hi")
+    told = _in_rows(rows.join(groups.select(key), key, "left_semi"), key, [event], F.col(event).cast("string"), chunk)
+    return told.join(groups, key).select(key, "n", "passes", "fails", "chunk_no", F.array_join("parts", ",").alias("events"))
 
 
 def pass_rate_by(df: DataFrame, key: str, passed: Column) -> DataFrame:
@@ -42,10 +53,12 @@ def numeric_bins(df: DataFrame, col: str, edges: Sequence[float], passed: Column
     return out.select(F.get(at, "_b").alias("lo"), F.get(at, F.col("_b") + 1).alias("hi"), "n", "passes")
 
 
-def duplicate_sequences(df: DataFrame, key: str, verdict: str, order: Sequence[str]) -> DataFrame:
-    """(key, n, verdicts): keys seen twice or more, with the first letters of their verdicts in order."""
-    listed = F.array_sort(F.collect_list(F.struct(*order, F.substring(verdict, 1, 1).alias("_v"))))
-    return df.groupBy(key).agg(F.count("*").alias("n"), F.array_join(listed["_v"], "").alias("verdicts")).filter("n >= 2")
+def duplicate_sequences(df: DataFrame, key: str, verdict: str, order: Sequence[str], *, chunk: int = CHUNK) -> DataFrame:
+    """(key, n, chunk_no, verdicts): keys seen twice or more, with the first letters of their verdicts in order, `chunk` in a row. Rows without a key are no group."""
+    rows = df.filter(known(key))
+    groups = rows.groupBy(key).agg(F.count("*").alias("n")).filter("n >= 2")
+    told = _in_rows(rows.join(groups.select(key), key, "left_semi"), key, order, F.substring(verdict, 1, 1), chunk)
+    return told.join(groups, key).select(key, "n", "chunk_no", F.array_join("parts", "").alias("verdicts"))
 
 
 def one_label_per_doc(df: DataFrame, doc: str, verdict: str) -> DataFrame:

@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.functions.session import cut
+from veridoc.functions.session import Appended, cut
+
+
+def _kind(df: DataFrame, *names: str) -> str:
+    """The types of columns, for a schema."""
+    return ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(graph, node): nodes reachable from the roots (graph, node), themselves included. Each round follows the newest nodes' edges."""
-    seen = frontier = cut(roots.select("graph", "node").distinct())
+    """(graph, node): nodes reachable from the roots (graph, node), themselves included. Each round follows the newest nodes' edges and writes those alone."""
+    edges = cut(edges.select("graph", "src", "dst").distinct())
+    seen = Appended(roots.sparkSession, _kind(roots, "graph", "node"))
+    frontier = seen.add(roots.select("graph", "node").distinct())
     while not frontier.isEmpty():
-        step = frontier.join(edges, (frontier["graph"] == edges["graph"]) & (frontier["node"] == edges["src"])).select(frontier["graph"], F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["graph", "node"], "left_anti"))
-        seen = cut(seen.union(frontier))
-    return seen
+        step = edges.join(frontier.withColumnRenamed("node", "src"), ["graph", "src"]).select("graph", F.col("dst").alias("node")).distinct()
+        frontier = seen.add(step.join(seen.read(), ["graph", "node"], "left_anti"))
+    return seen.read()
 
 
 def orphans(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -35,13 +41,16 @@ def tree_audit(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     shared = e.groupBy("graph", F.col("dst").alias("node")).agg(F.count("*").alias("n")).filter("n > 1").select("graph", "node", F.lit("shared").alias("problem"))
     kids = e.groupBy("graph", F.col("src").alias("node")).agg(F.count("*").alias("kids"))
     state = cut(nodes.join(kids, ["graph", "node"], "left").select("graph", "node", "declared", F.coalesce("kids", F.lit(0)).alias("kids")))
-    done = cut(state.filter("kids = 0").select("graph", "node", F.lit(1).cast("long").alias("leaves")))
-    while True:
-        up = done.join(e, (done["graph"] == e["graph"]) & (done["node"] == e["dst"])).groupBy(e["graph"], F.col("src").alias("node")).agg(F.count("*").alias("ready"), F.sum("leaves").alias("leaves"))
-        new = cut(state.join(up, ["graph", "node"]).filter("ready = kids").select("graph", "node", "leaves").join(done, ["graph", "node"], "left_anti"))
-        if new.isEmpty():
-            break
-        done = cut(done.union(new))
+    names = _kind(nodes, "graph", "node")
+    finished, counts = (Appended(nodes.sparkSession, f"{names}, leaves long") for _ in range(2))
+    new = finished.add(state.filter("kids = 0").select("graph", "node", F.lit(1).cast("long").alias("leaves")))
+    while not new.isEmpty():
+        # each child counts for its parents once, so a parent is complete in the round of its last child and in no other
+        up = e.join(new.withColumnRenamed("node", "dst"), ["graph", "dst"]).select("graph", F.col("src").alias("node"), "leaves")
+        touched = counts.add(up).select("graph", "node").distinct()
+        so_far = counts.read().join(touched, ["graph", "node"], "left_semi").groupBy("graph", "node").agg(F.count("*").alias("ready"), F.sum("leaves").alias("leaves"))
+        new = finished.add(state.join(so_far, ["graph", "node"]).filter("ready = kids").select("graph", "node", "leaves"))
+    done = finished.read()
     wrong = state.join(done, ["graph", "node"]).filter("kids > 0 and declared is not null and declared != leaves").select("graph", "node", F.lit("count").alias("problem"))
     cycle = state.join(done, ["graph", "node"], "left_anti").select("graph", "node", F.lit("cycle").alias("problem"))
     return parent.union(shared).union(wrong).union(cycle).distinct()

@@ -1,7 +1,8 @@
 """Features of a submission history: what was there before each row.
 
 "Before" follows a total order given by the caller, as a rule (time, id). With `partition` the windows are
-per key; without it `send_index` and `temporal_split` number rows in two levels, so no task sees them all.
+per key; without it the history is that of the whole table, and no task sees it all: the rows are cut into ranges
+of the order, each range is taken alone, and a table with a row for each range says what the ranges before hand on.
 """
 
 from __future__ import annotations
@@ -28,34 +29,75 @@ def _before(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """`df` as a table with `_part`, the number of the range of `order` that a row is in; equal rows are in one range."""
+    return cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
+
+def _handed_on(ranged: DataFrame, *summaries: Column) -> tuple[DataFrame, WindowSpec]:
+    """A row for each range with its summaries, and the window of the ranges before it. This is all that one task sees of the whole."""
+    return ranged.groupBy("_part").agg(*summaries), _before(Window.orderBy("_part"))
+
+
+def _running(df: DataFrame, counted: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """`df` with `_before_c` for each c of `counted`: its sum over all rows before, by `order`."""
+    ranged = _ranges(df, order)
+    sums, before = _handed_on(ranged, *[F.sum(c).alias(f"_sum_{c}") for c in counted])
+    starts = sums.select("_part", *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_start_{c}") for c in counted])
+    local = _before(_over(["_part"], order))
+    out = ranged.join(starts, "_part").withColumns({f"_before_{c}": F.col(f"_start_{c}") + F.coalesce(F.sum(c).over(local), F.lit(0)) for c in counted})
+    return out.drop("_part", *[f"_start_{c}" for c in counted])
+
+
 def send_index(df: DataFrame, order: Sequence[str], *, partition: Sequence[str] = (), out: str = "send_index") -> DataFrame:
     """The running number of each row, from 1."""
     if partition:
         return df.withColumn(out, F.row_number().over(_over(partition, order)).cast("long"))
-    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(_before(Window.orderBy("_part"))), F.lit(0)))
+    ranged = _ranges(df, order)
+    sizes, before = _handed_on(ranged, F.count("*").alias("_n"))
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     local = F.row_number().over(_over(["_part"], order))
     return ranged.join(starts.select("_part", "_start"), "_part").withColumn(out, F.col("_start") + local).drop("_part", "_start")
 
 
-def previous_verdict(df: DataFrame, verdict: str, order: Sequence[str], *, partition: Sequence[str]) -> DataFrame:
-    """The verdict of the row before; "" for the first."""
-    return df.withColumn("previous_verdict", F.coalesce(F.lag(verdict).over(_over(partition, order)), F.lit("")))
+def _last_before(df: DataFrame, value: str, order: Sequence[str], partition: Sequence[str], *, known_only: bool) -> tuple[DataFrame, Column]:
+    """(rows, the value of the row before, or of the last one before that has one): null where there is none. Drop `_part` and `_handed`."""
+    if partition:
+        return df, F.last(value, ignorenulls=known_only).over(_before(_over(partition, order)))
+    ranged = _ranges(df, order)
+    # a struct that is null where the range has no such row, so that a last value which is null is told apart
+    row = F.struct(F.struct(*order).alias("at"), F.col(value).alias("v"))
+    lasts, before = _handed_on(ranged, F.max(F.when(F.col(value).isNotNull(), row) if known_only else row).alias("_last"))
+    handed = lasts.select("_part", F.last("_last", ignorenulls=True).over(before)["v"].alias("_handed"))
+    own = _before(_over(["_part"], order))
+    inside = F.last(value, ignorenulls=known_only).over(own)
+    first = inside.isNull() if known_only else F.count("*").over(own) == 0
+    return ranged.join(handed, "_part"), F.when(first, F.col("_handed")).otherwise(inside)
+
 
+def previous_verdict(df: DataFrame, verdict: str, order: Sequence[str], *, partition: Sequence[str] = ()) -> DataFrame:
+    """The verdict of the row before; "" for the first, and where that row has none."""
+    rows, last = _last_before(df, verdict, order, partition, known_only=False)
+    return rows.withColumn("previous_verdict", F.coalesce(last, F.lit(""))).drop("_part", "_handed")
 
-def gap_seconds(df: DataFrame, ts: str, order: Sequence[str], *, partition: Sequence[str]) -> DataFrame:
+
+def gap_seconds(df: DataFrame, ts: str, order: Sequence[str], *, partition: Sequence[str] = ()) -> DataFrame:
     """Seconds since the last row before that has a time."""
-    last = F.last(ts, ignorenulls=True).over(_before(_over(partition, order)))
-    return df.withColumn("gap_seconds", (_micros(F.col(ts)) - _micros(last)) / 1e6)
+    rows, last = _last_before(df, ts, order, partition, known_only=True)
+    return rows.withColumn("gap_seconds", (_micros(F.col(ts)) - _micros(last)) / 1e6).drop("_part", "_handed")
 
 
-def prior_window_counts(df: DataFrame, ts: str, verdict: Column, order: Sequence[str], *, partition: Sequence[str], seconds: Sequence[int] = (60, 300)) -> DataFrame:
-    """Earlier rows, and passes among them, within so many seconds, both ends included.
+def prior_window_counts(df: DataFrame, ts: str, verdict: Column, order: Sequence[str], *, partition: Sequence[str] = (), seconds: Sequence[int] = (60, 300)) -> DataFrame:
+    """Earlier rows, and passes among them, within so many seconds, both ends included. A row without a time counts none and is counted by none.
 
-    A time frame also holds the rows of the same time that come later and the row itself: those are taken off.
+    With `partition`: a time frame also holds the rows of the same time that come later and the row itself, and
+    those are taken off. Without: each row asks how many rows stand before it, and how many before the time where
+    its frame begins; the questions are ordered among the rows as points of time, and answered by one running count.
+    So a burst of any size is split over ranges, and no row is copied but for its questions.
     """
-    out = df.withColumn("_us", _micros(F.col(ts))).withColumn("_pass", F.coalesce(verdict.cast("int"), F.lit(0)))
+    out = df.withColumn("_us", _micros(F.col(ts))).withColumn("_pass", F.coalesce(verdict.cast("long"), F.lit(0)))
+    if not partition:
+        return _prior_counts(out, order, seconds)
     later = _over([*partition, "_us"], order).rowsBetween(0, Window.unboundedFollowing)
     for s in seconds:
         frame = Window.partitionBy(*partition).orderBy("_us").rangeBetween(-s * 1_000_000, 0)
@@ -65,6 +107,22 @@ def prior_window_counts(df: DataFrame, ts: str, verdict: Column, order: Sequence
     return out.drop("_us", "_pass")
 
 
+def _prior_counts(df: DataFrame, order: Sequence[str], seconds: Sequence[int]) -> DataFrame:
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    timed = rows.filter(F.col("_us").isNotNull())
+    own = [F.col(c).alias(f"_o{n}") for n, c in enumerate(order)]
+    # at one time the questions come before the rows
+    points = timed.select("_row", F.lit(0).alias("_asks"), F.col("_us").alias("_at"), F.lit(1).alias("_kind"), *own, F.lit(1).cast("long").alias("n"), F.col("_pass").alias("p"))
+    for s in seconds:
+        none = [F.lit(None).cast(df.schema[c].dataType).alias(f"_o{n}") for n, c in enumerate(order)]
+        points = points.union(timed.select("_row", F.lit(s), F.col("_us") - s * 1_000_000, F.lit(0), *none, F.lit(0).cast("long"), F.lit(0).cast("long")))
+    told = _running(points, ["n", "p"], ["_at", "_kind", *[f"_o{n}" for n in range(len(order))], "_row"])
+    pick = lambda s, c: F.max(F.when(F.col("_asks") == s, F.col(f"_before_{c}")))
+    counts = told.groupBy("_row").agg(*[(pick(0, c) - pick(s, c)).alias(name) for s in seconds for c, name in (("n", f"prior_{s}s"), ("p", f"prior_pass_{s}s"))])
+    names = [f"prior_{x}{s}s" for s in seconds for x in ("", "pass_")]
+    return rows.join(counts, "_row", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in names}).drop("_row", "_us", "_pass")
+
+
 def prior_same_key(df: DataFrame, keys: Sequence[str], passed: Column, order: Sequence[str]) -> DataFrame:
     """For each key: earlier rows with the same value, passes and fails among them. An empty key counts nothing."""
     out = df.withColumn("_pass", passed)
@@ -120,12 +178,33 @@ def daily_quota(df: DataFrame, user: str, ts: str, order: Sequence[str], *, limi
     return day.withColumn("used", F.row_number().over(_over([user, "day"], order)).cast("long")).withColumn("allowed", F.col("used") <= limit)
 
 
-def clean_streak(df: DataFrame, clean: Column, order: Sequence[str], *, partition: Sequence[str]) -> DataFrame:
-    """Length of the run of clean rows up to each row; any other row resets it to 0."""
-    w = _over(partition, order)
-    island = F.sum(F.when(clean, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = df.withColumn("_island", island).withColumn("_clean", clean)
-    return out.withColumn("streak", F.count_if("_clean").over(_over([*partition, "_island"], order).rowsBetween(Window.unboundedPreceding, 0))).drop("_island", "_clean")
+def clean_streak(df: DataFrame, clean: Column, order: Sequence[str], *, partition: Sequence[str] = (), ids: str | None = None) -> DataFrame:
+    """Length of the run of clean rows up to each row; any other row resets it to 0, as does one whose `clean` is null.
+
+    With `ids`, a row whose id an earlier clean row has is passed over: it neither counts nor resets. Without
+    `partition` each range hands on whether it has a reset, and the clean rows after its last one.
+    """
+    out = df.withColumn("_clean", F.coalesce(clean, F.lit(False))).withColumn("_over", F.lit(False))
+    if ids is not None:
+        seen = F.count_if("_clean").over(_before(Window.partitionBy(*partition, *by_known(ids, order)).orderBy(*order))) > 0
+        out = out.withColumn("_over", known(ids) & seen)
+    counts, resets = (F.col("_clean") & ~F.col("_over")).cast("long"), (~F.col("_clean") & ~F.col("_over")).cast("long")
+    out = out.withColumn("_one", counts).withColumn("_reset", resets)
+    by = list(partition)
+    if not partition:
+        out, by = _ranges(out, order), ["_part"]
+    w = _over(by, order).rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("_island", F.sum("_reset").over(w))
+    out = out.withColumn("streak", F.sum("_one").over(_over([*by, "_island"], order).rowsBetween(Window.unboundedPreceding, 0)))
+    if not partition:
+        at = F.struct("_island", F.struct(*order))
+        ranges, before = _handed_on(out, F.max("_island").alias("_resets"), F.max_by("streak", at).alias("_tail"), F.sum("_one").alias("_ones"))
+        ranges = ranges.withColumn("_upto", F.sum("_ones").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+        # what stands after the last reset: that range's tail, and all ranges between
+        open_ = F.last(F.when(F.col("_resets") > 0, F.struct(F.col("_tail") - F.col("_upto"))), ignorenulls=True).over(before)["col1"]
+        carry = F.coalesce(F.lag("_upto").over(Window.orderBy("_part")), F.lit(0)) + F.coalesce(open_, F.lit(0))
+        out = out.join(ranges.select("_part", carry.alias("_carry")), "_part").withColumn("streak", F.col("streak") + F.when(F.col("_island") == 0, F.col("_carry")).otherwise(0)).drop("_part", "_carry")
+    return out.drop("_clean", "_over", "_one", "_reset", "_island")
 
 
 def round_trend(df: DataFrame, round_col: str, values: Sequence[str], *, partition: Sequence[str] = ()) -> DataFrame:
@@ -159,10 +238,12 @@ def field_order(df: DataFrame, doc: str, text: str, core: Sequence[str]) -> Data
     return df.select(doc, missing.alias("missing"), (found == F.array_sort(found)).alias("in_order"))
 
 
-def reply_attribution(df: DataFrame, is_upload: Column, order: Sequence[str], *, partition: Sequence[str]) -> DataFrame:
+def reply_attribution(df: DataFrame, is_upload: Column, order: Sequence[str], *, partition: Sequence[str] = ()) -> DataFrame:
     """The number of the upload that each row belongs to; 0 before the first."""
-    started = F.sum(F.when(is_upload, 1).otherwise(0)).over(_over(partition, order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("upload_no", started)
+    marked = df.withColumn("_up", F.coalesce(is_upload, F.lit(False)).cast("long"))
+    if partition:
+        return marked.withColumn("upload_no", F.sum("_up").over(_over(partition, order).rowsBetween(Window.unboundedPreceding, 0))).drop("_up")
+    return _running(marked, ["_up"], order).withColumn("upload_no", F.col("_before__up") + F.col("_up")).drop("_up", "_before__up")
 
 
 def order_signature(items: DataFrame, doc: str, order: Sequence[str], label: str) -> DataFrame:

@@ -5,7 +5,9 @@ Pairs are made only where pairs are asked for. Null and empty keys go before joi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,10 +15,16 @@ from pyspark.sql import functions as F
 from veridoc.functions.session import by_known, known
 
 
+def _where_known(df: DataFrame, key: str, join: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`join` of the rows that have the key, and the others beside them: however many lack it, they meet nowhere."""
+    return join(df.filter(known(key))).unionByName(df.filter(~known(key)), allowMissingColumns=True)
+
+
 def log_chat_merge(logs: DataFrame, chat: DataFrame, key: str) -> DataFrame:
-    """Logs with the chat's columns where both have the key, and the chat rows without a log."""
-    both = logs.join(chat.drop(*[c for c in chat.columns if c in logs.columns and c != key]), key, "left").withColumn("origin", F.lit("log"))
-    only = chat.join(logs.select(key), key, "left_anti").withColumn("origin", F.lit("chat"))
+    """Logs with the chat's columns where both have the key, and the chat rows without a log. Rows without a key stay as they are."""
+    told = chat.drop(*[c for c in chat.columns if c in logs.columns and c != key])
+    both = _where_known(logs, key, lambda x: x.join(told.filter(known(key)), key, "left")).withColumn("origin", F.lit("log"))
+    only = _where_known(chat, key, lambda x: x.join(logs.filter(known(key)).select(key), key, "left_anti")).withColumn("origin", F.lit("chat"))
     return both.unionByName(only, allowMissingColumns=True)
 
 
@@ -26,20 +34,26 @@ def log_union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def resolve_copy(rows: DataFrame, candidates: DataFrame, key: str, size: str) -> DataFrame:
-    """Each row's best candidate (key, kind, path, size): a chat copy of the right size, a path of the right size, a chat copy, any."""
-    c = candidates.select(key, "kind", "path", F.col(size).alias("_size"))
-    fits, chat = F.col("_size") == F.col(size), F.col("kind") == "chat"
-    rank = F.when(fits & chat, 0).when(fits, 1).when(chat, 2).otherwise(3)
-    best = rows.join(c, key, "left").withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(rank, F.col("path").asc_nulls_last())))
-    return best.filter("_r = 1").drop("_r", "_size")
+    """Each row with its best candidate (key, kind, path, size): a chat copy of the right size, a path of the right size, a chat copy, any; of equal ones the first path.
+
+    Candidates are reduced to the best of each key and size, and of each key, before they meet the rows. Every row stays,
+    those that share a key too; a row without a key, or whose key no candidate has, gets null. A row without a size fits none.
+    """
+    best = F.min(F.struct((F.col("kind") != "chat").alias("_other"), F.col("path").isNull().alias("_none"), "path", "kind"))
+    c = candidates.filter(known(key))
+    fits = c.filter(F.col(size).isNotNull()).groupBy(key, size).agg(best.alias("_fits"))
+    some = c.groupBy(key).agg(best.alias("_some"))
+    met = _where_known(rows, key, lambda x: x.join(fits, [key, size], "left").join(some, key, "left"))
+    chosen = F.coalesce("_fits", "_some")
+    return met.select(*rows.columns, chosen["kind"].alias("kind"), chosen["path"].alias("path"))
 
 
 def known_lookup(df: DataFrame, tables: Sequence[tuple[str, DataFrame]]) -> DataFrame:
-    """`known_by` and `known_label`: the first of the registries (key column, its table (key, label)) that knows the row."""
+    """`known_by` and `known_label`: the first of the registries (key column, its table (key, label)) that knows the row. A key that isn't there is known by none."""
     names, labels = [], []
     for key, registry in tables:
-        one = registry.groupBy(key).agg(F.min("label").alias(f"_label_{key}"))
-        df = df.join(one, key, "left")
+        one = registry.filter(known(key)).groupBy(key).agg(F.min("label").alias(f"_label_{key}"))
+        df = _where_known(df, key, lambda x, key=key, one=one: x.join(one, key, "left"))
         names.append(F.when(F.col(f"_label_{key}").isNotNull(), F.lit(key)))
         labels.append(F.col(f"_label_{key}"))
     return df.withColumn("known_by", F.coalesce(*names)).withColumn("known_label", F.coalesce(*labels)).drop(*[f"_label_{k}" for k, _ in tables])
@@ -70,11 +84,24 @@ def field_conflicts(df: DataFrame, id_col: str, file_hash: str, fields: Sequence
     return x.filter("_files > 1").select(id_col, F.array_join(named, ",").alias("fields")).filter("fields != ''")
 
 
-def weak_match_once(df: DataFrame, id_col: str, file_hash: str, signature: str, order: Sequence[str]) -> DataFrame:
-    """(file, id): files whose id was seen before with the same signature in another file; once for each file."""
-    before = lambda *by: F.count("*").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    met = df.filter(known(id_col)).withColumn("_others", before(id_col, signature) - before(id_col, signature, file_hash)).filter("_others > 0")
-    return met.withColumn("_r", F.row_number().over(Window.partitionBy(file_hash).orderBy(*order))).filter("_r = 1").select(file_hash, id_col)
+def weak_match_once(df: DataFrame, id_col: str, file_hash: str, fields: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """(file, id, differing): files whose id another file had before, once for each file, with the `fields` that differ; "" where none does.
+
+    Fields are held against those of all earlier rows of the id in other files, where both are known. Rows without an id,
+    without a file, or without any of the fields tell nothing. Of a file's rows the first that meets another file is told.
+    Counted, not paired, as in `identity_conflict`.
+    """
+    whole = known(id_col) & known(file_hash) & reduce(or_, map(known, fields))
+
+    def others(seen: Column, *by: str) -> Column:
+        """Earlier rows of the id, and of the columns `by`, in other files."""
+        before = lambda *more: F.count_if(seen).over(Window.partitionBy(*by_known(id_col, order), *by, *more).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+        return before() - before(file_hash)
+
+    rows = df.filter(whole)
+    differ = [F.when(known(f) & (others(known(f)) > others(known(f), f)), F.lit(f)) for f in fields]
+    met = rows.withColumn("_others", others(F.lit(True))).withColumn("differing", F.array_join(F.array_compact(F.array(*differ)), ",")).filter("_others > 0")
+    return met.withColumn("_r", F.row_number().over(Window.partitionBy(file_hash).orderBy(*order))).filter("_r = 1").select(file_hash, id_col, "differing")
 
 
 def email_reuse(df: DataFrame, key: str, user: str, order: Sequence[str], ts: str) -> DataFrame:
@@ -86,10 +113,12 @@ def email_reuse(df: DataFrame, key: str, user: str, order: Sequence[str], ts: st
 
 
 def stem_reuse(df: DataFrame, doc: str, stem: str, tail: str, id_col: str, date: str, stems: DataFrame) -> DataFrame:
-    """(doc): documents whose stem is known, but with a tail, an id and a date that are all new to it."""
-    k = stems.groupBy(stem).agg(F.collect_set(tail).alias("_tails"), F.collect_set(id_col).alias("_ids"), F.collect_set(date).alias("_dates"))
-    new = lambda c, s: ~F.array_contains(s, F.col(c))
-    return df.join(k, stem).filter(new(tail, "_tails") & new(id_col, "_ids") & new(date, "_dates")).select(doc)
+    """(doc): documents whose stem is known, but with a tail, an id and a date that are all new to it. What a document lacks isn't new."""
+    out = df.filter(known(stem) & known(tail) & known(id_col) & F.col(date).isNotNull())
+    out = out.join(stems.select(stem).distinct(), stem, "left_semi")
+    for c in (tail, id_col, date):
+        out = out.join(stems.select(stem, c).distinct(), [stem, c], "left_anti")
+    return out.select(doc)
 
 
 def linked_tuple(df: DataFrame, key: str, pair: Sequence[str], allowed: DataFrame) -> DataFrame:
@@ -186,11 +215,26 @@ def template_check(df: DataFrame, doc: str, x: str, templates: DataFrame, *, tol
     return at.select(doc, "template", F.array_compact(F.array(*out)).alias("breaks"))
 
 
-def overlap_pairs(boxes: DataFrame, doc: str, item: Sequence[str], x0: str, x1: str, y0: str, y1: str) -> DataFrame:
-    """Pairs of a document's boxes that overlap, the smaller item first."""
-    a = boxes.select(doc, F.struct(*item).alias("a"), F.col(x0).alias("ax0"), F.col(x1).alias("ax1"), F.col(y0).alias("ay0"), F.col(y1).alias("ay1"))
-    b = boxes.select(doc, F.struct(*item).alias("b"), F.col(x0).alias("bx0"), F.col(x1).alias("bx1"), F.col(y0).alias("by0"), F.col(y1).alias("by1"))
-    return a.join(b, doc).filter("a < b and ax0 < bx1 and bx0 < ax1 and ay0 < by1 and by0 < ay1").select(doc, "a", "b")
+def overlap_pairs(boxes: DataFrame, doc: str, item: Sequence[str], x0: str, x1: str, y0: str, y1: str, *, crowd: int = 64) -> DataFrame:
+    """Pairs of a document's boxes that overlap, the smaller item first.
+
+    A document with more than `crowd` boxes is cut into square cells, so many that a cell would hold about one box if
+    boxes were dealt evenly, but none smaller than the document's mean box; a box stands in every cell that it touches,
+    and a pair is told in the cell that holds the lower corner of what the two share. So the pairs made follow the pairs
+    told, and one document is many groups. Boxes without an extent, or with a side that isn't known, overlap nothing.
+    """
+    sides = (x0, x1, y0, y1)
+    b = boxes.select(doc, F.struct(*item).alias("i"), *[F.col(c).cast("double").alias(c_) for c, c_ in zip(sides, ("x0", "x1", "y0", "y1"), strict=True)]).filter("x0 < x1 and y0 < y1")
+    stats = b.groupBy(doc).agg(F.count("*").alias("n"), F.min("x0").alias("left"), F.min("y0").alias("low"), F.greatest(F.max("x1") - F.min("x0"), F.max("y1") - F.min("y0")).alias("reach"), F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("mean"))
+    size = F.when(F.col("n") > crowd, F.greatest(F.col("reach") / F.ceil(F.sqrt("n")), F.col("mean"))).otherwise(F.col("reach") * 2)
+    placed = b.join(stats.select(F.col(doc), "left", "low", size.alias("size")), doc)
+    cell = lambda c, start: F.floor((F.col(c) - F.col(start)) / F.col("size"))
+    placed = placed.withColumn("cx", F.explode(F.sequence(cell("x0", "left"), cell("x1", "left")))).withColumn("cy", F.explode(F.sequence(cell("y0", "low"), cell("y1", "low"))))
+    a = placed.select(doc, "cx", "cy", F.col("i").alias("a"), *[F.col(c).alias(f"a{c}") for c in ("x0", "x1", "y0", "y1", "left", "low", "size")])
+    o = placed.select(doc, "cx", "cy", F.col("i").alias("b"), *[F.col(c).alias(f"b{c}") for c in ("x0", "x1", "y0", "y1")])
+    met = a.join(o, [doc, "cx", "cy"]).filter("a < b and ax0 < bx1 and bx0 < ax1 and ay0 < by1 and by0 < ay1")
+    corner = lambda p, q, start: F.floor((F.greatest(p, q) - F.col(start)) / F.col("asize"))
+    return met.filter((F.col("cx") == corner("ax0", "bx0", "aleft")) & (F.col("cy") == corner("ay0", "by0", "alow"))).select(doc, "a", "b")
 
 
 def right_overflow(boxes: DataFrame, doc: str, item: Sequence[str], x1: str, second: str, pages: DataFrame, right: str, *, tol: float = 0.0) -> DataFrame:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+import unicodedata
+from collections.abc import Iterable, Mapping, Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: White space that money and labels are written with besides the ASCII kinds.
 SPACES = "\u00a0\u202f\u2009\u2007"
-#: Hyphens and full-width digits that `semantic_hash` folds; a full compatibility normalisation has no built-in.
-FOLDED = ("‐‑‒–—−" + "０１２３４５６７８９", "------0123456789")
+#: Hyphens that `semantic_hash` folds after compatible characters.
+FOLDED = ("‐‑‒–—−", "------")
 
 
 def content_hashes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -29,9 +31,43 @@ def skeleton_hash(df: DataFrame, text: str, masks: Sequence[tuple[str, str]], *,
     return df.withColumn(out, F.sha2(t, 256))
 
 
+@cache
+def _compatible() -> tuple[str, str, dict[str, str]]:
+    """(characters, what each becomes, characters that become several or none) by Unicode's compatibility normalisation of single characters."""
+    one, to, many = [], [], {}
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x110000))):
+        if (n := unicodedata.normalize("NFKC", c)) != c:
+            if len(n) == 1:
+                one.append(c)
+                to.append(n)
+            else:
+                many[c] = n
+    return "".join(one), "".join(to), many
+
+
+def _class(chars: Iterable[str]) -> str:
+    """A character class of a regular expression: the characters as ranges."""
+    codes = sorted(map(ord, chars))
+    first = [n for k, n in enumerate(codes) if not k or codes[k - 1] != n - 1]
+    last = [n for k, n in enumerate(codes) if k + 1 == len(codes) or codes[k + 1] != n + 1]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(first, last, strict=True)) + "]"
+
+
+def compatible(text: Column) -> Column:
+    """Each character as what Unicode's compatibility normalisation makes of it; letters and the marks after them aren't put together.
+
+    Characters that become one other are translated; texts with one that becomes several go character by character.
+    """
+    one, to, many = _compatible()
+    t = F.translate(text, one, to)
+    table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    longer = F.array_join(F.transform(F.split(t, ""), lambda c: F.when(c < "\x80", c).otherwise(F.coalesce(F.try_element_at(table, c), c))), "")
+    return F.when(t.rlike(_class(many)), longer).otherwise(t)
+
+
 def semantic_hash(df: DataFrame, text: str, *, out: str = "semantic") -> DataFrame:
-    """The hash of a text with spaces, hyphens and line ends folded, lower case; ids split over lines are joined again."""
-    t = F.translate(F.col(text), SPACES, " " * len(SPACES))
+    """The hash of a text with compatible characters, spaces, hyphens and line ends folded, lower case; ids split over lines are joined again."""
+    t = F.translate(compatible(F.col(text)), SPACES, " " * len(SPACES))
     t = F.translate(t, *FOLDED)
     t = F.regexp_replace(t, r"-[ \t]*\r?\n[ \t]*", "")
     return df.withColumn(out, F.sha2(F.trim(F.lower(F.regexp_replace(t, r"[ \t\r\n]+", " "))), 256))
@@ -315,18 +351,41 @@ def filename_grammar(df: DataFrame, name: str, pattern: str) -> DataFrame:
 
 
 def char_entropy(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, entropy, chars): Shannon entropy of a text's characters in bits. Counted over distinct characters, in two aggregations."""
-    chars = df.select(doc, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "")).alias("_c")).filter("_c != ''")
-    n = chars.groupBy(doc, "_c").agg(F.count("*").alias("_n"))
-    out = n.groupBy(doc).agg(F.sum("_n").alias("chars"), F.sum(F.col("_n") * F.log2("_n")).alias("_s"))
+    """(doc, entropy, chars): Shannon entropy of each row's characters in bits; rows without characters are left out.
+
+    Counted inside the row: equal characters stand together once they are sorted, so a text makes no rows and moves nowhere.
+    """
+    add = lambda s: s["s"] + F.when(s["n"] > 0, s["n"] * F.log2(s["n"])).otherwise(0.0)
+    start = F.struct(F.lit("").alias("c"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"))
+
+    def step(s: Column, c: Column) -> Column:
+        same = s["c"] == c
+        return F.struct(c.alias("c"), F.when(same, s["n"] + 1).otherwise(F.lit(1)).cast("long").alias("n"), F.when(same, s["s"]).otherwise(add(s)).alias("s"))
+
+    sorted_chars = F.sort_array(F.filter(F.split(F.col(text), ""), lambda c: c != ""))
+    out = df.filter(F.length(text) > 0).select(doc, F.length(text).cast("long").alias("chars"), F.aggregate(sorted_chars, start, step, add).alias("_s"))
     return out.select(doc, (F.log2("chars") - F.col("_s") / F.col("chars")).alias("entropy"), "chars")
 
 
-def domain_functions(df: DataFrame, address: str, banks: DataFrame | None = None) -> DataFrame:
-    """`host`, the registered domain as its last two labels, and with `banks` (domain, bank) the bank of the host, else of that domain."""
+def domain_functions(df: DataFrame, address: str, banks: DataFrame | None = None, suffixes: DataFrame | None = None) -> DataFrame:
+    """`host`, the registered domain, and with `banks` (domain, bank) the bank of the host, else of that domain.
+
+    The registered domain is the longest of the `suffixes` (suffix) that the host ends with, and the label before it; a
+    host that ends with none, and any host without the table, has its last two labels. A host that is a suffix stays.
+    """
     host = F.lower(F.regexp_extract(address, r"(?:@|://)([A-Za-z0-9.-]+)", 1))
     labels = F.split("host", r"\.")
-    out = df.withColumn("host", host).withColumn("registered", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), "."))
+    last_two = F.greatest(F.size(labels) - 1, F.lit(1))
+    out = df.withColumn("host", host)
+    if suffixes is None:
+        out = out.withColumn("registered", F.array_join(F.slice(labels, last_two, F.lit(2)), "."))
+    else:
+        # each host once, with a row for each of its ends; the longest that the table has begins first
+        ends = out.select("host").filter("host != ''").distinct().withColumn("_at", F.explode(F.sequence(F.lit(1), F.size(labels))))
+        ends = ends.withColumn("_end", F.array_join(F.slice(labels, F.col("_at"), F.size(labels)), "."))
+        found = ends.join(suffixes.select(F.lower("suffix").alias("_end")).distinct(), "_end").groupBy("host").agg(F.min("_at").alias("_at"))
+        start = F.when(F.col("_at").isNull(), last_two).otherwise(F.greatest(F.col("_at") - 1, F.lit(1)))
+        out = out.join(found, "host", "left").withColumn("registered", F.array_join(F.slice(labels, start, F.size(labels)), ".")).select(*df.columns, "host", "registered")
     if banks is None:
         return out
     known = banks.groupBy(F.lower("domain").alias("_domain")).agg(F.min("bank").alias("_bank"))

@@ -4,14 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 
-def rule_eval(df: DataFrame, doc: str, catalog: Sequence[tuple[str, str]]) -> DataFrame:
-    """(doc, code): a row for each rule of `catalog` (code, Spark SQL predicate) that holds for a document. One pass; null is no."""
-    fired = F.array_compact(F.array(*[F.when(F.expr(expr), F.lit(code)) for code, expr in catalog]))
-    return df.select(doc, F.explode(fired).alias("code"))
+#: Columns of a rule table. A null `bank` is every bank; a null `tier` is that of the code's prefix, a null `grp` the code.
+CATALOG = "code string, tier string, grp string, bank string, kind string, expr string, enabled boolean"
+#: Rules that one table may hold. It is read by the driver, which makes one expression of it.
+MAX_RULES = 20_000
+
+
+def compiled(df: DataFrame, catalog: DataFrame, bank: str | None = None) -> Column:
+    """The rules of `catalog` that are enabled as one column over `df`: an array of (code, tier, grp, kind), one for each rule that holds.
+
+    Each rule is held against `df` before: one that names a column `df` lacks, isn't a predicate, or belongs to a
+    bank although there is no bank column, is refused by its code. Codes of one bank are told once.
+    """
+    rules = catalog.filter(F.coalesce("enabled", F.lit(True))).select("code", "tier", "grp", "bank", "kind", "expr").distinct().orderBy("bank", "code", "expr").limit(MAX_RULES + 1).collect()
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"a rule table holds {MAX_RULES} rules at most")
+    empty, by_bank = df.limit(0), {}
+    for r in rules:
+        try:
+            kind = empty.select(F.expr(r["expr"])).schema[0].dataType
+        except AnalysisException as e:
+            raise ValueError(f"rule {r['code']} can't be held against these columns: {r['expr']}") from e
+        if not isinstance(kind, BooleanType):
+            raise ValueError(f"rule {r['code']} is no predicate: {r['expr']}")
+        if r["bank"] is not None and bank is None:
+            raise ValueError(f"rule {r['code']} is one of bank {r['bank']}, but there is no bank column")
+        tier, grp = r["tier"] or (r["code"][:1] if r["code"][:2] in ("A-", "B-", "C-") else None), r["grp"] or r["code"]
+        flag = F.struct(*[F.lit(v).cast("string").alias(c) for c, v in (("code", r["code"]), ("tier", tier), ("grp", grp), ("kind", r["kind"]))])
+        by_bank.setdefault(r["bank"], []).append(F.when(F.expr(r["expr"]), flag))
+    none = F.array().cast("array<struct<code: string, tier: string, grp: string, kind: string>>")
+    fired = {b: F.array_compact(F.array(*tests)) for b, tests in by_bank.items()}
+    every = fired.pop(None, none)
+    own = none
+    for b, flags in fired.items():  # of the banks' rules only those of the row's bank are evaluated
+        own = F.when(F.col(bank) == b, flags).otherwise(own)
+    return F.array_distinct(F.concat(every, own))
+
+
+def rule_eval(df: DataFrame, doc: str, catalog: DataFrame, *, bank: str | None = None) -> DataFrame:
+    """(doc, code, tier, grp, kind): a row for each rule of the table `catalog` (CATALOG) that holds for a document.
+
+    One pass over the documents. Rules are Spark SQL predicates over their columns, null is no; those that aren't
+    enabled are left out, those of another bank than the document's too. A rule without tier or prefix has a null tier.
+    """
+    return df.select(doc, F.explode(compiled(df, catalog, bank)).alias("_f")).select(doc, "_f.*")
 
 
 def flag_code(df: DataFrame, flag: str) -> DataFrame:
@@ -47,10 +89,20 @@ def route_stats_only(flags: DataFrame, stats_codes: Sequence[str]) -> DataFrame:
     return flags.withColumn("route", F.when(F.col("code").isin(*stats_codes), "stats").otherwise("evidence"))
 
 
-def verdict_from_replies(df: DataFrame, doc: str, text: str, order: Sequence[str], *, fail: str, passed: str) -> DataFrame:
-    """(doc, verdict): FAIL, PASS or UNKNOWN by the first marker that the replies, put together in order, match."""
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.coalesce(text, F.lit("")).alias("_t")))), lambda x: x["_t"]), "\n")
-    return df.groupBy(doc).agg(said.alias("_said")).select(doc, F.when(F.col("_said").rlike(fail), "FAIL").when(F.col("_said").rlike(passed), "PASS").otherwise("UNKNOWN").alias("verdict"))
+def verdict_from_replies(df: DataFrame, doc: str, text: str, order: Sequence[str], *, fail: str, passed: str, chunk: int = 1000) -> DataFrame:
+    """(doc, verdict): FAIL, PASS or UNKNOWN by the first marker that the replies match, put together in order a line each.
+
+    Replies are put together in rows of `chunk`, and each row begins with the last reply of the one before, so a marker
+    may stand across two replies anywhere; one that spans three is met unless it lies where two rows part. A document's
+    verdict is the strongest of its rows.
+    """
+    w = Window.partitionBy(doc).orderBy(*order)
+    told = df.select(doc, F.coalesce(text, F.lit("")).alias("_t"), (F.row_number().over(w) - 1).alias("_n"))
+    at = F.floor(F.col("_n") / chunk)
+    rows = told.withColumn("_c", F.explode(F.when((F.col("_n") % chunk == chunk - 1), F.array(at, at + 1)).otherwise(F.array(at))))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_t"))), lambda x: x["_t"]), "\n")
+    marked = rows.groupBy(doc, "_c").agg(said.alias("_said")).select(doc, F.when(F.col("_said").rlike(fail), 2).when(F.col("_said").rlike(passed), 1).otherwise(0).alias("_v"))
+    return marked.groupBy(doc).agg(F.get(F.array(F.lit("UNKNOWN"), F.lit("PASS"), F.lit("FAIL")), F.max("_v")).alias("verdict"))
 
 
 def normalize_verdict(df: DataFrame, *, verdict: str, score: str, hard: str, threshold: int = 60) -> DataFrame:

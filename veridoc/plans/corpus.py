@@ -31,10 +31,11 @@ def corpus_summary(spark, sf_dir):
 
 
 @query(
-    f"SELECT user_id, count(*) AS n, count(*) FILTER (WHERE verdict = 'PASS') AS passes, count(*) FILTER (WHERE verdict = 'FAIL') AS fails, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS events FROM {SUBMISSIONS} GROUP BY 1 HAVING count(DISTINCT verdict) > 1"
+    f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM {SUBMISSIONS}), g AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE verdict = 'PASS') AS passes, count(*) FILTER (WHERE verdict = 'FAIL') AS fails FROM e WHERE user_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT verdict) > 1)
+    SELECT user_id, n, passes, fails, i // 25 AS chunk_no, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY i) AS events FROM e JOIN g USING (user_id) GROUP BY ALL"""
 )
 def contradiction_groups(spark, sf_dir):
-    return C.contradiction_groups(submissions(spark, sf_dir), "user_id", "verdict", "event_id")
+    return C.contradiction_groups(submissions(spark, sf_dir), "user_id", "verdict", "event_id", chunk=25)
 
 
 @query(f"SELECT source, count(*) AS total, count(*) FILTER (WHERE quality = 1) AS passes, count(*) FILTER (WHERE quality <> 1) AS fails, round(count(*) FILTER (WHERE quality = 1) / count(*), 6) AS pass_rate FROM {LABELLED} GROUP BY 1")
@@ -52,9 +53,11 @@ def numeric_bins(spark, sf_dir):
     return C.numeric_bins(labelled(spark, sf_dir), "n_chars", EDGES, F.col("quality") == 1)
 
 
-@query(f"SELECT h, count(*) AS n, string_agg(substr(verdict, 1, 1), '' ORDER BY doc_id) AS verdicts FROM {LABELLED} GROUP BY h HAVING count(*) >= 2")
+@query(
+    f"""SELECT h, any_value(n) AS n, i // 3 AS chunk_no, string_agg(substr(verdict, 1, 1), '' ORDER BY i) AS verdicts FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n, row_number() OVER (PARTITION BY h ORDER BY doc_id) - 1 AS i FROM {LABELLED} WHERE h IS NOT NULL) WHERE n >= 2 GROUP BY h, i // 3"""
+)
 def duplicate_sequences(spark, sf_dir):
-    return C.duplicate_sequences(labelled(spark, sf_dir), "h", "verdict", ["doc_id"])
+    return C.duplicate_sequences(labelled(spark, sf_dir), "h", "verdict", ["doc_id"], chunk=3)
 
 
 @query(f"SELECT h, min(verdict) AS verdict FROM {LABELLED} GROUP BY 1 HAVING count(DISTINCT verdict) = 1")

@@ -34,6 +34,37 @@ def gap_seconds(spark, sf_dir):
     return H.gap_seconds(submissions(spark, sf_dir), "ts", ORDER, partition=["user_id"]).select("event_id", F.round("gap_seconds", 3).alias("gap_seconds"))
 
 
+@query(f"SELECT event_id, coalesce(lag(verdict) OVER (ORDER BY ts, event_id), '') AS previous_verdict, round((epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts, event_id))) / 1e6, 3) AS gap_seconds FROM {SUBMISSIONS}")
+def global_previous(spark, sf_dir):
+    """The row before in the whole history, whoever sent it."""
+    rows = H.gap_seconds(H.previous_verdict(submissions(spark, sf_dir), "verdict", ORDER), "ts", ORDER)
+    return rows.select("event_id", "previous_verdict", F.round("gap_seconds", 3).alias("gap_seconds"))
+
+
+@query(
+    "SELECT event_id, "
+    + ", ".join(f"count(*) {f}OVER (ORDER BY epoch_us(ts) // 60000000 RANGE BETWEEN {m} PRECEDING AND CURRENT ROW) - count(*) {f}OVER (PARTITION BY epoch_us(ts) // 60000000 ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS prior_{x}{60 * m}s" for m in (1, 5, 60) for x, f in (("", ""), ("pass_", "FILTER (WHERE verdict = 'PASS') ")))
+    + f" FROM {SUBMISSIONS}"
+)
+def global_prior_counts(spark, sf_dir):
+    """Times by the minute, so that many are equal and frames end on them."""
+    minute = (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000) * 60).cast("timestamp")
+    out = H.prior_window_counts(submissions(spark, sf_dir).withColumn("minute", minute), "minute", F.col("verdict") == "PASS", ["minute", "event_id"], seconds=(60, 300, 3600))
+    return out.select("event_id", *[f"prior_{x}{s}s" for s in (60, 300, 3600) for x in ("", "pass_")])
+
+
+@query(
+    f"""SELECT event_id, CAST(sum(one) OVER (PARTITION BY island ORDER BY ts, event_id) AS BIGINT) AS streak, uploads AS upload_no FROM (SELECT *, sum(CASE WHEN NOT clean AND NOT again THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id) AS island, CASE WHEN clean AND NOT again THEN 1 ELSE 0 END AS one,
+      CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id) AS BIGINT) AS uploads
+    FROM (SELECT *, event_type <> 'error' AS clean, count(*) FILTER (WHERE event_type <> 'error') OVER (PARTITION BY user_id, CAST(ts AS DATE), event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS again FROM {SUBMISSIONS}))"""
+)
+def global_streak(spark, sf_dir):
+    """The streak of the whole history, a user's event of one kind and day counting once; and the uploads so far."""
+    rows = submissions(spark, sf_dir).withColumn("mid", F.concat_ws("/", "user_id", F.to_date("ts"), "event_type"))
+    out = H.clean_streak(rows, F.col("event_type") != "error", ORDER, ids="mid")
+    return H.reply_attribution(out, F.col("event_type") == "view", ORDER).select("event_id", "streak", "upload_no")
+
+
 @query(
     f"""SELECT a.event_id, count(b.event_id) FILTER (WHERE b.ts >= a.ts - INTERVAL 60 SECOND) AS prior_60s,
        count(b.event_id) FILTER (WHERE b.ts >= a.ts - INTERVAL 60 SECOND AND b.verdict = 'PASS') AS prior_pass_60s,

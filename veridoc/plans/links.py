@@ -25,14 +25,17 @@ def log_union(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, n_chars, kind, path FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN size = n_chars AND kind = 'chat' THEN 0 WHEN size = n_chars THEN 1 WHEN kind = 'chat' THEN 2 ELSE 3 END, path NULLS LAST) AS r FROM (SELECT doc_id, n_chars FROM documents) d LEFT JOIN
-      (SELECT doc_id, 'chat' AS kind, 'c' || doc_id AS path, n_chars - doc_id % 2 AS size FROM documents UNION ALL SELECT doc_id, 'disk', 'd' || doc_id, n_chars FROM documents WHERE doc_id % 3 = 0) c USING (doc_id)) WHERE r = 1"""
+    """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 11 > 0 THEN lang || '/' || n_chars % 40 END AS key, n_chars % 7 AS n_chars FROM documents),
+      c AS (SELECT CASE WHEN doc_id % 13 > 0 THEN lang || '/' || n_chars % 50 END AS key, 'chat' AS kind, 'c' || doc_id AS path, doc_id % 7 AS size FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT lang || '/' || n_chars % 60, 'disk', 'd' || doc_id, n_chars % 7 FROM documents WHERE doc_id % 3 = 0)
+    SELECT doc_id, key, n_chars, kind, path FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN size = n_chars AND kind = 'chat' THEN 0 WHEN size = n_chars THEN 1 WHEN kind = 'chat' THEN 2 ELSE 3 END, path NULLS LAST) AS r FROM d LEFT JOIN c USING (key)) WHERE r = 1"""
 )
 def resolve_copy(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", "n_chars")
-    chat = d.select("doc_id", F.lit("chat").alias("kind"), F.concat(F.lit("c"), "doc_id").alias("path"), (F.col("n_chars") - F.col("doc_id") % 2).alias("n_chars"))
-    disk = d.filter("doc_id % 3 = 0").select("doc_id", F.lit("disk").alias("kind"), F.concat(F.lit("d"), "doc_id").alias("path"), "n_chars")
-    return L.resolve_copy(d, chat.union(disk), "doc_id", "n_chars")
+    """Keys that rows and candidates share by the dozen, and rows and candidates without one."""
+    d, key = docs(spark, sf_dir), lambda n: F.concat_ws("/", "lang", F.col("n_chars") % n)
+    rows = d.select("doc_id", F.when(F.col("doc_id") % 11 > 0, key(40)).alias("key"), (F.col("n_chars") % 7).alias("n_chars"))
+    chat = d.filter("doc_id % 5 = 0").select(F.when(F.col("doc_id") % 13 > 0, key(50)).alias("key"), F.lit("chat").alias("kind"), F.concat(F.lit("c"), "doc_id").alias("path"), (F.col("doc_id") % 7).alias("n_chars"))
+    disk = d.filter("doc_id % 3 = 0").select(key(60).alias("key"), F.lit("disk").alias("kind"), F.concat(F.lit("d"), "doc_id").alias("path"), (F.col("n_chars") % 7).alias("n_chars"))
+    return L.resolve_copy(rows, chat.union(disk), "key", "n_chars")
 
 
 @query(
@@ -73,11 +76,16 @@ def field_conflicts(spark, sf_dir):
 
 
 @query(
-    """SELECT f, arg_min(o_custkey, o_orderkey) AS o_custkey FROM (SELECT o_custkey, o_orderstatus, o_orderkey, o_orderkey % 5000 AS f FROM orders) a
-    WHERE EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus = a.o_orderstatus AND b.o_orderkey < a.o_orderkey AND b.o_orderkey % 5000 <> a.f) GROUP BY 1"""
+    f"""SELECT f, id, differing FROM (SELECT a.f, a.id, concat_ws(',', CASE WHEN bool_or(b.s <> a.s) THEN 's' END, CASE WHEN bool_or(b.p <> a.p) THEN 'p' END) AS differing, row_number() OVER (PARTITION BY a.f ORDER BY a.o_orderkey) AS r
+    FROM {{x}} a JOIN {{x}} b ON b.id = a.id AND b.o_orderkey < a.o_orderkey AND b.f <> a.f WHERE a.f <> '' AND b.f <> '' AND (a.s IS NOT NULL OR a.p IS NOT NULL) AND (b.s IS NOT NULL OR b.p IS NOT NULL) GROUP BY a.f, a.id, a.o_orderkey) WHERE r = 1""".format(
+        x="(SELECT *, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 2 END AS p FROM (SELECT o_orderkey, CASE WHEN o_custkey % 7 > 0 THEN o_custkey END AS id, CASE WHEN o_orderkey % 11 > 0 THEN CAST(o_orderkey % 900 AS VARCHAR) ELSE '' END AS f, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderstatus END AS s FROM orders))"
+    )
 )
 def weak_match_once(spark, sf_dir):
-    return L.weak_match_once(table(spark, sf_dir, "orders").withColumn("f", F.col("o_orderkey") % 5000), "o_custkey", "f", "o_orderstatus", ["o_orderkey"])
+    """Orders as sightings: ids, files and fields that are null or empty, files of several rows."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    rows = o.select("o_orderkey", F.when(F.col("o_custkey") % 7 > 0, F.col("o_custkey")).alias("id"), F.when(key % 11 > 0, (key % 900).cast("string")).otherwise("").alias("f"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderstatus")).alias("s"), F.when(key % 4 > 0, key % 2).alias("p"))
+    return L.weak_match_once(rows, "id", "f", ["s", "p"], ["o_orderkey"])
 
 
 @query(
@@ -92,11 +100,11 @@ STEMS = "(SELECT o_orderpriority AS stem, o_custkey % 100 AS tail, o_orderkey, C
 
 
 @query(
-    f"""SELECT o_orderkey FROM {STEMS.format(w="o_orderkey % 4 <> 0")} a WHERE stem IN (SELECT stem FROM {STEMS.format(w="o_orderkey % 40 = 0")}) AND (stem, tail) NOT IN (SELECT (stem, tail) FROM {STEMS.format(w="o_orderkey % 40 = 0")}) AND (stem, d) NOT IN (SELECT (stem, d) FROM {STEMS.format(w="o_orderkey % 40 = 0")})"""
+    f"""SELECT o_orderkey FROM {STEMS.format(w="o_orderkey % 40 <> 0")} a WHERE stem IN (SELECT stem FROM {STEMS.format(w="o_orderkey % 40 = 0")}) AND (stem, tail) NOT IN (SELECT (stem, tail) FROM {STEMS.format(w="o_orderkey % 40 = 0")}) AND (stem, d) NOT IN (SELECT (stem, d) FROM {STEMS.format(w="o_orderkey % 40 = 0")})"""
 )
 def stem_reuse(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("stem"), (F.col("o_custkey") % 100).alias("tail"), F.col("o_orderkey"), F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("d"))
-    return L.stem_reuse(o.filter("o_orderkey % 4 != 0"), "o_orderkey", "stem", "tail", "id", "d", o.filter("o_orderkey % 40 = 0"))
+    return L.stem_reuse(o.filter("o_orderkey % 40 != 0"), "o_orderkey", "stem", "tail", "id", "d", o.filter("o_orderkey % 40 = 0"))
 
 
 ALLOWED = "(SELECT DISTINCT l_returnflag, l_suppkey, l_linenumber FROM lineitem WHERE l_orderkey % 50 = 0)"

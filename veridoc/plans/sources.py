@@ -54,13 +54,17 @@ def scan_chat_export(spark, sf_dir):
     return io.scan_chat_export(spark, where).select("id", "from", "is_upload")
 
 
-@query("SELECT lang AS bank, source AS channel, 'n_chars' AS metric, CAST(min(n_chars) AS DOUBLE) AS lo, CAST(max(n_chars) AS DOUBLE) AS hi FROM documents GROUP BY 1, 2")
+@query(
+    """SELECT lang AS bank, source AS channel, 'n_chars' AS name, CAST(min(n_chars) AS DOUBLE) AS lo, CAST(max(n_chars) AS DOUBLE) AS hi, NULL AS value FROM documents GROUP BY 1, 2
+    UNION ALL SELECT DISTINCT lang, 'all', 'source', NULL, NULL, source FROM documents"""
+)
 def scan_reference_specs(spark, sf_dir):
     where = place(spark, "specs")
     by = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.create_map(F.lit("n_chars"), F.array(F.min("n_chars").cast("double"), F.max("n_chars").cast("double"))).alias("m"))
     spec = by.groupBy(F.col("lang").alias("bank")).agg(F.map_from_entries(F.collect_list(F.struct("source", "m"))).alias("channels"), F.create_map(F.lit("all"), F.create_map(F.lit("source"), F.collect_set("source"))).alias("pools"))
     spec.select(F.to_json(F.struct("bank", "channels", "pools")).alias("value")).write.option("maxRecordsPerFile", 1).text(where)
-    return io.scan_reference_specs(spark, where)[0]
+    envelopes, pools = io.scan_reference_specs(spark, where)
+    return envelopes.withColumnRenamed("metric", "name").withColumn("value", F.lit(None).cast("string")).unionByName(pools.withColumnRenamed("layer", "name"), allowMissingColumns=True)
 
 
 @query("SELECT s_suppkey, s_name, s_nationkey FROM supplier")
@@ -88,10 +92,23 @@ def sink_upsert(spark, sf_dir):
     return io.sink_upsert(e.filter("event_id % 2 = 1"), current, ["user_id"], "event_id")
 
 
-@query("SELECT 'customer' AS name, 'v1' AS version, (SELECT count(*) FROM customer) AS n_rows UNION ALL SELECT 'supplier', 'v1', (SELECT count(*) FROM supplier)")
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def sink_upsert_table(spark, sf_dir):
+    """The same in a table of buckets: the even events, then the odd ones."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    users = io.UpsertTable(spark, place(spark, "upserts"), "user_id long, event_id long, event_type string", ["user_id"], "event_id", buckets=16)
+    users.upsert(e.filter("event_id % 2 = 0"))
+    users.upsert(e.filter("event_id % 2 = 1"))
+    return users.read()
+
+
+@query("SELECT 'customer' AS name, 'v1' AS version, count(*) AS n_rows, bit_xor(hash(c_custkey, c_name)) IS NOT NULL AS whole FROM customer UNION ALL SELECT 'supplier', 'v1', count(*), true FROM supplier")
 def sink_versioned_artifacts(spark, sf_dir):
+    """`whole`: the hash in the manifest is that of the given table, its rows in another order."""
     tables = {n: table(spark, sf_dir, n) for n in ("customer", "supplier")}
-    return io.sink_versioned_artifacts(tables, place(spark, "artefacts"), "v1").select("name", "version", "n_rows")
+    out = io.sink_versioned_artifacts(tables, place(spark, "artefacts"), "v1")
+    again = io.sink_versioned_artifacts({n: df.orderBy(F.desc(df.columns[0])) for n, df in tables.items()}, place(spark, "artefacts"), "v1")
+    return out.join(again.select("name", F.col("content_hash").alias("_h")), "name").select("name", "version", "n_rows", (F.col("content_hash") == F.col("_h")).alias("whole"))
 
 
 def features(spark, sf_dir):
@@ -201,6 +218,23 @@ def stream_reuse(spark, sf_dir):
     return drained(out, "reuse").select(F.col("file").cast("long").alias("file"), "use_no", "by_other", "first_at")
 
 
+KEPT_MS = 5 * 86_400_000
+
+
+@query(
+    f"""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, event_type, user_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL),
+    r AS (SELECT event_id, event_type, user_id, i, ms AS first, false AS seen FROM e WHERE i = 1
+          UNION ALL
+          SELECT e.event_id, e.event_type, e.user_id, e.i, CASE WHEN r.first + {KEPT_MS} <= e.ms THEN e.ms ELSE r.first END, r.first + {KEPT_MS} > e.ms FROM r JOIN e ON e.event_type = r.event_type AND e.user_id = r.user_id AND e.i = r.i + 1)
+    SELECT event_id, seen FROM r"""
+)
+def stream_newest(spark, sf_dir):
+    """Users that each kind of event has seen, forgotten five days after they came."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = S.stream_newest(event_stream(spark, sf_dir), store="event_type", id_col="user_id", file_col="event_id", signature_col="event_type", ts="ts", most=1_000_000, keep_ms=KEPT_MS, watermark="1 hour")
+    return drained(out, "newest").select(F.col("file").cast("long").alias("event_id"), "seen")
+
+
 @query("SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS seen_count FROM events GROUP BY 1")
 def stream_user_dim(spark, sf_dir):
     """The user dimension, merged batch by batch; each batch writes a version of its own, so a batch run again changes nothing."""
@@ -227,6 +261,28 @@ def stream_user_dim(spark, sf_dir):
     return read(1 << 62).withColumn("first_seen", F.col("first_seen").cast("timestamp_ntz")).withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
 
 
+SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g)
+    SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS submissions FROM s GROUP BY user_id, n"""
+
+
+@query(SESSIONS)
+def sessions(spark, sf_dir):
+    """Submissions of a user with six hours at most between them."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _ntz(S.sessions(e, "user_id", "ts", gap="6 hours"))
+
+
+def _ntz(df):
+    return df.withColumn("started", F.col("started").cast("timestamp_ntz")).withColumn("ended", F.col("ended").cast("timestamp_ntz"))
+
+
+@query(f"SELECT * FROM ({SESSIONS}) WHERE ended + INTERVAL 6 HOUR < (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
+def stream_sessions(spark, sf_dir):
+    """Sessions that the watermark of a day has passed."""
+    return _ntz(drained(S.stream_sessions(event_stream(spark, sf_dir), "user_id", "ts", gap="6 hours", watermark="1 day"), "sessions"))
+
+
 @query("SELECT event_id, user_id FROM events")
 def stream_log_tail(spark, sf_dir):
     where = place(spark, "tail")

@@ -279,6 +279,22 @@ def domain_functions(spark, sf_dir):
     return T.domain_functions(pages, "url", banks).select("page_id", "host", "registered", "bank")
 
 
+HOSTS = "(SELECT page_id, lower(regexp_extract(url, '(?:@|://)([A-Za-z0-9.-]+)', 1)) AS host FROM pages)"
+ENDS = f"(SELECT host, i, array_to_string(string_split(host, '.')[i:], '.') AS suffix FROM (SELECT host, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM (SELECT DISTINCT host FROM {HOSTS})))"
+
+
+@query(
+    f"""WITH s AS (SELECT DISTINCT suffix FROM {ENDS} e WHERE len(string_split(suffix, '.')) = 1 OR (len(string_split(suffix, '.')) = 2 AND length(host) % 4 = 0)), f AS (SELECT host, min(i) AS i FROM {ENDS} JOIN s USING (suffix) GROUP BY 1)
+    SELECT page_id, host, array_to_string(string_split(host, '.')[coalesce(greatest(i - 1, 1), greatest(len(string_split(host, '.')) - 1, 1)):], '.') AS registered FROM {HOSTS} LEFT JOIN f USING (host)"""
+)
+def registered_domains(spark, sf_dir):
+    """Suffixes: every last label, and the last two of some hosts."""
+    pages = table(spark, sf_dir, "pages")
+    labels = F.split("host", r"\.")
+    ends = T.domain_functions(pages, "url").select("host", F.explode(F.array(F.element_at(labels, -1), F.when((F.size(labels) > 1) & (F.length("host") % 4 == 0), F.array_join(F.slice(labels, -2, 2), ".")))).alias("suffix"))
+    return T.domain_functions(pages, "url", suffixes=ends.filter("suffix is not null").select("suffix").distinct()).select("page_id", "host", "registered")
+
+
 MAILS = "(SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'a.example' WHEN 1 THEN 'b.example' ELSE 'x.example' END AS f, 1 + CAST(c_custkey % 11 = 0 AS INT) AS n, CASE c_custkey % 2 WHEN 0 THEN 'mail.a.example' ELSE 'b.example' END AS k, c_custkey % 5 > 0 AS ok, 'a.example' AS e, c_custkey % 4 = 0 AS spf FROM customer)"
 
 

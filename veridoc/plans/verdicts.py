@@ -7,20 +7,25 @@ from pyspark.sql import functions as F
 from veridoc.operators import verdicts as V
 from veridoc.plans.registry import query, table
 
-#: (code, Spark predicate, DuckDB predicate, tier or None for the prefix's, group or None for the code's)
+#: (code, tier or None for the prefix's, group or None for the code's, bank or None for all, kind, predicate, enabled)
 RULES = (
-    ("A-SYMBOLS", "text LIKE '%###%'", "text LIKE '%###%'", None, None),
-    ("A-TABLE", "text LIKE '% | %'", "text LIKE '% | %'", None, None),
-    ("B-SHOUT", "text LIKE '%!! %'", "text LIKE '%!! %'", "B", "style"),
-    ("B-SHORT", "n_chars < 60", "n_chars < 60", "B", "size"),
-    ("B-LONG", "n_chars > 8000", "n_chars > 8000", "B", "size"),
-    ("B-NOTICE", "lower(text) LIKE '%license%'", "lower(text) LIKE '%license%'", "B", "notice"),
-    ("C-MAIL", "text LIKE '%@%'", "text LIKE '%@%'", None, None),
-    ("STAT-LINES", "length(text) - length(replace(text, '\n', '')) > 40", "length(text) - length(replace(text, chr(10), '')) > 40", "STATS", "stats"),
-    ("ODD", "text LIKE 'E%'", "text LIKE 'E%'", "X", None),
+    ("A-SYMBOLS", None, None, None, "layout", "text LIKE '%###%'", True),
+    ("A-TABLE", None, None, None, "layout", "text LIKE '% | %'", True),
+    ("B-SHOUT", "B", "style", None, "text", "text LIKE '%!! %'", True),
+    ("B-SHORT", "B", "size", None, "text", "n_chars < 60", True),
+    ("B-LONG", "B", "size", None, "text", "n_chars > 8000", True),
+    ("B-LONG", "B", "size", "de", "text", "n_chars > 5000", True),
+    ("B-NOTICE", "B", "notice", None, "text", "lower(text) LIKE '%license%'", True),
+    ("B-UMLAUT", "B", "letters", "fr", "text", "text LIKE '%ü%'", True),
+    ("B-SOURCE", "B", "origin", "es", "origin", "source IN ('src1', 'src3')", True),
+    ("C-MAIL", None, None, None, "text", "text LIKE '%@%'", True),
+    ("STAT-LINES", "STATS", "stats", None, "counts", "length(text) - length(replace(text, chr(10), '')) > 40", True),
+    ("ODD", None, None, None, "text", "text LIKE 'E%'", True),
+    ("A-DELETED", None, None, None, "layout", "length(text) > 0", False),
+    ("B-DELETED", "B", "gone", "en", "layout", "no_such_column = 1", False),
 )
-FLAGS = "(" + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS code FROM documents WHERE {d}" for c, _, d, _, _ in RULES) + ")"
-CATALOG = [(c, t, g) for c, _, _, t, g in RULES if t and t != "X"]
+FLAGS = "(SELECT DISTINCT doc_id, code FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS code FROM documents WHERE {e}" + (f" AND lang = '{b}'" if b else "") for c, _, _, b, _, e, on in RULES if on) + "))"
+CATALOG = sorted({(c, t, g) for c, t, g, _, _, _, on in RULES if t and on})
 TIERED = (
     "(SELECT doc_id, code, coalesce(CASE code " + " ".join(f"WHEN '{c}' THEN '{t}'" for c, t, _ in CATALOG) + " END, nullif(regexp_extract(code, '^([ABC])-', 1), '')) AS tier, coalesce(CASE code "
     + " ".join(f"WHEN '{c}' THEN '{g}'" for c, _, g in CATALOG) + f" END, code) AS grp FROM {FLAGS} WHERE code <> 'ODD')"
@@ -31,12 +36,18 @@ def docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def evaluated(spark, sf_dir):
+    """All flags, from the rules as a table."""
+    return V.rule_eval(docs(spark, sf_dir), "doc_id", spark.createDataFrame(RULES, V.CATALOG), bank="lang")
+
+
 def flags(spark, sf_dir):
-    return V.rule_eval(docs(spark, sf_dir), "doc_id", [(c, s) for c, s, *_ in RULES])
+    return evaluated(spark, sf_dir).select("doc_id", "code")
 
 
 def tiered(spark, sf_dir):
-    return V.classify_flag(flags(spark, sf_dir), spark.createDataFrame(CATALOG, "code string, tier string, grp string"))
+    """The flags that have a tier, from the table or by their prefix."""
+    return evaluated(spark, sf_dir).filter("tier is not null").select("doc_id", "code", "tier", "grp")
 
 
 POLICY = (
@@ -49,9 +60,12 @@ def verdicts(spark, sf_dir):
     return V.policy_verdict(docs(spark, sf_dir), tiered(spark, sf_dir), doc="doc_id")
 
 
-@query(f"SELECT doc_id, code FROM {FLAGS}")
+@query(
+    f"SELECT doc_id, code, CASE code " + " ".join(f"WHEN '{c}' THEN '{t or c[0]}'" for c, t in {(c, t) for c, t, *_ in RULES if t or c[1] == "-"}) + " END AS tier, CASE code "
+    + " ".join(f"WHEN '{c}' THEN '{g}'" for c, g in {(c, g or c) for c, _, g, *_ in RULES}) + " END AS grp, CASE code " + " ".join(f"WHEN '{c}' THEN '{k}'" for c, k in {(x[0], x[4]) for x in RULES}) + f" END AS kind FROM {FLAGS}"
+)
 def rule_eval(spark, sf_dir):
-    return flags(spark, sf_dir)
+    return evaluated(spark, sf_dir)
 
 
 @query(r"SELECT event_id, regexp_extract('[' || upper(event_type) || '] ' || coalesce(props, ''), '^\s*\[([A-Za-z0-9_-]+)\]', 1) AS code FROM events")
@@ -62,7 +76,7 @@ def flag_code(spark, sf_dir):
 
 @query(f"SELECT doc_id, code, tier, grp FROM {TIERED}")
 def classify_flag(spark, sf_dir):
-    return tiered(spark, sf_dir)
+    return V.classify_flag(flags(spark, sf_dir), spark.createDataFrame(CATALOG, "code string, tier string, grp string"))
 
 
 @query(
@@ -171,10 +185,10 @@ def explain_flags(spark, sf_dir):
 
 
 @query(
-    "SELECT c.code, coalesce(hits, 0) AS hits, coalesce(hits, 0) = 0 AND c.code NOT IN ('ODD') AS safe FROM (VALUES " + ", ".join(f"('{c}')" for c, *_ in RULES) + f") c(code) LEFT JOIN (SELECT code, count(DISTINCT doc_id) AS hits FROM {FLAGS} WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1) h USING (code)"
+    "SELECT c.code, coalesce(hits, 0) AS hits, coalesce(hits, 0) = 0 AND c.code NOT IN ('ODD') AS safe FROM (VALUES " + ", ".join(f"('{c}')" for c in sorted({x[0] for x in RULES})) + f") c(code) LEFT JOIN (SELECT code, count(DISTINCT doc_id) AS hits FROM {FLAGS} WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1) h USING (code)"
 )
 def fp_gate(spark, sf_dir):
-    catalog = spark.createDataFrame([(c,) for c, *_ in RULES], "code string")
+    catalog = spark.createDataFrame([(x[0],) for x in RULES], "code string")
     return V.fp_gate(catalog, flags(spark, sf_dir), table(spark, sf_dir, "labels").filter("quality = 1"), doc="doc_id", blocked=["ODD"])
 
 

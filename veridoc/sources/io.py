@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veridoc.functions.session import cut
+
 
 def scan_raw_corpus(spark: SparkSession, path: str, *, glob: str = "*") -> DataFrame:
     """(path, modified, size, content, sha256) of every file below a folder."""
@@ -68,6 +71,74 @@ def sink_upsert(new: DataFrame, current: DataFrame, keys: Sequence[str], order:
     return both.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_new")
 
 
+class UpsertTable:
+    """A table of the newest row of each key, in which an upsert rewrites only the buckets that its rows fall into.
+
+    Rows lie in buckets by a hash of their key. A version is a manifest, one JSON file that names the folder of each
+    bucket; a new version takes over the folders of buckets that nothing touched. The manifest's name is made with a
+    call that fails where it exists, which file systems of the HDFS kind do atomically; a writer that lost starts again from the version
+    that won. The number of buckets is fixed when the table is made, and a manifest has an entry for each.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: Sequence[str], order: str, *, buckets: int = 64):
+        self.spark, self.path, self.schema, self.keys, self.order, self.buckets = spark, path.rstrip("/"), schema, list(keys), order, buckets
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _manifest(self) -> tuple[int, dict]:
+        """(number, manifest) of the last version; 0 before the first."""
+        where = self._path(f"{self.path}/_versions")
+        done = [int(s.getPath().getName()) for s in self._fs.listStatus(where)] if self._fs.exists(where) else []
+        if not done:
+            return 0, {"folders": {}, "batch": -1, "buckets": self.buckets}
+        last = max(done)
+        text = "\n".join(r["value"] for r in self.spark.read.text(f"{self.path}/_versions/{last}").collect())
+        return last, json.loads(text)
+
+    def _commit(self, number: int, manifest: dict) -> bool:
+        try:
+            out = self._fs.create(self._path(f"{self.path}/_versions/{number}"), False)
+        except Exception:
+            if self._fs.exists(self._path(f"{self.path}/_versions/{number}")):
+                return False
+            raise
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        return True
+
+    def read(self) -> DataFrame:
+        """The rows of the last version."""
+        return self._rows(self._manifest()[1]["folders"].values())
+
+    def _rows(self, folders) -> DataFrame:
+        folders = sorted(folders)
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
+
+    def upsert(self, new: DataFrame, *, batch: int | None = None) -> list[int]:
+        """Merges `new` as `sink_upsert` does; the buckets that were rewritten. A stream's `batch` that is there already changes nothing."""
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        columns = self.spark.createDataFrame([], self.schema).columns
+        new = cut(new.select(*columns).withColumn("_bucket", bucket))
+        touched = sorted(r["_bucket"] for r in new.select("_bucket").distinct().collect())  # a row for each bucket at most
+        while True:
+            number, manifest = self._manifest()
+            if manifest["buckets"] != self.buckets:
+                raise ValueError(f"the table has {manifest['buckets']} buckets")
+            if not touched or (batch is not None and batch <= manifest["batch"]):
+                return []
+            current = self._rows(f for b, f in manifest["folders"].items() if int(b) in touched)
+            merged = sink_upsert(new.drop("_bucket"), current, self.keys, self.order).withColumn("_bucket", bucket)
+            where = f"{self.path}/rows-{uuid.uuid4().hex}"
+            merged.repartition("_bucket").write.partitionBy("_bucket").parquet(where)
+            folders = manifest["folders"] | {str(b): f"{where}/_bucket={b}" for b in touched}
+            if self._commit(number + 1, {"folders": folders, "batch": manifest["batch"] if batch is None else batch, "buckets": self.buckets}):
+                return touched
+
+    def each_batch(self, batch: DataFrame, number: int) -> None:
+        """For `foreachBatch`: a batch that runs again after a failure is merged once."""
+        self.upsert(batch, batch=number)
+
+
 def sink_versioned_artifacts(dfs: Mapping[str, DataFrame], path: str, version: str) -> DataFrame:
     """Writes each table below `path/version`, then the manifest (name, version, n_rows, content_hash), which is returned.
 

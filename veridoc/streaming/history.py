@@ -32,6 +32,20 @@ def stream_bursts(df: DataFrame, ts: str, passed: Column, *, window: str = "60 s
     return df.withWatermark(ts, watermark).groupBy(F.window(ts, window, slide)).agg(F.count("*").alias("submissions"), F.count_if(passed).alias("passes")).select(F.col("window.start").alias("start"), "submissions", "passes")
 
 
+def sessions(df: DataFrame, user: str, ts: str, *, gap: str) -> DataFrame:
+    """(user, started, ended, submissions): runs of a user's submissions with no more than `gap` between them. A row without a time is in none.
+
+    Works on a table and on a stream with a watermark; there a late row that lies between two open sessions makes them one.
+    """
+    out = df.filter(F.col(ts).isNotNull()).groupBy(F.session_window(ts, gap), user).agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("submissions"))
+    return out.select(user, "started", "ended", "submissions")
+
+
+def stream_sessions(df: DataFrame, user: str, ts: str, *, gap: str, watermark: str) -> DataFrame:
+    """`sessions`, each told once the watermark has passed the time up to which it could go on."""
+    return sessions(df.withWatermark(ts, watermark), user, ts, gap=gap)
+
+
 def stream_verdict_counts(df: DataFrame, ts: str, bank: str, fake: Column, *, watermark: str = "1 day") -> DataFrame:
     """(day, bank, checks, fakes), told when the day is past the watermark."""
     out = df.withWatermark(ts, watermark).groupBy(F.window(ts, "1 day"), bank).agg(F.count("*").alias("checks"), F.count_if(fake).alias("fakes"))
@@ -51,6 +65,64 @@ def stream_user_dim(merge: Callable[[DataFrame, DataFrame], DataFrame], read: Ca
     return upsert
 
 
+class _Newest(StatefulProcessor):
+    """Keeps for each store the `most` ids first seen last, and each no longer than `keep_ms` of event time after its first sighting."""
+
+    def __init__(self, most: int, keep_ms: int):
+        self.most, self.keep_ms = most, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ids = handle.getMapState("ids", "id string", "signature string, file string, at double")
+
+    def _due(self, at: float) -> int:
+        return int(at * 1000) + self.keep_ms
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["at", "id", "file"], kind="stable")
+        known = {k[0]: tuple(v) for k, v in self.ids.iterator()}
+        before, out = dict(known), []
+        for r in batch.itertuples(index=False):
+            # by event time, also where no timer has run since
+            first = known.get(r.id)
+            if first is not None and self._due(first[2]) <= int(r.at * 1000):
+                del known[r.id]
+                first = None
+            out.append((*key, r.id, r.file, first is not None, bool(first is not None and r.signature != first[0] and r.file != first[1])))
+            if first is None:
+                known[r.id] = (r.signature, r.file, float(r.at))
+                if len(known) > self.most:
+                    del known[min(known, key=lambda k: (known[k][2], k))]
+        for k in before.keys() - known.keys():
+            self.ids.removeKey((k,))
+        for k in (k for k, v in known.items() if before.get(k) != v):
+            self.ids.updateValue((k,), known[k])
+            self.handle.registerTimer(self._due(known[k][2]))
+        yield pd.DataFrame(out, columns=["store", "id", "file", "seen", "conflict"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for k in [k[0] for k, v in self.ids.iterator() if self._due(v[2]) <= now]:
+            self.ids.removeKey((k,))
+        yield pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("store", str), ("id", str), ("file", str), ("seen", bool), ("conflict", bool))})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_newest(df: DataFrame, *, store: str, id_col: str, file_col: str, signature_col: str, ts: str, most: int, keep_ms: int, watermark: str) -> DataFrame:
+    """(store, id, file, seen, conflict): each sighting against the ids that its store still keeps.
+
+    A store keeps the `most` ids that it first saw last, each for `keep_ms` of event time from its first sighting; an id
+    that has gone is new again. `conflict` is another signature from another file. Rows of one batch are taken in (time,
+    id, file) order. Ids, stores or times that are null have no state and are left out. State is bounded by `most` for
+    each store. Needs the RocksDB state store.
+    """
+    rows = df.withWatermark(ts, watermark).filter(F.col(id_col).isNotNull() & (F.col(id_col).cast("string") != "") & F.col(store).isNotNull() & F.col(ts).isNotNull())
+    rows = rows.select(*[F.col(c).cast("string").alias(n) for c, n in ((store, "store"), (id_col, "id"), (file_col, "file"), (signature_col, "signature"))], (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at"), F.col(ts).alias("_ts"))
+    return rows.groupBy("store").transformWithStateInPandas(_Newest(most, keep_ms), "store string, id string, file string, seen boolean, conflict boolean", "Append", "EventTime")
+
+
 class _FirstSignature(StatefulProcessor):
     """Keeps the first (signature, file) of an id and the number of its sightings."""
 
@@ -60,7 +132,7 @@ class _FirstSignature(StatefulProcessor):
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["at", "file"], kind="stable")
         known = self.first.get() if self.first.exists() else None
         out = []
