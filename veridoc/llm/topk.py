@@ -41,10 +41,12 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
 
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """All inner products, exact: in floating point where no sum can pass 2**53, else in whole numbers."""
+    """All inner products, exact: in floating point where no sum can pass 2**53, else in whole numbers; where one could pass 2**63, an error."""
     most = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * max(1, q.shape[1])
     if most < 1 << 53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
+    if most >= 1 << 63:
+        raise OverflowError("scores of these vectors may pass 64 bits; take a smaller scale")
     return q @ c.T
 
 
