@@ -16,8 +16,10 @@ fingerprint and then against the exact similarity.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from veridoc.llm.common import cut, small_batches, whole
 SHINGLE, SEED, BUDGET = 3, 42, 2
 #: Fingerprints below a node that is dealt out, about, and levels walked before dealing at least, with one trie and with one for each word.
 NODE_ROWS, LEAST_DEPTH, WORD_DEPTH = 1 << 16, 5, 3
+#: Fingerprints dealt to a node from which its part is dealt again further down, levels further down, and ways to differ up to which that goes on.
+CELL_ROWS, DEEPER, MOST_WAYS = 1 << 19, 4, 4096
 #: Node pairs of a step of the walk at once, and pairs of fingerprints below a node pair from which it is walked on.
 STEP_PAIRS, LEAF_PAIRS = 1 << 17, 64
 #: The stage's rule: words of a shingle, and the least Jaccard similarity as a fraction.
@@ -207,14 +211,25 @@ def _sides(cell: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return out
 
 
-def near_pairs(fps: DataFrame, *, budget: int = BUDGET) -> DataFrame:
-    """(fa, fb): every pair of the distinct fingerprints `fps(fp)` with 1 to `budget` differing bits, once."""
-    depth = _depth(fps.count(), 64, LEAST_DEPTH)
+def _crowded(fps: DataFrame, depth: int, budget: int, most: int) -> DataFrame:
+    """(cell): the nodes at `depth` that would be dealt more than `most` fingerprints, from a count of each node's own."""
+    own = fps.groupBy(F.expr(f"shiftrightunsigned(fp, {64 - depth})").alias("at")).agg(F.count("*").alias("n"))
+    cells = F.lit(None).cast("array<long>")
+    if masks := _masks(depth, budget):
+        each = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(1 << m.bit_length() - 1).cast("long").alias("top")) for m in masks])
+        cells = F.transform(F.filter(each, lambda x: F.col("at").bitwiseAND(x["top"]) != 0), lambda x: F.col("at").bitwiseXOR(x["m"]))
+    dealt = own.select(F.explode(F.concat(F.array("at"), F.coalesce(cells, F.array().cast("array<long>")))).alias("cell"), "n").groupBy("cell").agg(F.sum("n").alias("n"))
+    # a node without fingerprints of its own meets nobody
+    return cut(dealt.join(own.select(F.col("at").alias("cell")), "cell", "left_semi").filter(F.col("n") > most).select("cell"))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = b.column(0).to_numpy()
-            yield _dealt((fp.view(np.uint64), np.zeros(len(fp), np.uint64), fp, 0), 64, depth, budget)
+
+def near_pairs(fps: DataFrame, *, budget: int = BUDGET, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(fa, fb): every pair of the distinct fingerprints `fps(fp)` with 1 to `budget` differing bits, once.
+
+    A node that more than `cell_rows` fingerprints would be dealt to isn't walked as one group: its part of the trie is
+    dealt again DEEPER levels further down, so crowds of near fingerprints are split over as many tasks as they need. That
+    ends at the level where two nodes could differ in MOST_WAYS ways: with a budget of 2 below any crowd, with 4 at level 17.
+    """
 
     def meet(cell: pa.Table) -> pa.Table:
         (own, _, a), (others, _, b) = _sides(cell)
@@ -222,7 +237,29 @@ def near_pairs(fps: DataFrame, *, budget: int = BUDGET) -> DataFrame:
         found = [(a[i], to[j]) for t, to in ((tries[0], a), (tries[1], b)) for i, j, _ in walk(tries[0], t, budget)]
         return pa.table({"fa": np.concatenate([x for x, _ in found] or [a[:0]]), "fb": np.concatenate([x for _, x in found] or [a[:0]])})
 
-    return fps.select("fp").mapInArrow(deal, CELL).groupBy("cell").applyInArrow(meet, "fa long, fb long")
+    def dealer(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                fp = b.column(0).to_numpy()
+                yield _dealt((fp.view(np.uint64), np.zeros(len(fp), np.uint64), fp, 0), 64, depth, budget)
+
+        return deal
+
+    depth, above, out = _depth(fps.count(), 64, LEAST_DEPTH), None, []
+    while True:
+        dealt = fps.select("fp").mapInArrow(dealer(depth), CELL)
+        if above is not None:  # what the walk of the crowded nodes comes down to
+            dealt = dealt.withColumn("above", F.shiftright("cell", DEEPER)).join(above.withColumnRenamed("cell", "above"), "above", "left_semi").drop("above")
+        below = depth + DEEPER
+        go_on = below < 60 and sum(comb(below, k) for k in range(1, budget + 1)) <= MOST_WAYS
+        crowded = _crowded(fps, depth, budget, cell_rows) if go_on else None
+        if crowded is not None and above is not None:
+            crowded = cut(crowded.withColumn("above", F.shiftright("cell", DEEPER)).join(above.withColumnRenamed("cell", "above"), "above", "left_semi").select("cell"))
+        last = crowded is None or crowded.isEmpty()
+        out.append((dealt if last else dealt.join(crowded, "cell", "left_anti")).groupBy("cell").applyInArrow(meet, "fa long, fb long"))
+        if last:
+            return reduce(DataFrame.union, out)
+        depth, above = below, crowded
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -247,7 +284,7 @@ def components(links: DataFrame) -> DataFrame:
             return state.withColumnRenamed("f", "root")
 
 
-def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(doc_id, fp, component_id, n_links): a row for each row of `docs`.
 
     `component_id` is the smallest id reachable over links of at most `budget` bits, the document's own
@@ -258,7 +295,7 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     marked = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
     own = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    links = cut(near_pairs(own.select("fp"), budget=budget))
+    links = cut(near_pairs(own.select("fp"), budget=budget, cell_rows=cell_rows))
     degree = links.select("fa").union(links.select("fb")).groupBy(F.col("fa").alias("fp")).agg(F.count("*").alias("n_links"))
     tree = components(links)
     linked = tree.join(own, tree["node"] == own["fp"]).select("fp", "root", "least")
