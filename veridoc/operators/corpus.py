@@ -18,10 +18,10 @@ def corpus_summary(df: DataFrame, *, verdict: str, hash_col: str, reliable: Colu
     )
 
 
-def _in_rows(df: DataFrame, key: str, order: Sequence[str], part: Column, chunk: int) -> DataFrame:
-    """(key, chunk_no, parts): `part` of each row of a key in order, in arrays of `chunk` at most, so that no row grows with its key."""
-    numbered = df.select(F.col(key), part.alias("_v"), (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).alias("_n"))
-    return numbered.groupBy(key, F.floor(F.col("_n") / chunk).alias("chunk_no")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_v"))), lambda x: x["_v"]).alias("parts"))
+def _in_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], part: Column, chunk: int) -> DataFrame:
+    """(keys, chunk_no, parts): `part` of each row of a key in order, in arrays of `chunk` at most, so that no row grows with its key."""
+    numbered = df.select(*keys, part.alias("_v"), (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).alias("_n"))
+    return numbered.groupBy(*keys, F.floor(F.col("_n") / chunk).alias("chunk_no")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_v"))), lambda x: x["_v"]).alias("parts"))
 
 
 #: Events or verdicts in one row of a listing.
@@ -34,7 +34,7 @@ def contradiction_groups(df: DataFrame, key: str, verdict: str, event: str, *, c
     groups = rows.groupBy(key).agg(
         F.count("*").alias("n"), F.count_if(F.col(verdict) == "PASS").alias("passes"), F.count_if(F.col(verdict) == "FAIL").alias("fails"), F.min(verdict).alias("_lo"), F.max(verdict).alias("_hi"),
     ).filter("_lo != _hi").drop("_lo", "_hi")
-    told = _in_rows(rows.join(groups.select(key), key, "left_semi"), key, [event], F.col(event).cast("string"), chunk)
+    told = _in_rows(rows.join(groups.select(key), key, "left_semi"), [key], [event], F.col(event).cast("string"), chunk)
     return told.join(groups, key).select(key, "n", "passes", "fails", "chunk_no", F.array_join("parts", ",").alias("events"))
 
 
@@ -57,7 +57,7 @@ def duplicate_sequences(df: DataFrame, key: str, verdict: str, order: Sequence[s
     """(key, n, chunk_no, verdicts): keys seen twice or more, with the first letters of their verdicts in order, `chunk` in a row. Rows without a key are no group."""
     rows = df.filter(known(key))
     groups = rows.groupBy(key).agg(F.count("*").alias("n")).filter("n >= 2")
-    told = _in_rows(rows.join(groups.select(key), key, "left_semi"), key, order, F.substring(verdict, 1, 1), chunk)
+    told = _in_rows(rows.join(groups.select(key), key, "left_semi"), [key], order, F.substring(verdict, 1, 1), chunk)
     return told.join(groups, key).select(key, "n", "chunk_no", F.array_join("parts", "").alias("verdicts"))
 
 
@@ -140,10 +140,14 @@ def envelope_check(df: DataFrame, doc: str, bank: str, channel: str, metrics: Se
     return x.filter(~F.col("value").between(lo, hi)).select(doc, "metric", "value", lo.alias("lo"), hi.alias("hi"))
 
 
-def build_profiles(df: DataFrame, group: str, *, sets: Mapping[str, str], sums: Mapping[str, str] = {}) -> DataFrame:
-    """A row for each group: its number of rows, the sorted distinct values of each column of `sets`, and sums."""
-    listed = [F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), ",").alias(name) for name, c in sets.items()]
-    return df.groupBy(group).agg(F.count("*").alias("n"), *listed, *[F.sum(c).cast("long").alias(name) for name, c in sums.items()])
+def build_profiles(df: DataFrame, group: str, *, sets: Mapping[str, str], sums: Mapping[str, str] = {}, chunk: int = CHUNK) -> DataFrame:
+    """(group, n, sums, name, chunk_no, values): each group's number of rows and sums, and the sorted distinct values of each column of `sets` by its
+    name, `chunk` in a row; a set with more has further rows, a group without any value one with a null name. Rows without a group are one."""
+    counts = df.groupBy(group).agg(F.count("*").alias("n"), *[F.sum(c).cast("long").alias(name) for name, c in sums.items()])
+    pairs = F.array(*[F.struct(F.lit(name).alias("name"), F.col(c).cast("string").alias("value")) for name, c in sets.items()])
+    distinct = df.select(group, F.explode(pairs).alias("_p")).select(group, "_p.*").filter("value is not null").distinct()
+    told = _in_rows(distinct, [group, "name"], ["value"], F.col("value"), chunk).select(F.col(group).alias("_g"), "name", "chunk_no", F.array_join("parts", ",").alias("values"))
+    return counts.join(told, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
 
 
 def build_pools(df: DataFrame, group: str, layers: Sequence[str]) -> DataFrame:
@@ -194,8 +198,14 @@ def library_drift(
     return out.withColumn("drift", drift | over("thin_compared", "thin_unknown", *strict) if strict else drift)
 
 
+#: Fonts of a library that each document is held against.
+MAX_FONTS = 10_000
+
+
 def missing_fonts(items: DataFrame, doc: str, font: str, library: DataFrame) -> DataFrame:
-    """(doc, font): fonts of the library that a document lacks. The library's fonts are one row of a bounded number."""
+    """(doc, font): fonts of the library that a document lacks. The library's fonts are one row, of MAX_FONTS at most."""
+    if library.select(font).distinct().limit(MAX_FONTS + 1).count() > MAX_FONTS:
+        raise ValueError(f"a library holds {MAX_FONTS} fonts at most")
     fonts = library.agg(F.collect_set(font)).scalar()
     own = items.groupBy(doc).agg(F.collect_set(font).alias("_own"))
     return own.select(doc, F.explode(F.array_except(fonts, F.col("_own"))).alias(font))

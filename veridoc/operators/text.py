@@ -466,13 +466,19 @@ def document_router(df: DataFrame, text: str, markers: Mapping[str, Sequence[str
     return df.withColumn("route", route)
 
 
+#: Profiles that each document is held against.
+MAX_PROFILES = 2_000
+
+
 def issuer_identify(df: DataFrame, doc: str, text: str, producer: str, profiles: DataFrame, *, min_score: float = 0.5) -> DataFrame:
     """(doc, issuer, score): the profile with the highest share of its text markers and producers found.
 
-    `profiles` is a rule table (issuer, ord, markers, producers, exclusive) of a size that each row can be held against; without rules
+    `profiles` is a rule table (issuer, ord, markers, producers, exclusive) of MAX_PROFILES rows at most, as each document is held against all; without rules
     every document has none. An exclusive marker gives 1; without any
     text marker the score is at most 0.55; ties go to the smaller ord; below min_score there is none.
     """
+    if profiles.limit(MAX_PROFILES + 1).count() > MAX_PROFILES:
+        raise ValueError(f"there may be {MAX_PROFILES} profiles at most")
     rules = profiles.agg(F.collect_list(F.struct("issuer", "ord", "markers", "producers", "exclusive"))).scalar()
     x = df.select(doc, F.col(text).alias("_t"), F.coalesce(F.col(producer), F.lit("")).alias("_p"), rules.alias("_rules"))
     hits = lambda words, where: F.size(F.filter(words, lambda w: F.contains(where, w)))

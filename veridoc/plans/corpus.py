@@ -111,9 +111,12 @@ def envelope_check(spark, sf_dir):
     return C.envelope_check(docs(spark, sf_dir), "doc_id", "lang", "source", METRICS, envelopes)
 
 
-@query(f"SELECT source, count(*) AS n, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs, CAST(sum(breaks) AS BIGINT) AS breaks FROM {DOCS} GROUP BY 1")
+@query(
+    f"""WITH v AS (SELECT *, row_number() OVER (PARTITION BY source, name ORDER BY value) - 1 AS i FROM (SELECT DISTINCT source, 'langs' AS name, lang AS value FROM {DOCS} UNION SELECT DISTINCT source, 'sizes', CAST(len % 90 AS VARCHAR) FROM {DOCS}) WHERE value IS NOT NULL)
+    SELECT source, n, breaks, name, i // 20 AS chunk_no, string_agg(value, ',' ORDER BY i) AS values FROM (SELECT source, count(*) AS n, CAST(sum(breaks) AS BIGINT) AS breaks FROM {DOCS} GROUP BY 1) JOIN v USING (source) GROUP BY ALL"""
+)
 def build_profiles(spark, sf_dir):
-    return C.build_profiles(docs(spark, sf_dir), "source", sets={"langs": "lang"}, sums={"breaks": "breaks"})
+    return C.build_profiles(docs(spark, sf_dir).withColumn("size", F.col("len") % 90), "source", sets={"langs": "lang", "sizes": "size"}, sums={"breaks": "breaks"}, chunk=20)
 
 
 POOLS = "(" + " UNION ALL ".join(f"SELECT p_brand, '{m}' AS layer, CAST({m} AS VARCHAR) AS value FROM part WHERE p_partkey % 2 = 0" for m in ("p_type", "p_container", "p_size")) + ")"

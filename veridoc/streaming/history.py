@@ -78,6 +78,11 @@ class _Newest(StatefulProcessor):
     def _due(self, at: float) -> int:
         return int(at * 1000) + self.keep_ms
 
+    def _wake(self, known: dict[str, tuple]) -> None:
+        """One timer, for the id whose time is up first; it sets the next."""
+        if known:
+            self.handle.registerTimer(self._due(min(v[2] for v in known.values())))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["at", "id", "file"], kind="stable")
         known = {k[0]: tuple(v) for k, v in self.ids.iterator()}
@@ -97,13 +102,16 @@ class _Newest(StatefulProcessor):
             self.ids.removeKey((k,))
         for k in (k for k, v in known.items() if before.get(k) != v):
             self.ids.updateValue((k,), known[k])
-            self.handle.registerTimer(self._due(known[k][2]))
+        self._wake(known)
         yield pd.DataFrame(out, columns=["store", "id", "file", "seen", "conflict"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        for k in [k[0] for k, v in self.ids.iterator() if self._due(v[2]) <= now]:
+        known = {k[0]: tuple(v) for k, v in self.ids.iterator()}
+        for k in [k for k, v in known.items() if self._due(v[2]) <= now]:
             self.ids.removeKey((k,))
+            del known[k]
+        self._wake(known)
         yield pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("store", str), ("id", str), ("file", str), ("seen", bool), ("conflict", bool))})
 
     def close(self) -> None:
