@@ -148,6 +148,38 @@ def test_sharding_keeps_every_row_and_commits_once(spark, docs):
     assert empty.compact() == 1 and empty.read().columns == docs.columns and sharding.placed(empty).count() == 0
 
 
+def test_sharding_tiers_equal_a_plain_version(spark, docs):
+    """From version to version: exactly the shards of full tiers go, the new ones hold their rows, and it ends when no tier is full."""
+    target, fanout, least = 400_000, 2, 2_000
+    data = sharding.ShardedDataset(spark, f"{shared_dir(spark)}/t-{uuid.uuid4().hex}", target_bytes=target, fanout=fanout, least_bytes=least)
+    for k in range(4):
+        data.append(docs.filter(F.coalesce("doc_id", F.lit(0)) % 4 == k), arrival_rows=4 + 9 * k)
+
+    def tier(size):
+        t = 0
+        while size > least * fanout**t:
+            t += 1
+        return -1 if 2 * size >= target else t
+
+    def full(shards):
+        by = defaultdict(list)
+        for s in shards.values():
+            by[tier(s["bytes"])].append(s["bytes"])
+        return {t for t, sizes in by.items() if t >= 0 and (len(sizes) >= fanout or len(sizes) > 1 and sum(sizes) >= target)}
+
+    first = data.versions()[-1]
+    last, rounds = data.compact(), 0
+    now = {s["shard"]: s for s in data.manifest(first).collect()}
+    for version in range(first + 1, last + 1):
+        merged = full(now)
+        after = {s["shard"]: s for s in data.manifest(version).collect()}
+        gone = {n: s for n, s in now.items() if tier(s["bytes"]) in merged}
+        assert merged and now.keys() - after.keys() == gone.keys() and all(s["tier"] == tier(s["bytes"]) for s in after.values())
+        assert sum(after[n]["n_rows"] for n in after.keys() - now.keys()) == sum(s["n_rows"] for s in gone.values())
+        now, rounds = after, rounds + 1
+    assert rounds > 1 and not full(now) and data.read().exceptAll(docs).isEmpty() and docs.exceptAll(data.read()).isEmpty()
+
+
 def test_sharding_loses_no_arrival_of_another_writer(spark):
     root, rows = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}", lambda a, b: spark.range(a, b).withColumn("bytes", F.lit("clash")).withColumn("tier", F.lit(None).cast("string"))
     a, b = (sharding.ShardedDataset(spark, root, target_bytes=200_000, fanout=2) for _ in range(2))
