@@ -282,6 +282,34 @@ def test_global_history_equals_the_loop(spark, parts):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_keys_that_most_rows_have(spark):
+    """Against plain loops: one key of most rows, others, unknown ones; values that are null."""
+    r = random.Random(12)
+    rows = [(i, r.choice(["hot"] * 6 + ["a", "b", "", None]), r.choice(["u", "v", None]), r.choice(["P", "F", None]), r.choice(["hot"] * 3 + ["x", None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k string, user string, v string, k2 string").repartition(9)
+    order = ["id"]
+    uses, prior, first, dup = {}, {}, {}, {}
+    for n, (i, k, user, _, k2) in enumerate(rows):
+        before = [x for x in rows[:n] if k and x[1] == k]
+        if k:
+            users = [x[2] for x in before if x[2] is not None]
+            uses[i] = (len(before) + 1, (before or [rows[n]])[0][0], user is not None and any(u != user for u in users))
+        prior[i] = (len(before), sum(x[3] == "P" for x in before), sum(x[3] == "F" for x in before))
+        first[i] = not before
+        by = [next((x[0] for x in rows if key and x[c] == key), i) for c, key in ((1, k), (4, k2))]
+        dup[i] = next((x for x in by if x != i), None)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = links.email_reuse(df, "k", "user", order, "id")
+        assert got.columns == [*df.columns, "use_no", "first_time", "by_other"] and {x["id"]: (x["use_no"], x["first_time"], x["by_other"]) for x in got.collect()} == uses
+        got = history.prior_same_key(df, ["k", "k2"], F.col("v") == "P", order)
+        assert got.count() == 400 and {x["id"]: (x["prior_k_rows"], x["prior_k_passes"], x["prior_k_fails"]) for x in got.collect()} == prior
+        assert by_id(history.unique_in_batch(df, "k", order), "is_unique") == first
+        assert by_id(links.dedup_two_keys(df, "k", "k2", order, "id"), "duplicate_of") == dup
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_resolve_copy_keeps_every_row(spark):
     """Rows that share a key or have none, sizes that are null, candidates by the dozen: each row its own best one."""
     r = random.Random(4)

@@ -7,7 +7,7 @@ of the order, each range is taken alone, and a table with a row for each range s
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -49,6 +49,33 @@ def _running(df: DataFrame, counted: Sequence[str], order: Sequence[str]) -> Dat
     return out.drop("_part", *[f"_start_{c}" for c in counted])
 
 
+def ranges_of_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """`df` as a table with `_key`, the key or "" where it isn't known, and `_part`, the range of (key, order) that a row is in. However many rows one key has, they are cut into ranges too."""
+    return _ranges(df.withColumn("_key", F.when(known(key), F.concat(F.lit("="), F.col(key).cast("string"))).otherwise("")), ["_key", *order])
+
+
+def before_in_key(ranged: DataFrame, order: Sequence[str], **values: tuple[Callable[[Column], Column], str]) -> DataFrame:
+    """`ranged` (`ranges_of_key`) with a column for each of `values`, (aggregate, column): the aggregate over the earlier rows of the key, null where there is none.
+
+    The aggregate must be one that can be taken over its own results, as sums, least and greatest values can. It is
+    taken in each range of a key alone; the ranges before hand theirs on.
+    """
+    parts = ranged.groupBy("_key", "_part").agg(*[f(F.col(c)).alias(name) for name, (f, c) in values.items()])
+    earlier = _before(_over(["_key"], ["_part"]))
+    handed = parts.select("_key", "_part", *[f(F.col(name)).over(earlier).alias(f"_handed_{name}") for name, (f, _) in values.items()])
+    local = _before(_over(["_part", "_key"], order))
+    met = ranged.join(handed, ["_key", "_part"])
+    for name, (f, c) in values.items():
+        met = met.withColumn(name, F.aggregate(F.array_compact(F.array(f(F.col(c)).over(local), F.col(f"_handed_{name}"))), F.lit(None).cast(met.schema[f"_handed_{name}"].dataType), _merge(f)))
+    return met.drop(*[f"_handed_{name}" for name in values])
+
+
+def _merge(f: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
+    """What puts two results of an aggregate together."""
+    two = {F.sum: lambda a, b: a + b, F.min: F.least, F.max: F.greatest}[f]
+    return lambda a, b: F.when(a.isNull(), b).otherwise(two(a, b))
+
+
 def send_index(df: DataFrame, order: Sequence[str], *, partition: Sequence[str] = (), out: str = "send_index") -> DataFrame:
     """The running number of each row, from 1."""
     if partition:
@@ -124,13 +151,13 @@ def _prior_counts(df: DataFrame, order: Sequence[str], seconds: Sequence[int]) -
 
 
 def prior_same_key(df: DataFrame, keys: Sequence[str], passed: Column, order: Sequence[str]) -> DataFrame:
-    """For each key: earlier rows with the same value, passes and fails among them. An empty key counts nothing."""
-    out = df.withColumn("_pass", passed)
+    """For each key: earlier rows with the same value, passes and fails among them; a row whose `passed` is null is neither. An empty key counts nothing."""
+    out = df.withColumn("_row", F.lit(1).cast("long")).withColumn("_pass", F.coalesce(passed.cast("long"), F.lit(0))).withColumn("_fail", F.coalesce((~passed).cast("long"), F.lit(0)))
     for k in keys:
-        w = _before(Window.partitionBy(*by_known(k, order)).orderBy(*order))
-        for name, what in (("rows", F.count("*")), ("passes", F.count_if("_pass")), ("fails", F.count_if(~F.col("_pass")))):
-            out = out.withColumn(f"prior_{k}_{name}", F.when(known(k), what.over(w)).otherwise(F.lit(0)))
-    return out.drop("_pass")
+        names = {f"prior_{k}_{what}": col for what, col in (("rows", "_row"), ("passes", "_pass"), ("fails", "_fail"))}
+        out = before_in_key(ranges_of_key(out, k, order), order, **{n: (F.sum, c) for n, c in names.items()})
+        out = out.withColumns({n: F.when(F.col("_key") != "", F.coalesce(n, F.lit(0))).otherwise(F.lit(0)) for n in names}).drop("_key", "_part")
+    return out.drop("_row", "_pass", "_fail")
 
 
 def first_seen(df: DataFrame, key: str, ts: str) -> DataFrame:
@@ -139,9 +166,14 @@ def first_seen(df: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def unique_in_batch(df: DataFrame, hash_col: str, order: Sequence[str]) -> DataFrame:
-    """Whether a row is the first of its hash; rows without a hash are like no other."""
-    first = F.row_number().over(Window.partitionBy(*by_known(hash_col, order)).orderBy(*order)) == 1
-    return df.withColumn("is_unique", ~known(hash_col) | first)
+    """Whether a row is the first of its hash; rows without a hash are like no other. `order` tells rows apart.
+
+    The first of each hash is found by aggregation and met with the rows, so a hash that many rows have is split.
+    """
+    at = F.struct(*order)
+    firsts = df.filter(known(hash_col)).groupBy(F.col(hash_col).alias("_hash")).agg(F.min(at).alias("_first"))
+    met = df.filter(known(hash_col)).join(firsts, F.col(hash_col) == F.col("_hash")).withColumn("is_unique", at == F.col("_first"))
+    return met.select(*df.columns, "is_unique").unionByName(df.filter(~known(hash_col)).withColumn("is_unique", F.lit(True)))
 
 
 def seen_recently(df: DataFrame, hash_col: str, order: Sequence[str], *, partition: Sequence[str], n: int = 10) -> DataFrame:

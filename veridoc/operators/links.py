@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions.session import by_known, known
+from veridoc.operators.history import before_in_key, ranges_of_key
 
 
 def _where_known(df: DataFrame, key: str, join: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -65,15 +66,40 @@ def requisite_blacklist(df: DataFrame, doc: str, keys: str, blacklist: DataFrame
 
 
 def identity_conflict(df: DataFrame, id_col: str, file_hash: str, signature: str, order: Sequence[str]) -> DataFrame:
-    """`conflict`: an earlier row of the same id has another file and another signature, id, file and signature being known in both.
+    """`conflict`: an earlier row of the same id has another file and another signature, id, file and signature being known in both. `order` tells rows apart.
 
-    Counted, not paired: of the earlier known rows of the id, those with this signature or this file are
-    taken off, those with both added again.
+    Six rows of an id are enough to know: its first, (f, s); the first with another file and another signature than that;
+    the first with another file, and of those the first with another signature than its own; the same with file and
+    signature changed. A row that shares nothing with the first is met by it, one that shares both by the second, one that
+    shares the file by the third or, where it has that one's signature, the fourth. They are found by aggregation and
+    met with the rows in joins, so an id that a third of all rows have is split.
     """
     whole = known(id_col) & known(file_hash) & known(signature)
-    before = lambda *more: F.count_if(whole).over(Window.partitionBy(*by_known(id_col, order), *more).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    others = before() - before(signature) - before(file_hash) + before(signature, file_hash)
-    return df.withColumn("conflict", whole & (others > 0))
+    row = F.struct(F.struct(*order).alias("at"), F.col(file_hash).alias("f"), F.col(signature).alias("s"))
+    f, s = F.col(file_hash), F.col(signature)
+    rows = df.filter(whole)
+    key = F.col(id_col).alias("_id")
+
+    def firsts(x: DataFrame, **tests: Column) -> DataFrame:
+        return x.groupBy(key).agg(*[F.min(F.when(t, row)).alias(name) for name, t in tests.items()])
+
+    def met(x: DataFrame, found: DataFrame) -> DataFrame:
+        return x.join(found, F.col(id_col) == F.col("_id")).drop("_id")
+
+    one = firsts(rows, _r1=F.lit(True))
+    other_f, other_s = f != F.col("_r1.f"), s != F.col("_r1.s")
+    two = firsts(met(rows, one), _r2=other_f & other_s, _r3=other_f, _r5=other_s)
+    both = one.join(two, "_id")
+    four = firsts(met(rows, both), _r4=other_f & (s != F.col("_r3.s")), _r6=other_s & (f != F.col("_r5.f")))
+    told = met(rows, both.join(four, "_id"))
+    nearest = (
+        F.when(other_f & other_s, F.col("_r1"))
+        .when(~other_f & ~other_s, F.col("_r2"))
+        .when(~other_f, F.when(s != F.col("_r3.s"), F.col("_r3")).otherwise(F.col("_r4")))
+        .otherwise(F.when(f != F.col("_r5.f"), F.col("_r5")).otherwise(F.col("_r6")))
+    )
+    told = told.withColumn("conflict", F.coalesce(nearest["at"] < F.struct(*order), F.lit(False))).select(*df.columns, "conflict")
+    return told.unionByName(df.filter(~whole).withColumn("conflict", F.lit(False)))
 
 
 def field_conflicts(df: DataFrame, id_col: str, file_hash: str, fields: Sequence[str], *, dates: Sequence[str] = ()) -> DataFrame:
@@ -105,11 +131,12 @@ def weak_match_once(df: DataFrame, id_col: str, file_hash: str, fields: Sequence
 
 
 def email_reuse(df: DataFrame, key: str, user: str, order: Sequence[str], ts: str) -> DataFrame:
-    """For each use of a key: its number, the first time, and whether another user had it before."""
-    w = Window.partitionBy(key).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    other = (F.min(user).over(before) != F.col(user)) | (F.max(user).over(before) != F.col(user))
-    return df.filter(known(key)).withColumn("use_no", F.row_number().over(w).cast("long")).withColumn("first_time", F.first(ts).over(w)).withColumn("by_other", F.coalesce(other, F.lit(False)))
+    """For each use of a key: its number, the first time, and whether another user had it before. A key of any number of uses is cut into ranges."""
+    ranged = ranges_of_key(df.filter(known(key)).withColumn("_one", F.lit(1).cast("long")), key, order)
+    firsts = ranged.groupBy("_key").agg(F.min_by(ts, F.struct(*order)).alias("first_time"))
+    out = before_in_key(ranged, order, _uses=(F.sum, "_one"), _least=(F.min, user), _most=(F.max, user)).join(firsts, "_key")
+    other = (F.col("_least") != F.col(user)) | (F.col("_most") != F.col(user))
+    return out.select(*df.columns, (F.coalesce("_uses", F.lit(0)) + 1).alias("use_no"), "first_time", F.coalesce(other, F.lit(False)).alias("by_other"))
 
 
 def stem_reuse(df: DataFrame, doc: str, stem: str, tail: str, id_col: str, date: str, stems: DataFrame) -> DataFrame:
@@ -245,11 +272,15 @@ def right_overflow(boxes: DataFrame, doc: str, item: Sequence[str], x1: str, sec
 
 
 def dedup_two_keys(df: DataFrame, file_key: str, identity_key: str, order: Sequence[str], id_col: str) -> DataFrame:
-    """`duplicate_of`: the first earlier row with the same file, else with the same identity. Two windows, never an OR-join."""
-    first = lambda key: F.first(id_col).over(Window.partitionBy(*by_known(key, order)).orderBy(*order))
-    a = F.when(known(file_key) & (first(file_key) != F.col(id_col)), first(file_key))
-    b = F.when(known(identity_key) & (first(identity_key) != F.col(id_col)), first(identity_key))
-    return df.withColumn("duplicate_of", F.coalesce(a, b))
+    """`duplicate_of`: the first earlier row with the same file, else with the same identity. Two joins with the first of each key, never an OR-join."""
+    out = df
+    for key, name in ((file_key, "_a"), (identity_key, "_b")):
+        first = df.filter(known(key)).groupBy(F.col(key).alias("_key")).agg(F.min_by(id_col, F.struct(*order)).alias(name))
+        # what isn't known is equal to nothing; rows without it are dealt out by their own id
+        salted = F.when(known(key), F.lit(None)).otherwise(F.xxhash64(id_col))
+        out = out.withColumn("_salt", salted).join(first.withColumn("_none", F.lit(None).cast("long")), (F.col(key) == F.col("_key")) & F.col("_salt").eqNullSafe(F.col("_none")), "left").drop("_salt", "_none", "_key")
+    earlier = lambda c: F.when(F.col(c) != F.col(id_col), F.col(c))
+    return out.withColumn("duplicate_of", F.coalesce(earlier("_a"), earlier("_b"))).drop("_a", "_b")
 
 
 def users_today(users: DataFrame, checks: DataFrame, user: str, ts: str, name: str, *, day: str, k: int) -> DataFrame:
