@@ -62,7 +62,9 @@ def compatible(text: Column) -> Column:
     t = F.translate(text, one, to)
     table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
     longer = F.array_join(F.transform(F.split(t, ""), lambda c: F.when(c < "\x80", c).otherwise(F.coalesce(F.try_element_at(table, c), c))), "")
-    return F.when(t.rlike(_class(many)), longer).otherwise(t)
+    # most texts have none of these and no character beyond Latin-1
+    latin = _class(c for c in (*one, *many) if c < "\u0100")
+    return F.when(text.rlike(latin + "|[^\\x00-\\xff]"), F.when(t.rlike(_class(many)), longer).otherwise(t)).otherwise(text)
 
 
 def semantic_hash(df: DataFrame, text: str, *, out: str = "semantic") -> DataFrame:
@@ -351,19 +353,10 @@ def filename_grammar(df: DataFrame, name: str, pattern: str) -> DataFrame:
 
 
 def char_entropy(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, entropy, chars): Shannon entropy of each row's characters in bits; rows without characters are left out.
-
-    Counted inside the row: equal characters stand together once they are sorted, so a text makes no rows and moves nowhere.
-    """
-    add = lambda s: s["s"] + F.when(s["n"] > 0, s["n"] * F.log2(s["n"])).otherwise(0.0)
-    start = F.struct(F.lit("").alias("c"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"))
-
-    def step(s: Column, c: Column) -> Column:
-        same = s["c"] == c
-        return F.struct(c.alias("c"), F.when(same, s["n"] + 1).otherwise(F.lit(1)).cast("long").alias("n"), F.when(same, s["s"]).otherwise(add(s)).alias("s"))
-
-    sorted_chars = F.sort_array(F.filter(F.split(F.col(text), ""), lambda c: c != ""))
-    out = df.filter(F.length(text) > 0).select(doc, F.length(text).cast("long").alias("chars"), F.aggregate(sorted_chars, start, step, add).alias("_s"))
+    """(doc, entropy, chars): Shannon entropy of a text's characters in bits. Counted over distinct characters, in two aggregations."""
+    chars = df.select(doc, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "")).alias("_c")).filter("_c != ''")
+    n = chars.groupBy(doc, "_c").agg(F.count("*").alias("_n"))
+    out = n.groupBy(doc).agg(F.sum("_n").alias("chars"), F.sum(F.col("_n") * F.log2("_n")).alias("_s"))
     return out.select(doc, (F.log2("chars") - F.col("_s") / F.col("chars")).alias("entropy"), "chars")
 
 
