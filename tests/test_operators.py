@@ -282,6 +282,45 @@ def test_global_history_equals_the_loop(spark, parts):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("parts, n, values", [(1, 3, 8), (9, 3, 8), (9, 10, 8)])
+def test_newest_lists_in_ranges(spark, parts, n, values):
+    """Lists of the whole table and of a key that most rows have, against the lists themselves, however the ranges fall."""
+    r = random.Random(parts + n)
+    rows = [(i, "hot" if r.random() < 0.8 else r.choice(["u", "v", None]), r.choice([None, "", *map(str, range(values))]), r.choice(["PASS", "PASS", "PASS", "FAIL", None])) for i in range(500)]
+    lists, want, streak, counted = {}, {}, 0, []
+    for i, user, h, v in rows:
+        met = []
+        for key in ("table", ("key", user)):
+            recent = lists.setdefault(key, [])
+            met.append((h or "") in recent)
+            if not met[-1]:
+                recent.append(h or "")
+                del recent[:-n]
+        if not (h and h in counted[-n:]):
+            streak = streak + 1 if v == "PASS" else 0
+            if v == "PASS" and h:
+                counted.append(h)
+        want[i] = (*met, streak)
+    df = spark.createDataFrame(rows, "i long, u string, h string, v string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        out = history.seen_recently(df, "h", ["i"], n=n).withColumnRenamed("seen_recently", "a")
+        out = history.seen_recently(out, "h", ["i"], partition=["u"], n=n)
+        out = history.clean_streak(out, F.col("v") == "PASS", ["i"], ids="h", last=n)
+        assert {x["i"]: (x["a"], x["seen_recently"], x["streak"]) for x in out.collect()} == want
+        assert history.clean_streak(df.limit(0), F.col("v") == "PASS", ["i"], ids="h", last=n).count() == 0
+        quota = history.daily_quota(df.withColumn("t", F.timestamp_seconds(F.col("i") * 700)), "u", "t", ["i"], limit=9)
+        used, told = {}, {}
+        for i, user, _, _ in rows:
+            used[user, i * 700 // 86400] = told[i] = used.get((user, i * 700 // 86400), 0) + 1
+        assert {x["i"]: (x["used"], x["allowed"]) for x in quota.collect()} == {i: (k, k <= 9) for i, k in told.items()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_keys_that_most_rows_have(spark):
     """Against plain loops: one key of most rows, others, unknown ones; values that are null."""
     r = random.Random(12)

@@ -176,48 +176,159 @@ def unique_in_batch(df: DataFrame, hash_col: str, order: Sequence[str]) -> DataF
     return met.select(*df.columns, "is_unique").unionByName(df.filter(~known(hash_col)).withColumn("is_unique", F.lit(True)))
 
 
-def seen_recently(df: DataFrame, hash_col: str, order: Sequence[str], *, partition: Sequence[str], n: int = 10) -> DataFrame:
-    """Whether the hash is in its key's list of n hashes: one that is there keeps its place, one that isn't enters, and the oldest leaves.
-
-    Sequential for each key. Rows stream through their task in order, so it holds n hashes however many rows
-    the key has. A null hash is the empty one, null keys are one key. An empty table gives no rows.
+class _Newest:
+    """The newest n values that entered, for one key after another; one that is there keeps its place."""
+
+    def __init__(self, n: int):
+        self.n, self.at, self.held, self.asked = n, None, {}, {}
+
+    def meets(self, at: tuple, value: str | None, enters: bool) -> bool:
+        """Whether the list of key `at` has the value, which enters it if it hasn't. Null is in no list."""
+        if at != self.at:
+            self.at, self.held, self.asked = at, {}, {}
+        if enters and value is not None and len(self.asked) <= self.n:
+            self.asked[value] = None
+        if value in self.held:
+            return True
+        if enters and value is not None:
+            self._enter(value)
+        return False
+
+    def begin(self, at: tuple, value: str) -> None:
+        """A value of the list that key `at` begins with, oldest first."""
+        if at != self.at:
+            self.at, self.held, self.asked = at, {}, {}
+        self._enter(value)
+
+    def _enter(self, value: str) -> None:
+        self.held[value] = None
+        if len(self.held) > self.n:
+            del self.held[next(iter(self.held))]
+
+    def few(self) -> list[str] | None:
+        """The values that were to enter, in order, where they are no more than n."""
+        return [*self.asked] if len(self.asked) <= self.n else None
+
+
+def _in_newest(df: DataFrame, value: Column, enters: Column, order: Sequence[str], partition: Sequence[str], n: int, out: str) -> DataFrame:
+    """`df` with `out`: whether the list of the newest n values that entered, one list for each key, has the row's value.
+
+    The rows are cut into ranges of (key, order), so a key that most rows have is split too. Each range is walked
+    by itself as if its first key's list were empty, and says what its last key's list holds at the end. One pass
+    over the ranges hands the lists on. What a range says is right where it has more than one key; where one key
+    fills it, values that fit beside those handed on are put behind them, else the range is walked again from the
+    list that it was handed, until no such list changes. Lists soon forget where they began, so two rounds are the
+    rule; at the worst each round makes one more range right. One task sees 2 n values a range.
     """
-    key, value = F.to_json(F.struct(*partition)).alias("_key"), F.coalesce(F.col(hash_col).cast("string"), F.lit("")).alias("_hash")
-    plain = df.drop("seen_recently")
-    width = len(plain.columns)
-    rows = plain.select("*", key, value).repartition("_key").sortWithinPartitions("_key", *order)
+    plain = df.drop(out)
+    names = plain.columns
+    key = F.to_json(F.struct(*partition)) if partition else F.lit("")
+    rows = _ranges(plain.select("*", key.alias("_key"), value.alias("_value"), F.coalesce(enters, F.lit(False)).alias("_enters")), ["_key", *order])
+    steps = ["_part", "_key", "_value", "_enters", "_seed"]
+
+    def from_lists(ranges: DataFrame, lists: DataFrame) -> DataFrame:
+        """The rows of some ranges in order, each range behind the list that it is handed."""
+        seeds = lists.select("_part", F.col("_first").alias("_key"), F.posexplode("_handed").alias("_seed", "_value")).withColumn("_enters", F.lit(True))
+        both = ranges.withColumn("_seed", F.lit(None).cast("int")).unionByName(seeds, allowMissingColumns=True)
+        return both.repartition("_part").sortWithinPartitions("_part", F.col("_seed").asc_nulls_last(), "_key", *order)
+
+    said = pa.schema([("_part", pa.int32()), ("_first", pa.string()), ("_last", pa.string()), ("_list", pa.list_(pa.string())), ("_few", pa.list_(pa.string()))])
+
+    def columns(b: pa.RecordBatch, cols: Sequence[str]) -> Iterator[tuple]:
+        return zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in cols), strict=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, recent = None, {}
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        newest, part, first = _Newest(n), None, None
         for b in batches:
-            out = []
-            for k, h in zip(b.column(width).to_pylist(), b.column(width + 1).to_pylist(), strict=True):
-                if k != current:
-                    current, recent = k, {}
-                out.append(h in recent)
-                if h not in recent:
-                    recent[h] = None
-                    if len(recent) > n:
-                        del recent[next(iter(recent))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(out, pa.bool_())], names=[*b.schema.names[:width], "seen_recently"])
+            done = []
+            for p, k, v, e, seed in columns(b, steps):
+                if p != part:
+                    done.append((part, first, newest))
+                    newest, part, first = _Newest(n), p, k
+                if seed is None:
+                    newest.meets((p, k), v, e)
+                else:
+                    newest.begin((p, k), v)
+            yield told([x for x in done if x[0] is not None])
+        if part is not None:
+            yield told([(part, first, newest)])
+
+    def told(done: list[tuple]) -> pa.RecordBatch:
+        rows = [(p, k, x.at[1], [*x.held], x.few()) for p, k, x in done]
+        return pa.RecordBatch.from_pylist([dict(zip(said.names, r, strict=True)) for r in rows], schema=said)
+
+    def hand_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for b in batches:
+            handed = []
+            for p, first, last, after, few, began in columns(b, [*said.names, "_from"]):
+                given = held if key == first else []
+                again = False
+                if first == last and given != began:
+                    more = None if few is None else [*dict.fromkeys([*given, *few])]
+                    again = more is None or len(more) > n
+                    after = after if again else more
+                handed.append({"_part": p, "_handed": given, "_again": again})
+                key, held = last, after
+            yield pa.RecordBatch.from_pylist(handed, schema=pa.schema([said.field("_part"), ("_handed", pa.list_(pa.string())), ("_again", pa.bool_())]))
+
+    def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        newest = _Newest(n)
+        for b in batches:
+            own, met = [], []
+            for p, k, v, e, seed in columns(b, steps):
+                own.append(seed is None)
+                met.append(newest.meets((p, k), v, e) if seed is None else newest.begin((p, k), v))
+            kept = pa.RecordBatch.from_arrays([*b.select(names).columns, pa.array(met, pa.bool_())], names=[*names, out])
+            yield kept.filter(pa.array(own, pa.bool_()))
+
+    def walked(ranges: DataFrame, lists: DataFrame) -> DataFrame:
+        return from_lists(ranges, lists).mapInArrow(ends, "_part int, _first string, _last string, _list array<string>, _few array<string>")
+
+    # the columns that only the result needs are not moved in the rounds
+    bare = rows.select(*dict.fromkeys(["_part", "_key", "_value", "_enters", *order]))
+    nothing = rows.sparkSession.createDataFrame([], "_part int, _first string, _handed array<string>")
+    lists = cut(walked(bare, nothing).withColumn("_from", F.expr("cast(array() as array<string>)")))
+    while True:
+        handed = lists.repartition(1).sortWithinPartitions("_part").mapInArrow(hand_on, "_part int, _handed array<string>, _again boolean")
+        handed = cut(handed.join(lists.select("_part", "_first"), "_part"))
+        again = handed.filter("_again")
+        if again.isEmpty():
+            break
+        anew = walked(bare.join(again.select("_part"), "_part", "left_semi"), again).join(again.select("_part", F.col("_handed").alias("_from")), "_part")
+        lists = cut(lists.join(again.select("_part"), "_part", "left_anti").unionByName(anew))
+    kind = T.StructType([*plain.schema.fields, T.StructField(out, T.BooleanType())])
+    return from_lists(rows, handed).select(*names, *steps).mapInArrow(flags, kind)
+
+
+def seen_recently(df: DataFrame, hash_col: str, order: Sequence[str], *, partition: Sequence[str] = (), n: int = 10) -> DataFrame:
+    """Whether the hash is in its key's list of n hashes: one that is there keeps its place, one that isn't enters, and the oldest leaves.
 
-    return rows.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("seen_recently", T.BooleanType())]))
+    A null hash is the empty one, null keys are one key; without `partition` the whole table has one list. An
+    empty table gives no rows. No task holds more than n hashes, nor all rows of a key (`_in_newest`).
+    """
+    return _in_newest(df, F.coalesce(F.col(hash_col).cast("string"), F.lit("")), F.lit(True), order, partition, n, "seen_recently")
 
 
 def daily_quota(df: DataFrame, user: str, ts: str, order: Sequence[str], *, limit: int) -> DataFrame:
-    """The row's number in its user's day, and whether the quota allows it."""
-    day = df.withColumn("day", F.to_date(ts))
-    return day.withColumn("used", F.row_number().over(_over([user, "day"], order)).cast("long")).withColumn("allowed", F.col("used") <= limit)
+    """The row's number in its user's day, and whether the quota allows it. A day with most of the rows is counted in ranges."""
+    day = df.withColumn("day", F.to_date(ts)).withColumn("_user_day", F.to_json(F.struct(user, "day"))).withColumn("_one", F.lit(1).cast("long"))
+    out = before_in_key(ranges_of_key(day, "_user_day", order), order, used=(F.sum, "_one"))
+    out = out.withColumn("used", F.coalesce("used", F.lit(0)) + 1).withColumn("allowed", F.col("used") <= limit)
+    return out.drop("_user_day", "_one", "_key", "_part")
 
 
-def clean_streak(df: DataFrame, clean: Column, order: Sequence[str], *, partition: Sequence[str] = (), ids: str | None = None) -> DataFrame:
+def clean_streak(df: DataFrame, clean: Column, order: Sequence[str], *, partition: Sequence[str] = (), ids: str | None = None, last: int | None = None) -> DataFrame:
     """Length of the run of clean rows up to each row; any other row resets it to 0, as does one whose `clean` is null.
 
-    With `ids`, a row whose id an earlier clean row has is passed over: it neither counts nor resets. Without
-    `partition` each range hands on whether it has a reset, and the clean rows after its last one.
+    With `ids`, a row whose id an earlier clean row has is passed over: it neither counts nor resets. With `last`
+    only the ids of the newest so many rows that counted are held against it. Without `partition` each range hands
+    on whether it has a reset, and the clean rows after its last one.
     """
     out = df.withColumn("_clean", F.coalesce(clean, F.lit(False))).withColumn("_over", F.lit(False))
-    if ids is not None:
+    if ids is not None and last is not None:
+        out = _in_newest(out, F.when(known(ids), F.col(ids).cast("string")), F.col("_clean"), order, partition, last, "_over")
+    elif ids is not None:
         seen = F.count_if("_clean").over(_before(Window.partitionBy(*partition, *by_known(ids, order)).orderBy(*order))) > 0
         out = out.withColumn("_over", known(ids) & seen)
     counts, resets = (F.col("_clean") & ~F.col("_over")).cast("long"), (~F.col("_clean") & ~F.col("_over")).cast("long")

@@ -101,6 +101,21 @@ def unique_in_batch(spark, sf_dir):
     return H.unique_in_batch(docs, "h", ["doc_id"]).select("doc_id", "is_unique")
 
 
+@query(
+    f"""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, event_type || CAST(day(ts) AS VARCHAR) AS mid, verdict = 'PASS' AS clean, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM {SUBMISSIONS}),
+       r AS (SELECT event_id, user_id, i, CAST(clean AS BIGINT) AS streak, CASE WHEN clean THEN [mid] ELSE [] END AS recent FROM e WHERE i = 1
+             UNION ALL
+             SELECT e.event_id, e.user_id, e.i, CASE WHEN list_contains(r.recent, e.mid) THEN r.streak WHEN e.clean THEN r.streak + 1 ELSE 0 END,
+               CASE WHEN e.clean AND NOT list_contains(r.recent, e.mid) THEN list_append(r.recent, e.mid)[-3:] ELSE r.recent END
+             FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.i = r.i + 1)
+       SELECT event_id, streak FROM r"""
+)
+def recent_streak(spark, sf_dir):
+    """A user's event of one kind and day of the month is passed over while it is one of the last three that counted."""
+    rows = submissions(spark, sf_dir).withColumn("mid", F.concat("event_type", F.dayofmonth("ts").cast("string")))
+    return H.clean_streak(rows, F.col("verdict") == "PASS", ORDER, partition=["user_id"], ids="mid", last=3).select("event_id", "streak")
+
+
 @query(
     """WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, event_type || coalesce(json_extract_string(props, '$.k'), '') AS h, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
        r AS (SELECT event_id, user_id, i, false AS seen_recently, [h] AS recent FROM e WHERE i = 1
