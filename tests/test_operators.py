@@ -483,6 +483,21 @@ def test_compatible_characters(spark):
     assert h[0] == h[1] == h[2] and h[3] == h[4] != h[0]
 
 
+def test_whole_texts_are_normalised(spark):
+    """Letters with marks behind them, marks in any order, halfwidth and Hangul parts, against Unicode's own normalisation; one long run of marks."""
+    import unicodedata
+
+    r = random.Random(3)
+    pool = ["a", "e", "и", "Е", "é", "ﬁ", "１", "\u0301", "\u0323", "\u0306", "\u0308", "\u0340", "ｶ", "ﾞ", "\u1100", "\u1161", "\u11a8", "가", "\u00a8", "\u09c7", "\u09be", "😀", " ", "\n"]
+    rows = [(n, "".join(r.choices(pool, k=r.randint(1, 12)))) for n in range(3000)]
+    rows += [(-1, None), (-2, ""), (-3, "и\u0306" * 3), (-4, "a" + "\u0323\u0301" * 100_000)]
+    rows += [(5000 + n, f"a{c}") for n, c in enumerate(map(chr, range(0x80, 0xD800))) if unicodedata.normalize("NFKC", f"a{c}") != f"a{c}"]
+    got = {x["n"]: x["t"] for x in spark.createDataFrame(rows, "n int, t string").select("n", text.normalized(F.col("t")).alias("t")).collect()}
+    assert got == {n: t and unicodedata.normalize("NFKC", t) for n, t in rows}
+    h = {x["n"]: x["semantic"] for x in text.semantic_hash(spark.createDataFrame([("и\u0306о", 0), ("йо", 1), ("ио", 2)], "t string, n int"), "t").collect()}
+    assert h[0] == h[1] != h[2]
+
+
 def test_longest_suffix(spark):
     rows = [("a@mail.shop.co.uk", "shop.co.uk"), ("https://x.y.example.com/p", "example.com"), ("b@co.uk", "co.uk"), ("c@uk", "uk"), ("d@a.b.unknown", "b.unknown"), ("nothing", ""), (None, None), ("e@Shop.CO.UK", "shop.co.uk")]
     suffixes = spark.createDataFrame([("uk",), ("co.uk",), ("CO.uk",), ("com",)], "suffix string")

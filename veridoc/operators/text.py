@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that money and labels are written with besides the ASCII kinds.
 SPACES = "\u00a0\u202f\u2009\u2007"
@@ -67,9 +69,39 @@ def compatible(text: Column) -> Column:
     return F.when(text.rlike(latin + "|[^\\x00-\\xff]"), F.when(t.rlike(_class(many)), longer).otherwise(t)).otherwise(text)
 
 
+@cache
+def _joining() -> str:
+    """The class of characters that normalisation may join with, or move among, the characters before them: marks, letters that end a composed one, and what becomes any of these."""
+    every = [chr(n) for n in (*range(0x80, 0xD800), *range(0xE000, 0x110000))]
+    ends = {c for c in every if unicodedata.combining(c)}
+    for c in every:
+        canonical = unicodedata.normalize("NFD", c)
+        if len(canonical) > 1 and unicodedata.normalize("NFC", c) == c:
+            ends.update(canonical[1:])
+    return _class(c for c in every if not ends.isdisjoint(unicodedata.normalize("NFKC", c)))
+
+
+@cache
+def _normalize() -> Callable[[Column], Column]:
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    return F.pandas_udf(run, T.StringType())
+
+
+def normalized(text: Column) -> Column:
+    """Unicode's compatibility normalisation (NFKC) of whole texts; null stays null.
+
+    Character by character (`compatible`) but for texts with characters that join those before them, as in
+    letters that are written with their marks behind. Only those are sent to Python.
+    """
+    joins = text.rlike(_joining())
+    return F.when(joins, _normalize()(F.when(joins, text))).otherwise(compatible(text))
+
+
 def semantic_hash(df: DataFrame, text: str, *, out: str = "semantic") -> DataFrame:
-    """The hash of a text with compatible characters, spaces, hyphens and line ends folded, lower case; ids split over lines are joined again."""
-    t = F.translate(compatible(F.col(text)), SPACES, " " * len(SPACES))
+    """The hash of a text with compatible and composed characters, spaces, hyphens and line ends folded, lower case; ids split over lines are joined again."""
+    t = F.translate(normalized(F.col(text)), SPACES, " " * len(SPACES))
     t = F.translate(t, *FOLDED)
     t = F.regexp_replace(t, r"-[ \t]*\r?\n[ \t]*", "")
     return df.withColumn(out, F.sha2(F.trim(F.lower(F.regexp_replace(t, r"[ \t\r\n]+", " "))), 256))

@@ -29,6 +29,13 @@ def semantic_hash(spark, sf_dir):
     return T.semantic_hash(docs(spark, sf_dir).select("doc_id", "text"), "text").drop("text")
 
 
+@query(r"SELECT doc_id, sha256(nfc_normalize(translate(regexp_replace(text, '([aeinou])', '\1' || chr(769), 'g'), chr(160) || chr(8239) || chr(8201) || chr(8199) || '‑０１２３４５６７８９', '    ‐0123456789'))) AS normalized FROM documents")
+def normalized_text(spark, sf_dir):
+    """Texts whose vowels have their marks behind them."""
+    marked = F.regexp_replace("text", "([aeinou])", "$1\u0301")
+    return docs(spark, sf_dir).select("doc_id", F.sha2(T.normalized(marked), 256).alias("normalized"))
+
+
 @query("""SELECT o_orderkey, sha256('{"o_custkey":"' || o_custkey || '","o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}') AS signature FROM orders""")
 def critical_signature(spark, sf_dir):
     return T.critical_signature(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_custkey", "o_orderpriority"]).select("o_orderkey", "signature")
