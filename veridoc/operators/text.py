@@ -55,6 +55,11 @@ def _class(chars: Iterable[str]) -> str:
     return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(first, last, strict=True)) + "]"
 
 
+def _beyond(chars: Iterable[str]) -> str:
+    """The class of those of the characters that Latin-1 has, and of all that it hasn't."""
+    return _class(c for c in chars if c < "\u0100")[:-1] + "\\x{100}-\\x{10ffff}]"
+
+
 def compatible(text: Column) -> Column:
     """Each character as what Unicode's compatibility normalisation makes of it; letters and the marks after them aren't put together.
 
@@ -65,20 +70,19 @@ def compatible(text: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
     longer = F.array_join(F.transform(F.split(t, ""), lambda c: F.when(c < "\x80", c).otherwise(F.coalesce(F.try_element_at(table, c), c))), "")
     # most texts have none of these and no character beyond Latin-1
-    latin = _class(c for c in (*one, *many) if c < "\u0100")
-    return F.when(text.rlike(latin + "|[^\\x00-\\xff]"), F.when(t.rlike(_class(many)), longer).otherwise(t)).otherwise(text)
+    return F.when(text.rlike(_beyond((*one, *many))), F.when(t.rlike(_class(many)), longer).otherwise(t)).otherwise(text)
 
 
 @cache
 def _joining() -> str:
-    """The class of characters that normalisation may join with, or move among, the characters before them: marks, letters that end a composed one, and what becomes any of these."""
+    """The characters that normalisation may join with, or move among, the characters before them: marks, letters that end a composed one, and what becomes any of these."""
     every = [chr(n) for n in (*range(0x80, 0xD800), *range(0xE000, 0x110000))]
     ends = {c for c in every if unicodedata.combining(c)}
     for c in every:
         canonical = unicodedata.normalize("NFD", c)
         if len(canonical) > 1 and unicodedata.normalize("NFC", c) == c:
             ends.update(canonical[1:])
-    return _class(c for c in every if not ends.isdisjoint(unicodedata.normalize("NFKC", c)))
+    return "".join(c for c in every if not ends.isdisjoint(unicodedata.normalize("NFKC", c)))
 
 
 @cache
@@ -95,7 +99,8 @@ def normalized(text: Column) -> Column:
     Character by character (`compatible`) but for texts with characters that join those before them, as in
     letters that are written with their marks behind. Only those are sent to Python.
     """
-    joins = text.rlike(_joining())
+    # looked up one by one: a regular expression would try hundreds of ranges at each character
+    joins = text.rlike(_beyond(_joining())) & (F.length(F.translate(text, _joining(), "")) < F.length(text))
     return F.when(joins, _normalize()(F.when(joins, text))).otherwise(compatible(text))
 
 
