@@ -106,8 +106,7 @@ def normalized(text: Column) -> Column:
 
 def semantic_hash(df: DataFrame, text: str, *, out: str = "semantic") -> DataFrame:
     """The hash of a text with compatible and composed characters, spaces, hyphens and line ends folded, lower case; ids split over lines are joined again."""
-    t = F.translate(normalized(F.col(text)), SPACES, " " * len(SPACES))
-    t = F.translate(t, *FOLDED)
+    t = F.translate(normalized(F.col(text)), *FOLDED)  # spaces of all kinds are plain ones by now
     t = F.regexp_replace(t, r"-[ \t]*\r?\n[ \t]*", "")
     return df.withColumn(out, F.sha2(F.trim(F.lower(F.regexp_replace(t, r"[ \t\r\n]+", " "))), 256))
 
