@@ -123,6 +123,73 @@ def test_clusters_join_what_all_pairs_join():
             assert all(finer.setdefault(a, b) == b for a, b in zip(*sets, strict=True))
 
 
+def near_the_threshold(pairs):
+    """Texts of 100 words, each with a copy whose end differs: 10 or 11 of 96 shingles, similarities of 0.811 and 0.794; a passage that half of them have."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    passage, texts = [word() for _ in range(50)], []
+    for n in range(pairs):
+        base = (passage if n % 2 else [word() for _ in range(50)]) + [word() for _ in range(50)]
+        changed = 10 if n % 4 else 11
+        texts += [" ".join(base), " ".join(base[:-changed] + [word() for _ in range(changed)])]
+    return list(enumerate(texts))
+
+
+def test_no_link_at_the_threshold_is_left_out(spark):
+    """The tries alone miss some of these pairs."""
+    rows = near_the_threshold(600)
+    want = {n: n - n % 2 if n // 2 % 4 else n for n, _ in rows}
+    assert plain(rows[:40]) == {n: want[n] for n in range(40)}
+    groups = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    assert {r["doc_id"]: r["component_id"] for r in groups.collect()} == want
+
+
+def test_planted_groups_equal_all_pairs(spark):
+    rows = planted()
+    groups = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in groups.collect()} == plain(rows)
+
+
+def test_one_fingerprint_is_not_one_text(spark):
+    """A shingle that most of a text repeats decides its fingerprint; the rest of the sets differ."""
+    rows = [(n, "spam " * 200 + " ".join(f"w{n}x{k}" for k in range(30))) for n in range(4)]
+    rows += [(4, rows[0][1]), (5, "spam " * 300 + rows[1][1])]
+    groups = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in groups.collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0, 5: 1} == plain(rows)
+
+
+def test_first_shingles_meet_in_all_similar_sets():
+    """All pairs of similar sets with different roots share a shingle that lets them meet, in any order of the shingles; a large root is met by the others alone."""
+    r = np.random.default_rng(8)
+    for trial in range(4):
+        sets = []
+        for _ in range(120):
+            base = sets[r.integers(len(sets))] if sets and r.random() < 0.7 else r.integers(0, 400, r.integers(1, 60))
+            sets.append(np.unique(np.where(r.random(len(base)) < 0.08, r.integers(0, 400, len(base)), base)))
+        order = r.permutation(400)
+        root = np.where(r.random(120) < 0.5, 7, np.arange(120) if trial % 2 else r.integers(0, 20, 120))
+        rows = []
+        for n, x in enumerate(sets):
+            first = x[np.argsort(order[x])][: len(x) // 5 + 1]
+            rows += [(s, n, len(x), k, root[n]) for k, s in enumerate(first)]
+        got = {(a, b) for found in simhash._meet_prefixes(*np.array(rows).T, (4, 5)) for a, b in zip(found[0].tolist(), found[1].tolist(), strict=True)}
+        shared = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+        want = {(a, b) for b in range(120) for a in range(b) if root[a] != root[b] and 9 * shared(a, b) >= 4 * (len(sets[a]) + len(sets[b]))}
+        assert want <= got and len(want) > 20 and all(a < b and root[a] != root[b] for a, b in got)
+
+
+def test_common_shingles_come_last(spark):
+    """The commonest are told by whole levels within the room, and none of them is among the first of a text with enough others."""
+    rows = spark.createDataFrame([(f"in all the texts there is this {' '.join(f'w{n}x{k}' for k in range(20))} {'and in half of them this' if n % 2 else ''}",) for n in range(40)], "text string").selectExpr("cast(text as binary) text").repartition(3)
+    how = {"shingle": 5, "parts": 256}
+    everywhere = {simhash._key(simhash.shingle_hashes(t, 5), 256)[0] for t in (b"in all the texts there", b"all the texts there is", b"the texts there is this")}
+    common = simhash.common_shingles(rows, **how)
+    assert len(common) == 5 and set(common[2:]) == everywhere
+    assert set(simhash.common_shingles(rows, **how, most=4)) == everywhere and len(simhash.common_shingles(rows, **how, most=2)) == 0
+    first = simhash._prefixes(rows, common, **how, similar=(4, 5)).collect()
+    assert first and not {int(x) for x in common} & {int(simhash._key(np.array([x["s"]], np.int64).view(np.uint64), 256)[0]) for x in first}
+
+
 def test_a_crowd_of_copies_ends_soon(spark):
     """20,000 copies of one text, each with a word of its own changed."""
     r = random.Random(3)

@@ -11,7 +11,9 @@ of the nodes that the budget lets it meet, and is walked to the leaves in one ta
 similarity: a wide fingerprint is cut into words, each with a trie of its own; two texts of the wanted
 similarity come within the budget in one of the words at least with a probability that `WORD_BITS`,
 `WORD_BUDGET` and the number of words set, and what the tries find is held against the bits of the whole
-fingerprint and then against the exact similarity.
+fingerprint and then against the exact similarity. What chance leaves out is looked for exactly after that:
+with shingles in order of rising frequency, two texts of the similarity share one among the first few of
+each, so texts of different components that do are compared too.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.llm.common import cut, small_batches, whole
@@ -49,6 +51,10 @@ STRONG = 10
 CROWD, RADIUS = 64, STRONG // 2
 #: Pairs of two clusters' members compared at once.
 CLUSTER_PAIRS = 1 << 22
+#: Texts from which a shingle counts as a common one, and how many of the commonest are told. They decide in which order a text's shingles are looked up, not which pairs are found.
+COMMON_TEXTS, COMMON = 8, 1 << 18
+#: Shingles counted and rows met at once.
+COUNT_SLAB, MEET_ROWS = 1 << 20, 1 << 18
 
 _OFFSET = np.arange(8 * WORDS, dtype=np.int64) * 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
@@ -95,9 +101,9 @@ def spread(h: np.ndarray, words: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def wide_fingerprint(text: bytes, shingle: int = SIMILAR_SHINGLE, seed: int = SEED) -> bytes:
-    """The SimHash of one text with WORDS words of WORD_BITS bits."""
-    return majority(spread(shingle_hashes(text, shingle, seed), WORDS * WORD_BITS // 64))
+def wide(hashes: np.ndarray) -> bytes:
+    """The SimHash of one text's shingles with WORDS words of WORD_BITS bits."""
+    return majority(spread(hashes, WORDS * WORD_BITS // 64))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -481,6 +487,13 @@ def _verified(links: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> Da
     return both.mapInArrow(run, "fa long, fb long")
 
 
+def shingle_set(text: bytes, shingle: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(digest as a long, distinct shingles in order of their hash, all shingles)."""
+    every = shingle_hashes(text, shingle)
+    own = np.unique(every)
+    return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64)), own, every
+
+
 def _sets(rows: DataFrame, own: DataFrame, links: DataFrame, shingle: int) -> DataFrame:
     """(node, hashes): the distinct shingles of the nodes in `links`, from one text each."""
     met = links.select("fa").union(links.select("fb")).distinct().toDF("node")
@@ -488,7 +501,7 @@ def _sets(rows: DataFrame, own: DataFrame, links: DataFrame, shingle: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column(1)]
+            found = [shingle_set(t.as_py(), shingle)[1].tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "hashes"])
 
     return texts.mapInArrow(run, "node long, hashes binary")
@@ -502,13 +515,193 @@ def _across(links: DataFrame, tree: DataFrame | None) -> DataFrame:
     return out.withColumn("ra", F.coalesce("ra", "fa")).withColumn("rb", F.coalesce("rb", "fb")).filter("ra != rb")
 
 
+def _texts_once(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(digest, shingles): the different sets of a task's texts."""
+    seen = set()
+    for b in batches:
+        for t in b.column(0):
+            node, own, _ = shingle_set(t.as_py(), shingle)
+            if node not in seen:
+                seen.add(node)
+                yield node, own
+
+
+def _key(h: np.ndarray, parts: int) -> np.ndarray:
+    """What a shingle is counted by: the upper half of its hash and its part, the lowest bits."""
+    return h >> np.uint64(32) << np.uint64(parts.bit_length() - 1) | h & np.uint64(parts - 1)
+
+
+def common_shingles(rows: DataFrame, *, shingle: int, parts: int, least: int = COMMON_TEXTS, most: int = COMMON) -> np.ndarray:
+    """Keys of the commonest shingles of `rows(text)`, `most` of them at most, that stand in `least` texts or more, rarer ones first."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            h = np.concatenate(held)
+            part = (h & np.uint64(parts - 1)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            some, begin = np.unique(part[order], return_index=True)
+            upper = (h[order] >> np.uint64(32)).astype(np.uint32)
+            return pa.RecordBatch.from_arrays([pa.array(some), pa.array([x.tobytes() for x in np.split(upper, begin[1:])], pa.binary())], names=["part", "upper"])
+
+        held, n = [], 0
+        for _, own in _texts_once(batches, shingle):
+            held.append(own)
+            n += len(own)
+            if n >= COUNT_SLAB:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
+
+    def count(part: pa.Table) -> pa.Table:
+        upper, n = np.unique(np.frombuffer(b"".join(part.column("upper").to_pylist()), np.uint32), return_counts=True)
+        often = n >= least
+        key = upper[often].astype(np.uint64) << np.uint64(32) | np.uint64(part.column("part")[0].as_py())
+        return pa.table({"key": _key(key, parts).view(np.int64), "n": n[often]})
+
+    counts = cut(rows.select("text").mapInArrow(keys, "part int, upper binary").groupBy("part").applyInArrow(count, "key long, n long"))
+    told = 0
+    for bits, n in sorted(map(tuple, counts.groupBy(F.length(F.bin("n"))).count().collect()), reverse=True):
+        told += n
+        if told > most:  # whole levels of commonness, as many as there is room for
+            counts = counts.filter(F.col("n") >= 1 << bits)
+            break
+    top = counts.toArrow()
+    return top.column("key").to_numpy().view(np.uint64)[np.lexsort((top.column("key").to_numpy(), top.column("n").to_numpy()))]
+
+
+PREFIX = "s long, node long, size int, at int"
+
+
+def _prefixes(rows: DataFrame, common: np.ndarray, *, shingle: int, parts: int, similar: tuple[int, int]) -> DataFrame:
+    """PREFIX: the first shingles of each text of `rows(text)`, rare ones before common ones, as many as a similar text could lack and one more."""
+    num, both = similar[0], sum(similar)
+    order = np.argsort(common)
+    keys, rank = common[order], order + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for node, own in _texts_once(batches, shingle):
+            first = own
+            if len(keys):
+                key = _key(own, parts)
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                first = own[np.argsort(np.where(keys[at] == key, rank[at], 0), kind="stable")]
+            first = first[: len(own) * (both - 2 * num) // (both - num) + 1]
+            held.append((first, np.full(len(first), node), np.full(len(first), len(own)), np.arange(len(first))))
+            n += len(first)
+            if n >= MEET_ROWS:
+                yield _prefix_batch(held)
+                held, n = [], 0
+        if n:
+            yield _prefix_batch(held)
+
+    return rows.select("text").mapInArrow(run, PREFIX)
+
+
+def _prefix_batch(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    s, node, size, at = (np.concatenate(x) for x in zip(*held, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(node), pa.array(size.astype(np.int32)), pa.array(at.astype(np.int32))], names=["s", "node", "size", "at"])
+
+
+def _several(rows: DataFrame, what: str) -> DataFrame:
+    """The `rows` of the shingles that have different values of a column."""
+    same = Window.partitionBy("s")
+    return rows.withColumn("low", F.min(what).over(same)).withColumn("high", F.max(what).over(same)).filter("low != high").drop("low", "high")
+
+
+def _meet_prefixes(s: np.ndarray, node: np.ndarray, size: np.ndarray, at: np.ndarray, root: np.ndarray, similar: tuple[int, int]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(fa, fb, ra, rb, room): the pairs of nodes that have a shingle in common, different roots, and enough shingles from this one on to be similar.
+
+    Rows with the most frequent root of a shingle are only met by those with others, so one large component takes no pairs of its own.
+    """
+    num, both = similar[0], sum(similar)
+    order = np.lexsort((size, s))
+    s, node, size, at, root = (x[order] for x in (s, node, size, at, root))
+    group = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
+    by_root = np.lexsort((root, group))
+    new = np.concatenate([[True], (np.diff(group[by_root]) != 0) | (np.diff(root[by_root]) != 0)])
+    begin = np.flatnonzero(new)
+    many = np.diff(np.append(begin, len(s)))
+    by_size = np.lexsort((many, group[by_root[begin]]))
+    last = by_size[np.append(np.diff(group[by_root[begin]][by_size]) != 0, True)]
+    main = np.zeros(len(begin), bool)
+    main[last] = True
+    inside = np.zeros(len(s), bool)
+    inside[by_root] = main[np.cumsum(new) - 1]
+
+    place = group << 32 | size
+    i = np.flatnonzero(~inside)
+    low = np.searchsorted(place, group[i] << 32 | -(-num * size[i] // (both - num)))
+    high = np.searchsorted(place, group[i] << 32 | np.maximum(both * (size[i] - at[i]) // num - size[i], 0), "right")
+    n = np.maximum(high - low, 0)
+    while len(i):
+        some = max(1, int(np.searchsorted(np.cumsum(n), CLUSTER_PAIRS, "right")))
+        k = n[:some]
+        x = np.repeat(i[:some], k)
+        y = np.repeat(low[:some] - (np.cumsum(k) - k), k) + np.arange(len(x))
+        room = both * np.minimum(size[x] - at[x], size[y] - at[y]) - num * (size[x] + size[y])
+        keep = (room >= 0) & (root[x] != root[y]) & (inside[y] | (node[x] < node[y]))
+        x, y, room = x[keep], y[keep], room[keep]
+        swap = node[x] > node[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        if len(x):
+            yield node[x], node[y], root[x], root[y], room
+        i, low, n = i[some:], low[some:], n[some:]
+
+
+MET = "fa long, fb long, ra long, rb long, room long"
+
+
+def _prefix_pairs(entries: DataFrame, tree: DataFrame, similar: tuple[int, int], *, each: bool) -> DataFrame:
+    """(fa, fb): the pairs between components of `tree` that meet in the `entries`; all of them, or else one for each two components, the one with most room."""
+    rooted = entries.join(tree.withColumnRenamed("root", "found"), "node", "left").withColumn("root", F.coalesce("found", "node")).drop("found")
+    rooted = _several(rooted, "root").select("s", "node", "size", "at", "root")
+
+    def met(held: list[pa.RecordBatch], end: bool) -> tuple[list[pa.RecordBatch], list[pa.RecordBatch]]:
+        """What the whole shingles of the held rows give, and the rows of the last one, which may go on."""
+        rows = pa.Table.from_batches(held)
+        s = rows.column("s").to_numpy()
+        done = len(s) if end else int(np.searchsorted(s, s[-1]))
+        out = []
+        if done:
+            for found in _meet_prefixes(*(c.to_numpy()[:done].astype(np.int64) for c in rows.columns), similar):
+                fa, fb, ra, rb, room = found
+                order = np.lexsort((-room, rb, ra) if not each else (fb, fa))
+                one = (ra, rb) if not each else (fa, fb)
+                first = order[np.concatenate([[True], (np.diff(one[0][order]) != 0) | (np.diff(one[1][order]) != 0)])]
+                out.append(pa.RecordBatch.from_arrays([pa.array(x[first]) for x in found], names=[c.split()[0] for c in MET.split(", ")]))
+        return out, rows.slice(done).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, step = [], 0, MEET_ROWS
+        for b in batches:
+            held.append(b)
+            n += len(b)
+            if n >= step:
+                out, held = met(held, False)
+                yield from out
+                n = sum(map(len, held))
+                step = max(MEET_ROWS, 2 * n)
+        if n:
+            yield from met(held, True)[0]
+
+    pairs = rooted.repartition("s").sortWithinPartitions("s").mapInArrow(run, MET)
+    if each:
+        return pairs.select("fa", "fb").distinct()
+    ends = pairs.select(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"), F.struct("room", "fa", "fb").alias("m"))
+    return ends.groupBy("ra", "rb").agg(F.max("m").alias("m")).select("m.fa", "m.fb")
+
+
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """(doc_id, component_id): for each row the smallest id reachable over texts of at least the similarity.
 
-    Links come from the tries and hold exactly; few are missed (README has the share). Verification goes
-    the way of a spanning forest: twice each component tries its nearest link to another, then all that are
-    left between components are tried. Texts without words are copies of each other. Null ids never win
-    as smallest, rows that repeat stay, an empty table gives no rows; names of other columns don't matter.
+    Links hold exactly, and none that joins anything is left out. Most come from the tries. Verification goes the way
+    of a spanning forest: twice each component tries its nearest link to another, then all that are left between
+    components are tried. What the tries have missed comes from the first shingles of texts in different components, one
+    pair for each two components first, then all. A node is a set of shingles. Texts without words are copies of
+    each other. Null ids never win as smallest, rows that repeat stay, an empty table gives no rows; names of other
+    columns don't matter.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -517,11 +710,11 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [wide_fingerprint(t.as_py(), shingle) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.binary())], names=["doc_id", "h", "fp"])
+            found = [(node, wide(every)) for node, _, every in (shingle_set(t.as_py(), shingle) for t in b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["doc_id", "h", "node", "fp"])
 
-    marked = cut(rows.mapInArrow(mark, f"doc_id {kind}, h long, fp binary"))
-    own = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("h").alias("h")).withColumn("node", F.monotonically_increasing_id()))
+    marked = cut(rows.mapInArrow(mark, f"doc_id {kind}, h long, node long, fp binary"))
+    own = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("h", "fp")).alias("one")).select("node", "least", "one.h", "one.fp"))
     left = cut(_apart(word_links(own), own, WIDE_BUDGET))
     sets = cut(_sets(rows, own, left, shingle))
     links = tree = None
@@ -537,9 +730,21 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         if not last:
             left = between.select("fa", "fb", "apart").join(tried, ["fa", "fb"], "left_anti")
 
-    placed = cut(own.join(tree, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root")))
+    parts = 1 << max(8, (own.count() >> 14).bit_length())
+    common = common_shingles(rows, shingle=shingle, parts=parts)
+    entries = cut(_several(_prefixes(rows, common, shingle=shingle, parts=parts, similar=similar), "node"))
+    for each in (False, True):
+        tried = cut(_prefix_pairs(entries, tree, similar, each=each))
+        if tried.isEmpty():
+            break
+        found = cut(_verified(tried, cut(_sets(rows, own, tried, shingle)), similar))
+        if not found.isEmpty():
+            links = links.union(found)
+            tree = cut(components(links))
+
+    placed = cut(own.join(tree, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     reach = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(placed.join(reach, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    return marked.join(placed.join(reach, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
