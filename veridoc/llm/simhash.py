@@ -494,10 +494,13 @@ def shingle_set(text: bytes, shingle: int) -> tuple[int, np.ndarray, np.ndarray]
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64)), own, every
 
 
-def _sets(rows: DataFrame, own: DataFrame, links: DataFrame, shingle: int) -> DataFrame:
-    """(node, hashes): the distinct shingles of the nodes in `links`, from one text each."""
+def _sets(rows: DataFrame, own: DataFrame, links: DataFrame, shingle: int, had: DataFrame | None = None) -> DataFrame:
+    """(node, hashes): the distinct shingles of the nodes in `links` that aren't in `had`, from one text each."""
     met = links.select("fa").union(links.select("fb")).distinct().toDF("node")
-    texts = rows.join(own.join(met, "node", "left_semi").select("h", "node"), "h").select("node", "text").dropDuplicates(["node"])
+    if had is not None:
+        met = met.join(had.select("node"), "node", "left_anti")
+    need = cut(own.join(met, "node", "left_semi").select("h", "node"))  # a table, so that few nodes are known to be few
+    texts = rows.join(need, "h").select("node", "text").dropDuplicates(["node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -733,11 +736,14 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     parts = 1 << max(8, (own.count() >> 14).bit_length())
     common = common_shingles(rows, shingle=shingle, parts=parts)
     entries = cut(_several(_prefixes(rows, common, shingle=shingle, parts=parts, similar=similar), "node"))
+    before = None
     for each in (False, True):
-        tried = cut(_prefix_pairs(entries, tree, similar, each=each))
+        tried = _prefix_pairs(entries, tree, similar, each=each)
+        tried = before = cut(tried if before is None else tried.join(before, ["fa", "fb"], "left_anti"))
         if tried.isEmpty():
             break
-        found = cut(_verified(tried, cut(_sets(rows, own, tried, shingle)), similar))
+        sets = sets.union(cut(_sets(rows, own, tried, shingle, sets)))
+        found = cut(_verified(tried, sets, similar))
         if not found.isEmpty():
             links = links.union(found)
             tree = cut(components(links))
