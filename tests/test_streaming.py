@@ -6,7 +6,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+import veridoc.plans  # noqa: F401
 from veridoc.functions.session import shared_dir
+from veridoc.plans.registry import QUERIES
 from veridoc.plans.sources import drained
 from veridoc.sources import io
 from veridoc.streaming import history as S
@@ -114,6 +116,16 @@ def test_log_scan_skips_what_is_no_submission(spark, tmp_path):
     assert [r["message_id"] for r in io.scan_submission_logs(spark, str(tmp_path)).collect()] == [1]
 
 
+def test_logs_are_no_more_files_than_their_rows_fill(spark, tmp_path):
+    """A file of its own for each user, or each block of ids, was 90,000 files at sixty times sf0.1."""
+    n = 3000
+    rows = [(i * 1_000_003, T0, i, "purchase") for i in range(n)] + [(2, None, None, "error"), (2, None, None, "error"), (None, T0, 1, "error"), (6, T0, 1, None)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    out = QUERIES["scan_submission_logs"](spark, str(tmp_path))
+    assert len(out.inputFiles()) == 1
+    assert sorted(map(tuple, out.collect())) == sorted([(2, "FAIL")] * 2 + [(1_000_003 * i, "PASS") for i in range(n) if 1_000_003 * i % 4 > 1])
+
+
 def test_a_version_is_written_once(spark, tmp_path):
     tables = {"t": spark.range(10)}
     first = io.sink_versioned_artifacts(tables, str(tmp_path), "v1").head()
