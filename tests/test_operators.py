@@ -159,6 +159,59 @@ def test_shell_overlap_equals_all_pairs(spark):
         assert {tuple(x) for x in links.shell_overlap(a, b, "doc", "ref", "part", "h", static=static, identity=identity).collect()} == want and want
 
 
+@pytest.mark.parametrize("missing", [0, 1, 2, 3])
+def test_shell_overlap_by_several_parts_equals_all_pairs(spark, monkeypatch, missing):
+    """Common parts alone, so all is looked up by several at once; documents with many parts, parts given twice, parts without a hash."""
+    monkeypatch.setattr(links, "COMBINED", 40)
+    r = random.Random(missing)
+    draw = lambda ids, most: [(d, p, None if r.random() < 0.05 else r.randrange(2)) for d in ids for _ in range(r.choice([5, 9, most])) for p in [r.randrange(8)]]
+    parts, refs = draw(range(80), 30), draw(range(100, 140), 12)
+    a, b = spark.createDataFrame(parts, "doc long, part long, h long"), spark.createDataFrame(refs, "ref long, part int, h int")
+    want = set()
+    for ref in {x[0] for x in refs}:
+        mine = {x[1:] for x in refs if x[0] == ref}
+        for d in range(80):
+            own = {x[1:] for x in parts if x[0] == d}
+            n = len({x for x in mine & own if x[1] is not None})
+            if len(mine) > missing and len(mine) >= 4 and n >= len(mine) - missing and (n < len(mine) or n < len(own)):
+                want.add((d, ref, n, len(mine)))
+    for crowd in (0, 100, 10**6):
+        assert {tuple(x) for x in links.shell_overlap(a, b, "doc", "ref", "part", "h", missing=missing, least=4, crowd=crowd).collect()} == want and want
+
+
+def test_shell_overlap_makes_no_pair_for_each_common_part(spark, tmp_path):
+    """20,000 documents and 2,000 registered ones of seven common parts: by the two rarest alone eight million pairs were dealt out."""
+    sc = spark.sparkContext._jsc.sc()
+    made = lambda n, name: spark.range(n).withColumnRenamed("id", name).withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("h", F.pmod(F.xxhash64(name, "part", F.lit(name)), F.lit(10)))
+    for n, name in ((20_000, "doc"), (2_000, "ref")):
+        made(n, name).write.parquet(f"{tmp_path}/{name}")
+    docs, refs = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("doc", "ref"))
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with tables too large for it
+    try:
+        before = written()
+        got = links.shell_overlap(docs, refs, "doc", "ref", "part", "h", least=6).collect()
+        moved = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    a, b = ({n: set() for n in range(k)} for k in (20_000, 2_000))
+    for rows, out in ((docs, a), (refs, b)):
+        for x in rows.collect():
+            out[x[0]].add((x["part"], x["h"]))
+    by = {}
+    for d, own in a.items():
+        for x in own:
+            by.setdefault(frozenset(own - {x}), []).append(d)
+    want = {(d, ref) for ref, mine in b.items() for x in mine for d in by.get(frozenset(mine - {x}), ()) if a[d] != mine}
+    assert {(x["doc"], x["ref"]) for x in got} == want
+    assert moved < 20e6
+
+
 def test_nearest_template_without_a_tolerance(spark):
     df, t = spark.createDataFrame([(1, 5.0), (2, 5.5)], "doc long, x double"), spark.createDataFrame([("a", 5.0), ("b", 9.0)], "template string, at double")
     assert [tuple(r) for r in links.nearest_template(df, "doc", "x", t, tol=0).collect()] == [(1, "a", 0.0)]

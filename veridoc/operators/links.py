@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from math import comb
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridoc.functions.session import by_known, known
+from veridoc.functions.session import by_known, cut, known
 from veridoc.operators.history import before_in_key, ranges_of_key
 
 
@@ -155,29 +156,74 @@ def linked_tuple(df: DataFrame, key: str, pair: Sequence[str], allowed: DataFram
     return bad.withColumn("owner", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))).drop("_lo", "_hi")
 
 
-def shell_overlap(parts: DataFrame, registry: DataFrame, doc: str, ref: str, part: str, hash_col: str, *, missing: int = 1, least: int = 2, static: Column | None = None, identity: str | None = None) -> DataFrame:
+#: Documents that may meet a registered one by one part; where more do, it is looked up by several parts at once, so many at most.
+CROWD, DEEPEST = 1000, 5
+
+#: Combinations of parts that one document is looked up by, for each number of parts.
+COMBINED = 1000
+
+
+def _choices(df: DataFrame, most: int) -> DataFrame:
+    """A row for each choice of `_n` (`most` at most) from the array `_ids`, as a hash `_key` of them in their order; `_k` and `_n` go into it."""
+    df = df.filter(F.size("_ids") >= F.col("_n")).withColumns({"_ids": F.sort_array("_ids"), "_at": F.lit(-1), "_key": F.xxhash64("_k", "_n")})
+    for i in range(most):
+        more, places = F.col("_n") > i, F.sequence(F.col("_at") + 1, F.size("_ids") - F.col("_n") + i)
+        df = df.withColumn("_at", F.explode(F.when(more, places).otherwise(F.array("_at"))))
+        df = df.withColumn("_key", F.when(more, F.xxhash64("_key", F.get("_ids", "_at"))).otherwise(F.col("_key")))
+    return df.drop("_k", "_n", "_ids", "_at")
+
+
+def _shell_pairs(parts: DataFrame, refs: DataFrame, doc: str, ref: str, missing: int, crowd: int) -> DataFrame:
+    """(doc, ref): all documents that may share all but `missing` parts (_p, _h) of a registered document's `_all`, and few others.
+
+    A document that lacks `missing` of them at most has k of any `missing` + k. So it is looked up by each choice of k
+    among the rarest `missing` + k, and what has k parts of those gives each choice of k of its own. k is 1 where
+    few documents have the rarest parts. Documents with too many choices are looked up by fewer parts.
+    """
+    deepest = max(k for k in range(1, DEEPEST + 1) if k == 1 or comb(missing + k, k) <= COMBINED)
+    often = parts.groupBy("_p", "_h").agg(F.count("*").alias("_often"))
+    pieces = refs.select(ref, F.explode("_all").alias("_piece")).select(ref, "_piece.*").join(often, ["_p", "_h"], "left")
+    tops = pieces.groupBy(ref).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_often", F.lit(0)).alias("_often"), "_p", "_h"))).alias("_order"))
+    few = F.aggregate(F.slice("_order", 1, missing + 1), F.lit(0).cast("bigint"), lambda out, x: out + x["_often"]) <= crowd
+    tops = tops.withColumn("_k", F.when(few, 1).otherwise(F.least(F.size("_order") - missing, F.lit(deepest))))
+    tops = cut(tops.select(ref, "_k", F.posexplode(F.slice("_order", F.lit(1), F.col("_k") + missing)).alias("_at", "_piece")).select(ref, "_k", "_at", "_piece._p", "_piece._h"))
+    names = cut(tops.groupBy("_p", "_h").agg(F.collect_set("_k").alias("_ks")).withColumn("_id", F.monotonically_increasing_id()))
+
+    asked = tops.join(names.drop("_ks"), ["_p", "_h"]).groupBy(ref, "_k").agg(F.collect_list(F.struct("_at", "_id")).alias("_ids"))
+    asked = asked.withColumn("_n", F.explode(F.sequence(F.lit(1), "_k"))).select(ref, "_k", "_n", F.filter("_ids", lambda x: x["_at"] < F.col("_n") + missing)["_id"].alias("_ids"))
+    # dealt out as bare ids, not as what is gathered from them
+    given = parts.join(names, ["_p", "_h"]).select(doc, F.explode("_ks").alias("_k"), "_id").repartition(doc).groupBy(doc, "_k").agg(F.collect_set("_id").alias("_ids")).filter(F.size("_ids") >= F.col("_k"))
+    ways = lambda k: reduce(lambda out, i: out * (F.size("_ids") - i) / (i + 1), range(k), F.lit(1.0))
+    given = given.withColumn("_n", F.greatest(F.lit(1), *[F.when((F.col("_k") >= k) & (ways(k) <= COMBINED), k) for k in range(2, deepest + 1)], F.lit(None)))
+    asked = cut(_choices(asked, deepest))
+    keys = cut(asked.select("_key").distinct())  # where these are few, Spark leaves out all other choices before it deals them out
+    return _choices(given, deepest).join(keys, "_key", "left_semi").join(asked, "_key").select(doc, ref).distinct()
+
+
+def shell_overlap(parts: DataFrame, registry: DataFrame, doc: str, ref: str, part: str, hash_col: str, *, missing: int = 1, least: int = 2, static: Column | None = None, identity: str | None = None, crowd: int = CROWD) -> DataFrame:
     """(doc, ref, shared, total): documents that share all but `missing` at most of a registered document's parts, but not all of their own.
 
     Registered documents have `least` parts or more. `static` tells the registered parts that must all be
-    shared; `identity` is a column of both tables in which the two must differ, both being known.
+    shared; `identity` is a column of both tables in which the two must differ, both being known. A part without
+    a name or a hash is shared with nobody.
 
-    A document that lacks `missing` parts at most has one of any `missing` + 1 of them, so it is looked up by
-    the rarest ones only, and what is met is counted whole.
+    Pairs that may do are found by a few rare parts, or by several common ones at once (where one of them is in more than
+    `crowd` documents), and are then held against each other whole.
     """
-    piece = F.struct(F.col(part).alias("p"), F.col(hash_col).alias("h"))
+    piece = F.struct("_p", "_h")
+    named = lambda df, *more: df.select(*more, F.col(part).alias("_p"), F.col(hash_col).alias("_h"))
+    whole = lambda c: F.filter(c, lambda x: x["_p"].isNotNull() & x["_h"].isNotNull())
     fixed = F.lit(False) if static is None else F.coalesce(static, F.lit(False))
-    who = F.max(identity) if identity else F.lit(None)
-    own = parts.groupBy(doc).agg(F.collect_set(piece).alias("_own"), who.alias("_who"))
-    refs = registry.groupBy(ref).agg(F.collect_set(piece).alias("_all"), F.collect_set(F.when(fixed, piece)).alias("_static"), who.alias("_ref_who"))
+    who = F.col(identity) if identity else F.lit(None).cast("string")
+    own = named(parts, doc, who.alias("_w"))
+    refs = named(registry, ref, who.alias("_w"), fixed.alias("_fixed")).groupBy(ref).agg(F.collect_set(piece).alias("_all"), F.collect_set(F.when(F.col("_fixed"), piece)).alias("_static"), F.max("_w").alias("_ref_who"))
     refs = refs.filter((F.size("_all") > missing) & (F.size("_all") >= least))
-    often = own.select(F.explode("_own").alias("_piece")).groupBy("_piece").agg(F.count("*").alias("_often"))
-    by_rarity = Window.partitionBy(ref).orderBy(F.coalesce("_often", F.lit(0)), "_piece")
-    rare = refs.select(ref, F.explode("_all").alias("_piece")).join(often, "_piece", "left").withColumn("_r", F.row_number().over(by_rarity)).filter(F.col("_r") <= missing + 1)
-    met = own.select(doc, F.explode("_own").alias("_piece")).join(rare.select(ref, "_piece"), "_piece").select(doc, ref).distinct()
-    shared, total = F.size(F.array_intersect("_own", "_all")), F.size("_all")
+    met = cut(_shell_pairs(own.select(doc, "_p", "_h"), refs, doc, ref, missing, crowd))
+    own = own.join(met.select(doc).distinct(), doc, "left_semi").repartition(doc).groupBy(doc).agg(F.collect_set(piece).alias("_own"), F.max("_w").alias("_who"))
+    shared, total = F.size(F.array_intersect(whole("_own"), "_all")), F.size("_all")
     out = met.join(refs, ref).join(own, doc).withColumn("shared", shared.cast("long")).withColumn("total", total.cast("long"))
     out = out.filter((F.col("shared") >= F.col("total") - missing) & ((F.col("shared") < F.col("total")) | (F.col("shared") < F.size("_own"))))
-    out = out.filter(F.size(F.array_except("_static", "_own")) == 0)
+    out = out.filter(F.size(F.array_except("_static", whole("_own"))) == 0)
     return (out.filter("_who != _ref_who") if identity else out).select(doc, ref, "shared", "total")
 
 

@@ -128,7 +128,7 @@ PARTS = "(SELECT DISTINCT l_orderkey, l_linenumber AS part, l_suppkey % 10 AS h
     JOIN (SELECT l_orderkey AS ref, count(*) AS total FROM {PARTS.format(w="l_orderkey % 100 = 0")} GROUP BY 1) USING (ref) JOIN (SELECT l_orderkey, count(*) AS own FROM {PARTS.format(w="l_orderkey % 100 <> 0")} GROUP BY 1) USING (l_orderkey) WHERE shared >= total - 1 AND total > 5 AND (shared < total OR shared < own)"""
 )
 def shell_overlap(spark, sf_dir):
-    parts = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("part"), (F.col("l_suppkey") % 10).alias("h")).distinct()
+    parts = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("part"), (F.col("l_suppkey") % 10).alias("h"))
     registry = parts.filter("l_orderkey % 100 = 0").withColumnRenamed("l_orderkey", "ref")
     return L.shell_overlap(parts.filter("l_orderkey % 100 != 0"), registry, "l_orderkey", "ref", "part", "h", least=6)
 
