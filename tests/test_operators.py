@@ -179,26 +179,34 @@ def test_shell_overlap_by_several_parts_equals_all_pairs(spark, monkeypatch, mis
         assert {tuple(x) for x in links.shell_overlap(a, b, "doc", "ref", "part", "h", missing=missing, least=4, crowd=crowd).collect()} == want and want
 
 
-def test_shell_overlap_makes_no_pair_for_each_common_part(spark, tmp_path):
-    """20,000 documents and 2,000 registered ones of seven common parts: by the two rarest alone eight million pairs were dealt out."""
-    sc = spark.sparkContext._jsc.sc()
-    made = lambda n, name: spark.range(n).withColumnRenamed("id", name).withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("h", F.pmod(F.xxhash64(name, "part", F.lit(name)), F.lit(10)))
-    for n, name in ((20_000, "doc"), (2_000, "ref")):
-        made(n, name).write.parquet(f"{tmp_path}/{name}")
-    docs, refs = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("doc", "ref"))
+@pytest.fixture
+def moved(spark):
+    """What a call shuffles, in bytes, where no table is small enough to be sent whole; and what it returns."""
+    sc, size = spark.sparkContext._jsc.sc(), "spark.sql.autoBroadcastJoinThreshold"
 
     def written():
         sc.listenerBus().waitUntilEmpty(30_000)
         return sc.statusStore().executorSummary("driver").totalShuffleWrite()
 
-    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with tables too large for it
-    try:
-        before = written()
-        got = links.shell_overlap(docs, refs, "doc", "ref", "part", "h", least=6).collect()
-        moved = written() - before
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    def call(f):
+        small, before = spark.conf.get(size), written()
+        spark.conf.set(size, -1)
+        try:
+            out = f()
+        finally:
+            spark.conf.set(size, small)
+        return written() - before, out
+
+    return call
+
+
+def test_shell_overlap_makes_no_pair_for_each_common_part(spark, tmp_path, moved):
+    """20,000 documents and 2,000 registered ones of seven common parts: by the two rarest alone eight million pairs were dealt out."""
+    made = lambda n, name: spark.range(n).withColumnRenamed("id", name).withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("h", F.pmod(F.xxhash64(name, "part", F.lit(name)), F.lit(10)))
+    for n, name in ((20_000, "doc"), (2_000, "ref")):
+        made(n, name).write.parquet(f"{tmp_path}/{name}")
+    docs, refs = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("doc", "ref"))
+    size, got = moved(lambda: links.shell_overlap(docs, refs, "doc", "ref", "part", "h", least=6).collect())
     a, b = ({n: set() for n in range(k)} for k in (20_000, 2_000))
     for rows, out in ((docs, a), (refs, b)):
         for x in rows.collect():
@@ -209,7 +217,18 @@ def test_shell_overlap_makes_no_pair_for_each_common_part(spark, tmp_path):
             by.setdefault(frozenset(own - {x}), []).append(d)
     want = {(d, ref) for ref, mine in b.items() for x in mine for d in by.get(frozenset(mine - {x}), ()) if a[d] != mine}
     assert {(x["doc"], x["ref"]) for x in got} == want
-    assert moved < 20e6
+    assert size < 20e6
+
+
+def test_shell_overlap_makes_no_pair_for_each_copy(spark, tmp_path, moved):
+    """20,000 copies of a document that is registered 2,000 times, and one of them without a part."""
+    made = lambda n, name: spark.range(n).withColumnRenamed("id", name).withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("h", F.lit(1))
+    made(20_001, "doc").filter("doc < 20000 or part < 7").write.parquet(f"{tmp_path}/doc")
+    made(2_000, "ref").write.parquet(f"{tmp_path}/ref")
+    docs, refs = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("doc", "ref"))
+    size, got = moved(lambda: links.shell_overlap(docs, refs, "doc", "ref", "part", "h", least=6).collect())
+    assert sorted(map(tuple, got)) == [(20_000, n, 6, 7) for n in range(2_000)]
+    assert size < 20e6
 
 
 def test_nearest_template_without_a_tolerance(spark):

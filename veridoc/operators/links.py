@@ -207,8 +207,9 @@ def shell_overlap(parts: DataFrame, registry: DataFrame, doc: str, ref: str, par
     shared; `identity` is a column of both tables in which the two must differ, both being known. A part without
     a name or a hash is shared with nobody.
 
-    Pairs that may do are found by a few rare parts, or by several common ones at once (where one of them is in more than
-    `crowd` documents), and are then held against each other whole.
+    Pairs that may do are found by a few rare parts, or by several common ones at once (where the rarest are in more than
+    `crowd` documents), and are then held against each other whole. Registered documents that are alike are one of
+    them until the end, so copies of one document that is registered often are no pairs.
     """
     piece = F.struct("_p", "_h")
     named = lambda df, *more: df.select(*more, F.col(part).alias("_p"), F.col(hash_col).alias("_h"))
@@ -216,15 +217,20 @@ def shell_overlap(parts: DataFrame, registry: DataFrame, doc: str, ref: str, par
     fixed = F.lit(False) if static is None else F.coalesce(static, F.lit(False))
     who = F.col(identity) if identity else F.lit(None).cast("string")
     own = named(parts, doc, who.alias("_w"))
-    refs = named(registry, ref, who.alias("_w"), fixed.alias("_fixed")).groupBy(ref).agg(F.collect_set(piece).alias("_all"), F.collect_set(F.when(F.col("_fixed"), piece)).alias("_static"), F.max("_w").alias("_ref_who"))
-    refs = refs.filter((F.size("_all") > missing) & (F.size("_all") >= least))
-    met = cut(_shell_pairs(own.select(doc, "_p", "_h"), refs, doc, ref, missing, crowd))
+    kind = ["_all", "_static", "_ref_who"]
+    refs = named(registry, ref, who.alias("_w"), fixed.alias("_fixed")).groupBy(ref).agg(F.sort_array(F.collect_set(piece)).alias("_all"), F.sort_array(F.collect_set(F.when(F.col("_fixed"), piece))).alias("_static"), F.max("_w").alias("_ref_who"))
+    refs = cut(refs.filter((F.size("_all") > missing) & (F.size("_all") >= least)))
+    kinds = cut(refs.select(*kind).distinct().withColumn("_kind", F.monotonically_increasing_id()))
+    same = reduce(lambda x, y: x & y, (refs[c].eqNullSafe(kinds[c]) if c == "_ref_who" else refs[c] == kinds[c] for c in kind))
+    members = refs.join(kinds, same).select(ref, "_kind")
+    met = cut(_shell_pairs(own.select(doc, "_p", "_h"), kinds, doc, "_kind", missing, crowd))
     own = own.join(met.select(doc).distinct(), doc, "left_semi").repartition(doc).groupBy(doc).agg(F.collect_set(piece).alias("_own"), F.max("_w").alias("_who"))
     shared, total = F.size(F.array_intersect(whole("_own"), "_all")), F.size("_all")
-    out = met.join(refs, ref).join(own, doc).withColumn("shared", shared.cast("long")).withColumn("total", total.cast("long"))
+    out = met.join(kinds, "_kind").join(own, doc).withColumn("shared", shared.cast("long")).withColumn("total", total.cast("long"))
     out = out.filter((F.col("shared") >= F.col("total") - missing) & ((F.col("shared") < F.col("total")) | (F.col("shared") < F.size("_own"))))
     out = out.filter(F.size(F.array_except("_static", whole("_own"))) == 0)
-    return (out.filter("_who != _ref_who") if identity else out).select(doc, ref, "shared", "total")
+    out = out.filter("_who != _ref_who") if identity else out
+    return out.select(doc, "_kind", "shared", "total").join(members, "_kind").select(doc, ref, "shared", "total")
 
 
 def latent_revision(versions: DataFrame, container: str, version: str, stable: Sequence[str], dynamic: Sequence[str]) -> DataFrame:
